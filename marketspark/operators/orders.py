@@ -114,11 +114,26 @@ def catalogue_for_orders(products: DataFrame) -> DataFrame:
                     .select(F.col("id").alias("product_id"), "vendor", "name", "price", "image", "size"))
 
 
+HEADER_COLS = ("user_id", "requested_at", "customer_name", "customer_email", "customer_phone",
+               "customer_address")
+
+
+def _exploded(screened: DataFrame) -> DataFrame:
+    """Merged lines of passing requests, header fields carried along.
+
+    `merged` is null for rejected requests. `inline_outer` plus a filter
+    on its output is used instead of `inline`: for `inline` Catalyst infers
+    `size(merged) > 0` and pushes it below the projection, which re-runs
+    the whole JSON check inside the filter."""
+    return (screened.select("request_id", *header_columns(), "user_id", "requested_at", "n_requested",
+                            F.inline_outer("merged"))
+                    .filter(F.col("product_id").isNotNull()))
+
+
 def canonical_lines(screened: DataFrame, products: DataFrame) -> DataFrame:
     """D4 + D5: merged lines re-priced from the catalogue; a request keeps
     its lines only when every requested id matched (in stock, qty 1..99)."""
-    lines = (screened.filter(F.col("reason").isNull())
-                     .select("request_id", "n_requested", F.inline("merged")))
+    lines = _exploded(screened)
     cat = catalogue_for_orders(products)
     joined = (lines.filter(F.col("qty").between(1, MAX_QTY))
                    .join(cat, "product_id", "inner"))
@@ -130,8 +145,8 @@ def canonical_lines(screened: DataFrame, products: DataFrame) -> DataFrame:
 
 def availability_check(screened: DataFrame, products: DataFrame) -> DataFrame:
     """D5 as a per-request table: requested ids, matched ids, ok flag."""
-    lines = (screened.filter(F.col("reason").isNull())
-                     .select("request_id", "n_requested", F.inline("merged")))
+    lines = (screened.select("request_id", "n_requested", F.inline_outer("merged"))
+                     .filter(F.col("product_id").isNotNull()))
     cat = catalogue_for_orders(products).select("product_id", F.lit(True).alias("_hit"))
     j = lines.join(cat, "product_id", "left")
     matched = F.col("_hit").isNotNull() & F.col("qty").between(1, MAX_QTY)
@@ -173,14 +188,13 @@ class Intake:
 
     def orders(self) -> DataFrame:
         """D6 + D7: one order row per accepted request."""
-        agg = (self.lines.groupBy("request_id")
-               .agg(F.sum(F.col("price") * F.col("qty")).cast("decimal(38,2)").alias("total"),
-                    F.count(F.lit(1)).alias("n_items"),
-                    F.array_sort(F.collect_list(F.struct(
-                        "vendor", "name", "product_id", "price", "image", "size", "qty"))).alias("_items")))
-        hdr = self.screened.filter(F.col("reason").isNull()).select(
-            "request_id", "user_id", "requested_at", *header_columns())
-        o = agg.join(hdr, "request_id")
+        # header columns depend on request_id only; grouping by them keeps
+        # the request_id partitioning from the window (no extra exchange)
+        o = (self.lines.groupBy("request_id", *HEADER_COLS)
+             .agg(F.sum(F.col("price") * F.col("qty")).cast("decimal(38,2)").alias("total"),
+                  F.count(F.lit(1)).alias("n_items"),
+                  F.array_sort(F.collect_list(F.struct(
+                      "vendor", "name", "product_id", "price", "image", "size", "qty"))).alias("_items")))
         return o.select(
             order_id(F.col("request_id"), F.col("requested_at")).alias("id"), "request_id", "user_id",
             "customer_name", "customer_email", "customer_phone", "customer_address",
@@ -189,14 +203,11 @@ class Intake:
 
     def vendor_orders(self) -> DataFrame:
         """One row per (order, vendor), items by name then id."""
-        agg = (self.lines.groupBy("request_id", "vendor")
-               .agg(F.sum(F.col("price") * F.col("qty")).cast("decimal(38,2)").alias("subtotal"),
-                    F.count(F.lit(1)).alias("n_items"),
-                    F.array_sort(F.collect_list(F.struct(
-                        "name", "product_id", "vendor", "price", "image", "size", "qty"))).alias("_items")))
-        hdr = self.screened.filter(F.col("reason").isNull()).select(
-            "request_id", "user_id", "requested_at", *header_columns())
-        v = agg.join(hdr, "request_id")
+        v = (self.lines.groupBy("request_id", "vendor", *HEADER_COLS)
+             .agg(F.sum(F.col("price") * F.col("qty")).cast("decimal(38,2)").alias("subtotal"),
+                  F.count(F.lit(1)).alias("n_items"),
+                  F.array_sort(F.collect_list(F.struct(
+                      "name", "product_id", "vendor", "price", "image", "size", "qty"))).alias("_items")))
         oid = order_id(F.col("request_id"), F.col("requested_at"))
         return v.select(
             F.concat(oid, F.lit("/"), F.col("vendor")).alias("id"), oid.alias("order_id"),

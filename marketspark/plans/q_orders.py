@@ -31,8 +31,8 @@ def q_validate_items(t):
 def q_merge_lines(t):
     """D3: merged (request, product) quantities of screened requests."""
     s = O.screen_requests(t.order_requests())
-    return (s.filter(F.col("reason").isNull())
-             .select("request_id", F.inline("merged"))
+    return (s.select("request_id", F.inline_outer("merged"))
+             .filter(F.col("product_id").isNotNull())
              .select("request_id", "product_id", F.col("qty").cast("bigint").alias("qty")))
 
 
