@@ -16,6 +16,11 @@ rows that task does a third of the work. Here instead:
    (partition, group) - a key that is never skewed, because the
    partition index splits hot groups.
 
+Steps 3 and 4 both read the sorted data, and Spark does not reuse a range
+exchange across two branches (each would sample its own bounds). So the
+sorted, numbered data is checkpointed once (reliable checkpoint in the
+folder named by spark.checkpoint.dir) and both steps read that.
+
 `top_k_per_group` keeps the k first rows per group. It is a filter on
 `row_number() <= k`, which Catalyst plans with a partial
 WindowGroupLimit before the exchange: each map task forwards at most k
@@ -29,6 +34,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -44,6 +51,8 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     s = s.withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    ensure_checkpoint_dir(df.sparkSession)
+    s = s.checkpoint(eager=True)
     runs = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_start"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
@@ -59,3 +68,39 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column
     return (df.withColumn(rank_col, F.row_number().over(w))
               .filter(F.col(rank_col) <= k)
               .withColumn(rank_col, F.col(rank_col).cast("bigint")))
+
+
+def extend_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
+                t_col: str, d_col: str, out_col: str = "end_us",
+                num_partitions: int | None = None) -> DataFrame:
+    """Running `end = max(end_prev, t) + d` inside each group, in `order`.
+
+    Closed form: with S the running sum of d, end_i = S_i + max_{k<=i}(t_k - S_{k-1}).
+    (S, M) pairs combine associatively - segment A then B gives
+    S = S_A + S_B and M = max(M_A, M_B - S_A) - so the scan runs as a
+    segmented parallel prefix: range partitions of the sorted data compute
+    local prefixes, one small table of per-(partition, group) totals gives
+    each run its carry-in, and a hot group spans many tasks.
+    `t_col` and `d_col` are longs (microseconds); nulls in d count as 0.
+    """
+    g = list(group)
+    keys = _cols(g) + _cols(order)
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    s = s.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_mid", 33))
+    ensure_checkpoint_dir(df.sparkSession)
+    s = s.checkpoint(eager=True)
+    d = F.coalesce(F.col(d_col), F.lit(0)).cast("long")
+    wl = Window.partitionBy("_pid", *g).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_d", d).withColumn("_sl", F.sum("_d").over(wl))
+    s = s.withColumn("_ml", F.max(F.col(t_col) - (F.col("_sl") - F.col("_d"))).over(wl))
+    runs = s.groupBy("_pid", *g).agg(F.sum("_d").alias("_sr"), F.max("_ml").alias("_mr"))
+    wr = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_sb", F.coalesce(F.sum("_sr").over(wr), F.lit(0)))
+    runs = runs.withColumn("_mb", F.max(F.col("_mr") - F.col("_sb")).over(
+        Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
+    # _mb must use each earlier run's own carry-in: M_before(j) = max_{r<j}(M_r - S_before(r))
+    out = s.join(runs.select("_pid", *g, "_sb", "_mb"), ["_pid", *g], "inner")
+    m = F.greatest(F.col("_mb"), F.col("_ml") - F.col("_sb"))
+    return (out.withColumn(out_col, F.col("_sb") + F.col("_sl") + m)
+               .drop("_mid", "_pid", "_d", "_sl", "_ml", "_sb", "_mb"))

@@ -165,9 +165,14 @@ GROUP BY h.order_id, l.vendor, h.request_id, h.user_id, h.customer_name, h.custo
 def with_adapters(body: str) -> str:
     ctes = ",\n".join(f"{k} AS ({v})" for k, v in ADAPTERS.items())
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+    if body.upper().startswith("WITH RECURSIVE"):
+        body = body[len("WITH RECURSIVE"):].strip()
+    elif body.upper().startswith("WITH "):
+        body = body[5:].strip()
+    else:
+        return f"WITH RECURSIVE {ctes}\n{body}"
+    # one WITH RECURSIVE list: adapters first, then the query's own CTEs
+    return f"WITH RECURSIVE {ctes},\n{body}"
 
 
 ORACLE: dict[str, str] = {}
