@@ -17,12 +17,14 @@ PROMO_CODE = "SAVE10"
 STATUS_LABELS = {
     "pending": "Pending",
     "confirmed": "Confirmed",
-    "processing": "Processing",
+    "paid": "Paid",
     "shipped": "Shipped",
     "delivered": "Delivered",
     "cancelled": "Cancelled",
 }
-ORDER_STATUSES = ("pending", "confirmed", "processing", "shipped", "delivered", "cancelled")
+ORDER_STATUSES = ("pending", "confirmed", "paid", "shipped", "delivered", "cancelled")
+# Core boutiques that cannot be deleted.
+CORE_VENDORS = ("perfume", "kitchen", "variety")
 # Perfume size picker -> product id.
 SIZE_TO_PRODUCT = {"30ml": "p2", "50ml": "p1", "100ml": "p7"}
 # Newsletter e-mail pattern (applied to the lower-cased address).
@@ -159,8 +161,9 @@ def scent_match(vibe, occasion, intensity) -> Column:
 
 
 def status_label(x) -> Column:
+    """Shopper-facing status label; unknown statuses are shown escaped."""
     m = F.create_map(*[F.lit(v) for kv in STATUS_LABELS.items() for v in kv])
-    return F.coalesce(F.try_element_at(m, _c(x)), _c(x))
+    return F.coalesce(F.try_element_at(m, _c(x)), html_escape(_c(x)))
 
 
 def money(x) -> Column:

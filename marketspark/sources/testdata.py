@@ -266,7 +266,7 @@ class TestTables:
                    'v' || (l_partkey % (SELECT count(*) FROM {s})) AS vendor_id,
                    CAST(l_linenumber AS BIGINT) AS seq,
                    l_shipdate AS ts,
-                   CASE l_linenumber % 7 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'processing' WHEN 2 THEN 'shipped'
+                   CASE l_linenumber % 7 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'paid' WHEN 2 THEN 'shipped'
                         WHEN 3 THEN 'delivered' WHEN 4 THEN 'cancelled' WHEN 5 THEN 'pending' ELSE 'lost' END AS status,
                    CASE WHEN l_suppkey % 13 = 0 THEN repeat('n', 501) ELSE 'note ' || l_suppkey END AS status_note,
                    CASE WHEN l_suppkey % 10 = 0 THEN 'admin' ELSE 'vendor' END AS actor_role,
