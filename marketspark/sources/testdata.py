@@ -289,6 +289,7 @@ class TestTables:
         deletes; several changes per id so the last one must win."""
         return self._sql("""
             SELECT CASE WHEN event_id % 17 = 0 THEN ' V_' || (user_id % 60) || '! '
+                        WHEN event_id % 3 = 0 THEN ' New-' || (user_id % 40) || ' '
                         ELSE ' V' || (user_id % 60) || ' ' END AS id,
                    event_id AS seq, ts,
                    CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op,
