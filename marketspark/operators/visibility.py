@@ -180,3 +180,51 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
          .alias("n_subscriptions"),
         F.when(~authd, 0).when(is_admin, F.col("t_payments")).otherwise(z("_own_payments")).cast("bigint")
          .alias("n_payments"))
+
+
+# ---- F9: write policies ----------------------------------------------------
+
+VENDOR_ORDER_UPDATABLE = ("status", "status_note")
+
+
+def check_changes(changes: DataFrame) -> DataFrame:
+    """proposed writes with the actor's claims -> accepted / rejected.
+
+    Input columns: change_id, tbl, op (insert|update|delete), actor_role,
+    actor_user_id, actor_vendor_id, old_vendor_id, new_vendor_id,
+    old_user_id, new_user_id, new_status, created_by, confirmed_by,
+    item_vendors array<string>, changed_columns array<string>.
+    An update must pass the policy on the old row (USING) and on the new
+    row (WITH CHECK). All rules are column expressions: one pass, no join."""
+    admin = F.col("actor_role") == "admin"
+    is_vendor = F.col("actor_role") == "vendor"
+    av = F.coalesce(F.col("actor_vendor_id"), F.lit(""))
+    uid = F.col("actor_user_id")
+    op, tbl = F.col("op"), F.col("tbl")
+    own_old = F.col("old_vendor_id") == av
+    own_new = F.col("new_vendor_id") == av
+    items_own = F.forall(F.coalesce(F.col("item_vendors"), F.array().cast("array<string>")),
+                         lambda v: v.eqNullSafe(F.col("new_vendor_id")))
+    only_status_cols = F.forall(F.coalesce(F.col("changed_columns"), F.array().cast("array<string>")),
+                                lambda c: c.isin(*VENDOR_ORDER_UPDATABLE))
+    vo_staff = admin | (is_vendor & own_old)
+    vo_staff_new = admin | (is_vendor & own_new)
+    rule = (
+        F.when(F.col("actor_role").isNull() | (F.col("actor_role") == "anon"), F.lit(False))
+        .when(tbl == "vendors", F.when(op == "update", admin | ((F.col("old_vendor_id") == av) & (F.col("new_vendor_id") == av)))
+                                 .otherwise(admin))
+        .when(tbl == "products", F.when(op == "insert", admin | own_new)
+                                  .when(op == "update", (admin | own_old) & (admin | own_new))
+                                  .otherwise(admin | own_old))
+        .when(tbl == "orders", F.when(op == "insert", (uid == F.col("new_user_id")) & (F.col("new_status") == "pending"))
+                                .when(op == "update", admin).otherwise(F.lit(False)))
+        .when(tbl == "vendor_orders",
+              F.when(op == "insert", (uid == F.col("new_user_id")) & (F.col("new_status") == "pending") & items_own)
+               .when(op == "update", vo_staff & vo_staff_new & only_status_cols).otherwise(F.lit(False)))
+        .when(tbl == "promotions", F.when(op == "insert", admin & (F.col("created_by") == uid)).otherwise(admin))
+        .when(tbl == "subscriptions", admin)
+        .when(tbl == "payments", F.when(op == "insert", admin & (F.col("confirmed_by") == uid)).otherwise(admin))
+        .otherwise(F.lit(False)))
+    ok = F.coalesce(rule, F.lit(False))
+    return changes.select("change_id", "tbl", "op", ok.alias("accepted"),
+                          F.when(~ok, F.lit("policy_violation")).alias("reason"))

@@ -85,3 +85,57 @@ SELECT w.viewer_id, w.role,
   CASE WHEN w.role = 'anon' THEN 0 ELSE
   (SELECT count(*) FROM f_pay p WHERE w.role = 'admin' OR p.vendor_id = coalesce(w.vendor_id, '')) END AS n_payments
 FROM mk_viewers w""")
+
+ADAPTERS["mk_proposed"] = """
+SELECT event_id AS change_id,
+       CASE event_id % 7 WHEN 0 THEN 'vendors' WHEN 1 THEN 'products' WHEN 2 THEN 'orders'
+            WHEN 3 THEN 'vendor_orders' WHEN 4 THEN 'promotions' WHEN 5 THEN 'subscriptions'
+            ELSE 'payments' END AS tbl,
+       CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
+       CASE user_id % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'vendor' WHEN 2 THEN 'vendor'
+            WHEN 9 THEN 'anon' ELSE 'authenticated' END AS actor_role,
+       'u' || user_id AS actor_user_id,
+       CASE WHEN user_id % 10 IN (1, 2) THEN 'v' || (user_id % 7) END AS actor_vendor_id,
+       'v' || (event_id % 7) AS old_vendor_id,
+       'v' || ((event_id + CAST(floor(value) AS BIGINT) % 2) % 7) AS new_vendor_id,
+       'u' || (event_id % 150) AS old_user_id,
+       CASE WHEN event_id % 3 = 0 THEN 'u' || user_id ELSE 'u' || (event_id % 150) END AS new_user_id,
+       CASE WHEN event_id % 4 = 0 THEN 'confirmed' ELSE 'pending' END AS new_status,
+       CASE WHEN event_id % 2 = 0 THEN 'u' || user_id END AS created_by,
+       CASE WHEN event_id % 5 <> 0 THEN 'u' || user_id END AS confirmed_by,
+       CASE WHEN event_id % 6 = 0 THEN ['v' || (event_id % 7), 'v' || (event_id % 5)]
+            ELSE ['v' || ((event_id + CAST(floor(value) AS BIGINT) % 2) % 7)] END AS item_vendors,
+       CASE WHEN event_id % 8 = 0 THEN ['status', 'subtotal'] ELSE ['status', 'status_note'] END AS changed_columns
+FROM events"""
+
+oracle("check_changes", """
+WITH r AS (
+  SELECT *, actor_role = 'admin' AS adm, coalesce(actor_vendor_id, '') AS av FROM mk_proposed),
+v AS (
+  SELECT change_id, tbl, op,
+    CASE WHEN actor_role IS NULL OR actor_role = 'anon' THEN false
+         WHEN tbl = 'vendors' AND op = 'update' THEN adm OR (old_vendor_id = av AND new_vendor_id = av)
+         WHEN tbl = 'vendors' THEN adm
+         WHEN tbl = 'products' AND op = 'insert' THEN adm OR new_vendor_id = av
+         WHEN tbl = 'products' AND op = 'update' THEN (adm OR old_vendor_id = av) AND (adm OR new_vendor_id = av)
+         WHEN tbl = 'products' THEN adm OR old_vendor_id = av
+         WHEN tbl = 'orders' AND op = 'insert' THEN actor_user_id = new_user_id AND new_status = 'pending'
+         WHEN tbl = 'orders' AND op = 'update' THEN adm
+         WHEN tbl = 'orders' THEN false
+         WHEN tbl = 'vendor_orders' AND op = 'insert' THEN actor_user_id = new_user_id AND new_status = 'pending'
+              AND NOT EXISTS (SELECT 1 FROM unnest(item_vendors) t(x) WHERE x IS DISTINCT FROM new_vendor_id)
+         WHEN tbl = 'vendor_orders' AND op = 'update' THEN
+              (adm OR (actor_role = 'vendor' AND old_vendor_id = av))
+              AND (adm OR (actor_role = 'vendor' AND new_vendor_id = av))
+              AND NOT EXISTS (SELECT 1 FROM unnest(changed_columns) t(c) WHERE c NOT IN ('status', 'status_note'))
+         WHEN tbl = 'vendor_orders' THEN false
+         WHEN tbl = 'promotions' AND op = 'insert' THEN adm AND created_by = actor_user_id
+         WHEN tbl = 'promotions' THEN adm
+         WHEN tbl = 'subscriptions' THEN adm
+         WHEN tbl = 'payments' AND op = 'insert' THEN adm AND confirmed_by = actor_user_id
+         WHEN tbl = 'payments' THEN adm
+         ELSE false END AS ok
+  FROM r)
+SELECT change_id, tbl, op, coalesce(ok, false) AS accepted,
+       CASE WHEN NOT coalesce(ok, false) THEN 'policy_violation' END AS reason
+FROM v""")

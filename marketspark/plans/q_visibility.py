@@ -75,3 +75,9 @@ def q_visibility_counts(t):
     it = O.intake(t.order_requests(), L.normalize_products(t.products()))
     return V.visibility_counts(t.viewers(), L.normalize_vendors(t.vendors()), L.normalize_products(t.products()),
                                it.orders(), it.vendor_orders(), t.promotions(), _state(t), _payments(t), AT)
+
+
+@query("check_changes")
+def q_check_changes(t):
+    """verdict of every proposed write under the table policies."""
+    return V.check_changes(t.proposed_changes())

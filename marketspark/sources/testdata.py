@@ -329,3 +329,28 @@ class TestTables:
                    'City ' || c_nationkey AS city, 'State ' || (c_nationkey % 5) AS state,
                    CASE WHEN o_orderkey % 4 = 0 THEN 'Near gate ' || o_orderkey ELSE '  ' END AS landmark
             FROM {o} JOIN {c} ON o_custkey = c_custkey""", o="orders", c="customer")
+
+    def proposed_changes(self) -> DataFrame:
+        """Proposed writes (F9) by customers, vendors and admins."""
+        return self._sql("""
+            SELECT event_id AS change_id,
+                   CASE event_id % 7 WHEN 0 THEN 'vendors' WHEN 1 THEN 'products' WHEN 2 THEN 'orders'
+                        WHEN 3 THEN 'vendor_orders' WHEN 4 THEN 'promotions' WHEN 5 THEN 'subscriptions'
+                        ELSE 'payments' END AS tbl,
+                   CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
+                   CASE user_id % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'vendor' WHEN 2 THEN 'vendor'
+                        WHEN 9 THEN 'anon' ELSE 'authenticated' END AS actor_role,
+                   'u' || user_id AS actor_user_id,
+                   CASE WHEN user_id % 10 IN (1, 2) THEN 'v' || (user_id % 7) END AS actor_vendor_id,
+                   'v' || (event_id % 7) AS old_vendor_id,
+                   'v' || ((event_id + CAST(floor(value) AS BIGINT) % 2) % 7) AS new_vendor_id,
+                   'u' || (event_id % 150) AS old_user_id,
+                   CASE WHEN event_id % 3 = 0 THEN 'u' || user_id ELSE 'u' || (event_id % 150) END AS new_user_id,
+                   CASE WHEN event_id % 4 = 0 THEN 'confirmed' ELSE 'pending' END AS new_status,
+                   CASE WHEN event_id % 2 = 0 THEN 'u' || user_id END AS created_by,
+                   CASE WHEN event_id % 5 <> 0 THEN 'u' || user_id END AS confirmed_by,
+                   CASE WHEN event_id % 6 = 0 THEN array('v' || (event_id % 7), 'v' || (event_id % 5))
+                        ELSE array('v' || ((event_id + CAST(floor(value) AS BIGINT) % 2) % 7)) END AS item_vendors,
+                   CASE WHEN event_id % 8 = 0 THEN array('status', 'subtotal') ELSE array('status', 'status_note') END
+                     AS changed_columns
+            FROM {e}""", e="events")
