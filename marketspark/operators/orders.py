@@ -56,24 +56,33 @@ def parse_items(df: DataFrame, items_col: str = "items") -> DataFrame:
     """Parse the JSON item list of each request, row-local.
 
     Adds `item_reason` (null when the list passes) and `lines`
-    array<struct<id:string, qty:int>> of the raw (unmerged) lines. The qty
-    text is read from the original JSON (get_json_object keeps `3.0` as
-    written; the pattern then rejects it, as jsonb text does)."""
+    array<struct<id:string, qty:int>> of the raw (unmerged) lines.
+
+    The list is parsed once into VARIANT. The reference tests the *text*
+    of qty against ^[1-9][0-9]?$. On a parsed value that is: an integer
+    JSON number in 1..99 (a literal like 3.0 parses as DECIMAL and fails,
+    as its text does), or a string matching the pattern ("7" passes,
+    "03" does not)."""
     arr = F.expr(f"try_variant_get(try_parse_json({items_col}), '$', 'array<variant>')")
     df = df.withColumn("_arr", arr)
     checked = F.expr(f"""
-        transform(_arr, (e, i) -> named_struct(
+        transform(_arr, e -> named_struct(
             'is_obj', coalesce(startswith(schema_of_variant(e), 'OBJECT'), false),
             'id', try_variant_get(e, '$.id', 'string'),
-            'qty_text', get_json_object({items_col}, concat('$[', i, '].qty'))))""")
+            'qv', try_variant_get(e, '$.qty', 'variant'),
+            'qt', schema_of_variant(try_variant_get(e, '$.qty', 'variant'))))""")
     df = df.withColumn("_chk", checked)
-    bad_elem = F.exists("_chk", lambda x: ~x["is_obj"] | F.coalesce(x["id"] == "", F.lit(True))
-                        | ~F.coalesce(x["qty_text"], F.lit("")).rlike(QTY_PATTERN))
+    qty_ok = lambda x: F.coalesce(
+        (x["qt"].isin("TINYINT", "SMALLINT", "INT", "BIGINT")
+         & F.try_variant_get(x["qv"], "$", "long").between(1, 99))
+        | ((x["qt"] == "STRING") & F.try_variant_get(x["qv"], "$", "string").rlike(QTY_PATTERN)), F.lit(False))
+    bad_elem = F.exists("_chk", lambda x: ~x["is_obj"] | F.coalesce(x["id"] == "", F.lit(True)) | ~qty_ok(x))
     reason = (F.when(F.col("_arr").isNull() | (F.size("_arr") == 0) | (F.size("_arr") > MAX_ITEMS), F.lit(R_COUNT))
                .when(bad_elem, F.lit(R_ITEM)))
-    lines = F.transform("_chk", lambda x: F.struct(x["id"].alias("id"), x["qty_text"].cast("int").alias("qty")))
-    return (df.withColumn("item_reason", reason)
-              .withColumn("lines", F.when(reason.isNull(), lines))
+    df = df.withColumn("item_reason", reason)
+    lines = F.transform("_chk", lambda x: F.struct(
+        x["id"].alias("id"), F.try_variant_get(x["qv"], "$", "int").alias("qty")))
+    return (df.withColumn("lines", F.when(F.col("item_reason").isNull(), lines))
               .drop("_arr", "_chk"))
 
 
