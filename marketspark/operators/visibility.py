@@ -111,9 +111,10 @@ def visible_payments(payments: DataFrame, viewer: Viewer) -> DataFrame:
 
 # ---- F8: all viewers in one job --------------------------------------------
 
-def _total(df: DataFrame, name: str, cond: Column | None = None) -> DataFrame:
+def _total(df: DataFrame, cond: Column | None = None) -> Column:
+    """Row count as a scalar subquery: computed once, used as a literal."""
     x = df if cond is None else df.filter(cond)
-    return x.groupBy().agg(F.count(F.lit(1)).alias(name)).withColumn("_k", F.lit(1))
+    return x.agg(F.count(F.lit(1))).scalar()
 
 
 def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFrame, orders: DataFrame,
@@ -123,25 +124,25 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
     a = _at(at)
     live_ids = live_vendor_ids(subscriptions, at)
     live_flag = live_ids.select("vendor_id", F.lit(True).alias("_live"))
-    v = viewers.select("viewer_id", "role", "user_id", "vendor_id").withColumn("_k", F.lit(1))
     is_admin = F.col("role") == "admin"
     authd = F.col("role") != "anon"
-
-    # one-row totals, joined on a constant key (a 1-row hash join, no pairing)
-    tots = (_total(vendors, "t_vendors")
-            .join(_total(vendors.join(live_ids.withColumnRenamed("vendor_id", "id"), "id", "left_semi"),
-                         "t_live_vendors"), "_k")
-            .join(_total(products, "t_products"), "_k")
-            .join(_total(products.join(live_ids.withColumnRenamed("vendor_id", "vendor"), "vendor", "left_semi"),
-                         "t_live_products"), "_k")
-            .join(_total(orders, "t_orders"), "_k")
-            .join(_total(vendor_orders, "t_vendor_orders"), "_k")
-            .join(_total(promotions, "t_promotions"), "_k")
-            .join(_total(promotions, "t_live_promotions", promotion_live(at)), "_k")
-            .join(_total(subscriptions, "t_subs"), "_k")
-            .join(_total(subscriptions, "t_live_subs", F.col("status").isin(*LIVE) & (F.col("access_ends_at") > a)), "_k")
-            .join(_total(payments, "t_payments"), "_k"))
-    v = v.join(F.broadcast(tots), "_k", "inner")
+    live_sub = F.col("status").isin(*LIVE) & (F.col("access_ends_at") > a)
+
+    # table totals: scalar subqueries (one small job each), no join with viewers
+    v = viewers.select("viewer_id", "role", "user_id", "vendor_id").select(
+        "*",
+        _total(vendors).alias("t_vendors"),
+        _total(vendors.join(live_ids.withColumnRenamed("vendor_id", "id"), "id", "left_semi")).alias("t_live_vendors"),
+        _total(products).alias("t_products"),
+        _total(products.join(live_ids.withColumnRenamed("vendor_id", "vendor"), "vendor", "left_semi"))
+         .alias("t_live_products"),
+        _total(orders).alias("t_orders"),
+        _total(vendor_orders).alias("t_vendor_orders"),
+        _total(promotions).alias("t_promotions"),
+        _total(promotions, promotion_live(at)).alias("t_live_promotions"),
+        _total(subscriptions).alias("t_subs"),
+        _total(subscriptions, live_sub).alias("t_live_subs"),
+        _total(payments).alias("t_payments"))
 
     # own-vendor branches: does the viewer's vendor exist, is it live, how many products / payments
     own_vendor = (vendors.select(F.col("id").alias("vendor_id")).distinct()
