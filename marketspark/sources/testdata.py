@@ -19,6 +19,8 @@ SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
 
 
 class TestTables:
+    __test__ = False  # not a pytest class
+
     """Lazy loader for one scale-factor folder, plus the mk_* adapters."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
