@@ -25,6 +25,9 @@ STATUS_LABELS = {
 ORDER_STATUSES = ("pending", "confirmed", "paid", "shipped", "delivered", "cancelled")
 # Core boutiques that cannot be deleted.
 CORE_VENDORS = ("perfume", "kitchen", "variety")
+# Quiz result labels (score >= 94, else).
+QUIZ_STRONG = "AURA NOIRE (Eau de Parfum)"
+QUIZ_LIGHT = "AURA NOIRE (Concentré de Parfum)"
 # Perfume size picker -> product id.
 SIZE_TO_PRODUCT = {"30ml": "p2", "50ml": "p1", "100ml": "p7"}
 # Newsletter e-mail pattern (applied to the lower-cased address).
@@ -36,7 +39,7 @@ EMAIL_STRICT_RE = (
 SAFE_URL_RE = r"(?i)^(https?://|[a-z0-9][a-z0-9._/-]*(\?[^\s]*)?$)"
 # Fallbacks for banners.
 BANNER_IMAGE_FALLBACK = "images/perfume/zahra-collection-oils.jpg"
-BANNER_SUBTITLE_FALLBACK = "Discover this promoted offer on Zarah's Store."
+BANNER_SUBTITLE_FALLBACK = f"Discover this promoted offer on {STORE_NAME}."
 HOME_STORES_ANCHOR = "index.html#stores-section"
 # ---------------------------------------------------------------------------
 

@@ -281,7 +281,7 @@ def whatsapp_outbox(vendor_orders: DataFrame, vendors: DataFrame) -> DataFrame:
     vname = F.coalesce(F.nullif(F.col("_vname"), F.lit("")), F.lit(K.STORE_NAME))
     email = F.coalesce(F.col("customer_email"), F.lit("Not provided"))
     msg = F.concat(
-        F.lit("🛍️ *NEW ORDER — Zarah's Store*\n"),
+        F.lit(f"🛍️ *NEW ORDER — {K.STORE_NAME}*\n"),
         F.lit("\n*Boutique:* "), vname, F.lit("\n"),
         F.lit("\n*Customer Details:*\n👤 Name: "), F.col("customer_name"),
         F.lit("\n📍 Address: "), F.col("customer_address"),
@@ -303,7 +303,7 @@ def product_inquiry_link(products: DataFrame, vendors: DataFrame) -> DataFrame:
     v = vendors.select(F.col("id").alias("vendor"), F.col("name").alias("_vname"), F.col("whatsapp").alias("_wa"))
     j = products.select("id", "vendor", "name", "price").join(v, "vendor", "left")
     msg = F.concat(
-        F.lit("🛍️ *Product Inquiry — Zarah's Store*\n\n*Product:* "), F.col("name"),
+        F.lit(f"🛍️ *Product Inquiry — {K.STORE_NAME}*\n\n*Product:* "), F.col("name"),
         F.lit("\n*Price:* "), K.naira(F.col("price")),
         F.lit("\n*Vendor:* "), F.coalesce(F.col("_vname"), F.lit("")),
         F.lit("\n\nI would like to place an order. Please share delivery cost and payment details. Thank you!"))

@@ -1,6 +1,7 @@
 """Oracle SQL for the column expressions."""
 
 from .o_orders import naira
+from .sql_fixed import BANNER_IMG, BANNER_SUB, INQUIRY, NEW_ORDER, QL, QS, STORE  # noqa: F401
 from .oracle import oracle
 
 ESC = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
@@ -59,7 +60,7 @@ SELECT k,
   CASE size WHEN '30ml' THEN 'p2' WHEN '50ml' THEN 'p1' WHEN '100ml' THEN 'p7' END AS size_product
 FROM p3""")
 
-oracle("quiz_scores", """
+oracle("quiz_scores", f"""
 WITH a AS (
   SELECT CASE event_id % 3 WHEN 0 THEN 'mystique' WHEN 1 THEN 'fresh' ELSE 'cozy' END AS vibe,
          CASE event_id % 4 WHEN 0 THEN 'evening' WHEN 1 THEN 'day' WHEN 2 THEN 'date' ELSE 'work' END AS occasion,
@@ -72,6 +73,6 @@ s AS (
               WHEN vibe = 'cozy' OR occasion = 'date' THEN 89 ELSE 85 END AS score,
          CASE size WHEN '30ml' THEN 'p2' WHEN '50ml' THEN 'p1' WHEN '100ml' THEN 'p7' END AS product_id
   FROM a)
-SELECT score, CASE WHEN score >= 94 THEN 'AURA NOIRE (Eau de Parfum)' ELSE 'AURA NOIRE (Concentré de Parfum)' END
+SELECT score, CASE WHEN score >= 94 THEN {QS} ELSE {QL} END
          AS variant, product_id, count(*) AS n_answers
 FROM s GROUP BY ALL""")

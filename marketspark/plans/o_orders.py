@@ -1,5 +1,6 @@
 """Oracle SQL for order intake."""
 
+from .sql_fixed import BANNER_IMG, BANNER_SUB, INQUIRY, NEW_ORDER, QL, QS, STORE  # noqa: F401
 from .oracle import ADAPTERS, oracle
 
 # naira in DuckDB: grouped, up to 3 decimals, trailing zeros dropped
@@ -67,8 +68,8 @@ lines AS (
 msg AS (
   SELECT vo.id, vo.vendor_id,
          regexp_replace(coalesce(nullif(wa, ''), '2348147923724'), '[^0-9]', '', 'g') AS number,
-         '🛍️ *NEW ORDER — Zarah''s Store*' || chr(10) || chr(10) || '*Boutique:* '
-         || coalesce(nullif(vname, ''), 'Zarah''s Store') || chr(10) || chr(10)
+         {NEW_ORDER} || chr(10) || chr(10) || '*Boutique:* '
+         || coalesce(nullif(vname, ''), {STORE}) || chr(10) || chr(10)
          || '*Customer Details:*' || chr(10) || '👤 Name: ' || customer_name
          || chr(10) || '📍 Address: ' || customer_address
          || chr(10) || '📞 Phone: ' || customer_phone
@@ -88,7 +89,7 @@ FROM msg""")
 oracle("product_inquiry_link", f"""
 WITH m AS (
   SELECT p.id, coalesce(nullif(nv.whatsapp, ''), '2348147923724') AS number,
-         '🛍️ *Product Inquiry — Zarah''s Store*' || chr(10) || chr(10) || '*Product:* ' || p.name
+         {INQUIRY} || chr(10) || chr(10) || '*Product:* ' || p.name
          || chr(10) || '*Price:* ' || {naira("p.price")}
          || chr(10) || '*Vendor:* ' || coalesce(nv.name, '')
          || chr(10) || chr(10)

@@ -1,5 +1,6 @@
 """Oracle SQL for promotions."""
 
+from .sql_fixed import BANNER_IMG, BANNER_SUB, INQUIRY, NEW_ORDER, QL, QS, STORE  # noqa: F401
 from .oracle import ADAPTERS, oracle
 
 AT = "TIMESTAMP '2024-01-15 12:00:00'"
@@ -42,7 +43,7 @@ allx AS (SELECT * FROM spx UNION ALL SELECT * FROM orgx)
 SELECT product_id, src = 0 AS sponsored, row_number() OVER (ORDER BY src, r) AS rank
 FROM allx ORDER BY src, r LIMIT 8""")
 
-oracle("sponsored_banners", """
+oracle("sponsored_banners", f"""
 WITH b AS (
   SELECT g.*, nv.page AS vpage FROM g_act g LEFT JOIN nv ON nv.id = g.vendor_id WHERE g.promotion_type = 'banner'),
 l AS (
@@ -56,9 +57,9 @@ m AS (
          CASE WHEN lu <> '' AND regexp_matches(lu, '^(https?://|[a-z0-9][a-z0-9._/-]*(\\?[^\\s]*)?$)', 'i') THEN lu
               ELSE fb END AS link,
          CASE WHEN iu <> '' AND regexp_matches(iu, '^(https?://|[a-z0-9][a-z0-9._/-]*(\\?[^\\s]*)?$)', 'i') THEN iu
-              ELSE 'images/perfume/zahra-collection-oils.jpg' END AS image,
+              ELSE {BANNER_IMG} END AS image,
          coalesce(title, '') AS title,
-         coalesce(nullif(subtitle, ''), 'Discover this promoted offer on Zarah''s Store.') AS subtitle
+         coalesce(nullif(subtitle, ''), {BANNER_SUB}) AS subtitle
   FROM l)
 SELECT id, rank,
   replace(replace(replace(replace(replace(link, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS href,

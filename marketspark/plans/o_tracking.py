@@ -1,5 +1,6 @@
 """Oracle SQL for order tracking."""
 
+from .sql_fixed import BANNER_IMG, BANNER_SUB, INQUIRY, NEW_ORDER, QL, QS, STORE  # noqa: F401
 from .oracle import ADAPTERS, oracle
 
 ADAPTERS["mk_status"] = """
@@ -50,14 +51,14 @@ FROM o_vendor_orders v LEFT JOIN last l ON l.request_id = v.request_id AND l.ven
 
 oracle("status_change_verdicts", "SELECT reason, count(*) AS n_changes FROM e_verdict GROUP BY reason")
 
-oracle("order_contact_link", """
+oracle("order_contact_link", f"""
 WITH b AS (
   SELECT v.id, v.order_id, nv.name AS vname,
          regexp_replace(coalesce(nullif(nv.whatsapp, ''), '2348147923724'), '[^0-9]', '', 'g') AS d0
   FROM o_vendor_orders v LEFT JOIN nv ON nv.id = v.vendor_id),
 c AS (
   SELECT id, CASE WHEN starts_with(d0, '0') THEN '234' || substr(d0, 2) ELSE d0 END AS number,
-         'Hello ' || coalesce(nullif(vname, ''), 'Zarah''s Store') || ', I am contacting you about my order '
+         'Hello ' || coalesce(nullif(vname, ''), {STORE}) || ', I am contacting you about my order '
          || order_id || '.' AS msg
   FROM b)
 SELECT id, number, 'https://wa.me/' || number || '?text=' ||

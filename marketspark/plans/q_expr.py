@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as K
 from .queries import query
 
-# ---- fixed values: quiz result labels --------------------------------------
-QUIZ_STRONG = "AURA NOIRE (Eau de Parfum)"
-QUIZ_LIGHT = "AURA NOIRE (Concentré de Parfum)"
+QUIZ_STRONG, QUIZ_LIGHT = K.QUIZ_STRONG, K.QUIZ_LIGHT
 
 
 @query("k_expressions")
