@@ -52,38 +52,34 @@ def validate_headers(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reason", header_reason(requests))
 
 
+ITEM_SCHEMA = "array<struct<id:string,qty:string>>"
+
+
 def parse_items(df: DataFrame, items_col: str = "items") -> DataFrame:
     """Parse the JSON item list of each request, row-local.
 
     Adds `item_reason` (null when the list passes) and `lines`
     array<struct<id:string, qty:int>> of the raw (unmerged) lines.
 
-    The list is parsed once into VARIANT. The reference tests the *text*
-    of qty against ^[1-9][0-9]?$. On a parsed value that is: an integer
-    JSON number in 1..99 (a literal like 3.0 parses as DECIMAL and fails,
-    as its text does), or a string matching the pattern ("7" passes,
-    "03" does not)."""
-    arr = F.expr(f"try_variant_get(try_parse_json({items_col}), '$', 'array<variant>')")
-    df = df.withColumn("_arr", arr)
-    checked = F.expr(f"""
-        transform(_arr, e -> named_struct(
-            'is_obj', coalesce(startswith(schema_of_variant(e), 'OBJECT'), false),
-            'id', try_variant_get(e, '$.id', 'string'),
-            'qv', try_variant_get(e, '$.qty', 'variant'),
-            'qt', schema_of_variant(try_variant_get(e, '$.qty', 'variant'))))""")
-    df = df.withColumn("_chk", checked)
-    qty_ok = lambda x: F.coalesce(
-        (x["qt"].isin("TINYINT", "SMALLINT", "INT", "BIGINT")
-         & F.try_variant_get(x["qv"], "$", "long").between(1, 99))
-        | ((x["qt"] == "STRING") & F.try_variant_get(x["qv"], "$", "string").rlike(QTY_PATTERN)), F.lit(False))
-    bad_elem = F.exists("_chk", lambda x: ~x["is_obj"] | F.coalesce(x["id"] == "", F.lit(True)) | ~qty_ok(x))
-    reason = (F.when(F.col("_arr").isNull() | (F.size("_arr") == 0) | (F.size("_arr") > MAX_ITEMS), F.lit(R_COUNT))
-               .when(bad_elem, F.lit(R_ITEM)))
+    * Shape: `json_array_length` is null unless the text is a JSON array,
+      so a bare object (which from_json would wrap into a one-element
+      array) or broken JSON fails the 1..50 count rule.
+    * Elements: one from_json into array<struct<id, qty:string>>. A string
+      field keeps a number's literal text (3.0 stays "3.0"), so the qty
+      text is tested against ^[1-9][0-9]?$ as the reference tests it.
+      When any element is not an object from_json yields null for the
+      whole list, and a JSON null element is a null entry: both reject.
+    """
+    n = F.json_array_length(F.col(items_col))
+    df = df.withColumn("_els", F.from_json(F.col(items_col), ITEM_SCHEMA))
+    bad_elem = F.exists("_els", lambda x: x.isNull() | F.coalesce(x["id"] == "", F.lit(True))
+                        | ~F.coalesce(x["qty"], F.lit("")).rlike(QTY_PATTERN))
+    reason = (F.when(n.isNull() | (n == 0) | (n > MAX_ITEMS), F.lit(R_COUNT))
+               .when(F.col("_els").isNull() | bad_elem, F.lit(R_ITEM)))
     df = df.withColumn("item_reason", reason)
-    lines = F.transform("_chk", lambda x: F.struct(
-        x["id"].alias("id"), F.try_variant_get(x["qv"], "$", "int").alias("qty")))
+    lines = F.transform("_els", lambda x: F.struct(x["id"].alias("id"), x["qty"].cast("int").alias("qty")))
     return (df.withColumn("lines", F.when(F.col("item_reason").isNull(), lines))
-              .drop("_arr", "_chk"))
+              .drop("_els"))
 
 
 def merge_lines_col(lines: Column) -> Column:

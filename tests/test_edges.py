@@ -40,6 +40,10 @@ def test_item_list_rules(spark):
         "q3.0": ('[{"id":"a","qty":3.0}]', O.R_ITEM), "qs7": ('[{"id":"a","qty":"7"}]', None),
         "id_empty": ('[{"id":"","qty":1}]', O.R_ITEM), "id_missing": ('[{"qty":1}]', O.R_ITEM),
         "ok": ('[{"id":"p1","qty":2},{"id":"p3","qty":99}]', None), "bad_json": ("[{", O.R_COUNT),
+        "str_elem": ('["a"]', O.R_ITEM), "null_elem": ('[null]', O.R_ITEM), "arr_elem": ('[[1]]', O.R_ITEM),
+        "mixed": ('[{"id":"a","qty":1},5]', O.R_ITEM), "qbool": ('[{"id":"a","qty":true}]', O.R_ITEM),
+        "qnull": ('[{"id":"a","qty":null}]', O.R_ITEM), "num_id": ('[{"id":5,"qty":1}]', None),
+        "extra": ('[{"id":"a","qty":1,"size":"L"}]', None), "spaced": (' [ {"id":"a","qty":12} ] ', None),
     }
     df = _req(spark, [(k, v[0]) for k, v in cases.items()])
     got = {r["request_id"]: r["item_reason"] for r in O.parse_items(df).collect()}
