@@ -109,7 +109,7 @@ def browse_matches(requests: DataFrame, products: DataFrame) -> DataFrame:
     hit = (F.coalesce(F.contains(F.lower("name"), q), F.lit(False))
            | F.coalesce(F.contains(F.lower("description"), q), F.lit(False))
            | F.coalesce(F.contains(F.lower("category"), q), F.lit(False)))
-    cats_ok = (F.coalesce(F.size("categories"), F.lit(0)) == 0) | F.array_contains("categories", F.col("category"))
+    cats_ok = (F.coalesce(F.array_size("categories"), F.lit(0)) == 0) | F.array_contains("categories", F.col("category"))
     keep = (((q == "") | hit) & F.coalesce(cats_ok, F.lit(False))
             & (F.col("price") <= F.col("max_price"))
             & (~F.coalesce(F.col("in_stock_only"), F.lit(False)) | F.coalesce(F.col("in_stock"), F.lit(False))))

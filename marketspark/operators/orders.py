@@ -100,7 +100,7 @@ def screen_requests(requests: DataFrame) -> DataFrame:
     df = df.withColumn("reason", F.coalesce(F.col("reason"), F.col("item_reason"))).drop("item_reason")
     merged = merge_lines_col(F.col("lines"))
     return (df.withColumn("merged", F.when(F.col("reason").isNull(), merged))
-              .withColumn("n_requested", F.size("merged"))
+              .withColumn("n_requested", F.array_size("merged"))
               .drop("lines"))
 
 

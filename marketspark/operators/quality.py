@@ -28,10 +28,10 @@ PAY_STATUS = ("paid", "refunded")
 def rules() -> dict[str, list[tuple[str, Column]]]:
     return {
         "products": [("price_nonnegative", C("price") >= 0)],
-        "orders": [("items_nonempty", F.size(F.from_json(C("items"), "array<string>")) > 0),
+        "orders": [("items_nonempty", F.array_size(F.from_json(C("items"), "array<string>")) > 0),
                    ("total_nonnegative", C("total") >= 0),
                    ("status_valid", C("status").isin(*K.ORDER_STATUSES))],
-        "vendor_orders": [("items_nonempty", F.size(F.from_json(C("items"), "array<string>")) > 0),
+        "vendor_orders": [("items_nonempty", F.array_size(F.from_json(C("items"), "array<string>")) > 0),
                           ("subtotal_nonnegative", C("subtotal") >= 0),
                           ("status_valid", C("status").isin(*K.ORDER_STATUSES)),
                           ("note_length", C("status_note").isNull() | (F.char_length("status_note") <= 500))],

@@ -30,7 +30,7 @@ def my_orders(vendor_orders: DataFrame, vendors: DataFrame) -> DataFrame:
                  K.status_label(F.col("status")).alias("status_label"),
                  F.aggregate(lines, F.lit(0).cast("decimal(38,2)"), lambda a, x: a + x)
                   .cast("decimal(38,2)").alias("lines_total"),
-                 F.size(items).cast("bigint").alias("n_lines"))
+                 F.array_size(items).cast("bigint").alias("n_lines"))
     return _newest_first(j, ["user_id"])
 
 

@@ -24,7 +24,7 @@ def q_validate_items(t):
     """Item-list verdict and line count of every request."""
     df = O.parse_items(t.order_requests())
     return df.select("request_id", F.col("item_reason").alias("reason"),
-                     F.size("lines").cast("bigint").alias("n_lines"))
+                     F.when(F.col("lines").isNotNull(), F.size("lines")).cast("bigint").alias("n_lines"))
 
 
 @query("merge_lines")
