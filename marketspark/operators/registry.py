@@ -140,19 +140,31 @@ def reassign_vendor_staff(staff: DataFrame, accepted: DataFrame, users: DataFram
     return link_staff_users(allrows, users).drop("changed")
 
 
-def user_claims(users: DataFrame, staff: DataFrame) -> DataFrame:
-    """claims = existing claims without role/vendor_id, plus the staff
-    role and vendor_id of the user's e-mail (when staff)."""
+def user_claims(users: DataFrame, staff: DataFrame, staff_before: DataFrame | None = None) -> DataFrame:
+    """Claims after the registry log.
+
+    A user whose e-mail has a staff row gets its role (and vendor_id when
+    set) on top of the other claims; a user whose staff row was removed
+    or replaced (present in `staff_before`, absent now) loses role and
+    vendor_id; everyone else keeps the claims unchanged. One left join per
+    staff table on the lower-cased e-mail."""
+    empty = F.create_map().cast("map<string,string>")
     s = staff.select(F.col("email").alias("_semail"), F.col("role").alias("_role"), F.col("vendor_id").alias("_vid"))
     j = users.join(s, F.lower(users["email"]) == s["_semail"], "left")
-    base = F.map_filter(F.coalesce(F.col("claims"), F.create_map().cast("map<string,string>")),
-                        lambda k, v: ~k.isin("role", "vendor_id"))
-    extra = F.when(F.col("_role").isNull(), F.create_map().cast("map<string,string>")).otherwise(
-        F.when(F.col("_vid").isNull(), F.create_map(F.lit("role"), F.col("_role")))
-         .otherwise(F.create_map(F.lit("role"), F.col("_role"), F.lit("vendor_id"), F.col("_vid"))))
-    kept = F.when(F.col("_role").isNull(), F.coalesce(F.col("claims"), F.create_map().cast("map<string,string>")))
-    claims = F.coalesce(kept, F.map_concat(base, extra))
-    text = F.array_join(F.array_sort(F.transform(F.map_entries(claims),
+    if staff_before is not None:
+        b = staff_before.select(F.col("email").alias("_bemail")).distinct().withColumn("_was", F.lit(True))
+        j = j.join(b, F.lower(j["email"]) == b["_bemail"], "left")
+        was = F.col("_was").isNotNull()
+    else:
+        was = F.lit(False)
+    claims = F.coalesce(F.col("claims"), empty)
+    base = F.map_filter(claims, lambda k, v: ~k.isin("role", "vendor_id"))
+    extra = (F.when(F.col("_vid").isNull(), F.create_map(F.lit("role"), F.col("_role")))
+              .otherwise(F.create_map(F.lit("role"), F.col("_role"), F.lit("vendor_id"), F.col("_vid"))))
+    out = (F.when(F.col("_role").isNotNull(), F.map_concat(base, extra))
+            .when(was, base)
+            .otherwise(claims))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries(out),
                                                  lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return j.select("id", "email", text.alias("claims"))
 

@@ -30,7 +30,8 @@ SELECT 'u' || c_custkey AS id, 'c' || c_custkey || '@example.org' AS email,
             ELSE MAP {'provider': 'phone', 'role': 'customer'} END AS claims
 FROM customer
 UNION ALL
-SELECT 'su' || s_suppkey, 'Owner' || s_suppkey || '@Shop.Example', MAP {'provider': 'email'} FROM supplier"""
+SELECT 'su' || s_suppkey, 'Owner' || s_suppkey || '@Shop.Example',
+       MAP {'provider': 'email', 'role': 'vendor', 'vendor_id': 'v' || s_suppkey} FROM supplier"""
 
 ADAPTERS["r_clean"] = """
 SELECT c.seq, c.ts, c.op, c.name, c.tagline, vendor_id, email, wa,
@@ -105,17 +106,20 @@ FROM mk_staff s LEFT JOIN (SELECT lower(email) AS email, min(id) AS uid FROM mk_
 
 oracle("user_claims", """
 WITH j AS (
-  SELECT u.id, u.email, u.claims, s.role, s.vendor_id FROM mk_users u
-  LEFT JOIN r_staff_linked s ON s.email = lower(u.email)),
+  SELECT u.id, u.email, u.claims, s.role, s.vendor_id,
+         lower(u.email) IN (SELECT email FROM mk_staff) AS was_staff
+  FROM mk_users u LEFT JOIN r_staff_linked s ON s.email = lower(u.email)),
 kv AS (
-  SELECT id, email, k || '=' || v AS e FROM (
-    SELECT id, email, unnest(map_keys(claims)) AS k, unnest(map_values(claims)) AS v FROM j WHERE role IS NULL)
+  SELECT id, k || '=' || v AS e FROM (
+    SELECT id, unnest(map_keys(claims)) AS k, unnest(map_values(claims)) AS v FROM j
+    WHERE role IS NULL AND NOT was_staff)
   UNION ALL
-  SELECT id, email, k || '=' || v FROM (
-    SELECT id, email, unnest(map_keys(claims)) AS k, unnest(map_values(claims)) AS v FROM j WHERE role IS NOT NULL)
+  SELECT id, k || '=' || v FROM (
+    SELECT id, unnest(map_keys(claims)) AS k, unnest(map_values(claims)) AS v FROM j
+    WHERE role IS NOT NULL OR was_staff)
   WHERE k NOT IN ('role', 'vendor_id')
-  UNION ALL SELECT id, email, 'role=' || role FROM j WHERE role IS NOT NULL
-  UNION ALL SELECT id, email, 'vendor_id=' || vendor_id FROM j WHERE role IS NOT NULL AND vendor_id IS NOT NULL)
+  UNION ALL SELECT id, 'role=' || role FROM j WHERE role IS NOT NULL
+  UNION ALL SELECT id, 'vendor_id=' || vendor_id FROM j WHERE role IS NOT NULL AND vendor_id IS NOT NULL)
 SELECT j.id, j.email, coalesce((SELECT string_agg(e, ';' ORDER BY e) FROM kv WHERE kv.id = j.id), '') AS claims
 FROM j""")
 

@@ -55,7 +55,7 @@ def q_link_staff_users(t):
 def q_user_claims(t):
     """User claims after the registry log."""
     staff = R.reassign_vendor_staff(t.staff(), _accepted(t), t.users())
-    return R.user_claims(t.users(), staff)
+    return R.user_claims(t.users(), staff, staff_before=t.staff())
 
 
 @query("vendor_access_list")

@@ -223,7 +223,8 @@ class TestTables:
                         ELSE map('provider', 'phone', 'role', 'customer') END AS claims
             FROM {c}
             UNION ALL
-            SELECT 'su' || s_suppkey, 'Owner' || s_suppkey || '@Shop.Example', map('provider', 'email')
+            SELECT 'su' || s_suppkey, 'Owner' || s_suppkey || '@Shop.Example',
+                   map('provider', 'email', 'role', 'vendor', 'vendor_id', 'v' || s_suppkey)
             FROM {s}""", c="customer", s="supplier")
 
     def staff(self) -> DataFrame:
