@@ -139,3 +139,12 @@ v AS (
 SELECT change_id, tbl, op, coalesce(ok, false) AS accepted,
        CASE WHEN NOT coalesce(ok, false) THEN 'policy_violation' END AS reason
 FROM v""")
+
+oracle("canonical_lines_visible", """WITH RECURSIVE
+c AS (
+  SELECT m.request_id, m.product_id, p.vendor, p.name, p.price, m.qty
+  FROM o_merged m JOIN np p ON p.id = m.product_id
+  WHERE p.in_stock AND m.qty BETWEEN 1 AND 99 AND p.vendor IN (SELECT vendor_id FROM f_live))
+SELECT request_id, product_id, vendor, name, price, CAST(qty AS BIGINT) AS qty FROM c
+WHERE (SELECT count(*) FROM c c2 WHERE c2.request_id = c.request_id)
+    = (SELECT n FROM o_nreq WHERE o_nreq.request_id = c.request_id)""")

@@ -81,3 +81,15 @@ def q_visibility_counts(t):
 def q_check_changes(t):
     """verdict of every proposed write under the table policies."""
     return V.check_changes(t.proposed_changes())
+
+
+@query("canonical_lines_visible")
+def q_canonical_lines_visible(t):
+    """D4 with F2: the placement call runs with the caller's rights, so it
+    re-prices against the catalogue a signed-in shopper may read at AT
+    (products of vendors with a live subscription)."""
+    cat = V.visible_products(L.normalize_products(t.products()), _state(t),
+                             V.Viewer("authenticated", "u1"), AT)
+    it = O.intake(t.order_requests(), cat)
+    return it.lines.select("request_id", "product_id", "vendor", "name", "price",
+                           F.col("qty").cast("bigint").alias("qty"))
