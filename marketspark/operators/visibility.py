@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LIVE = ("trial", "active")
+ALL_KEY = "\u0000all"   # reserved group key: cannot be a user id
 
 
 @dataclass(frozen=True)
@@ -128,7 +129,8 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
     authd = F.col("role") != "anon"
     live_sub = F.col("status").isin(*LIVE) & (F.col("access_ends_at") > a)
 
-    # table totals: scalar subqueries (one small job each), no join with viewers
+    # whole-table totals for admins: scalar subqueries over the cheap inputs;
+    # the order totals ride along in the per-user counts below
     v = viewers.select("viewer_id", "role", "user_id", "vendor_id").select(
         "*",
         _total(vendors).alias("t_vendors"),
@@ -136,8 +138,6 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
         _total(products).alias("t_products"),
         _total(products.join(live_ids.withColumnRenamed("vendor_id", "vendor"), "vendor", "left_semi"))
          .alias("t_live_products"),
-        _total(orders).alias("t_orders"),
-        _total(vendor_orders).alias("t_vendor_orders"),
         _total(promotions).alias("t_promotions"),
         _total(promotions, promotion_live(at)).alias("t_live_promotions"),
         _total(subscriptions).alias("t_subs"),
@@ -153,14 +153,22 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
                 .groupBy("vendor_id").agg(F.count(F.when(~F.col("_is_live"), 1)).alias("_own_dead_subs")))
     own_pay = payments.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("_own_payments"))
     vo_vendor = vendor_orders.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("_vo_vendor"))
-    by_user = orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("_o_user"))
-    vo_user = vendor_orders.groupBy("user_id").agg(F.count(F.lit(1)).alias("_vo_user"))
+    # every order counts for its user and for the reserved ALL key, so the
+    # admin total is one more group of the same aggregate (pre-combined
+    # map-side) and admins join on it by a computed key: no cross join
+    def by_user_and_all(df: DataFrame, name: str) -> DataFrame:
+        keys = df.select(F.explode(F.array(F.col("user_id"), F.lit(ALL_KEY))).alias("_uk"))
+        return keys.groupBy("_uk").agg(F.count(F.lit(1)).alias(name))
+    by_user = by_user_and_all(orders, "_o_user")
+    vo_user = by_user_and_all(vendor_orders, "_vo_user")
     vo_both = vendor_orders.groupBy("user_id", "vendor_id").agg(F.count(F.lit(1)).alias("_vo_both"))
 
     v = (v.join(own_vendor, "vendor_id", "left").join(own_products, "vendor_id", "left")
           .join(own_subs, "vendor_id", "left").join(own_pay, "vendor_id", "left")
-          .join(vo_vendor, "vendor_id", "left").join(by_user, "user_id", "left")
-          .join(vo_user, "user_id", "left").join(vo_both, ["user_id", "vendor_id"], "left"))
+          .join(vo_vendor, "vendor_id", "left")
+          .withColumn("_uk", F.when(is_admin, F.lit(ALL_KEY)).otherwise(F.col("user_id")))
+          .join(by_user, "_uk", "left").join(vo_user, "_uk", "left")
+          .join(vo_both, ["user_id", "vendor_id"], "left"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     own_not_live = F.col("_own_exists").isNotNull() & F.col("_own_live").isNull()
     is_vendor = F.col("role") == "vendor"
@@ -171,8 +179,8 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
         F.when(is_admin, F.col("t_products"))
          .otherwise(F.col("t_live_products") + F.when(own_not_live, z("_own_products")).otherwise(0))
          .cast("bigint").alias("n_products"),
-        F.when(~authd, 0).when(is_admin, F.col("t_orders")).otherwise(z("_o_user")).cast("bigint").alias("n_orders"),
-        F.when(~authd, 0).when(is_admin, F.col("t_vendor_orders"))
+        F.when(~authd, 0).otherwise(z("_o_user")).cast("bigint").alias("n_orders"),
+        F.when(~authd, 0).when(is_admin, z("_vo_user"))
          .when(is_vendor, z("_vo_user") + z("_vo_vendor") - z("_vo_both"))
          .otherwise(z("_vo_user")).cast("bigint").alias("n_vendor_orders"),
         F.when(is_admin, F.col("t_promotions")).otherwise(F.col("t_live_promotions")).cast("bigint")

@@ -73,8 +73,11 @@ def q_visible_payments(t):
 def q_visibility_counts(t):
     """F8: rows every viewer may read in every table, at AT."""
     it = O.intake(t.order_requests(), L.normalize_products(t.products()))
+    c = H.classify_events(t.subscription_events())
+    periods = H.renewal_periods(c)
     return V.visibility_counts(t.viewers(), L.normalize_vendors(t.vendors()), L.normalize_products(t.products()),
-                               it.orders(), it.vendor_orders(), t.promotions(), _state(t), _payments(t), AT)
+                               it.orders(), it.vendor_orders(), t.promotions(), H.subscription_state(c, periods),
+                               periods.filter(F.col("kind") == "pay"), AT)
 
 
 @query("check_changes")
