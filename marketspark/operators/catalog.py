@@ -78,47 +78,55 @@ def filter_in_stock(products: DataFrame, only: bool = True) -> DataFrame:
     return products.filter(F.coalesce(F.col("in_stock"), F.lit(False))) if only else products
 
 
-def sort_key(mode: Column) -> Column:
-    """B5 sort key (ascending); ties fall to catalogue position."""
+def sort_key(mode: Column, page: Column | None = None) -> Column:
+    """B5 sort key (ascending); ties fall to catalogue position.
+
+    Vendor pages: price-asc, price-desc, popular (review count desc),
+    rating (desc; table rows carry no rating, so 5), anything else keeps
+    catalogue order. The store page sorts by popularity for anything that
+    is not a price sort."""
+    page = page if page is not None else F.lit("vendor")
     price = F.col("price").cast("decimal(20,2)")
     pop = F.coalesce(F.col("review_count"), F.lit(0)).cast("decimal(20,2)")
     return (F.when(mode == "price-asc", price)
              .when(mode == "price-desc", -price)
-             .when(mode == "popular", -pop)
+             .when((mode == "popular") | (page == "store"), -pop)
+             .when(mode == "rating", F.lit(-5).cast("decimal(20,2)"))
              .otherwise(F.lit(0).cast("decimal(20,2)")))
 
 
-def sort_products(products: DataFrame, mode: str, group: str = "vendor") -> DataFrame:
-    """Rank each vendor's products by mode (price-asc, price-desc,
-    popular, anything else = catalogue order). Skew-safe ranking."""
-    df = products.withColumn("_key", sort_key(F.lit(mode)))
+def sort_products(products: DataFrame, mode: str, group: str = "vendor", page: str = "vendor") -> DataFrame:
+    """Rank each vendor's products by mode. Skew-safe ranking."""
+    df = products.withColumn("_key", sort_key(F.lit(mode), F.lit(page)))
     return rank_within(df, [group], [F.col("_key"), F.col("pos")]).drop("_key")
 
 
 # ---- B6, B7: many browse requests at once -----------------------------------------
 
 def browse_matches(requests: DataFrame, products: DataFrame) -> DataFrame:
-    """Products matching each browse request (vendor page semantics: search
-    over name, description, category, untrimmed query)."""
+    """Products matching each browse request. `page` is 'store' (search over
+    name and category with the query trimmed, no stock filter) or a vendor
+    page (name, description and category, query untrimmed, optional
+    in-stock filter)."""
     r = requests.select("request_id", F.col("vendor").alias("_rv"), "q", "categories", "max_price",
-                        "in_stock_only", "sort")
+                        "in_stock_only", "sort", "page")
     p = products.select("id", "vendor", "name", "description", "category", "price", "in_stock",
                         "review_count", "pos")
     j = p.join(r, p["vendor"] == r["_rv"], "inner")
-    q = F.lower(F.coalesce(F.col("q"), F.lit("")))
-    hit = (F.coalesce(F.contains(F.lower("name"), q), F.lit(False))
-           | F.coalesce(F.contains(F.lower("description"), q), F.lit(False))
-           | F.coalesce(F.contains(F.lower("category"), q), F.lit(False)))
+    store = F.col("page") == "store"
+    raw_q = F.coalesce(F.col("q"), F.lit(""))
+    q = F.lower(F.when(store, F.trim(raw_q)).otherwise(raw_q))
+    has = lambda c: F.coalesce(F.contains(F.lower(c), q), F.lit(False))
+    hit = has("name") | has("category") | (~store & has("description"))
     cats_ok = (F.coalesce(F.array_size("categories"), F.lit(0)) == 0) | F.array_contains("categories", F.col("category"))
-    keep = (((q == "") | hit) & F.coalesce(cats_ok, F.lit(False))
-            & (F.col("price") <= F.col("max_price"))
-            & (~F.coalesce(F.col("in_stock_only"), F.lit(False)) | F.coalesce(F.col("in_stock"), F.lit(False))))
+    stock_ok = store | ~F.coalesce(F.col("in_stock_only"), F.lit(False)) | F.coalesce(F.col("in_stock"), F.lit(False))
+    keep = ((q == "") | hit) & F.coalesce(cats_ok, F.lit(False)) & (F.col("price") <= F.col("max_price")) & stock_ok
     return j.filter(keep).drop("_rv")
 
 
 def browse_many(requests: DataFrame, products: DataFrame) -> DataFrame:
     """Ranked results of every browse request."""
-    m = browse_matches(requests, products).withColumn("_key", sort_key(F.col("sort")))
+    m = browse_matches(requests, products).withColumn("_key", sort_key(F.col("sort"), F.col("page")))
     return rank_within(m, ["request_id"], [F.col("_key"), F.col("pos"), F.col("id")]).drop("_key")
 
 

@@ -9,24 +9,27 @@ SELECT 'b' || c_custkey AS request_id, 'v' || (c_custkey % (SELECT count(*) FROM
        CASE WHEN c_custkey % 3 = 0 THEN ['ECONOMY', 'PROMO'] ELSE CAST([] AS VARCHAR[]) END AS categories,
        CAST(900 + c_custkey % 100 AS DECIMAL(18,2)) AS max_price,
        c_custkey % 2 = 0 AS in_stock_only,
-       CASE c_custkey % 4 WHEN 0 THEN 'price-asc' WHEN 1 THEN 'price-desc' WHEN 2 THEN 'popular'
-            ELSE 'default' END AS sort
+       CASE c_custkey % 5 WHEN 0 THEN 'price-asc' WHEN 1 THEN 'price-desc' WHEN 2 THEN 'popular'
+            WHEN 3 THEN 'rating' ELSE 'default' END AS sort,
+       CASE WHEN c_custkey % 3 = 1 THEN 'store' ELSE 'vendor' END AS page
 FROM customer"""
 
 ADAPTERS["b_match"] = """
-SELECT r.request_id, p.id, p.pos, p.price, p.review_count, r.sort
-FROM mk_browse r JOIN np p ON p.vendor = r.vendor
-WHERE (lower(r.q) = '' OR coalesce(contains(lower(p.name), lower(r.q)), false)
-       OR coalesce(contains(lower(p.description), lower(r.q)), false)
-       OR coalesce(contains(lower(p.category), lower(r.q)), false))
+SELECT r.request_id, p.id, p.pos, p.price, p.review_count, r.sort, r.page
+FROM (SELECT *, lower(CASE WHEN page = 'store' THEN trim(q) ELSE q END) AS qq FROM mk_browse) r
+JOIN np p ON p.vendor = r.vendor
+WHERE (r.qq = '' OR coalesce(contains(lower(p.name), r.qq), false)
+       OR coalesce(contains(lower(p.category), r.qq), false)
+       OR (r.page <> 'store' AND coalesce(contains(lower(p.description), r.qq), false)))
   AND (len(r.categories) = 0 OR list_contains(r.categories, p.category))
   AND p.price <= r.max_price
-  AND (NOT r.in_stock_only OR coalesce(p.in_stock, false))"""
+  AND (r.page = 'store' OR NOT r.in_stock_only OR coalesce(p.in_stock, false))"""
 
-SORT_KEY = """CASE {m} WHEN 'price-asc' THEN CAST(price AS DECIMAL(20,2))
-                       WHEN 'price-desc' THEN -CAST(price AS DECIMAL(20,2))
-                       WHEN 'popular' THEN -CAST(coalesce(review_count, 0) AS DECIMAL(20,2))
-                       ELSE CAST(0 AS DECIMAL(20,2)) END"""
+SORT_KEY = """CASE WHEN {m} = 'price-asc' THEN CAST(price AS DECIMAL(20,2))
+                   WHEN {m} = 'price-desc' THEN -CAST(price AS DECIMAL(20,2))
+                   WHEN {m} = 'popular' OR {p} = 'store' THEN -CAST(coalesce(review_count, 0) AS DECIMAL(20,2))
+                   WHEN {m} = 'rating' THEN CAST(-5 AS DECIMAL(20,2))
+                   ELSE CAST(0 AS DECIMAL(20,2)) END"""
 
 oracle("load_vendors", """
 SELECT id, name, pos, rating, review_count, array_to_string(categories, '|') AS categories, page, whatsapp FROM nv""")
@@ -59,7 +62,7 @@ oracle("filter_max_price", "SELECT id, price FROM np WHERE price <= 950")
 oracle("filter_in_stock", "SELECT id FROM np WHERE coalesce(in_stock, false)")
 
 oracle("sort_products", f"""
-SELECT vendor, id, row_number() OVER (PARTITION BY vendor ORDER BY {SORT_KEY.format(m="'popular'")}, pos) AS rank
+SELECT vendor, id, row_number() OVER (PARTITION BY vendor ORDER BY {SORT_KEY.format(m="'popular'", p="'vendor'")}, pos) AS rank
 FROM np""")
 
 oracle("browse_counts", """
@@ -67,7 +70,7 @@ SELECT r.request_id, (SELECT count(*) FROM b_match m WHERE m.request_id = r.requ
 FROM mk_browse r""")
 
 oracle("browse_many", f"""
-SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY {SORT_KEY.format(m="sort")}, pos, id) AS rank
+SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY {SORT_KEY.format(m="sort", p="page")}, pos, id) AS rank
 FROM b_match""")
 
 oracle("featured_products", """

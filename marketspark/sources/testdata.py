@@ -269,8 +269,9 @@ class TestTables:
                    CASE WHEN c_custkey % 3 = 0 THEN array('ECONOMY', 'PROMO') ELSE array() END AS categories,
                    CAST(900 + c_custkey % 100 AS DECIMAL(18,2)) AS max_price,
                    c_custkey % 2 = 0 AS in_stock_only,
-                   CASE c_custkey % 4 WHEN 0 THEN 'price-asc' WHEN 1 THEN 'price-desc'
-                        WHEN 2 THEN 'popular' ELSE 'default' END AS sort
+                   CASE c_custkey % 5 WHEN 0 THEN 'price-asc' WHEN 1 THEN 'price-desc'
+                        WHEN 2 THEN 'popular' WHEN 3 THEN 'rating' ELSE 'default' END AS sort,
+                   CASE WHEN c_custkey % 3 = 1 THEN 'store' ELSE 'vendor' END AS page
             FROM {c}""", c="customer", s="supplier")
 
     def status_changes(self) -> DataFrame:
