@@ -168,6 +168,3 @@ def status_label(x) -> Column:
     m = F.create_map(*[F.lit(v) for kv in STATUS_LABELS.items() for v in kv])
     return F.coalesce(F.try_element_at(m, _c(x)), html_escape(_c(x)))
 
-
-def money(x) -> Column:
-    return _c(x).cast("decimal(18,2)")

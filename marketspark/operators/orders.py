@@ -167,10 +167,6 @@ def order_id(request_id: Column, at: Column) -> Column:
                     F.upper(F.substring(F.sha2(request_id, 256), 1, 10)))
 
 
-def _item_struct() -> Column:
-    return F.struct("product_id", "vendor", "name", "price", "image", "size", "qty")
-
-
 def _items_json(arr: Column) -> Column:
     renamed = F.transform(arr, lambda x: F.struct(
         x["product_id"].alias("id"), x["vendor"].alias("vendor"), x["name"].alias("name"),

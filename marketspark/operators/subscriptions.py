@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .. import session as _session  # noqa: F401
 from .ranking import extend_scan, rank_within, top_k_per_group
 
 # ---- fixed values: plans, prices (naira), lengths (days) -------------------

@@ -1,7 +1,7 @@
 """Oracle SQL for the column expressions."""
 
 from .o_orders import naira
-from .sql_fixed import BANNER_IMG, BANNER_SUB, INQUIRY, NEW_ORDER, QL, QS, STORE  # noqa: F401
+from .sql_fixed import QL, QS
 from .oracle import oracle
 
 ESC = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"

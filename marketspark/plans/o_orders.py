@@ -1,6 +1,6 @@
 """Oracle SQL for order intake."""
 
-from .sql_fixed import BANNER_IMG, BANNER_SUB, INQUIRY, NEW_ORDER, QL, QS, STORE  # noqa: F401
+from .sql_fixed import INQUIRY, NEW_ORDER, STORE
 from .oracle import ADAPTERS, oracle
 
 # naira in DuckDB: grouped, up to 3 decimals, trailing zeros dropped

@@ -1,6 +1,6 @@
 """Oracle SQL for promotions."""
 
-from .sql_fixed import BANNER_IMG, BANNER_SUB, INQUIRY, NEW_ORDER, QL, QS, STORE  # noqa: F401
+from .sql_fixed import BANNER_IMG, BANNER_SUB
 from .oracle import ADAPTERS, oracle
 
 AT = "TIMESTAMP '2024-01-15 12:00:00'"

@@ -1,6 +1,6 @@
 """Oracle SQL for order tracking."""
 
-from .sql_fixed import BANNER_IMG, BANNER_SUB, INQUIRY, NEW_ORDER, QL, QS, STORE  # noqa: F401
+from .sql_fixed import STORE
 from .oracle import ADAPTERS, oracle
 
 ADAPTERS["mk_status"] = """
