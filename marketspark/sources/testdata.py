@@ -14,11 +14,13 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import default_parallelism
+
 SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
 # tables whose rows drive per-row work (small dimension tables stay as read)
 LARGE_TABLES = ("orders", "lineitem", "events", "customer", "part")
-MIN_SPLIT_ROWS = True
+SPREAD_SMALL_FILES = True
 
 
 class TestTables:
@@ -39,9 +41,14 @@ class TestTables:
         layout only - at scale the files already give the splits)."""
         if name not in self._cache:
             df = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
-            cores = self.spark.sparkContext.defaultParallelism
-            if MIN_SPLIT_ROWS and df.rdd.getNumPartitions() < cores and name in LARGE_TABLES:
-                df = df.repartition(cores)
+            cores = default_parallelism(self.spark)
+            if SPREAD_SMALL_FILES and cores and name in LARGE_TABLES:
+                try:
+                    splits = df.rdd.getNumPartitions()
+                except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect)
+                    splits = cores
+                if splits < cores:
+                    df = df.repartition(cores)
             self._cache[name] = df
         return self._cache[name]
 
