@@ -30,7 +30,7 @@ def q_stream_cart_state(t):
     stream, _ = M.replay_table(t.cart_events(), "cart", "ts", N_BATCHES)
     sink = M.run_to_sink(t.spark, M.stream_cart_state(stream), "cart", "update")
     return (M.read_latest(t.spark, sink, ["user_id"], M.CART_OUT)
-             .filter(F.col("product_id").isNotNull())
+             .filter(F.col("row_kind") == "line")
              .select("user_id", "product_id", "qty", "added_at", "added_seq", "name", "price"))
 
 
@@ -39,7 +39,7 @@ def q_stream_subscriptions(t):
     """M3: subscription rows from the event stream (twin: subscription_state)."""
     stream, _ = M.replay_table(t.subscription_events(), "subs", "ts", N_BATCHES)
     sink = M.run_to_sink(t.spark, M.stream_subscriptions(stream), "subs", "update")
-    return M.read_latest(t.spark, sink, ["vendor_id"], M.SUB_OUT)
+    return M.read_latest(t.spark, sink, ["vendor_id"], M.SUB_OUT).drop("n_late")
 
 
 @query("stream_status")

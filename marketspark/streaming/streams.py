@@ -119,18 +119,33 @@ def intake_batch(products: DataFrame) -> Callable[[DataFrame], DataFrame]:
 # ---- M2: cart state ----------------------------------------------------------
 
 CART_OUT = ("user_id string, product_id string, qty int, added_at timestamp_ntz, added_seq long, "
-            "name string, price decimal(18,2), original_price decimal(18,2), vendor string")
-CART_STATE = "lines string"
+            "name string, price decimal(18,2), original_price decimal(18,2), vendor string, row_kind string")
+CART_STATE = "cart string"
+
+
+def _order_key(ts, seq) -> list:
+    return [int(pd.Timestamp(ts).value), int(seq)]
 
 
 def _cart_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Apply one user's events of this micro-batch, in (ts, seq) order, to
-    the cart kept in state (product -> line). Emits the whole cart, plus
-    one empty marker row so that an emptied cart replaces the old one."""
+    the cart kept in state (product -> line, plus the last applied event).
+
+    Emits the whole cart (row_kind 'line'), one 'marker' row so that an
+    emptied cart replaces the old one, and every event that arrives after
+    a later event was already applied as a 'late' row: it is set aside,
+    not folded in out of order."""
     user = key[0]
-    lines: dict = json.loads(state.get[0]) if state.exists else {}
+    st = json.loads(state.get[0]) if state.exists else {"lines": {}, "last": None}
+    lines, last = st["lines"], st["last"]
     ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+    late = []
     for r in ev.itertuples(index=False):
+        k = _order_key(r.ts, r.seq)
+        if last is not None and k <= last:
+            late.append(r)
+            continue
+        last = k
         p, kind, q = r.product_id, r.kind, int(r.qty) if pd.notna(r.qty) else 0
         if kind == "clear":
             lines = {}
@@ -149,14 +164,17 @@ def _cart_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
                             "price": None if snap.get("price") is None else str(snap.get("price")),
                             "original": None if snap.get("original_price") is None else str(snap.get("original_price")),
                             "vendor": snap.get("vendor")}
-    state.update((json.dumps(lines),))
+    state.update((json.dumps({"lines": lines, "last": last}),))
+    empty = {"qty": None, "added_at": None, "added_seq": None, "name": None, "price": None,
+             "original_price": None, "vendor": None}
     rows = [{"user_id": user, "product_id": p, "qty": v["qty"], "added_at": pd.Timestamp(v["ts"]),
              "added_seq": v["seq"], "name": v["name"],
              "price": None if v["price"] is None else decimal.Decimal(v["price"]),
              "original_price": None if v["original"] is None else decimal.Decimal(v["original"]),
-             "vendor": v["vendor"]} for p, v in lines.items()]
-    rows.append({"user_id": user, "product_id": None, "qty": None, "added_at": None, "added_seq": None,
-                 "name": None, "price": None, "original_price": None, "vendor": None})
+             "vendor": v["vendor"], "row_kind": "line"} for p, v in lines.items()]
+    rows.append({"user_id": user, "product_id": None, **empty, "row_kind": "marker"})
+    rows += [{"user_id": user, "product_id": r.product_id, **empty, "qty": None if pd.isna(r.qty) else int(r.qty),
+              "added_at": pd.Timestamp(r.ts), "added_seq": int(r.seq), "row_kind": "late"} for r in late]
     yield pd.DataFrame(rows)
 
 
@@ -172,18 +190,25 @@ def stream_cart_state(events: DataFrame) -> DataFrame:
 
 SUB_OUT = ("vendor_id string, plan string, status string, access_started_at timestamp_ntz, "
            "current_period_start timestamp_ntz, access_ends_at timestamp_ntz, last_payment_at timestamp_ntz, "
-           "updated_at timestamp_ntz, n_payments long")
+           "updated_at timestamp_ntz, n_payments long, n_late long")
 SUB_STATE = "ledger string"
 _DAY = pd.Timedelta(days=1)
 
 
 def _ledger_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Apply one vendor's subscription events in (ts, seq) order, exactly as
-    the payment / management calls do, keeping the row in state."""
-    s = json.loads(state.get[0]) if state.exists else None
+    the payment / management calls do, keeping the row in state. An event
+    older than the last applied one is counted as late and not applied."""
+    st = json.loads(state.get[0]) if state.exists else {"row": None, "last": None, "late": 0}
+    s, last, n_late = st["row"], st["last"], st["late"]
     ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
     T = pd.Timestamp
     for r in ev.itertuples(index=False):
+        k = _order_key(r.ts, r.seq)
+        if last is not None and k <= last:
+            n_late += 1
+            continue
+        last = k
         ts = T(r.ts)
         if r.kind == "trial":
             if s is None:
@@ -217,14 +242,14 @@ def _ledger_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
         else:
             continue
         s["updated"] = ts.isoformat()
+    state.update((json.dumps({"row": s, "last": last, "late": n_late}),))
     if s is None:
         return
-    state.update((json.dumps(s),))
     yield pd.DataFrame([{"vendor_id": key[0], "plan": s["plan"], "status": s["status"],
                          "access_started_at": T(s["started"]), "current_period_start": T(s["cps"]),
                          "access_ends_at": T(s["end"]),
                          "last_payment_at": None if s["last_pay"] is None else T(s["last_pay"]),
-                         "updated_at": T(s["updated"]), "n_payments": s["n_pay"]}])
+                         "updated_at": T(s["updated"]), "n_payments": s["n_pay"], "n_late": n_late}])
 
 
 def stream_subscriptions(events: DataFrame) -> DataFrame:

@@ -34,3 +34,30 @@ def test_stream_status_equals_batch_latest(spark, entry):
             .select(F.col("order_id").alias("order_key"), "vendor_id", "status", "status_note",
                     F.col("updated_at").alias("ts")))
     assert rows_of(s.select(*b.columns)) == rows_of(b)
+
+
+def test_late_events_are_set_aside_not_applied():
+    """A cart event older than one already applied is emitted as 'late'."""
+    import datetime as dt
+    import pandas as pd
+    from marketspark.streaming.streams import _cart_fold
+
+    class S:
+        exists, get = False, None
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+    t0 = dt.datetime(2024, 1, 1)
+    snap = {"name": "n", "price": 1, "original_price": None, "vendor": "v"}
+    b1 = pd.DataFrame([("u", 2, t0 + dt.timedelta(minutes=2), "add", "p1", 2, snap)],
+                      columns=["user_id", "seq", "ts", "kind", "product_id", "qty", "snap"])
+    b2 = pd.DataFrame([("u", 1, t0 + dt.timedelta(minutes=1), "clear", None, None, None),
+                       ("u", 3, t0 + dt.timedelta(minutes=3), "add", "p1", 1, snap)],
+                      columns=b1.columns)
+    st = S()
+    list(_cart_fold(("u",), iter([b1]), st))
+    out = list(_cart_fold(("u",), iter([b2]), st))[0]
+    lines = out[out.row_kind == "line"]
+    assert list(lines.qty) == [3]                         # the late clear did not empty the cart
+    assert list(out[out.row_kind == "late"].added_seq) == [1]
