@@ -37,14 +37,30 @@ PRODUCT_SCHEMA = T.StructType([
 ])
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Add the schema's missing nullable columns as typed nulls (a source
+    may omit optional columns; CSV cannot carry arrays or structs)."""
+    have = set(df.columns)
+    for f in schema.fields:
+        if f.name not in have:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return df
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType | None = None, **options) -> DataFrame:
     """Read parquet / json / csv / orc with an explicit schema (no inference
-    on the hot path). Parquet and ORC carry their own schema."""
+    on the hot path). Parquet and ORC carry their own schema; CSV gets the
+    atomic fields only (with a header by default)."""
     r = spark.read.format(fmt).options(**options)
-    if schema is not None and fmt in ("json", "csv"):
+    if schema is not None and fmt == "json":
         r = r.schema(schema)
-    return r.load(path)
+    elif schema is not None and fmt == "csv":
+        atomic = T.StructType([f for f in schema.fields
+                               if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))])
+        r = r.schema(atomic).option("header", options.get("header", "true"))
+    df = r.load(path)
+    return conform(df, schema) if schema is not None else df
 
 
 def load_vendors(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
