@@ -31,7 +31,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators import orders as O
 from ..operators import promotions as G
 from ..operators import subscriptions as H
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 
 # ---- replay and sink helpers ------------------------------------------------
 
@@ -181,6 +181,7 @@ def _cart_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
 def stream_cart_state(events: DataFrame) -> DataFrame:
     """M2: cart per user with applyInPandasWithState (state = the user's
     lines; bounded by the distinct products in one cart)."""
+    ship_package(events.sparkSession)
     return (events.groupBy("user_id")
                   .applyInPandasWithState(_cart_fold, CART_OUT, CART_STATE, "update",
                                           GroupStateTimeout.NoTimeout))
@@ -254,6 +255,7 @@ def _ledger_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
 
 def stream_subscriptions(events: DataFrame) -> DataFrame:
     """M3: subscription row per vendor, stateful per vendor."""
+    ship_package(events.sparkSession)
     return (events.groupBy("vendor_id")
                   .applyInPandasWithState(_ledger_fold, SUB_OUT, SUB_STATE, "update",
                                           GroupStateTimeout.NoTimeout))
