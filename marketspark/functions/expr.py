@@ -41,6 +41,7 @@ SAFE_URL_RE = r"(?i)^(https?://|[a-z0-9][a-z0-9._/-]*(\?[^\s]*)?$)"
 BANNER_IMAGE_FALLBACK = "images/perfume/zahra-collection-oils.jpg"
 BANNER_SUBTITLE_FALLBACK = f"Discover this promoted offer on {STORE_NAME}."
 HOME_STORES_ANCHOR = "index.html#stores-section"
+SAFE_URL_DEFAULT = "index.html"
 # ---------------------------------------------------------------------------
 
 
@@ -112,7 +113,7 @@ def html_escape(x) -> Column:
     return e
 
 
-def safe_url(x, fallback) -> Column:
+def safe_url(x, fallback=SAFE_URL_DEFAULT) -> Column:
     """K8: trimmed link if it passes the allow-list, else the fallback."""
     u = F.trim(F.coalesce(_c(x), F.lit("")))
     fb = _c(fallback) if not isinstance(fallback, str) else F.lit(fallback)

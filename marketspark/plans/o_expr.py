@@ -1,7 +1,7 @@
 """Oracle SQL for the column expressions."""
 
 from .o_orders import naira
-from .sql_fixed import QL, QS
+from .sql_fixed import QL, QS, SAFE_DEFAULT
 from .oracle import oracle
 
 ESC = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
@@ -49,7 +49,7 @@ SELECT k,
   {URI.format(x="text")} AS uri,
   {ESC.format(x="text")} AS html,
   CASE WHEN trim(link) <> '' AND regexp_matches(trim(link), '^(https?://|[a-z0-9][a-z0-9._/-]*(\\?[^\\s]*)?$)', 'i')
-       THEN trim(link) ELSE 'index.html' END AS safe_url,
+       THEN trim(link) ELSE {SAFE_DEFAULT} END AS safe_url,
   regexp_replace(lower(badge), '^([^ ]*) ', '\\1-') AS badge_slug,
   coalesce(nullif(nullif(trim(display), ''), ''), nullif(name, ''), split_part(email, '@', 1)) AS display_name,
   split_part(name, ' ', 1) AS first_name,

@@ -1,6 +1,6 @@
 """Oracle SQL for promotions."""
 
-from .sql_fixed import BANNER_IMG, BANNER_SUB
+from .sql_fixed import BANNER_IMG, BANNER_SUB, HOME_ANCHOR
 from .oracle import ADAPTERS, oracle
 
 AT = "TIMESTAMP '2024-01-15 12:00:00'"
@@ -49,7 +49,7 @@ WITH b AS (
 l AS (
   SELECT *, coalesce(nullif(vpage, ''),
                      CASE WHEN vendor_id IS NOT NULL AND vendor_id <> '' THEN 'store.html?vendor=' || vendor_id END,
-                     'index.html#stores-section') AS fb,
+                     {HOME_ANCHOR}) AS fb,
             trim(coalesce(link_url, '')) AS lu, trim(coalesce(image_url, '')) AS iu
   FROM b),
 m AS (

@@ -42,7 +42,7 @@ def q_k_expressions(t):
         K.wa_digits(F.col("phone")).alias("wa_digits"),
         K.uri_component(F.col("text")).alias("uri"),
         K.html_escape(F.col("text")).alias("html"),
-        K.safe_url(F.col("link"), "index.html").alias("safe_url"),
+        K.safe_url(F.col("link")).alias("safe_url"),
         K.badge_slug(F.col("badge")).alias("badge_slug"),
         K.display_name(K.blank_to_null(F.col("display")), F.col("name"), F.col("email")).alias("display_name"),
         K.first_name(F.col("name")).alias("first_name"),

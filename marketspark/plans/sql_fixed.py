@@ -14,3 +14,5 @@ BANNER_IMG = lit(K.BANNER_IMAGE_FALLBACK)
 BANNER_SUB = lit(K.BANNER_SUBTITLE_FALLBACK)
 QS = lit(K.QUIZ_STRONG)
 QL = lit(K.QUIZ_LIGHT)
+HOME_ANCHOR = lit(K.HOME_STORES_ANCHOR)
+SAFE_DEFAULT = lit(K.SAFE_URL_DEFAULT)
