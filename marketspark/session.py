@@ -11,7 +11,8 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "marketspark") -> SparkSession:
-    """Build (or reuse) a session: AQE on, UTC, ANSI, UI off.
+    """Build (or reuse) a session: AQE on (with skew-join splitting and
+    broadcasts decided only on measured sizes), UTC, ANSI, UI off.
 
     On a cluster pass master=None and let spark-submit decide; the
     shuffle partition count then comes from the cluster config.
@@ -26,6 +27,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
           .config("spark.sql.adaptive.enabled", "true")
           .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
           .config("spark.sql.adaptive.skewJoin.enabled", "true")
+          # broadcast only what AQE has measured: no plan-time broadcasts from
+          # size estimates (a compressed file can be far larger in memory)
+          .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+          .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
