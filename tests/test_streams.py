@@ -61,3 +61,27 @@ def test_late_events_are_set_aside_not_applied():
     lines = out[out.row_kind == "line"]
     assert list(lines.qty) == [3]                         # the late clear did not empty the cart
     assert list(out[out.row_kind == "late"].added_seq) == [1]
+
+
+def test_intake_stream_drops_repeated_requests(spark):
+    """A request that arrives twice (a retried call) within the watermark is
+    placed once."""
+    import datetime as dt
+    from decimal import Decimal
+    from marketspark.streaming import streams as M
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("r1", "u1", t0, "Ada", "0801", None, "St", '[{"id":"p1","qty":1}]'),
+            ("r2", "u2", t0 + dt.timedelta(days=2), "Bo", "0802", None, "St", '[{"id":"p1","qty":2}]'),
+            ("r1", "u1", t0 + dt.timedelta(days=3), "Ada", "0801", None, "St", '[{"id":"p1","qty":1}]'),
+            ("r3", "u3", t0 + dt.timedelta(days=4), "Cy", "0803", None, "St", '[{"id":"p1","qty":3}]')]
+    reqs = spark.createDataFrame(rows, "request_id string, user_id string, requested_at timestamp_ntz, "
+                                       "customer_name string, customer_phone string, customer_email string, "
+                                       "customer_address string, items string")
+    products = spark.createDataFrame([("p1", "v1", "Soap", Decimal("10.00"), True, None, None)],
+                                     "id string, vendor string, name string, price decimal(18,2), "
+                                     "in_stock boolean, image string, size string")
+    stream, _ = M.replay_table(reqs, "dup", "requested_at", n_batches=2)
+    sink = M.run_to_sink(spark, M.stream_order_intake(stream, products), "dup", "append", M.intake_batch(products))
+    got = sorted((r["request_id"], r["subtotal"]) for r in M.read_all(spark, sink, "id string").collect())
+    assert got == [("r1", Decimal("10.00")), ("r2", Decimal("20.00")), ("r3", Decimal("30.00"))]
