@@ -162,17 +162,80 @@ GROUP BY h.order_id, l.vendor, h.request_id, h.user_id, h.customer_name, h.custo
          h.customer_address, h.requested_at"""
 
 
-def with_adapters(body: str) -> str:
-    ctes = ",\n".join(f"{k} AS ({v})" for k, v in ADAPTERS.items())
-    body = body.strip()
-    if body.upper().startswith("WITH RECURSIVE"):
-        body = body[len("WITH RECURSIVE"):].strip()
-    elif body.upper().startswith("WITH "):
-        body = body[5:].strip()
+# Decimal result columns per query: cast to DOUBLE at the result boundary,
+# as the Spark side does (plans.queries.money_out). tests/test_oracle.py
+# checks that no DECIMAL column is left.
+DECIMAL_OUT: dict[str, list[str]] = {
+    "build_orders": ["total"], "canonical_lines": ["price"], "canonical_lines_visible": ["price"],
+    "cart_by_vendor": ["total"], "cart_savings": ["savings"], "cart_state": ["price"],
+    "cart_totals": ["total"], "filter_max_price": ["price"], "intake_report": ["value"],
+    "launch_cap": ["amount"], "load_products": ["price", "original_price"], "load_vendors": ["rating"],
+    "merge_products": ["price"], "merge_vendors": ["rating"], "my_orders": ["lines_total"],
+    "order_totals": ["total"], "payment_history": ["amount"], "plan_pricing": ["revenue"],
+    "product_detail": ["vendor_rating", "price", "original_price", "savings"],
+    "reconcile_orders": ["total", "sum_subtotals"], "renewal_periods": ["amount"],
+    "split_by_vendor": ["subtotal"],
+}
+
+
+def split_with(body: str) -> tuple[list[str], str]:
+    """'WITH [RECURSIVE] a AS (...), b AS (...) SELECT ...' ->
+    (['a AS (...)', 'b AS (...)'], 'SELECT ...'). Tracks parentheses and
+    single-quoted strings only (enough for the SQL in this package)."""
+    s = body.strip()
+    up = s.upper()
+    if up.startswith("WITH RECURSIVE"):
+        s = s[len("WITH RECURSIVE"):]
+    elif up.startswith("WITH "):
+        s = s[4:]
     else:
-        return f"WITH RECURSIVE {ctes}\n{body}"
-    # one WITH RECURSIVE list: adapters first, then the query's own CTEs
-    return f"WITH RECURSIVE {ctes},\n{body}"
+        return [], s
+    ctes, i, n = [], 0, len(s)
+    while True:
+        while i < n and s[i].isspace():
+            i += 1
+        if s[i:i + 6].upper() == "SELECT":      # "WITH RECURSIVE" with no own CTEs
+            return ctes, s[i:].strip()
+        k = s.index("(", i)
+        depth, in_str = 0, False
+        while k < n:
+            c = s[k]
+            if in_str:
+                if c == "'":
+                    if k + 1 < n and s[k + 1] == "'":
+                        k += 1
+                    else:
+                        in_str = False
+            elif c == "'":
+                in_str = True
+            elif c == "(":
+                depth += 1
+            elif c == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        ctes.append(s[i:k + 1].strip())
+        i = k + 1
+        while i < n and s[i].isspace():
+            i += 1
+        if i < n and s[i] == ",":
+            i += 1
+            continue
+        return ctes, s[i:].strip()
+
+
+def with_adapters(body: str, key: str | None = None) -> str:
+    """One WITH RECURSIVE list: adapters, the query's own CTEs, then the
+    final SELECT (wrapped to cast decimal result columns to DOUBLE)."""
+    own, final = split_with(body)
+    ctes = [f"{k} AS ({v})" for k, v in ADAPTERS.items()] + own
+    cols = DECIMAL_OUT.get(key or "")
+    if cols:
+        ctes.append(f"__out AS ({final})")
+        final = ("SELECT * REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+                 + ") FROM __out")
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + final
 
 
 ORACLE: dict[str, str] = {}
@@ -191,4 +254,4 @@ def all_oracles() -> dict[str, str]:
         except ModuleNotFoundError as e:
             if not e.name.endswith(m):
                 raise
-    return {k: with_adapters(v) for k, v in ORACLE.items()}
+    return {k: with_adapters(v, k) for k, v in ORACLE.items()}

@@ -10,16 +10,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.testdata import TestTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def money_out(df: DataFrame) -> DataFrame:
+    """Result boundary: decimal columns leave as doubles (all arithmetic
+    above stays decimal). A 2-place amount converts to the same double in
+    every engine, and doubles compare the same whether results are read as
+    Python objects or as pandas frames."""
+    if not any(isinstance(f.dataType, T.DecimalType) for f in df.schema.fields):
+        return df
+    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
+                       else F.col(f.name) for f in df.schema.fields])
+
+
 def query(name: str):
     def deco(fn: Callable[[TestTables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(TestTables(spark, sf_dir))
+            return money_out(fn(TestTables(spark, sf_dir)))
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -36,6 +36,8 @@ def test_query_matches_oracle(spark, entry, duck, key):
     dcols = [d[0] for d in cur.description]
     drows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
+    assert not any("DECIMAL" in str(d[1]).upper() for d in cur.description), "decimal left in oracle output"
+    assert not any(f.dataType.typeName() == "decimal" for f in sdf.schema.fields)
     assert len(srows) == len(drows)
     assert canon(sdf.columns, srows) == canon(dcols, drows)
 
