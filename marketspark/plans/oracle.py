@@ -178,6 +178,10 @@ DECIMAL_OUT: dict[str, list[str]] = {
 }
 
 
+# Date result columns per query: ISO text at the result boundary.
+DATE_OUT: dict[str, list[str]] = {"reviews_for": ["date"]}
+
+
 def split_with(body: str) -> tuple[list[str], str]:
     """'WITH [RECURSIVE] a AS (...), b AS (...) SELECT ...' ->
     (['a AS (...)', 'b AS (...)'], 'SELECT ...'). Tracks parentheses and
@@ -230,11 +234,11 @@ def with_adapters(body: str, key: str | None = None) -> str:
     final SELECT (wrapped to cast decimal result columns to DOUBLE)."""
     own, final = split_with(body)
     ctes = [f"{k} AS ({v})" for k, v in ADAPTERS.items()] + own
-    cols = DECIMAL_OUT.get(key or "")
-    if cols:
+    casts = [f"CAST({c} AS DOUBLE) AS {c}" for c in DECIMAL_OUT.get(key or "", [])]
+    casts += [f"CAST({c} AS VARCHAR) AS {c}" for c in DATE_OUT.get(key or "", [])]
+    if casts:
         ctes.append(f"__out AS ({final})")
-        final = ("SELECT * REPLACE (" + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
-                 + ") FROM __out")
+        final = "SELECT * REPLACE (" + ", ".join(casts) + ") FROM __out"
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + final
 
 

@@ -20,13 +20,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def money_out(df: DataFrame) -> DataFrame:
     """Result boundary: decimal columns leave as doubles (all arithmetic
-    above stays decimal). A 2-place amount converts to the same double in
+    above stays decimal), dates as ISO text. A 2-place amount converts to the same double in
     every engine, and doubles compare the same whether results are read as
     Python objects or as pandas frames."""
-    if not any(isinstance(f.dataType, T.DecimalType) for f in df.schema.fields):
+    def out(f):
+        if isinstance(f.dataType, T.DecimalType):
+            return F.col(f.name).cast("double").alias(f.name)
+        if isinstance(f.dataType, T.DateType):          # dates leave as ISO text
+            return F.col(f.name).cast("string").alias(f.name)
+        return F.col(f.name)
+    if not any(isinstance(f.dataType, (T.DecimalType, T.DateType)) for f in df.schema.fields):
         return df
-    return df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType)
-                       else F.col(f.name) for f in df.schema.fields])
+    return df.select(*[out(f) for f in df.schema.fields])
 
 
 def query(name: str):

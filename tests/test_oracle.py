@@ -37,7 +37,8 @@ def test_query_matches_oracle(spark, entry, duck, key):
     drows = cur.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
     assert not any("DECIMAL" in str(d[1]).upper() for d in cur.description), "decimal left in oracle output"
-    assert not any(f.dataType.typeName() == "decimal" for f in sdf.schema.fields)
+    assert not any(f.dataType.typeName() in ("decimal", "date") for f in sdf.schema.fields)
+    assert not any(str(d[1]).upper() == "DATE" for d in cur.description), "date left in oracle output"
     assert len(srows) == len(drows)
     assert canon(sdf.columns, srows) == canon(dcols, drows)
 
