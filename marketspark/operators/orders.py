@@ -218,14 +218,22 @@ class Intake:
             F.lit("pending").alias("status"), F.lit(None).cast("string").alias("status_note"),
             F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
 
+    def outcomes(self) -> DataFrame:
+        """Every request with its outcome: (request_id, reason, total).
+        reason is null for placed orders; requests that passed D1-D3 but
+        not D5 get 'unavailable'. One left join of the screened requests
+        with the accepted totals."""
+        acc = (self.lines.groupBy("request_id")
+               .agg(F.sum(F.col("price") * F.col("qty")).cast("decimal(38,2)").alias("total")))
+        j = self.screened.select("request_id", "reason").join(acc, "request_id", "left")
+        return j.select("request_id",
+                        F.when(F.col("reason").isNotNull(), F.col("reason"))
+                         .when(F.col("total").isNull(), F.lit(R_UNAVAILABLE)).alias("reason"),
+                        "total")
+
     def rejected(self) -> DataFrame:
         """Requests with their reason; D5 failures get 'unavailable'."""
-        early = self.screened.filter(F.col("reason").isNotNull()).select("request_id", "reason")
-        accepted_ids = self.lines.select("request_id").distinct()
-        late = (self.screened.filter(F.col("reason").isNull()).select("request_id")
-                .join(accepted_ids, "request_id", "left_anti")
-                .withColumn("reason", F.lit(R_UNAVAILABLE)))
-        return early.unionByName(late)
+        return self.outcomes().filter(F.col("reason").isNotNull()).select("request_id", "reason")
 
 
 def intake(requests: DataFrame, products: DataFrame) -> Intake:
@@ -326,12 +334,10 @@ def checkout_form_clean(forms: DataFrame) -> DataFrame:
 
 
 def intake_report(it: Intake) -> DataFrame:
-    """Accepted and rejected request counts by reason."""
-    acc = it.orders().groupBy().agg(F.count(F.lit(1)).alias("n_requests"),
-                                    F.sum("total").cast("decimal(38,2)").alias("value"))
-    acc = acc.select(F.lit("accepted").alias("outcome"), F.lit(None).cast("string").alias("reason"),
-                     "n_requests", "value")
-    rej = (it.rejected().groupBy("reason").agg(F.count(F.lit(1)).alias("n_requests"))
-           .select(F.lit("rejected").alias("outcome"), "reason", "n_requests",
-                   F.lit(None).cast("decimal(38,2)").alias("value")))
-    return acc.unionByName(rej)
+    """Accepted and rejected request counts by reason, with the value
+    of the accepted ones."""
+    o = it.outcomes()
+    outcome = F.when(F.col("reason").isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
+    return (o.groupBy(outcome.alias("outcome"), "reason")
+             .agg(F.count(F.lit(1)).alias("n_requests"),
+                  F.sum("total").cast("decimal(38,2)").alias("value")))
