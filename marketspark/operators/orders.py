@@ -250,13 +250,17 @@ def order_totals(it: Intake) -> DataFrame:
 
 
 def order_response(it: Intake) -> DataFrame:
-    """The JSON the placement call returns, one per order."""
+    """The JSON the placement call returns, one per order.
+
+    Built from the vendor orders grouped by request_id - the partitioning
+    they already have, so no exchange and no join back to the orders: the
+    order total is the sum of its vendor subtotals (exact in decimal)."""
     vo = it.vendor_orders()
-    parts = (vo.groupBy("order_id")
-             .agg(F.array_sort(F.collect_list(F.struct(
-                 F.col("vendor_id"), F.col("id"), F.col("items"), F.col("subtotal"), F.col("status")))).alias("_p")))
-    o = it.orders().select(F.col("id").alias("order_id"), "total")
-    j = o.join(parts, "order_id")
+    j = (vo.groupBy("request_id")
+           .agg(F.first("order_id").alias("order_id"),
+                F.sum("subtotal").cast("decimal(38,2)").alias("total"),
+                F.array_sort(F.collect_list(F.struct(
+                    F.col("vendor_id"), F.col("id"), F.col("items"), F.col("subtotal"), F.col("status")))).alias("_p")))
     vendor_orders = F.transform("_p", lambda x: F.struct(
         x["id"].alias("id"), x["vendor_id"].alias("vendorId"),
         F.from_json(x["items"], "array<struct<id:string,vendor:string,name:string,price:decimal(18,2),"
