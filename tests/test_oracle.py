@@ -46,7 +46,8 @@ def test_query_matches_oracle(spark, entry, duck, key):
 def test_every_query_has_oracle_or_is_stream(entry):
     q, o = set(entry.queries()), set(entry.oracle_sql())
     assert o <= q
-    assert all(k.startswith("stream_") for k in q - o)
+    # beside streams, only training-data operators that SQL cannot express (tested by brute force)
+    assert all(k.startswith(("stream_", "op")) or k == "pipeline" for k in q - o)
 
 
 def test_entry_smoke(spark, entry):
