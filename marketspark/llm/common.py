@@ -7,14 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
 
-#: ASCII white space: what separates words in every contract of this package.
-WORD = r"[^\x20\x09-\x0D]+"
-
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable by the Python workers."""
@@ -31,18 +29,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished phases: it
+    does so once the driver's JVM has collected their handles."""
+    import gc
+    gc.collect()
+    if spark.sparkContext._jvm is not None:
+        spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def word_count(col) -> F.Column:
-    """Number of words of a text column (null: 0), JVM-side. Counts the
-    starts of words, so no array of words is built."""
-    c = F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
-    # collapse every white-space run to one space, strip the ends: words = spaces + 1
-    one = F.trim(F.regexp_replace(F.translate(c, "\t\n\x0b\x0c\r", "     "), " +", " "))
-    spaces = F.length(one) - F.length(F.translate(one, " ", ""))
-    return F.when(one == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+def with_word_count(rows: DataFrame, text_col: str, name: str) -> DataFrame:
+    """rows with the text column replaced by its number of words (null: 0),
+    counted over UTF-8 bytes in Arrow batches."""
+    ship(rows.sparkSession)
+    keep = [c for c in rows.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(t.split()) if t else 0 for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], names=[*keep, name])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema.fields)
+    return rows.select(text_col, *keep).mapInArrow(run, fields + f"`{name}` long")
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

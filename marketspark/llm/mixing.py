@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ship, word_count
+from .common import materialize, ship, with_word_count
 
 BLOCK_WORDS = 128          # words per block
 SHARD_SLOTS = 4096         # blocks per output shard
-CHUNK_WORDS = 8_000_000    # words per packing stream (bounds one window group)
+CHUNK_WORDS = 1_000_000    # words per packing stream on average (bounds one window group)
 WEIGHT_CYCLE = (3, 1, 2)   # weights of the sorted sources, repeating
 SHARE = 1.5                # the mix's size as a share of all sizes
 MAX_PASSES = 2             # no source gives more than this many times its size
@@ -138,7 +138,8 @@ class Mix:
         """segments joined by index with the passes drawn for their block:
         one row per (document, block) with ``_mx_passes`` (array of pass
         numbers, absent blocks excluded)."""
-        return self.segments.join(self.by_block, ["_mx_sid", "_mx_block"])
+        # the planner cannot know how many slots a drawing task returns: never broadcast them
+        return self.segments.join(self.by_block.hint("merge"), ["_mx_sid", "_mx_block"])
 
 
 def draw_mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS,
@@ -150,8 +151,8 @@ def draw_mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: in
     spark = docs.sparkSession
     ship(spark)
     sized = materialize(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("_mx_source"),
-                    word_count(text_col).alias("size"), *_row_keys(id_col, source_col, text_col)), "mix-sizes")
+        with_word_count(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("_mx_source"),
+                                    *_row_keys(id_col, source_col, text_col), F.col(text_col).alias("_mx_text")), "_mx_text", "size"), "mix-sizes")
     stats = sized.groupBy("_mx_source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     stats.sort(key=lambda r: (r["_mx_source"] is None, r["_mx_source"] or ""))
     sizes = np.array([int(r["size"]) for r in stats], dtype=np.int64)
@@ -167,25 +168,20 @@ def draw_mix(docs: DataFrame, *, block_words: int = BLOCK_WORDS, shard_slots: in
     order = (Window.partitionBy("_mx_sid", "_mx_stream").orderBy("doc_id", "_mx_k1", "_mx_k2")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = materialize(placed.withColumn("_mx_start", F.sum("size").over(order) - F.col("size")), "mix-placed")
-    ends = (placed.groupBy("_mx_sid", "_mx_stream").agg(F.sum("size").alias("words")).collect())
-    per = {i: [0] * streams[i] for i in range(len(stats))}
-    for r in ends:
-        per[r["_mx_sid"]][r["_mx_stream"]] = -(-int(r["words"]) // block_words)
-    first, n_blocks = [], np.zeros(len(stats), dtype=np.int64)
-    for i, counts in per.items():
-        at = 0
-        for stream, c in enumerate(counts):
-            first.append((i, stream, at))
-            at += c
-        n_blocks[i] = at
+    blocks = F.ceil(F.sum("size") / block_words).cast("long")
+    prior = Window.partitionBy("_mx_sid").orderBy("_mx_stream").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = materialize(placed.groupBy("_mx_sid", "_mx_stream").agg(blocks.alias("_mx_n"))
+                         .withColumn("_mx_first", F.coalesce(F.sum("_mx_n").over(prior), F.lit(0))), "mix-streams")
+    n_blocks = np.zeros(len(stats), dtype=np.int64)
+    for r in firsts.groupBy("_mx_sid").agg(F.sum("_mx_n").alias("n")).collect():
+        n_blocks[r["_mx_sid"]] = r["n"]
     # slots per source: the target in blocks, in passes over the source and a rest
     slots = np.zeros(len(stats), dtype=np.int64)
     for i in range(len(stats)):
         if sizes[i] > 0:
             slots[i] = min(max_passes * n_blocks[i], int(round(targets[i] * float(n_blocks[i]) / float(sizes[i]))))
-    firsts = _frame(spark, "_mx_sid int, _mx_stream int, _mx_first long", first)
     b = block_words
-    with_first = placed.where("size > 0").join(F.broadcast(firsts), ["_mx_sid", "_mx_stream"])
+    with_first = placed.where("size > 0").join(firsts.drop("_mx_n"), ["_mx_sid", "_mx_stream"])
     seg = (with_first
            .withColumn("_mx_local", F.explode(F.sequence(F.floor(F.col("_mx_start") / b),
                                                          F.floor((F.col("_mx_start") + F.col("size") - 1) / b))))
@@ -245,7 +241,7 @@ def mix_report(docs: DataFrame, **params) -> DataFrame:
     hit = (m.taken_segments()
            .withColumn("_mx_words", (F.col("_mx_to") - F.col("_mx_from")) * F.size("_mx_passes"))
            .groupBy("_mx_sid", "_mx_stream", "_mx_start").agg(F.sum("_mx_words").alias("taken")))
-    full = m.docs.where("size > 0").join(hit, ["_mx_sid", "_mx_stream", "_mx_start"], "left")
+    full = m.docs.where("size > 0").join(hit.hint("merge"), ["_mx_sid", "_mx_stream", "_mx_start"], "left")
     empty = m.docs.where("size = 0").withColumn("taken", F.lit(None).cast("long"))
     return (full.unionByName(empty)
             .select("doc_id", F.col("_mx_source").alias("source"), "size", F.col("source_size"), F.col("target"),
@@ -266,7 +262,7 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
             .agg(F.sort_array(F.collect_list(F.struct("_mx_pass", "_mx_spans"))).alias("_mx_takes"))
             .groupBy("_mx_k1", "_mx_k2")
             .agg(F.sort_array(F.collect_list(F.struct("_mx_sid", "_mx_stream", "_mx_start", "_mx_takes"))).alias("_mx_copies")))
-    joined = (docs.select("*", *_row_keys("doc_id", "source", "text")).join(plan, ["_mx_k1", "_mx_k2"])
+    joined = (docs.select("*", *_row_keys("doc_id", "source", "text")).join(plan.hint("merge"), ["_mx_k1", "_mx_k2"])
               .withColumn("_mx_copy", F.row_number().over(Window.partitionBy("_mx_k1", "_mx_k2").orderBy(F.lit(0))))
               .where(F.col("_mx_copy") <= F.size("_mx_copies"))
               .withColumn("_mx_p", F.explode(F.element_at("_mx_copies", F.col("_mx_copy"))["_mx_takes"])))
