@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lang_id, line_dedup, mixing, packing, quality_rules, simhash
+from . import embedding_dedup, lang_id, license_scan, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup
 from .common import table
 
 _LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -71,11 +71,56 @@ v AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {q
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM v"""
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding at cosine 0.9."""
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE a.n > 0 AND b.n > 0 AND list_dot_product(a.e, b.e) / (a.n * b.n) >= {embedding_dedup.MIN_COSINE}),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a),
+comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM pairs GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM comp LEFT JOIN n USING (vec_id)"""
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document tokenised and packed into sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices found in every document: their ids and places."""
+    out = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_matches", F.array_join(F.array_sort(F.array_distinct(F.col("matches.license"))), ",").alias("licenses"),
+                      F.to_json("matches").alias("matches"))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings seen earlier."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, {2 * suffix_dedup.LENGTH})) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {suffix_dedup.LENGTH - 1}, 0))) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+runs AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + {suffix_dedup.LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM later)),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + {suffix_dedup.LENGTH} AS hi FROM runs GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prev FROM spans),
+cut AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+  string_agg(substring(h, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) AS parts FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN h ELSE parts || substring(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     g = simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -96,8 +141,8 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op4_pack, op7_simhash, op8_lang_id, op10_mix)}
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL}
+    f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_embedding_dedup, op4_pack, op5_license_scan, op6_suffix_dedup, op7_simhash, op8_lang_id, op10_mix)}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL}
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
