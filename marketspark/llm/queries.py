@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, lang_id, license_scan, line_dedup, mixing, packing, quality_rules, simhash, suffix_dedup
+from . import embedding_dedup, lang_id, license_scan, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup
 from .common import table
 
 _LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -135,13 +135,20 @@ def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs.select("doc_id", fold.alias("held_out"), "text"), profiles)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that copy earlier ones, fuzzily."""
+    out = substring_dedup.passage_report(table(spark, sf_dir, "documents"))
+    return out.withColumn("spans", F.to_json("spans"))
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words every document gives to the mix of its sources."""
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_embedding_dedup, op4_pack, op5_license_scan, op6_suffix_dedup, op7_simhash, op8_lang_id, op10_mix)}
+    f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_embedding_dedup, op4_pack, op5_license_scan, op6_suffix_dedup, op7_simhash, op8_lang_id, op9_substring_dedup,
+                                op10_mix)}
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL}
 
 

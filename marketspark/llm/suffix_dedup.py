@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, ship
+from .common import materialize, ordered, release, ship
 from .run_index import RunIndex
 
 LENGTH = 100
@@ -317,17 +317,6 @@ def _hash_windows(length: int):
     return run
 
 
-def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(ord, doc_id, text) with a distinct ord that ascends as documents do:
-    the id itself, or, where ids are null or repeated, a row's place in the
-    order by (id, nulls last; text hash)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if rows.where(F.col("doc_id").isNull()).isEmpty() and rows.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rows.select(F.col("doc_id").alias("ord"), "doc_id", "text")
-    placed = rows.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("ord", F.monotonically_increasing_id())
-    return materialize(placed.select("ord", "doc_id", "text"), "suffix-ordered")
-
-
 def repeated_windows(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES,
                      hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """Marked windows (ord, p0, m): the windows of ``length`` bytes starting
