@@ -9,7 +9,8 @@ profile names the language.
 Defined results for odd input: null text, or text without a letter, is
 ``und`` with score 0; ties go to the language first in code point order;
 null languages are not learned; with nothing to learn from every document
-is ``und``; an empty table gives no rows.
+is ``und``; input columns named like the outputs are replaced by them; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -177,6 +178,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], *, text_col: str =
     spark = docs.sparkSession
     ship(spark)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     langs = sorted(profiles)
     fixed = {lang: {gram_key(g): i for i, g in enumerate(profiles[lang])} for lang in langs}
 

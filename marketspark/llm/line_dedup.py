@@ -12,7 +12,8 @@ the kept lines stay as they were. Blank lines are never boilerplate.
 Defined results for odd input: null text stays null and has no lines; a null
 host is no site, its pages stay as they are; a page that loses all its lines
 becomes empty text and stays a row; repeated rows are pages of their own; an
-empty table gives no rows. Working columns are prefixed ``_ld_``.
+empty table gives no rows. Input columns named like the outputs are replaced
+by them; working columns are prefixed ``_ld_``.
 """
 
 from __future__ import annotations
@@ -51,4 +52,4 @@ def drop_boilerplate(pages: DataFrame, *, ratio: float = BOILERPLATE_RATIO, min_
             .withColumn("n_lines", F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"))
             .withColumn("n_dropped", F.when(F.col("_ld_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_ld_kept")).cast("long"))
             .withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join("_ld_kept", "\n")).otherwise(text)))
-    return rows.select(*pages.columns, "n_lines", "n_dropped")
+    return rows.select(*[c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

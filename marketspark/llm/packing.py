@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ragged, ship, text_slices
@@ -173,27 +173,29 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-_OUT = _PIECE_SCHEMA + ", sequence_id long, offset long, _pk_free double"
+_OUT = _PIECE_SCHEMA.replace("doc_id long,", "doc_id long, _pk_none boolean,") + ", sequence_id long, offset long, _pk_free double"
 
 
 def _pack_task(capacity: int, round_no: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         # longest first; the order is fixed, so a rerun of the task gives the same bins
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True],
-                              kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["length", "_pk_none", "doc_id", "piece", "start", "ids_crc32"],
+                              ascending=[False, True, True, True, True, True], kind="stable", ignore_index=True)
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
         used = np.bincount(bins, weights=pdf["length"].to_numpy())
         pdf["sequence_id"] = (round_no << 56) + (int(key[0]) << 28) + bins
         pdf["offset"] = offsets
         pdf["_pk_free"] = 1.0 - used[bins] / capacity
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_pk_free"]]
+        return pdf[["doc_id", "_pk_none", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_pk_free"]]
     return run
 
 
 def pack(piece_rows: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, task_pieces: int = TASK_PIECES,
          repack_gap: float = REPACK_GAP, seed: int = SEED) -> DataFrame:
     """Assign every piece a sequence_id and its offset there."""
-    todo = materialize(piece_rows.select("doc_id", "piece", "start", "length", "ids_crc32"), "pack-pieces")
+    # a null id travels as 0 and a flag: pandas would turn the column into floats
+    todo = materialize(piece_rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("_pk_none"),
+                                         "piece", "start", "length", "ids_crc32"), "pack-pieces")
     done: list[DataFrame] = []
     n = todo.count()
     round_no = 0
@@ -218,7 +220,7 @@ def pack(piece_rows: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, task_
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.drop("_pk_free")
+    return out.select(F.when(~F.col("_pk_none"), F.col("doc_id")).alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID,

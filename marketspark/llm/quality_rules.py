@@ -98,8 +98,8 @@ def base_rules(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW)
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words;
     the text itself is not carried along."""
     ship(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text_col]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    keep = [c for c in docs.columns if c != text_col and c.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -184,7 +184,7 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS, node_limit: int = NODE_LI
 def _children(rows: DataFrame, max_bits: int) -> DataFrame:
     """Walk each work item one bit down: node pairs (0,0), (1,1), (0,1) and
     (1,0) become items of their own; a member joins those it belongs to."""
-    bit = F.shiftrightunsigned(F.col("key"), 63 - F.col("depth")).bitwiseAND(F.lit(1)).cast("int")
+    bit = F.expr("cast(shiftrightunsigned(key, 63 - depth) & 1 as int)")
     r = rows.withColumn("bit", bit).withColumn("two", F.col("self") == 0)
     opts = F.expr("""filter(if(two,
         array(struct(bit * 3 as c, side as side, diff as diff, 0 as self),
