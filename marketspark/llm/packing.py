@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -35,12 +36,12 @@ TOKENIZER = "word_bpe_49k.json"
 TASK_PIECES = 40_000       # pieces a packing task takes on average
 REPACK_GAP = 0.02          # sequences with a larger free share are packed again
 SEED = 11
-_CACHE_WORDS = 200_000     # tokenised words a worker remembers (speed only)
-_SLICE_BYTES = 8_000_000   # text that is tokenised at once
+_CACHE_WORDS = 1_000_000     # tokenised words a worker remembers (speed only)
+_SLICE_BYTES = 4_000_000   # text that is tokenised at once
 
-#: A run of Latin letters before a full stop or comma, else a run of non-space.
-#: Both ends are places where the tokenizer's own pattern always splits.
-_CHUNK = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+(?=[.,])|[^\x20\x09-\x0d]+")
+#: Latin letters. The tokenizer's own pattern splits exactly between them
+#: and a full stop or comma that follows.
+_LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _worker: dict = {}
 
 
@@ -49,42 +50,95 @@ def default_tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def _encoder(path: str):
-    if _worker.get("path") != path:
+class _Ids:
+    """Grows: byte strings and their token ids, laid end to end."""
+
+    def __init__(self):
+        self.code: dict[bytes, int] = {}
+        self.ids = np.empty(0, dtype=np.uint32)
+        self.off = np.zeros(1, dtype=np.int64)
+
+    def put(self, new: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(lens)])
+
+    def of(self, items: list[bytes]) -> np.ndarray:
+        """Numbers of the items, -1 for unknown ones."""
+        return np.fromiter(map(self.code.get, items, repeat(-1)), np.int64, len(items))
+
+    def take(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.off[code + 1] - self.off[code]
+        return self.ids[ragged(self.off[code], n)], n
+
+
+def _byte_letters() -> dict[int, str]:
+    """The usual letters of byte-level vocabularies: printable bytes stand
+    for themselves, the others for code points from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Encoder:
+    """Token ids of words, each distinct word encoded once (bounded)."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _worker.update(path=path, tok=Tokenizer.from_file(path), known={}, ids=np.empty(0, np.uint32),
-                       off=np.zeros(1, np.int64))
-    return _worker
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.marks = {m: self._whole([m])[0] for m in (b".", b",")}
+        self.words = _Ids()
+
+    def _whole(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+
+    def _word(self, w: bytes) -> list[int] | None:
+        """A plain word's ids straight from the merges: its letters are one
+        unit of the tokenizer, already normal but for case."""
+        if w.isalpha():
+            return [t.id for t in self.model.tokenize(w.lower().decode("ascii"))]
+        mark = w[-1:]
+        if mark in self.marks:
+            w = w[:-1]
+            if w.isalpha():
+                return [t.id for t in self.model.tokenize(w.lower().decode("ascii"))] + self.marks[mark]
+        if _LATIN.fullmatch(w) is None:
+            return None
+        letters = w.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)] + self.marks.get(mark, [])
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words.code) > _CACHE_WORDS:
+            self.words = _Ids()
+        code = self.words.of(words)
+        missing = np.flatnonzero(code < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(map(words.__getitem__, missing)))
+            ids = [self._word(w) for w in new]
+            rest = [i for i, x in enumerate(ids) if x is None]
+            for i, x in zip(rest, self._whole([new[i] for i in rest])):
+                ids[i] = x
+            lens = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.words.put(new, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
+            code[missing] = self.words.of([words[i] for i in missing])
+        return self.words.take(code)
 
 
 def encode_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, concatenated, and their number per text.
-    White space and the places of _CHUNK are boundaries for this tokenizer,
-    so each distinct chunk of the batch is encoded once."""
-    w = _encoder(path)
-    known: dict = w["known"]
-    chunks: list[bytes] = []
+    White space is a boundary for this tokenizer, so every distinct word is
+    encoded once and remembered."""
+    if getattr(_worker.get("encoder"), "path", None) != path:
+        _worker["encoder"] = _Encoder(path)
+    words: list[bytes] = []
     per = np.empty(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
-        c = _CHUNK.findall(t)
-        per[i] = len(c)
-        chunks += c
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-        w["ids"], w["off"] = np.empty(0, np.uint32), np.zeros(1, np.int64)
-    new = [c for c in dict.fromkeys(chunks) if c not in known]
-    if new:
-        enc = w["tok"].encode_batch_fast([c.decode("utf-8") for c in new], add_special_tokens=False)
-        base = len(known)
-        known.update(zip(new, range(base, base + len(new))))
-        ids = [e.ids for e in enc]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        w["ids"] = np.concatenate([w["ids"], np.fromiter((x for y in ids for x in y), np.uint32, int(lens.sum()))])
-        w["off"] = np.concatenate([w["off"], w["off"][-1] + np.cumsum(lens)])
-    code = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-    n = w["off"][code + 1] - w["off"][code]
-    out = w["ids"][ragged(w["off"][code], n)]
+        w = t.split()
+        per[i] = len(w)
+        words += w
+    out, n = _worker["encoder"].encode(words)
     total = np.concatenate([[0], np.cumsum(n)])
     bound = np.concatenate([[0], np.cumsum(per)])
     return out, total[bound[1:]] - total[bound[:-1]]
