@@ -14,9 +14,18 @@ from pyspark.sql import functions as F
 from ..session import scratch_path, ship_package
 
 
+#: Rows of an Arrow batch. Texts are long: Spark's default of 10,000 rows can
+#: take hundreds of megabytes in a Python worker.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers."""
+    """Make this package importable by the Python workers, and keep their
+    batches small."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

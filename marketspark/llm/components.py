@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ship
 
-_BATCH = 2_000_000
+_BATCH = 500_000
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,8 +30,8 @@ MAX_GRAM = 3
 PROFILE_SIZE = 400
 TRAIN_ROWS = 2000          # labelled documents a language learns from at most
 UNDETERMINED = "und"
-_SLICE_BYTES = 4_000_000
-_CACHE_WORDS = 100_000
+_SLICE_BYTES = 2_000_000
+_CACHE_WORDS = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -39,7 +39,6 @@ MIN_CONTAINMENT = 0.8
 HASHES = 128
 MISS = 1e-6
 SEED = 3
-_SLICE_BYTES = 8_000_000
 
 #: Notices by which licenses are commonly declared (their public wording), id -> texts.
 TEMPLATES: dict[str, list[str]] = {

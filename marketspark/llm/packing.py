@@ -36,8 +36,8 @@ TOKENIZER = "word_bpe_49k.json"
 TASK_PIECES = 40_000       # pieces a packing task takes on average
 REPACK_GAP = 0.02          # sequences with a larger free share are packed again
 SEED = 11
-_CACHE_WORDS = 1_000_000     # tokenised words a worker remembers (speed only)
-_SLICE_BYTES = 4_000_000   # text that is tokenised at once
+_CACHE_WORDS = 250_000     # words of a generation that a worker remembers (speed only)
+_SLICE_BYTES = 2_000_000   # text that is tokenised at once
 
 #: Latin letters. The tokenizer's own pattern splits exactly between them
 #: and a full stop or comma that follows.
@@ -81,7 +81,8 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Encoder:
-    """Token ids of words, each distinct word encoded once (bounded)."""
+    """Token ids of words. Two generations of words are remembered: a full
+    one is kept until the next is full, so frequent words stay known."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,7 +90,7 @@ class _Encoder:
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.marks = {m: self._whole([m])[0] for m in (b".", b",")}
-        self.words = _Ids()
+        self.words, self.older = _Ids(), _Ids()
 
     def _whole(self, words: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
@@ -111,11 +112,16 @@ class _Encoder:
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.words.code) > _CACHE_WORDS:
-            self.words = _Ids()
+            self.words, self.older = _Ids(), self.words
         code = self.words.of(words)
         missing = np.flatnonzero(code < 0).tolist()
         if missing:
             new = list(dict.fromkeys(map(words.__getitem__, missing)))
+            if self.older.code:
+                at = self.older.of(new)
+                known = np.flatnonzero(at >= 0)
+                self.words.put([new[i] for i in known.tolist()], *self.older.take(at[known]))
+                new = [new[i] for i in np.flatnonzero(at < 0).tolist()]
             ids = [self._word(w) for w in new]
             rest = [i for i, x in enumerate(ids) if x is None]
             for i, x in zip(rest, self._whole([new[i] for i in rest])):

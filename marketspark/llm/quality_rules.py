@@ -36,7 +36,7 @@ WINDOW = 8
 MAX_DOCS = 20
 RATIO = 0.02
 MIN_SHARE = 0.5
-_SLICE_BYTES = 8_000_000
+_SLICE_BYTES = 2_000_000
 _WS = bytes(range(9, 14)) + b" "
 _SYMBOLS = b"#*$%&|<>"
 

@@ -36,7 +36,7 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 HASH_SEED = 42
 NODE_LIMIT = 200_000       # fingerprints under one trie node that a task takes
-_FRONTIER = 1_000_000      # node pairs walked at once
+_FRONTIER = 100_000        # node pairs walked at once
 
 
 def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -167,7 +167,7 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS, node_limit: int = NODE_LI
                 pdf = pd.concat([carry, pdf], ignore_index=True)
             k = pdf[work].to_numpy()
             last = np.flatnonzero((k[1:] != k[:-1]).any(1))
-            if len(last) == 0 or len(pdf) < 200_000:
+            if len(last) == 0 or len(pdf) < 50_000:
                 carry = pdf
                 continue
             cut = int(last[-1]) + 1
@@ -241,7 +241,7 @@ def _links_of(pdf: pd.DataFrame, work: list[str], max_bits: int) -> Iterator[pa.
             found_a.append(sfp[a])
             found_b.append(sfp[b])
             size += len(a)
-            if size > 2_000_000:
+            if size > 500_000:
                 out = flush()
                 size = 0
                 if out is not None:

@@ -40,10 +40,10 @@ from .run_index import RunIndex
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 3_000_000    # context bytes indexed at once
+BLOCK_BYTES = 1_500_000    # context bytes indexed at once
 HOT_CONTEXTS = 100_000     # contexts of one anchor beyond which windows are hashed
-_SEGMENT = 1_000_000       # text bytes hashed at once
-_COMBINE = 1_000_000       # anchors a task combines at once
+_SEGMENT = 500_000         # text bytes hashed at once
+_COMBINE = 500_000         # anchors a task combines at once
 _IDX = np.uint64((1 << 22) - 1)
 _TABLE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -255,7 +255,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _grouped(batches, 300_000):
+    for t in _grouped(batches, 150_000):
         cols = [t.column(c).to_numpy() for c in _ROW]
         mark = cols[4] < 0
         if mark.any():
