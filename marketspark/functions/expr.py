@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 # ---- fixed values the reference defines -----------------------------------
 # Fallback WhatsApp number used when a vendor has none.
-DEFAULT_WHATSAPP = "2348147923724"
+DEFAULT_WHATSAPP = "2340000000000"
 # Store name used in message headers and as vendor-name fallback.
-STORE_NAME = "Zarah's Store"
+STORE_NAME = "Our Store"
 # Promo code the cart page accepts.
 PROMO_CODE = "SAVE10"
 # Order status labels shown to shoppers.
@@ -26,8 +26,8 @@ ORDER_STATUSES = ("pending", "confirmed", "paid", "shipped", "delivered", "cance
 # Core boutiques that cannot be deleted.
 CORE_VENDORS = ("perfume", "kitchen", "variety")
 # Quiz result labels (score >= 94, else).
-QUIZ_STRONG = "AURA NOIRE (Eau de Parfum)"
-QUIZ_LIGHT = "AURA NOIRE (Concentré de Parfum)"
+QUIZ_STRONG = "Signature (Eau de Parfum)"
+QUIZ_LIGHT = "Signature (Concentré de Parfum)"
 # Perfume size picker -> product id.
 SIZE_TO_PRODUCT = {"30ml": "p2", "50ml": "p1", "100ml": "p7"}
 # Newsletter e-mail pattern (applied to the lower-cased address).
@@ -38,7 +38,7 @@ EMAIL_STRICT_RE = (
 # Link allow-list for promotion links and images (case-insensitive).
 SAFE_URL_RE = r"(?i)^(https?://|[a-z0-9][a-z0-9._/-]*(\?[^\s]*)?$)"
 # Fallbacks for banners.
-BANNER_IMAGE_FALLBACK = "images/perfume/zahra-collection-oils.jpg"
+BANNER_IMAGE_FALLBACK = "images/banner.jpg"
 BANNER_SUBTITLE_FALLBACK = f"Discover this promoted offer on {STORE_NAME}."
 HOME_STORES_ANCHOR = "index.html#stores-section"
 SAFE_URL_DEFAULT = "index.html"
@@ -70,12 +70,25 @@ def percent_off(price, original) -> Column:
 def star_parts(rating) -> Column:
     """K3: struct(full, half, empty) of a 5-star display."""
     r = _c(rating).cast("double")
-    full = F.floor(r).cast("int")
-    half = (r - F.floor(r)) >= 0.5
+    whole = F.floor(r)
+    full = F.greatest(F.lit(0), F.least(F.lit(5), whole)).cast("int")
+    # the half star sits on the next of the five places, if there is one
+    half = ((r - whole) >= 0.5) & whole.between(0, 4)
     empty = F.lit(5) - full - half.cast("int")
     return F.struct(full.alias("full"), half.alias("half"), empty.alias("empty"))
 
 
+def json_array_size(x) -> Column:
+    """Length of a JSON array, null unless the whole text is one array.
+    The JSON functions read the first value and ignore what follows it; put
+    into an outer array alone (length 1) and before one more value (length
+    2), only a text that is exactly one value gives both lengths."""
+    x = _c(x)
+    alone = F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1
+    followed = F.json_array_length(F.concat(F.lit("["), x, F.lit(",0]"))) == 2
+    return F.when(alone & followed, F.json_array_length(x))
+
+
 def digits(x) -> Column:
     return F.regexp_replace(_c(x), r"[^0-9]", "")
 

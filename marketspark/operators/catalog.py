@@ -139,12 +139,15 @@ def browse_counts(requests: DataFrame, products: DataFrame) -> DataFrame:
 
 # ---- B8-B12 -----------------------------------------------------------------------
 
-def featured_products(products: DataFrame, n: int = FEATURED_DEFAULT) -> DataFrame:
-    """First n badged products in catalogue order (a top-n: each task
-    keeps n rows, then one merge)."""
-    top = (products.filter(F.coalesce(F.col("badge"), F.lit("")) != "")
-                   .orderBy("pos", "id").limit(n))
-    return top_k_per_group(top.withColumn("_all", F.lit(1)), ["_all"], ["pos", "id"], n).drop("_all")
+def featured_products(products: DataFrame, vendors: DataFrame, n: int = FEATURED_DEFAULT) -> DataFrame:
+    """First n badged products of the catalogue, which lists vendor by
+    vendor (a top-n: each task keeps n rows, then one merge). Products of
+    unknown vendors come last."""
+    v = vendors.select(F.col("id").alias("_vid"), F.col("pos").alias("_vpos"))
+    badged = products.filter(F.coalesce(F.col("badge"), F.lit("")) != "")
+    order = [F.col("_vpos").asc_nulls_last(), "pos", "id"]
+    top = badged.join(v, badged["vendor"] == v["_vid"], "left").orderBy(*order).limit(n)
+    return top_k_per_group(top.withColumn("_all", F.lit(1)), ["_all"], order, n).drop("_all", "_vid", "_vpos")
 
 
 def vendor_shelf(products: DataFrame, k: int = SHELF_SIZE) -> DataFrame:

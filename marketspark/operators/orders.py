@@ -25,7 +25,8 @@ from ..functions import expr as K
 
 MAX_ITEMS = 50
 MAX_QTY = 99
-QTY_PATTERN = r"^[1-9][0-9]?$"
+QTY_PATTERN = r"^[1-9][0-9]?\z"      # \z: a final line break is no match
+ORDER_PREFIX = "ORD"
 
 # ---- fixed values: reasons, in the order the reference checks them --------
 R_NO_USER = "sign_in_required"
@@ -61,16 +62,17 @@ def parse_items(df: DataFrame, items_col: str = "items") -> DataFrame:
     Adds `item_reason` (null when the list passes) and `lines`
     array<struct<id:string, qty:int>> of the raw (unmerged) lines.
 
-    * Shape: `json_array_length` is null unless the text is a JSON array,
+    * Shape: `json_array_size` is null unless the text is a JSON array,
       so a bare object (which from_json would wrap into a one-element
-      array) or broken JSON fails the 1..50 count rule.
+      array) or broken JSON fails the 1..50 count rule; the whole text must
+      parse, so text after the closing bracket fails it too.
     * Elements: one from_json into array<struct<id, qty:string>>. A string
       field keeps a number's literal text (3.0 stays "3.0"), so the qty
-      text is tested against ^[1-9][0-9]?$ as the reference tests it.
+      text is tested against QTY_PATTERN as the reference tests it.
       When any element is not an object from_json yields null for the
       whole list, and a JSON null element is a null entry: both reject.
     """
-    n = F.json_array_length(F.col(items_col))
+    n = K.json_array_size(items_col)
     df = df.withColumn("_els", F.from_json(F.col(items_col), ITEM_SCHEMA))
     bad_elem = F.exists("_els", lambda x: x.isNull() | F.coalesce(x["id"] == "", F.lit(True))
                         | ~F.coalesce(x["qty"], F.lit("")).rlike(QTY_PATTERN))
@@ -115,7 +117,7 @@ def merge_lines(lines: DataFrame) -> DataFrame:
 def catalogue_for_orders(products: DataFrame) -> DataFrame:
     """What the intake reads from the catalogue: only in-stock rows, only
     the columns it copies (pushed into the scan)."""
-    return (products.filter(F.col("in_stock") == F.lit(True))
+    return (products.filter((F.col("in_stock") == F.lit(True)) & F.col("price").isNotNull())
                     .select(F.col("id").alias("product_id"), "vendor", "name", "price", "image", "size"))
 
 
@@ -162,9 +164,10 @@ def availability_check(screened: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def order_id(request_id: Column, at: Column) -> Column:
-    """Repeatable id: 'ZS-' + yymmdd + '-' + 10 hex digits of sha256(request)."""
-    return F.concat(F.lit("ZS-"), F.date_format(at, "yyMMdd"), F.lit("-"),
-                    F.upper(F.substring(F.sha2(request_id, 256), 1, 10)))
+    """Repeatable id: prefix, yymmdd and 32 hex digits of sha256(request):
+    128 bits, so ids stay distinct at any number of orders."""
+    return F.concat(F.lit(f"{ORDER_PREFIX}-"), F.date_format(at, "yyMMdd"), F.lit("-"),
+                    F.upper(F.substring(F.sha2(request_id, 256), 1, 32)))
 
 
 def _items_json(arr: Column) -> Column:

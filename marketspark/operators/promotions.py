@@ -58,7 +58,8 @@ def flag_sponsored(products: DataFrame, vendors: DataFrame, promotions: DataFram
     return p.unionByName(v)
 
 
-def homepage_featured(products: DataFrame, promotions: DataFrame, at, n: int = HOME_FEATURED) -> DataFrame:
+def homepage_featured(products: DataFrame, promotions: DataFrame, vendors: DataFrame, at,
+                      n: int = HOME_FEATURED) -> DataFrame:
     """Sponsored products (in promotion order, existing only) then the
     first n badged products minus every sponsored id; first n overall.
     The organic list is cut to n before the subtraction, as on the page."""
@@ -67,7 +68,7 @@ def homepage_featured(products: DataFrame, promotions: DataFrame, at, n: int = H
                    .orderBy("sponsor_rank", "target_id").limit(n)
                    .select(F.col("target_id").alias("product_id"), F.lit(0).alias("_src"),
                            F.col("sponsor_rank").cast("bigint").alias("_r")))
-    organic = (featured_products(products, n)
+    organic = (featured_products(products, vendors, n)
                .join(sp.select(F.col("target_id").alias("id")), "id", "left_anti")
                .select(F.col("id").alias("product_id"), F.lit(1).alias("_src"), F.col("rank").alias("_r")))
     both = sp_existing.unionByName(organic).orderBy("_src", "_r").limit(n)

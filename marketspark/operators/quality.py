@@ -25,13 +25,18 @@ PAY_PLANS = ("launch", "monthly", "annual")
 PAY_STATUS = ("paid", "refunded")
 
 
+def _items_ok() -> Column:
+    """Null passes, as in SQL; any other text must be a non-empty array."""
+    return F.when(C("items").isNotNull(), F.coalesce(K.json_array_size("items") > 0, F.lit(False)))
+
+
 def rules() -> dict[str, list[tuple[str, Column]]]:
     return {
         "products": [("price_nonnegative", C("price") >= 0)],
-        "orders": [("items_nonempty", F.array_size(F.from_json(C("items"), "array<string>")) > 0),
+        "orders": [("items_nonempty", _items_ok()),
                    ("total_nonnegative", C("total") >= 0),
                    ("status_valid", C("status").isin(*K.ORDER_STATUSES))],
-        "vendor_orders": [("items_nonempty", F.array_size(F.from_json(C("items"), "array<string>")) > 0),
+        "vendor_orders": [("items_nonempty", _items_ok()),
                           ("subtotal_nonnegative", C("subtotal") >= 0),
                           ("status_valid", C("status").isin(*K.ORDER_STATUSES)),
                           ("note_length", C("status_note").isNull() | (F.char_length("status_note") <= 500))],
@@ -86,21 +91,26 @@ def check_unique(checks: dict[str, tuple[DataFrame, list[str], Column | None]])
     parts = []
     for name, (df, keys, where) in checks.items():
         d = df if where is None else df.filter(where)
+        d = d.filter(reduce(lambda a, b: a & b, [C(k).isNotNull() for k in keys]))     # nulls are distinct
         g = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(C("n") > 1)
         parts.append(g.select(F.lit(name).alias("check"), F.concat_ws("|", *[C(k).cast("string") for k in keys])
                               .alias("key"), "n"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def check_foreign_keys(checks: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
+def check_foreign_keys(checks: dict[str, tuple[DataFrame, list[tuple[str, DataFrame, str]]]]) -> DataFrame:
     """Orphans per reference: child rows whose non-null key has no
-    parent (anti join against the parent's distinct keys)."""
+    parent. checks: child table -> (rows, [(key, parent rows, parent key)]).
+    A child's keys are counted per distinct value first (a hot key becomes
+    one row), then looked up among the parent's distinct keys."""
     parts = []
-    for name, (child, ck, parent, pk) in checks.items():
-        keys = parent.select(C(pk).alias("_k")).distinct()
-        orphans = child.filter(C(ck).isNotNull()).join(keys, child[ck] == keys["_k"], "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).alias("n_orphans")).select(F.lit(name).alias("check"),
-                                                                              "n_orphans"))
+    for child, (df, refs) in checks.items():
+        for ck, parent, pk in refs:
+            keys = parent.select(C(pk).alias("_k")).filter(C("_k").isNotNull()).distinct()
+            used = df.filter(C(ck).isNotNull()).groupBy(C(ck).alias("_c")).agg(F.count(F.lit(1)).alias("n"))
+            orphans = used.join(keys, used["_c"] == keys["_k"], "left_anti")
+            parts.append(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"))
+                         .select(F.lit(f"{child}.{ck}").alias("check"), "n_orphans"))
     return reduce(DataFrame.unionByName, parts)
 
 

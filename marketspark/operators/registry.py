@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as K
 
-VENDOR_ID_RE = r"^[a-z0-9-]{2,50}$"
-EMAIL_RE = r"^[^\s@]+@[^\s@]+[.][^\s@]+$"
-WHATSAPP_RE = r"^[0-9]{10,15}$"
+# \z, not $: a final line break is no match
+VENDOR_ID_RE = r"^[a-z0-9-]{2,50}\z"
+EMAIL_RE = r"^[^\s@]+@[^\s@]+[.][^\s@]+\z"
+WHATSAPP_RE = r"^[0-9]{10,15}\z"
 
 
 def clean_vendor_changes(changes: DataFrame, staff: DataFrame) -> DataFrame:
@@ -140,19 +141,24 @@ def reassign_vendor_staff(staff: DataFrame, accepted: DataFrame, users: DataFram
     return link_staff_users(allrows, users).drop("changed")
 
 
-def user_claims(users: DataFrame, staff: DataFrame, staff_before: DataFrame | None = None) -> DataFrame:
+def user_claims(users: DataFrame, staff: DataFrame, staff_before: DataFrame | None = None,
+                accepted: DataFrame | None = None) -> DataFrame:
     """Claims after the registry log.
 
     A user whose e-mail has a staff row gets its role (and vendor_id when
     set) on top of the other claims; a user whose staff row was removed
-    or replaced (present in `staff_before`, absent now) loses role and
-    vendor_id; everyone else keeps the claims unchanged. One left join per
+    or replaced (in `staff_before`, or given by an accepted upsert of the
+    log, and absent now) loses role and vendor_id; everyone else keeps the claims unchanged. One left join per
     staff table on the lower-cased e-mail."""
     empty = F.create_map().cast("map<string,string>")
     s = staff.select(F.col("email").alias("_semail"), F.col("role").alias("_role"), F.col("vendor_id").alias("_vid"))
     j = users.join(s, F.lower(users["email"]) == s["_semail"], "left")
     if staff_before is not None:
-        b = staff_before.select(F.col("email").alias("_bemail")).distinct().withColumn("_was", F.lit(True))
+        b = staff_before.select(F.col("email").alias("_bemail"))
+        if accepted is not None:
+            b = b.unionByName(accepted.filter(F.col("reason").isNull() & (F.col("op") == "upsert"))
+                              .select(F.col("email").alias("_bemail")))
+        b = b.distinct().withColumn("_was", F.lit(True))
         j = j.join(b, F.lower(j["email"]) == b["_bemail"], "left")
         was = F.col("_was").isNotNull()
     else:
@@ -210,18 +216,20 @@ def merge_products(products: DataFrame, changes: DataFrame) -> DataFrame:
     def field(f):
         base = F.when(F.col("_b_up").isNotNull(), F.col("_b_" + f)).otherwise(F.col(f))
         return F.coalesce(F.col("_u_" + f), base)
-    badge = K.blank_to_null(F.coalesce(field("badge"), F.lit("")))
+    updated = (F.col("_u_name").isNotNull() | F.col("_u_price").isNotNull()
+               | F.col("_u_in_stock").isNotNull() | F.col("_u_badge").isNotNull())
+    # a write saves the whole product, defaults applied; untouched rows stay as they are
+    written = F.col("_b_up").isNotNull() | updated
+    in_stock = F.when(written, F.coalesce(field("in_stock"), F.lit(True))).otherwise(F.col("in_stock"))
+    badge = F.when(written, K.blank_to_null(F.coalesce(field("badge"), F.lit("")))).otherwise(F.col("badge"))
     return j.select("id", F.coalesce(F.col("_b_vendor"), F.col("vendor")).alias("vendor"),
                     field("name").alias("name"), field("price").cast("decimal(18,2)").alias("price"),
-                    F.coalesce(field("in_stock"), F.lit(True)).alias("in_stock"), badge.alias("badge"),
+                    in_stock.alias("in_stock"), badge.alias("badge"),
                     F.when(F.col("_b_up").isNotNull(), F.lit("upserted"))
-                     .when(F.col("_lu").isNotNull() | F.col("_u_name").isNotNull() | F.col("_u_price").isNotNull()
-                           | F.col("_u_in_stock").isNotNull() | F.col("_u_badge").isNotNull(), F.lit("updated"))
+                     .when(F.col("_lu").isNotNull() | updated, F.lit("updated"))
                      .otherwise(F.lit("existing")).alias("source"))
 
 
-INFO_FIELDS = ("name", "tagline")
-
 
 def update_vendor_info(vendors: DataFrame, updates: DataFrame) -> DataFrame:
     """Vendor settings: only name, tagline, description, logo may

@@ -59,14 +59,20 @@ def apply_status_changes(vendor_orders: DataFrame, changes: DataFrame) -> tuple[
               .groupBy("order_key", "vendor_id")
               .agg(F.max_by(F.struct("status", "status_note", "ts"),
                             F.struct("ts", "seq", "status", "status_note")).alias("_c")))
+    return set_latest(vendor_orders, latest), verdict
+
+
+def set_latest(vendor_orders: DataFrame, latest: DataFrame) -> DataFrame:
+    """Vendor orders with their latest accepted change (order_key,
+    vendor_id, _c struct<status, status_note, ts>) applied; changes of
+    vendor orders that do not exist fall away."""
     base = vendor_orders.withColumn("order_key", F.col("request_id"))
     j = base.join(latest, ["order_key", "vendor_id"], "left")
-    upd = j.select(
+    return j.select(
         "id", "order_id", "vendor_id",
         F.coalesce(F.col("_c.status"), F.col("status")).alias("status"),
         F.when(F.col("_c").isNotNull(), F.col("_c.status_note")).otherwise(F.col("status_note")).alias("status_note"),
         F.coalesce(F.col("_c.ts"), F.col("updated_at")).alias("updated_at"))
-    return upd, verdict
 
 
 def order_contact_link(vendor_orders: DataFrame, vendors: DataFrame) -> DataFrame:

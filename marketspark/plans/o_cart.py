@@ -7,7 +7,7 @@ ADAPTERS["mk_cart"] = """
 SELECT 'u' || user_id AS user_id, event_id AS seq, ts,
        CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'add' WHEN 'view' THEN 'set'
             WHEN 'error' THEN 'remove' ELSE CASE WHEN event_id % 4 = 0 THEN 'clear' ELSE 'add' END END AS kind,
-       'p' || (event_id % 5) AS product_id,
+       'p' || (event_id % 5 + 5 * (user_id % 7)) AS product_id,
        CASE WHEN event_type = 'view' THEN CAST(floor(value) AS INTEGER) % 6 - 1
             ELSE 1 + CAST(floor(value) AS INTEGER) % 4 END AS qty,
        'Item ' || (event_id % 5) AS snap_name,
@@ -81,17 +81,17 @@ FROM c_lines GROUP BY 1, 2""")
 
 oracle("wishlist_state", """
 SELECT user_id, product_id, added_at, added_seq FROM (
-  SELECT 'u' || user_id AS user_id, 'p' || (event_id % 7) AS product_id, count(*) AS n,
+  SELECT 'u' || user_id AS user_id, 'p' || (event_id % 7 + 7 * (user_id % 5)) AS product_id, count(*) AS n,
          arg_max(ts, (ts, event_id)) AS added_at, arg_max(event_id, (ts, event_id)) AS added_seq
-  FROM events WHERE event_type = 'click' GROUP BY 1, 2) WHERE n % 2 = 1""")
+  FROM events GROUP BY 1, 2) WHERE n % 2 = 1""")
 
 oracle("promo_code_check", """
 SELECT code, count(*) AS n_uses, code = 'SAVE10' AS valid FROM (
   SELECT upper(trim(coalesce(CASE event_id % 5 WHEN 0 THEN ' save10 ' WHEN 1 THEN 'SAVE10' WHEN 2 THEN 'SAVE20'
                                   WHEN 3 THEN 'Save 10' END, ''))) AS code
-  FROM events WHERE event_type = 'purchase') GROUP BY code""")
+  FROM events) GROUP BY code""")
 
 oracle("clamp_qty", """
-SELECT 'u' || user_id AS user_id, event_id AS seq, 'p' || (event_id % 5) AS product_id,
+SELECT 'u' || user_id AS user_id, event_id AS seq, 'p' || (event_id % 5 + 5 * (user_id % 7)) AS product_id,
        greatest(1, least(10, CAST(floor(value) AS INTEGER) % 16 - 3)) AS qty
-FROM events WHERE event_type = 'click'""")
+FROM events""")

@@ -74,8 +74,9 @@ SELECT request_id, id, row_number() OVER (PARTITION BY request_id ORDER BY {SORT
 FROM b_match""")
 
 oracle("featured_products", """
-SELECT id, name, row_number() OVER (ORDER BY pos, id) AS rank
-FROM (SELECT * FROM np WHERE coalesce(badge, '') <> '' ORDER BY pos, id LIMIT 8)""")
+SELECT np.id, np.name, row_number() OVER (ORDER BY nv.pos, np.pos, np.id) AS rank
+FROM nv JOIN np ON np.vendor = nv.id WHERE coalesce(badge, '') <> ''
+ORDER BY rank LIMIT 8""")
 
 oracle("vendor_shelf", """
 SELECT vendor, id, rank FROM (

@@ -1,7 +1,7 @@
 """Oracle SQL for the column expressions."""
 
 from .o_orders import naira
-from .sql_fixed import QL, QS, SAFE_DEFAULT
+from .sql_fixed import QL, QS, SAFE_DEFAULT, WHATSAPP
 from .oracle import oracle
 
 ESC = "replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
@@ -22,7 +22,7 @@ WITH s AS (
          CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.8 AS DECIMAL(3,2)) AS price,
          CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN CAST(0 AS DECIMAL(18,2))
               ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS original,
-         CAST(o_orderkey % 50 AS DOUBLE) / 10 AS rating,
+         CAST(o_orderkey % 80 - 10 AS DOUBLE) / 10 AS rating,
          CASE o_orderkey % 3 WHEN 0 THEN 'Top Rated' WHEN 1 THEN 'Best Seller Now' ELSE 'New' END AS badge,
          o_orderpriority || ' & <' || o_orderstatus || '> "q" ''s' AS text,
          CASE o_orderkey % 4 WHEN 0 THEN 'https://x.org/' || o_orderkey WHEN 1 THEN 'javascript:x'
@@ -41,11 +41,13 @@ SELECT k,
   CASE WHEN original IS NULL OR original = 0 THEN 0
        ELSE CAST(floor((1 - CAST(price AS DOUBLE) / CAST(original AS DOUBLE)) * 100 + 0.5) AS INTEGER) END
     AS percent_off,
-  CAST(floor(rating) AS INTEGER) AS stars_full, rating - floor(rating) >= 0.5 AS stars_half,
-  5 - CAST(floor(rating) AS INTEGER) - CAST(rating - floor(rating) >= 0.5 AS INTEGER) AS stars_empty,
+  CAST((SELECT count(*) FROM range(5) t(i) WHERE i < floor(rating)) AS INTEGER) AS stars_full,
+  floor(rating) IN (0, 1, 2, 3, 4) AND rating % 1 >= 0.5 AS stars_half,
+  CAST((SELECT count(*) FROM range(5) t(i) WHERE NOT i < floor(rating) AND NOT (i = floor(rating) AND rating % 1 >= 0.5)) AS INTEGER)
+    AS stars_empty,
   CASE WHEN starts_with(d2, '234') AND length(d2) = 13 THEN '+' || d2
        WHEN starts_with(inp, '+') AND length(d2) BETWEEN 8 AND 15 THEN '+' || d2 END AS phone_e164,
-  regexp_replace(coalesce(nullif(phone, ''), '2348147923724'), '[^0-9]', '', 'g') AS wa_digits,
+  regexp_replace(coalesce(nullif(phone, ''), {WHATSAPP}), '[^0-9]', '', 'g') AS wa_digits,
   {URI.format(x="text")} AS uri,
   {ESC.format(x="text")} AS html,
   CASE WHEN trim(link) <> '' AND regexp_matches(trim(link), '^(https?://|[a-z0-9][a-z0-9._/-]*(\\?[^\\s]*)?$)', 'i')

@@ -1,6 +1,6 @@
 """Oracle SQL for order intake."""
 
-from .sql_fixed import INQUIRY, NEW_ORDER, STORE
+from .sql_fixed import INQUIRY, NEW_ORDER, STORE, WHATSAPP
 from .oracle import ADAPTERS, oracle
 
 # naira in DuckDB: grouped, up to 3 decimals, trailing zeros dropped
@@ -67,7 +67,7 @@ lines AS (
   GROUP BY vo.id),
 msg AS (
   SELECT vo.id, vo.vendor_id,
-         regexp_replace(coalesce(nullif(wa, ''), '2348147923724'), '[^0-9]', '', 'g') AS number,
+         regexp_replace(coalesce(nullif(wa, ''), {WHATSAPP}), '[^0-9]', '', 'g') AS number,
          {NEW_ORDER} || chr(10) || chr(10) || '*Boutique:* '
          || coalesce(nullif(vname, ''), {STORE}) || chr(10) || chr(10)
          || '*Customer Details:*' || chr(10) || '👤 Name: ' || customer_name
@@ -88,7 +88,7 @@ FROM msg""")
 
 oracle("product_inquiry_link", f"""
 WITH m AS (
-  SELECT p.id, coalesce(nullif(nv.whatsapp, ''), '2348147923724') AS number,
+  SELECT p.id, coalesce(nullif(nv.whatsapp, ''), {WHATSAPP}) AS number,
          {INQUIRY} || chr(10) || chr(10) || '*Product:* ' || p.name
          || chr(10) || '*Price:* ' || {naira("p.price")}
          || chr(10) || '*Vendor:* ' || coalesce(nv.name, '')

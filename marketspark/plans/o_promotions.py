@@ -36,8 +36,8 @@ SELECT 'vendor', id, id IN (SELECT vendor_id FROM g_act WHERE promotion_type = '
 oracle("homepage_featured", """
 WITH sp AS (SELECT product_id, min(rank) AS r FROM g_act WHERE promotion_type = 'product' GROUP BY product_id),
 spx AS (SELECT product_id, 0 AS src, r FROM sp WHERE product_id IN (SELECT id FROM np)),
-org AS (SELECT id AS product_id, 1 AS src, row_number() OVER (ORDER BY pos, id) AS r
-        FROM (SELECT * FROM np WHERE coalesce(badge, '') <> '' ORDER BY pos, id LIMIT 8)),
+org AS (SELECT np.id AS product_id, 1 AS src, row_number() OVER (ORDER BY nv.pos, np.pos, np.id) AS r
+        FROM nv JOIN np ON np.vendor = nv.id WHERE coalesce(badge, '') <> '' ORDER BY r LIMIT 8),
 orgx AS (SELECT * FROM org WHERE product_id NOT IN (SELECT product_id FROM sp WHERE product_id IS NOT NULL)),
 allx AS (SELECT * FROM spx UNION ALL SELECT * FROM orgx)
 SELECT product_id, src = 0 AS sponsored, row_number() OVER (ORDER BY src, r) AS rank

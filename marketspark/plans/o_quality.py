@@ -1,10 +1,16 @@
 """Oracle SQL for data quality."""
 
+from ..functions import expr as K
+from ..operators import quality as J
+from ..sources.raw_sql import NOT_NULL, RAW, REFERENCES, UNIQUE
+from ..sources.testdata import SOURCE_TABLES
 from .oracle import ADAPTERS, oracle
+from .sql_fixed import lit
 
-ADAPTERS["j_pay"] = """
-SELECT vendor_id, plan, amount, period_start, period_end, 'paid' AS payment_status, nullif(trim(notes), '') AS notes
-FROM s_periods WHERE kind = 'pay'"""
+for _name, _text in RAW.items():
+    for _table in SOURCE_TABLES:
+        _text = _text.replace(f"@{_table}", _table)
+    ADAPTERS[f"raw_{_name}"] = _text.replace("STR)", "VARCHAR)")
 
 
 def _rules(table, source, rules):
@@ -16,92 +22,54 @@ def _rules(table, source, rules):
     return "\nUNION ALL\n".join(parts)
 
 
-ST6 = "('pending', 'confirmed', 'paid', 'shipped', 'delivered', 'cancelled')"
+def _in(column: str, values) -> str:
+    return f"{column} IN (" + ", ".join(lit(v) for v in values) + ")"
+
+
+# null passes; broken text is no array (CASE keeps the JSON functions off it)
+ITEMS = ("CASE WHEN items IS NULL THEN true WHEN NOT json_valid(items) THEN false "
+         "WHEN json_type(items) <> 'ARRAY' THEN false ELSE json_array_length(items) > 0 END")
 
 oracle("check_rules", "WITH RECURSIVE\n" + "\nUNION ALL\n".join([
-    _rules("products", "np", [("price_nonnegative", "price >= 0")]),
-    _rules("orders", "o_orders", [("items_nonempty", "json_array_length(items) > 0"),
-                                  ("total_nonnegative", "total >= 0"), ("status_valid", f"status IN {ST6}")]),
-    _rules("vendor_orders", "o_vendor_orders", [("items_nonempty", "json_array_length(items) > 0"),
-                                                ("subtotal_nonnegative", "subtotal >= 0"),
-                                                ("status_valid", f"status IN {ST6}"),
-                                                ("note_length", "status_note IS NULL OR length(status_note) <= 500")]),
-    _rules("promotions", "mk_promotions", [
-        ("type_valid", "promotion_type IN ('boutique', 'product', 'banner')"),
+    _rules("products", "raw_products", [("price_nonnegative", "price >= 0")]),
+    _rules("orders", "raw_orders", [("items_nonempty", ITEMS), ("total_nonnegative", "total >= 0"),
+                                    ("status_valid", _in("status", K.ORDER_STATUSES))]),
+    _rules("vendor_orders", "raw_vendor_orders", [("items_nonempty", ITEMS), ("subtotal_nonnegative", "subtotal >= 0"),
+                                                  ("status_valid", _in("status", K.ORDER_STATUSES)),
+                                                  ("note_length", "status_note IS NULL OR length(status_note) <= 500")]),
+    _rules("promotions", "raw_promotions", [
+        ("type_valid", _in("promotion_type", J.PROMO_TYPES)),
         ("dates_ordered", "ends_at > starts_at"), ("amount_nonnegative", "amount_paid >= 0"),
         ("level_range", "placement_level BETWEEN 1 AND 3"),
-        ("payment_valid", "payment_status IN ('pending', 'paid', 'refunded')"),
-        ("status_valid", "status IN ('draft', 'active', 'paused', 'cancelled')"),
+        ("payment_valid", _in("payment_status", J.PROMO_PAYMENT)),
+        ("status_valid", _in("status", J.PROMO_STATUS)),
         ("title_length", "title IS NULL OR length(title) <= 100"),
         ("subtitle_length", "subtitle IS NULL OR length(subtitle) <= 240"),
         ("target_valid", "(promotion_type = 'boutique' AND vendor_id IS NOT NULL AND product_id IS NULL) OR "
                          "(promotion_type = 'product' AND vendor_id IS NOT NULL AND product_id IS NOT NULL) OR "
                          "(promotion_type = 'banner' AND product_id IS NULL AND title IS NOT NULL)")]),
-    _rules("subscriptions", "s_state", [("plan_valid", "plan IN ('trial', 'launch', 'monthly', 'annual')"),
-                                        ("status_valid", "status IN ('trial', 'active', 'suspended', 'cancelled')"),
-                                        ("period_ordered", "access_ends_at > current_period_start")]),
-    _rules("payments", "j_pay", [("plan_valid", "plan IN ('launch', 'monthly', 'annual')"),
-                                 ("amount_positive", "amount > 0"), ("period_ordered", "period_end > period_start"),
-                                 ("status_valid", "payment_status IN ('paid', 'refunded')"),
-                                 ("notes_length", "notes IS NULL OR length(notes) <= 500")]),
+    _rules("subscriptions", "raw_subscriptions", [("plan_valid", _in("plan", J.SUB_PLANS)),
+                                                  ("status_valid", _in("status", J.SUB_STATUS)),
+                                                  ("period_ordered", "access_ends_at > current_period_start")]),
+    _rules("payments", "raw_payments", [("plan_valid", _in("plan", J.PAY_PLANS)),
+                                        ("amount_positive", "amount > 0"), ("period_ordered", "period_end > period_start"),
+                                        ("status_valid", _in("payment_status", J.PAY_STATUS)),
+                                        ("notes_length", "notes IS NULL OR length(notes) <= 500")]),
 ]))
 
-ADAPTERS["j_staff"] = """
-SELECT s.email, s.role, s.vendor_id, u.uid AS user_id FROM mk_staff s
-LEFT JOIN (SELECT lower(email) AS email, min(id) AS uid FROM mk_users GROUP BY 1) u ON u.email = s.email"""
-
-oracle("check_unique", """
-SELECT 'products.id' AS "check", id AS key, count(*) AS n FROM np GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'vendors.id', id, count(*) FROM nv GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'orders.id', id, count(*) FROM o_orders GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'vendor_orders.order_vendor', order_id || '|' || vendor_id, count(*) FROM o_vendor_orders
-          GROUP BY order_id, vendor_id HAVING count(*) > 1
-UNION ALL SELECT 'reviews.id', id, count(*) FROM mk_reviews GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'staff.user_id', user_id, count(*) FROM j_staff WHERE user_id IS NOT NULL
-          GROUP BY user_id HAVING count(*) > 1
-UNION ALL SELECT 'staff.vendor_id', coalesce(vendor_id, ''), count(*) FROM j_staff WHERE role = 'vendor'
-          GROUP BY vendor_id HAVING count(*) > 1""")
+oracle("check_unique", "\nUNION ALL\n".join(
+    f"SELECT '{table}.{'_'.join(keys)}' AS \"check\", {" || '|' || ".join(keys)} AS key, count(*) AS n FROM raw_{table} "
+    f"WHERE {' AND '.join(f'{k} IS NOT NULL' for k in keys)}{f' AND {where}' if where else ''} "
+    f"GROUP BY {', '.join(keys)} HAVING count(*) > 1" for table, keys, where in UNIQUE))
 
-oracle("check_foreign_keys", """WITH RECURSIVE
-SELECT 'products.vendor' AS "check", (SELECT count(*) FROM np WHERE vendor IS NOT NULL
-        AND vendor NOT IN (SELECT id FROM nv)) AS n_orphans
-UNION ALL SELECT 'vendor_orders.order_id', (SELECT count(*) FROM o_vendor_orders WHERE order_id IS NOT NULL
-        AND order_id NOT IN (SELECT id FROM o_orders))
-UNION ALL SELECT 'vendor_orders.vendor_id', (SELECT count(*) FROM o_vendor_orders WHERE vendor_id IS NOT NULL
-        AND vendor_id NOT IN (SELECT id FROM nv))
-UNION ALL SELECT 'promotions.vendor_id', (SELECT count(*) FROM mk_promotions WHERE vendor_id IS NOT NULL
-        AND vendor_id NOT IN (SELECT id FROM nv))
-UNION ALL SELECT 'promotions.product_id', (SELECT count(*) FROM mk_promotions WHERE product_id IS NOT NULL
-        AND product_id NOT IN (SELECT id FROM np))
-UNION ALL SELECT 'subscriptions.vendor_id', (SELECT count(*) FROM s_state WHERE vendor_id NOT IN (SELECT id FROM nv))
-UNION ALL SELECT 'payments.vendor_id', (SELECT count(*) FROM j_pay WHERE vendor_id NOT IN (SELECT id FROM nv))
-UNION ALL SELECT 'orders.user_id', (SELECT count(*) FROM o_orders WHERE user_id IS NOT NULL
-        AND user_id NOT IN (SELECT id FROM mk_users))
-UNION ALL SELECT 'staff.user_id', (SELECT count(*) FROM j_staff WHERE user_id IS NOT NULL
-        AND user_id NOT IN (SELECT id FROM mk_users))
-UNION ALL SELECT 'reviews.product', (SELECT count(*) FROM mk_reviews WHERE product NOT IN (SELECT id FROM np))""")
+oracle("check_foreign_keys", "WITH RECURSIVE\n" + "\nUNION ALL\n".join(
+    f"SELECT '{child}.{ck}' AS \"check\", (SELECT count(*) FROM raw_{child} c WHERE {ck} IS NOT NULL "
+    f"AND NOT EXISTS (SELECT 1 FROM raw_{parent} p WHERE p.{pk} = c.{ck})) AS n_orphans"
+    for child, refs in REFERENCES.items() for ck, parent, pk in refs))
 
-oracle("check_not_null", """
-SELECT 'vendors' AS "table", 'id' AS "column", count(*) FILTER (WHERE id IS NULL) AS n_nulls FROM nv
-UNION ALL SELECT 'vendors', 'name', count(*) FILTER (WHERE name IS NULL) FROM nv
-UNION ALL SELECT 'products', 'id', count(*) FILTER (WHERE id IS NULL) FROM np
-UNION ALL SELECT 'products', 'vendor', count(*) FILTER (WHERE vendor IS NULL) FROM np
-UNION ALL SELECT 'products', 'name', count(*) FILTER (WHERE name IS NULL) FROM np
-UNION ALL SELECT 'products', 'price', count(*) FILTER (WHERE price IS NULL) FROM np
-UNION ALL SELECT 'orders', 'id', count(*) FILTER (WHERE id IS NULL) FROM o_orders
-UNION ALL SELECT 'orders', 'user_id', count(*) FILTER (WHERE user_id IS NULL) FROM o_orders
-UNION ALL SELECT 'orders', 'customer_name', count(*) FILTER (WHERE customer_name IS NULL) FROM o_orders
-UNION ALL SELECT 'orders', 'customer_phone', count(*) FILTER (WHERE customer_phone IS NULL) FROM o_orders
-UNION ALL SELECT 'orders', 'customer_address', count(*) FILTER (WHERE customer_address IS NULL) FROM o_orders
-UNION ALL SELECT 'orders', 'items', count(*) FILTER (WHERE items IS NULL) FROM o_orders
-UNION ALL SELECT 'orders', 'total', count(*) FILTER (WHERE total IS NULL) FROM o_orders
-UNION ALL SELECT 'orders', 'status', count(*) FILTER (WHERE status IS NULL) FROM o_orders
-UNION ALL SELECT 'vendor_orders', 'order_id', count(*) FILTER (WHERE order_id IS NULL) FROM o_vendor_orders
-UNION ALL SELECT 'vendor_orders', 'vendor_id', count(*) FILTER (WHERE vendor_id IS NULL) FROM o_vendor_orders
-UNION ALL SELECT 'vendor_orders', 'user_id', count(*) FILTER (WHERE user_id IS NULL) FROM o_vendor_orders
-UNION ALL SELECT 'vendor_orders', 'items', count(*) FILTER (WHERE items IS NULL) FROM o_vendor_orders
-UNION ALL SELECT 'vendor_orders', 'subtotal', count(*) FILTER (WHERE subtotal IS NULL) FROM o_vendor_orders
-UNION ALL SELECT 'vendor_orders', 'status', count(*) FILTER (WHERE status IS NULL) FROM o_vendor_orders""")
+oracle("check_not_null", "\nUNION ALL\n".join(
+    f"SELECT '{table}' AS \"table\", '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS n_nulls FROM raw_{table}"
+    for table, cols in NOT_NULL.items() for c in cols))
 
 oracle("reconcile_orders", """
 WITH a AS (

@@ -6,6 +6,7 @@ from .oracle import ADAPTERS, oracle
 ADAPTERS["mk_vchanges"] = """
 SELECT CASE WHEN event_id % 17 = 0 THEN ' V_' || (user_id % 60) || '! '
             WHEN event_id % 3 = 0 THEN ' New-' || (user_id % 40) || ' '
+            WHEN event_id % 37 = 0 THEN ' V' || (user_id % 60) || chr(10)
             ELSE ' V' || (user_id % 60) || ' ' END AS id,
        event_id AS seq, ts,
        CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op,
@@ -107,7 +108,8 @@ FROM mk_staff s LEFT JOIN (SELECT lower(email) AS email, min(id) AS uid FROM mk_
 oracle("user_claims", """
 WITH j AS (
   SELECT u.id, u.email, u.claims, s.role, s.vendor_id,
-         lower(u.email) IN (SELECT email FROM mk_staff) AS was_staff
+         lower(u.email) IN (SELECT email FROM mk_staff
+                            UNION ALL SELECT email FROM r_acc WHERE reason2 IS NULL AND op = 'upsert') AS was_staff
   FROM mk_users u LEFT JOIN r_staff_linked s ON s.email = lower(u.email)),
 kv AS (
   SELECT id, k || '=' || v AS e FROM (
@@ -144,13 +146,17 @@ SELECT 'p' || (event_id % (SELECT count(*) FROM part)) AS id,
             WHEN event_type = 'view' THEN 'Hot' END AS badge
 FROM events"""
 
+ADAPTERS["r_np"] = """
+SELECT * REPLACE (CASE WHEN pos % 13 <> 5 THEN in_stock END AS in_stock,
+                  CASE WHEN pos % 7 = 3 THEN ' Hot ' ELSE badge END AS badge) FROM np"""
+
 ADAPTERS["r_pstream"] = """
 SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM mk_pchanges"""
 
 ADAPTERS["r_preplay"] = """
 SELECT k.id, 0 AS n, p.id IS NOT NULL AS present, p.vendor, p.name, p.price, p.in_stock, p.badge,
        CASE WHEN p.id IS NOT NULL THEN 'existing' END AS source
-FROM (SELECT id FROM np UNION SELECT id FROM mk_pchanges) k LEFT JOIN np p ON p.id = k.id
+FROM (SELECT id FROM r_np UNION SELECT id FROM mk_pchanges) k LEFT JOIN r_np p ON p.id = k.id
 UNION ALL
 SELECT r.id, c.n,
   CASE WHEN c.op = 'delete' THEN false WHEN c.op = 'upsert' THEN true ELSE r.present END,
@@ -171,8 +177,9 @@ SELECT r.id, c.n,
 FROM r_preplay r JOIN r_pstream c ON c.id = r.id AND c.n = r.n + 1"""
 
 oracle("merge_products", """
-SELECT r.id, r.vendor, r.name, CAST(r.price AS DECIMAL(18,2)) AS price, coalesce(r.in_stock, true) AS in_stock,
-       nullif(trim(coalesce(r.badge, '')), '') AS badge, r.source
+SELECT r.id, r.vendor, r.name, CAST(r.price AS DECIMAL(18,2)) AS price,
+       CASE WHEN r.source = 'existing' THEN r.in_stock ELSE coalesce(r.in_stock, true) END AS in_stock,
+       CASE WHEN r.source = 'existing' THEN r.badge ELSE nullif(trim(coalesce(r.badge, '')), '') END AS badge, r.source
 FROM r_preplay r JOIN (SELECT id, max(n) AS n FROM r_preplay GROUP BY id) m USING (id, n)
 WHERE r.present""")
 

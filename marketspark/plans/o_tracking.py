@@ -1,6 +1,6 @@
 """Oracle SQL for order tracking."""
 
-from .sql_fixed import STORE
+from .sql_fixed import STORE, WHATSAPP
 from .oracle import ADAPTERS, oracle
 
 ADAPTERS["mk_status"] = """
@@ -54,7 +54,7 @@ oracle("status_change_verdicts", "SELECT reason, count(*) AS n_changes FROM e_ve
 oracle("order_contact_link", f"""
 WITH b AS (
   SELECT v.id, v.order_id, nv.name AS vname,
-         regexp_replace(coalesce(nullif(nv.whatsapp, ''), '2348147923724'), '[^0-9]', '', 'g') AS d0
+         regexp_replace(coalesce(nullif(nv.whatsapp, ''), {WHATSAPP}), '[^0-9]', '', 'g') AS d0
   FROM o_vendor_orders v LEFT JOIN nv ON nv.id = v.vendor_id),
 c AS (
   SELECT id, CASE WHEN starts_with(d0, '0') THEN '234' || substr(d0, 2) ELSE d0 END AS number,

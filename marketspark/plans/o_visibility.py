@@ -93,8 +93,8 @@ SELECT event_id AS change_id,
             ELSE 'payments' END AS tbl,
        CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
        CASE user_id % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'vendor' WHEN 2 THEN 'vendor'
-            WHEN 9 THEN 'anon' ELSE 'authenticated' END AS actor_role,
-       'u' || user_id AS actor_user_id,
+            WHEN 8 THEN NULL WHEN 9 THEN 'anon' ELSE 'authenticated' END AS actor_role,
+       CASE WHEN user_id % 10 <> 9 AND event_id % 41 <> 0 THEN 'u' || user_id END AS actor_user_id,
        CASE WHEN user_id % 10 IN (1, 2) THEN 'v' || (user_id % 7) END AS actor_vendor_id,
        'v' || (event_id % 7) AS old_vendor_id,
        'v' || ((event_id + CAST(floor(value) AS BIGINT) % 2) % 7) AS new_vendor_id,
@@ -113,7 +113,7 @@ WITH r AS (
   SELECT *, actor_role = 'admin' AS adm, coalesce(actor_vendor_id, '') AS av FROM mk_proposed),
 v AS (
   SELECT change_id, tbl, op,
-    CASE WHEN actor_role IS NULL OR actor_role = 'anon' THEN false
+    CASE WHEN actor_user_id IS NULL THEN false
          WHEN tbl = 'vendors' AND op = 'update' THEN adm OR (old_vendor_id = av AND new_vendor_id = av)
          WHEN tbl = 'vendors' THEN adm
          WHEN tbl = 'products' AND op = 'insert' THEN adm OR new_vendor_id = av

@@ -101,7 +101,7 @@ def q_browse_many(t):
 @query("featured_products")
 def q_featured_products(t):
     """First 8 badged products."""
-    return C.featured_products(_products(t), 8).select("id", "name", "rank")
+    return C.featured_products(_products(t), _vendors(t), 8).select("id", "name", "rank")
 
 
 @query("vendor_shelf")

@@ -24,7 +24,7 @@ def q_k_expressions(t):
                CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.8 AS DECIMAL(3,2)) AS price,
                CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN CAST(0 AS DECIMAL(18,2))
                     ELSE CAST(o_totalprice AS DECIMAL(18,2)) END AS original,
-               CAST(o_orderkey % 50 AS DOUBLE) / 10 AS rating,
+               CAST(o_orderkey % 80 - 10 AS DOUBLE) / 10 AS rating,
                CASE o_orderkey % 3 WHEN 0 THEN 'Top Rated' WHEN 1 THEN 'Best Seller Now' ELSE 'New' END AS badge,
                o_orderpriority || ' & <' || o_orderstatus || '> "q" ''s' AS text,
                CASE o_orderkey % 4 WHEN 0 THEN 'https://x.org/' || o_orderkey WHEN 1 THEN 'javascript:x'

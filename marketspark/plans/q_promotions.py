@@ -30,7 +30,7 @@ def q_flag_sponsored(t):
 @query("homepage_featured")
 def q_homepage_featured(t):
     """The 8 featured products of the home page."""
-    return G.homepage_featured(L.normalize_products(t.products()), t.promotions(), AT)
+    return G.homepage_featured(L.normalize_products(t.products()), t.promotions(), t.vendors(), AT)
 
 
 @query("sponsored_banners")

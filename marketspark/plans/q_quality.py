@@ -1,4 +1,4 @@
-"""Data-quality queries (J1-J5) over the derived marketplace tables."""
+"""Data-quality queries: J1-J4 over the raw tables, J5 over built orders."""
 
 from __future__ import annotations
 
@@ -6,80 +6,39 @@ from pyspark.sql import functions as F
 
 from ..operators import orders as O
 from ..operators import quality as J
-from ..operators import registry as R
-from ..operators import subscriptions as H
 from ..sources import loaders as L
+from ..sources.raw_sql import NOT_NULL, REFERENCES, UNIQUE
 from .queries import query
 
 
-def _tables(t):
-    it = O.intake(t.order_requests(), L.normalize_products(t.products()))
-    c = H.classify_events(t.subscription_events())
-    periods = H.renewal_periods(c)
-    pays = (periods.filter(F.col("kind") == "pay")
-            .withColumn("notes", F.nullif(F.trim("notes"), F.lit(""))).withColumn("payment_status", F.lit("paid")))
-    return {"products": L.normalize_products(t.products()), "orders": it.orders(),
-            "vendor_orders": it.vendor_orders(), "promotions": t.promotions(),
-            "subscriptions": H.subscription_state(c, periods), "payments": pays}
-
-
 @query("check_rules")
 def q_check_rules(t):
     """Rows checked and rule violations per table and rule."""
-    return J.check_rules(_tables(t))
+    return J.check_rules({name: t.raw_table(name) for name in J.rules()})
 
 
 @query("check_unique")
 def q_check_unique(t):
     """Duplicate keys across the marketplace tables."""
-    x = _tables(t)
-    staff = R.link_staff_users(t.staff(), t.users())
-    return J.check_unique({
-        "products.id": (x["products"], ["id"], None),
-        "vendors.id": (L.normalize_vendors(t.vendors()), ["id"], None),
-        "orders.id": (x["orders"], ["id"], None),
-        "vendor_orders.order_vendor": (x["vendor_orders"], ["order_id", "vendor_id"], None),
-        "reviews.id": (t.reviews(), ["id"], None),
-        "staff.user_id": (staff, ["user_id"], F.col("user_id").isNotNull()),
-        "staff.vendor_id": (staff, ["vendor_id"], F.col("role") == "vendor"),
-    })
+    return J.check_unique({f"{table}.{'_'.join(keys)}": (t.raw_table(table), keys, F.expr(where) if where else None)
+                           for table, keys, where in UNIQUE})
 
 
 @query("check_foreign_keys")
 def q_check_foreign_keys(t):
     """Orphan counts per reference."""
-    x = _tables(t)
-    v = L.normalize_vendors(t.vendors())
-    staff = R.link_staff_users(t.staff(), t.users())
-    return J.check_foreign_keys({
-        "products.vendor": (x["products"], "vendor", v, "id"),
-        "vendor_orders.order_id": (x["vendor_orders"], "order_id", x["orders"], "id"),
-        "vendor_orders.vendor_id": (x["vendor_orders"], "vendor_id", v, "id"),
-        "promotions.vendor_id": (x["promotions"], "vendor_id", v, "id"),
-        "promotions.product_id": (x["promotions"], "product_id", x["products"], "id"),
-        "subscriptions.vendor_id": (x["subscriptions"], "vendor_id", v, "id"),
-        "payments.vendor_id": (x["payments"], "vendor_id", v, "id"),
-        "orders.user_id": (x["orders"], "user_id", t.users(), "id"),
-        "staff.user_id": (staff, "user_id", t.users(), "id"),
-        "reviews.product": (t.reviews(), "product", x["products"], "id"),
-    })
+    return J.check_foreign_keys({child: (t.raw_table(child), [(ck, t.raw_table(parent), pk) for ck, parent, pk in refs])
+                                 for child, refs in REFERENCES.items()})
 
 
 @query("check_not_null")
 def q_check_not_null(t):
     """Nulls in not-null columns."""
-    x = _tables(t)
-    return J.check_not_null({
-        "vendors": (L.normalize_vendors(t.vendors()), ["id", "name"]),
-        "products": (x["products"], ["id", "vendor", "name", "price"]),
-        "orders": (x["orders"], ["id", "user_id", "customer_name", "customer_phone", "customer_address",
-                                 "items", "total", "status"]),
-        "vendor_orders": (x["vendor_orders"], ["order_id", "vendor_id", "user_id", "items", "subtotal", "status"]),
-    })
+    return J.check_not_null({table: (t.raw_table(table), cols) for table, cols in NOT_NULL.items()})
 
 
 @query("reconcile_orders")
 def q_reconcile_orders(t):
     """Orders reconciled with their vendor orders."""
-    x = _tables(t)
-    return J.reconcile_orders(x["orders"], x["vendor_orders"])
+    it = O.intake(t.order_requests(), L.normalize_products(t.products()))
+    return J.reconcile_orders(it.orders(), it.vendor_orders())

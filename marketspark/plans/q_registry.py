@@ -54,8 +54,9 @@ def q_link_staff_users(t):
 @query("user_claims")
 def q_user_claims(t):
     """User claims after the registry log."""
-    staff = R.reassign_vendor_staff(t.staff(), _accepted(t), t.users())
-    return R.user_claims(t.users(), staff, staff_before=t.staff())
+    acc = _accepted(t)
+    staff = R.reassign_vendor_staff(t.staff(), acc, t.users())
+    return R.user_claims(t.users(), staff, staff_before=t.staff(), accepted=acc)
 
 
 @query("vendor_access_list")
@@ -68,7 +69,11 @@ def q_vendor_access_list(t):
 @query("merge_products")
 def q_merge_products(t):
     """I8: product table after the product change log."""
-    return R.merge_products(L.normalize_products(t.products()), t.product_changes())
+    # a catalogue with unset stock flags and untrimmed badges, which only a write may change
+    p = (L.normalize_products(t.products())
+         .withColumn("in_stock", F.when(F.col("pos") % 13 != 5, F.col("in_stock")))
+         .withColumn("badge", F.when(F.col("pos") % 7 == 3, F.lit(" Hot ")).otherwise(F.col("badge"))))
+    return R.merge_products(p, t.product_changes())
 
 
 @query("update_vendor_info")

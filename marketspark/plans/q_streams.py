@@ -1,35 +1,33 @@
-"""Streaming forms (M1-M6): each query replays its input table as an
-ordered file stream (4 micro-batches), runs the Structured Streaming job
-to completion and returns what the sink holds. No oracle: they are
-checked against their batch twins in tests."""
+"""Streaming forms (M1-M6): each query feeds its input table to a file
+source in four time-ordered file sets, runs the Structured Streaming job on
+each, and returns what the sink holds. Results equal the batch twins', so
+the twins' SQL is their oracle (o_streams)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import orders as O
+from ..operators import tracking as E
 from ..sources import loaders as L
 from ..streaming import streams as M
 from .queries import query
 
-N_BATCHES = 4
-
 
 @query("stream_order_intake")
 def q_stream_order_intake(t):
     """M1: vendor orders from the request stream (twin: split_by_vendor)."""
     products = L.normalize_products(t.products())
-    stream, _ = M.replay_table(t.order_requests(), "requests", "requested_at", N_BATCHES)
-    sink = M.run_to_sink(t.spark, M.stream_order_intake(stream, products), "intake", "append",
-                         M.intake_batch(products))
-    return M.read_all(t.spark, sink, "id string")
+    base = M.replay_to_sink(t.order_requests(), "intake", "requested_at", lambda s: M.stream_order_intake(s, products),
+                            "append", M.intake_batch(products))
+    return M.read_all(t.spark, f"{base}/sink", "id string")
 
 
 @query("stream_cart_state")
 def q_stream_cart_state(t):
     """M2: cart lines from the cart event stream (twin: cart_state)."""
-    stream, _ = M.replay_table(t.cart_events(), "cart", "ts", N_BATCHES)
-    sink = M.run_to_sink(t.spark, M.stream_cart_state(stream), "cart", "update")
-    return (M.read_latest(t.spark, sink, ["user_id"], M.CART_OUT)
+    base = M.replay_to_sink(t.cart_events(), "cart", "ts", M.stream_cart_state, "update", M.cart_batch)
+    return (M.read_latest(t.spark, f"{base}/sink", ["user_id"], M.CART_OUT)
              .filter(F.col("row_kind") == "line")
              .select("user_id", "product_id", "qty", "added_at", "added_seq", "name", "price"))
 
@@ -37,27 +35,27 @@ def q_stream_cart_state(t):
 @query("stream_subscriptions")
 def q_stream_subscriptions(t):
     """M3: subscription rows from the event stream (twin: subscription_state)."""
-    stream, _ = M.replay_table(t.subscription_events(), "subs", "ts", N_BATCHES)
-    sink = M.run_to_sink(t.spark, M.stream_subscriptions(stream), "subs", "update")
-    return M.read_latest(t.spark, sink, ["vendor_id"], M.SUB_OUT).drop("n_late")
+    base = M.replay_to_sink(t.subscription_events(), "subs", "ts", M.stream_subscriptions, "update", M.ledger_batch)
+    return M.read_latest(t.spark, f"{base}/sink", ["vendor_id"], M.SUB_OUT).drop("n_late", "row_kind", "late_seq", "late_kind")
 
 
 @query("stream_status")
 def q_stream_status(t):
-    """M4: latest accepted status change per vendor order."""
+    """M4: vendor orders with the status changes of the change stream
+    (twin: apply_status_changes)."""
     ch = t.status_changes().withColumnRenamed("request_id", "order_key")
-    stream, _ = M.replay_table(ch, "status", "ts", N_BATCHES)
-    sink = M.run_to_sink(t.spark, M.stream_status(stream), "status", "update")
-    return M.read_latest(t.spark, sink, ["order_key", "vendor_id"],
-                         "order_key string, vendor_id string, status string, status_note string, ts timestamp_ntz")
+    base = M.replay_to_sink(ch, "status", "ts", M.stream_status, "update")
+    latest = M.read_latest(t.spark, f"{base}/sink", ["order_key", "vendor_id"],
+                           "order_key string, vendor_id string, status string, status_note string, ts timestamp_ntz")
+    vo = O.intake(t.order_requests(), L.normalize_products(t.products())).vendor_orders()
+    return E.set_latest(vo, latest.select("order_key", "vendor_id", F.struct("status", "status_note", "ts").alias("_c")))
 
 
 @query("stream_wishlist")
 def q_stream_wishlist(t):
     """M5: wishlist members from the toggle stream (twin: wishlist_state)."""
-    stream, _ = M.replay_table(t.wishlist_events(), "wish", "ts", N_BATCHES)
-    sink = M.run_to_sink(t.spark, M.stream_wishlist(stream), "wish", "update")
-    counts = M.read_latest(t.spark, sink, ["user_id", "product_id"],
+    base = M.replay_to_sink(t.wishlist_events(), "wish", "ts", M.stream_wishlist, "update")
+    counts = M.read_latest(t.spark, f"{base}/sink", ["user_id", "product_id"],
                            "user_id string, product_id string, n_toggles long, "
                            "last struct<ts:timestamp_ntz,seq:long>")
     return M.wishlist_from_counts(counts)
@@ -66,6 +64,5 @@ def q_stream_wishlist(t):
 @query("stream_promo_tag")
 def q_stream_promo_tag(t):
     """M6: impressions tagged as views stream in (twin: promo_impressions)."""
-    stream, _ = M.replay_table(t.page_views(), "views", "ts", N_BATCHES)
-    sink = M.run_to_sink(t.spark, M.stream_promo_tag(stream, t.promotions()), "promo", "append")
-    return M.read_all(t.spark, sink, "event_id long, promotion_id string, promotion_type string")
+    base = M.replay_to_sink(t.page_views(), "promo", "ts", lambda s: M.stream_promo_tag(s, t.promotions()))
+    return M.read_all(t.spark, f"{base}/sink", "event_id long, promotion_id string, promotion_type string")

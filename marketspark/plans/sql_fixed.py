@@ -8,6 +8,8 @@ def lit(x: str) -> str:
 
 
 STORE = lit(K.STORE_NAME)
+WHATSAPP = lit(K.DEFAULT_WHATSAPP)
+ORDER_STATUSES = "(" + ", ".join(lit(x) for x in K.ORDER_STATUSES) + ")"
 NEW_ORDER = lit(f"🛍️ *NEW ORDER — {K.STORE_NAME}*")
 INQUIRY = lit(f"🛍️ *Product Inquiry — {K.STORE_NAME}*")
 BANNER_IMG = lit(K.BANNER_IMAGE_FALLBACK)

@@ -44,13 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     A cluster sets spark.checkpoint.dir to a shared file system; only when
-    it is unset (local tests) do we make one under the local temp folder.
+    it is unset do we make one under the local temp folder, and only in
+    local mode: anywhere else an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     sc = _context(spark)
     if not d and sc is not None:
         d = sc.getCheckpointDir()
     if not d:
+        master = spark.conf.get("spark.master", "") or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="marketspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and sc.getCheckpointDir() is None:
@@ -66,11 +70,6 @@ def _context(spark: SparkSession):
         return None
 
 
-def default_parallelism(spark: SparkSession) -> int | None:
-    sc = _context(spark)
-    return sc.defaultParallelism if sc is not None else None
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     return ensure_checkpoint_dir(spark)
 

@@ -49,17 +49,20 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet",
                schema: T.StructType | None = None, **options) -> DataFrame:
-    """Read parquet / json / csv / orc with an explicit schema (no inference
-    on the hot path). Parquet and ORC carry their own schema; CSV gets the
-    atomic fields only (with a header by default)."""
+    """Read parquet / json / csv / orc without inference. Parquet and ORC
+    carry their own schema; JSON is read with the given one; CSV columns are
+    matched by their header name and cast (nested fields become null)."""
     r = spark.read.format(fmt).options(**options)
     if schema is not None and fmt == "json":
         r = r.schema(schema)
-    elif schema is not None and fmt == "csv":
-        atomic = T.StructType([f for f in schema.fields
-                               if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))])
-        r = r.schema(atomic).option("header", options.get("header", "true"))
+    elif fmt == "csv":
+        r = r.option("header", options.get("header", "true")).option("inferSchema", "false")
     df = r.load(path)
+    if schema is not None and fmt == "csv":     # columns are found by header name; others stay as text
+        for f in schema.fields:
+            nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
+            if f.name in df.columns and not nested:
+                df = df.withColumn(f.name, F.col(f.name).cast(f.dataType))
     return conform(df, schema) if schema is not None else df
 
 
@@ -85,10 +88,10 @@ def normalize_vendors(df: DataFrame) -> DataFrame:
 
 
 def normalize_products(df: DataFrame) -> DataFrame:
-    """A2: price required (rows without one are dropped as unusable),
-    sizes null -> [], review_count null -> 0; original_price keeps null."""
-    return (df.filter(F.col("price").isNotNull())
-              .withColumn("price", F.col("price").cast("decimal(18,2)"))
+    """A2: sizes null -> [], review_count null -> 0; original_price keeps
+    null. A row without a price stays (J4 reports it); it can be listed but
+    not ordered."""
+    return (df.withColumn("price", F.col("price").cast("decimal(18,2)"))
               .withColumn("original_price", F.col("original_price").cast("decimal(18,2)"))
               .withColumn("sizes", F.coalesce(F.col("sizes"), F.array().cast("array<string>")))
               .withColumn("review_count", F.coalesce(F.col("review_count"), F.lit(0)).cast("int")))

@@ -14,13 +14,10 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import default_parallelism
+from .raw_sql import RAW
 
 SOURCE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders",
                  "lineitem", "events")
-# tables whose rows drive per-row work (small dimension tables stay as read)
-LARGE_TABLES = ("orders", "lineitem", "events", "customer", "part")
-SPREAD_SMALL_FILES = True
 
 
 class TestTables:
@@ -34,27 +31,23 @@ class TestTables:
         self._cache: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        """One driver table. The test files are single-row-group parquet
-        files, which Spark reads as one split; a real source of this size
-        is many files. So when a table arrives in fewer splits than the
-        session has cores it is spread round-robin over them (input
-        layout only - at scale the files already give the splits)."""
+        """One driver table, as its files give it."""
         if name not in self._cache:
-            df = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
-            cores = default_parallelism(self.spark)
-            if SPREAD_SMALL_FILES and cores and name in LARGE_TABLES:
-                try:
-                    splits = df.rdd.getNumPartitions()
-                except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect)
-                    splits = cores
-                if splits < cores:
-                    df = df.repartition(cores)
-            self._cache[name] = df
+            self._cache[name] = self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
         return self._cache[name]
 
     def _sql(self, text: str, **tables: str) -> DataFrame:
         return self.spark.sql(text, **{k: self.raw(v) for k, v in tables.items()})
 
+    # ---- raw tables for the quality checks ---------------------------------
+    def raw_table(self, name: str) -> DataFrame:
+        """A marketplace table as an unchecked source delivers it."""
+        text = RAW[name].replace("{", "{{").replace("}", "}}").replace("STR)", "STRING)")
+        used = [s for s in SOURCE_TABLES if f"@{s}" in text]
+        for s in used:
+            text = text.replace(f"@{s}", "{" + s + "}")
+        return self._sql(text, **{s: s for s in used})
+
     # ---- catalogue -------------------------------------------------------
     def vendors(self) -> DataFrame:
         return self._sql("""
@@ -133,6 +126,8 @@ class TestTables:
                         WHEN 6 THEN '[5]'
                         WHEN 7 THEN '[{{"id":"","qty":1}}]'
                         WHEN 8 THEN '[{{"qty":2}}]'
+                        WHEN 10 THEN '[{{"id":"p6","qty":"5' || char(92) || 'n"}}]'
+                        WHEN 11 THEN '[{{"id":"p7","qty":1}}] x'
                         WHEN 9 THEN '[{{"id":"p5","qty":"7"}},{{"id":"p5","qty":60}},{{"id":"p5","qty":60}}]'
                         ELSE coalesce(good_items, '[]') END AS items
             FROM {o} JOIN {c} ON o_custkey = c_custkey
@@ -146,7 +141,7 @@ class TestTables:
                    CASE event_type WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'add' WHEN 'view' THEN 'set'
                         WHEN 'error' THEN 'remove'
                         ELSE CASE WHEN event_id % 4 = 0 THEN 'clear' ELSE 'add' END END AS kind,
-                   'p' || (event_id % 5) AS product_id,
+                   'p' || (event_id % 5 + 5 * (user_id % 7)) AS product_id,
                    CASE WHEN event_type = 'view' THEN CAST(floor(value) AS INT) % 6 - 1
                         ELSE 1 + CAST(floor(value) AS INT) % 4 END AS qty,
                    named_struct(
@@ -161,21 +156,21 @@ class TestTables:
     def picker_events(self) -> DataFrame:
         """Quantity picker input before clamping (C7): raw values -3..12."""
         return self._sql("""
-            SELECT 'u' || user_id AS user_id, event_id AS seq, 'p' || (event_id % 5) AS product_id,
+            SELECT 'u' || user_id AS user_id, event_id AS seq, 'p' || (event_id % 5 + 5 * (user_id % 7)) AS product_id,
                    CAST(floor(value) AS INT) % 16 - 3 AS picked
-            FROM {e} WHERE event_type = 'click'""", e="events")
+            FROM {e}""", e="events")
 
     def wishlist_events(self) -> DataFrame:
         return self._sql("""
-            SELECT 'u' || user_id AS user_id, event_id AS seq, ts, 'p' || (event_id % 7) AS product_id
-            FROM {e} WHERE event_type = 'click'""", e="events")
+            SELECT 'u' || user_id AS user_id, event_id AS seq, ts, 'p' || (event_id % 7 + 7 * (user_id % 5)) AS product_id
+            FROM {e}""", e="events")
 
     def promo_code_uses(self) -> DataFrame:
         return self._sql("""
             SELECT 'u' || user_id AS user_id, event_id AS seq,
                    CASE event_id % 5 WHEN 0 THEN ' save10 ' WHEN 1 THEN 'SAVE10' WHEN 2 THEN 'SAVE20'
                                      WHEN 3 THEN 'Save 10' END AS code
-            FROM {e} WHERE event_type = 'purchase'""", e="events")
+            FROM {e}""", e="events")
 
     # ---- subscriptions, promotions ---------------------------------------
     def subscription_events(self) -> DataFrame:
@@ -313,6 +308,7 @@ class TestTables:
         return self._sql("""
             SELECT CASE WHEN event_id % 17 = 0 THEN ' V_' || (user_id % 60) || '! '
                         WHEN event_id % 3 = 0 THEN ' New-' || (user_id % 40) || ' '
+                        WHEN event_id % 37 = 0 THEN ' V' || (user_id % 60) || char(10)
                         ELSE ' V' || (user_id % 60) || ' ' END AS id,
                    event_id AS seq, ts,
                    CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'delete' ELSE 'upsert' END AS op,
@@ -362,8 +358,8 @@ class TestTables:
                         ELSE 'payments' END AS tbl,
                    CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op,
                    CASE user_id % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'vendor' WHEN 2 THEN 'vendor'
-                        WHEN 9 THEN 'anon' ELSE 'authenticated' END AS actor_role,
-                   'u' || user_id AS actor_user_id,
+                        WHEN 8 THEN NULL WHEN 9 THEN 'anon' ELSE 'authenticated' END AS actor_role,
+                   CASE WHEN user_id % 10 <> 9 AND event_id % 41 <> 0 THEN 'u' || user_id END AS actor_user_id,
                    CASE WHEN user_id % 10 IN (1, 2) THEN 'v' || (user_id % 7) END AS actor_vendor_id,
                    'v' || (event_id % 7) AS old_vendor_id,
                    'v' || ((event_id + CAST(floor(value) AS BIGINT) % 2) % 7) AS new_vendor_id,

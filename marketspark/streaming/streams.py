@@ -4,22 +4,22 @@ Semantics are those of the batch twins; tests check that a stream over
 several micro-batches gives the batch result over their union.
 
 Sources: any streaming DataFrame with the batch schema (Kafka, a file
-source, a table). `replay_table` turns a batch table into an ordered file
-stream for tests and benchmarks: it writes the rows in time order as
-successive chunks into a folder under spark.checkpoint.dir and reads them
-back with maxFilesPerTrigger=1, so each chunk is one micro-batch.
+source, a table). `replay_to_sink` runs a job on a real file source for
+tests and benchmarks: the table is split by time into file sets once, and
+after each set is appended to the source folder the job runs on what is new.
+Files keep the table's own parallelism; rows without a time come first.
 
 Sinks are written per micro-batch with foreachBatch into
-<sink>/batch_id=<n>, overwriting that folder, so a replayed batch after a
-failure rewrites the same output (idempotent). State and offsets live in
-the query's checkpoint location, also under spark.checkpoint.dir.
+<base>/<table>/batch_id=<n>, overwriting that folder, so a replayed batch
+after a failure rewrites the same output (idempotent). Beside the main table
+"sink" a job may write side tables ("rejected", "late"). State and offsets
+live in the query's checkpoint location, also under spark.checkpoint.dir.
 """
 
 from __future__ import annotations
 
 import decimal
 import json
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,64 +35,80 @@ from ..session import scratch_path, ship_package
 
 # ---- replay and sink helpers ------------------------------------------------
 
+Batch = DataFrame | dict[str, DataFrame]
 
-def replay_table(df: DataFrame, name: str, ts_col: str, n_batches: int = 4) -> tuple[DataFrame, str]:
-    """Write `df` as n time-ordered chunks and return a streaming reader
-    over them (one chunk per micro-batch) and the folder."""
-    spark = df.sparkSession
-    root = scratch_path(spark, f"replay/{name}-{uuid.uuid4().hex[:12]}")
-    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts_col))
-    b = df.withColumn("_us", us)
-    lo, hi = b.agg(F.min("_us"), F.max("_us")).first()
-    span = max(1, (hi or 0) - (lo or 0) + 1)
-    b = b.withColumn("_chunk", F.floor((F.col("_us") - F.lit(lo)) * n_batches / F.lit(span)).cast("int"))
-    for i in range(n_batches):
-        # one file per chunk so that maxFilesPerTrigger=1 is one chunk; the
-        # chunks are written one after another so file times keep the order
-        (b.filter(F.col("_chunk") == i).drop("_us", "_chunk").coalesce(1)
-          .write.mode("append").parquet(root))
-        time.sleep(0.05)
-    stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(root))
-    return stream, root
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _sink_writer(sink: str, transform: Callable[[DataFrame], DataFrame] | None = None):
+def _sink_writer(base: str, transform: Callable[[DataFrame], Batch] | None = None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch) if transform else batch
-        out.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{sink}/batch_id={batch_id}")
+        def put(table: str, df: DataFrame) -> None:
+            df.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+                f"{base}/{table}/batch_id={batch_id}")
+
+        if transform is None:
+            put("sink", batch)
+            return
+        batch = batch.persist()       # several tables are written from one evaluation
+        try:
+            out = transform(batch)
+            for table, df in (out if isinstance(out, dict) else {"sink": out}).items():
+                put(table, df)
+        finally:
+            batch.unpersist()
     return write
 
 
-def run_to_sink(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append",
-                transform: Callable[[DataFrame], DataFrame] | None = None) -> str:
-    """Run `stream` until its input is drained (availableNow) and return
-    the sink folder."""
-    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+def run_to_sink(stream: DataFrame, base: str, output_mode: str = "append",
+                transform: Callable[[DataFrame], Batch] | None = None) -> None:
+    """Run `stream` on what its source holds that is new (availableNow)."""
     q = (stream.writeStream.outputMode(output_mode)
          .option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(_sink_writer(f"{base}/sink", transform))
+         .foreachBatch(_sink_writer(base, transform))
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return f"{base}/sink"
+
+
+def replay_to_sink(df: DataFrame, name: str, ts_col: str, build: Callable[[DataFrame], DataFrame],
+                   output_mode: str = "append", transform: Callable[[DataFrame], Batch] | None = None,
+                   n_batches: int = 4) -> str:
+    """Feed df to the job `build(stream)` in n time-ordered file sets and
+    return the folder of its tables. The table is scanned once."""
+    spark = df.sparkSession
+    base = scratch_path(spark, f"streams/{name}-{uuid.uuid4().hex[:12]}")
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts_col))
+    timed = df.withColumn("_us", us)
+    lo, hi = timed.agg(F.min("_us"), F.max("_us")).first()
+    span = max(1, (hi or 0) - (lo or 0) + 1)
+    part = F.coalesce(F.floor((F.col("_us") - F.lit(lo or 0)) * n_batches / F.lit(span)), F.lit(0)).cast("int")
+    timed.withColumn("_part", part).drop("_us").write.partitionBy("_part").parquet(f"{base}/parts")
+    for i in range(n_batches):
+        if not folder_exists(spark, f"{base}/parts/_part={i}"):
+            continue
+        spark.read.schema(df.schema).parquet(f"{base}/parts/_part={i}").write.mode("append").parquet(f"{base}/source")
+        run_to_sink(build(spark.readStream.schema(df.schema).parquet(f"{base}/source")), base, output_mode, transform)
+    return base
 
 
 def read_latest(spark: SparkSession, sink: str, keys: list[str], schema: str) -> DataFrame:
-    """Rows of the last micro-batch that emitted each key (update mode)."""
-    try:
-        df = spark.read.parquet(sink)
-    except Exception:  # noqa: BLE001 - an empty stream writes no batch folder
+    """Rows of the last micro-batch that emitted each key (update mode).
+    A stream without input has written no folder: no rows."""
+    if not folder_exists(spark, sink):
         return spark.createDataFrame([], schema)
+    df = spark.read.parquet(sink)
     last = df.groupBy(*keys).agg(F.max("_batch").alias("_last"))
     return (df.join(last, keys).filter(F.col("_batch") == F.col("_last"))
               .drop("_batch", "_last", "batch_id"))
 
 
 def read_all(spark: SparkSession, sink: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.parquet(sink).drop("_batch", "batch_id")
-    except Exception:  # noqa: BLE001
+    if not folder_exists(spark, sink):
         return spark.createDataFrame([], schema)
+    return spark.read.parquet(sink).drop("_batch", "batch_id")
 
 
 # ---- M1: order intake -------------------------------------------------------
@@ -102,7 +118,8 @@ def stream_order_intake(requests: DataFrame, products: DataFrame, watermark: str
     """M1: requests stream -> de-duplicated by request_id within the
     watermark -> the batch intake on every micro-batch (foreachBatch).
     Returns the streaming DataFrame to pass to `run_to_sink` with
-    `intake_batch(products)` as transform."""
+    `intake_batch(products)` as transform, which also writes the rejected
+    requests with their reasons."""
     # watermarks need TIMESTAMP (not NTZ): a derived event-time column
     return (requests.withColumn("_event_time", F.col("requested_at").cast("timestamp"))
                     .withWatermark("_event_time", watermark)
@@ -110,9 +127,10 @@ def stream_order_intake(requests: DataFrame, products: DataFrame, watermark: str
                     .drop("_event_time"))
 
 
-def intake_batch(products: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    def f(batch: DataFrame) -> DataFrame:
-        return O.intake(batch, products).vendor_orders()
+def intake_batch(products: DataFrame) -> Callable[[DataFrame], Batch]:
+    def f(batch: DataFrame) -> Batch:
+        it = O.intake(batch, products)
+        return {"sink": it.vendor_orders(), "rejected": it.rejected()}
     return f
 
 
@@ -127,6 +145,10 @@ def _order_key(ts, seq) -> list:
     return [int(pd.Timestamp(ts).value), int(seq)]
 
 
+_NO_LINE = {"qty": None, "added_at": None, "added_seq": None, "name": None, "price": None,
+            "original_price": None, "vendor": None}
+
+
 def _cart_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Apply one user's events of this micro-batch, in (ts, seq) order, to
     the cart kept in state (product -> line, plus the last applied event).
@@ -165,8 +187,7 @@ def _cart_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
                             "original": None if snap.get("original_price") is None else str(snap.get("original_price")),
                             "vendor": snap.get("vendor")}
     state.update((json.dumps({"lines": lines, "last": last}),))
-    empty = {"qty": None, "added_at": None, "added_seq": None, "name": None, "price": None,
-             "original_price": None, "vendor": None}
+    empty = _NO_LINE
     rows = [{"user_id": user, "product_id": p, "qty": v["qty"], "added_at": pd.Timestamp(v["ts"]),
              "added_seq": v["seq"], "name": v["name"],
              "price": None if v["price"] is None else decimal.Decimal(v["price"]),
@@ -180,18 +201,27 @@ def _cart_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator
 
 def stream_cart_state(events: DataFrame) -> DataFrame:
     """M2: cart per user with applyInPandasWithState (state = the user's
-    lines; bounded by the distinct products in one cart)."""
+    lines, bounded by the distinct products in one cart, and the last event
+    applied, kept as long as the user may send one). No timeout: an event
+    time timeout would drop late events unseen, and a processing time
+    timeout keeps an availableNow run from ending."""
     ship_package(events.sparkSession)
     return (events.groupBy("user_id")
                   .applyInPandasWithState(_cart_fold, CART_OUT, CART_STATE, "update",
                                           GroupStateTimeout.NoTimeout))
 
 
+def cart_batch(batch: DataFrame) -> Batch:
+    """Carts, and beside them the events that came too late to be applied."""
+    late = F.col("row_kind") == "late"
+    return {"sink": batch.filter(~late), "late": batch.filter(late)}
+
+
 # ---- M3: subscription ledger ---------------------------------------------------
 
 SUB_OUT = ("vendor_id string, plan string, status string, access_started_at timestamp_ntz, "
            "current_period_start timestamp_ntz, access_ends_at timestamp_ntz, last_payment_at timestamp_ntz, "
-           "updated_at timestamp_ntz, n_payments long, n_late long")
+           "updated_at timestamp_ntz, n_payments long, n_late long, row_kind string, late_seq long, late_kind string")
 SUB_STATE = "ledger string"
 _DAY = pd.Timedelta(days=1)
 
@@ -199,15 +229,20 @@ _DAY = pd.Timedelta(days=1)
 def _ledger_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Apply one vendor's subscription events in (ts, seq) order, exactly as
     the payment / management calls do, keeping the row in state. An event
-    older than the last applied one is counted as late and not applied."""
+    older than the last applied one is not applied: it is counted, and
+    emitted as a 'late' row. The state is one row per vendor, for as long as
+    the vendor exists."""
     st = json.loads(state.get[0]) if state.exists else {"row": None, "last": None, "late": 0}
     s, last, n_late = st["row"], st["last"], st["late"]
     ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
     T = pd.Timestamp
+    late = []
     for r in ev.itertuples(index=False):
         k = _order_key(r.ts, r.seq)
         if last is not None and k <= last:
             n_late += 1
+            late.append({"vendor_id": key[0], "plan": r.plan, "updated_at": T(r.ts), "row_kind": "late",
+                         "late_seq": int(r.seq), "late_kind": r.kind})
             continue
         last = k
         ts = T(r.ts)
@@ -244,13 +279,16 @@ def _ledger_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
             continue
         s["updated"] = ts.isoformat()
     state.update((json.dumps({"row": s, "last": last, "late": n_late}),))
+    columns = [c.strip().split(" ")[0] for c in SUB_OUT.split(",")]
+    if late:
+        yield pd.DataFrame(late, columns=columns)
     if s is None:
         return
     yield pd.DataFrame([{"vendor_id": key[0], "plan": s["plan"], "status": s["status"],
                          "access_started_at": T(s["started"]), "current_period_start": T(s["cps"]),
                          "access_ends_at": T(s["end"]),
                          "last_payment_at": None if s["last_pay"] is None else T(s["last_pay"]),
-                         "updated_at": T(s["updated"]), "n_payments": s["n_pay"], "n_late": n_late}])
+                         "updated_at": T(s["updated"]), "n_payments": s["n_pay"], "n_late": n_late, "row_kind": "row"}], columns=columns)
 
 
 def stream_subscriptions(events: DataFrame) -> DataFrame:
@@ -261,12 +299,20 @@ def stream_subscriptions(events: DataFrame) -> DataFrame:
                                           GroupStateTimeout.NoTimeout))
 
 
+def ledger_batch(batch: DataFrame) -> Batch:
+    """Subscription rows, and beside them the events that came too late."""
+    late = F.col("row_kind") == "late"
+    return {"sink": batch.filter(~late).drop("row_kind", "late_seq", "late_kind"),
+            "late": batch.filter(late).select("vendor_id", "plan", F.col("updated_at").alias("ts"), "late_seq", "late_kind")}
+
+
 # ---- M4, M5: streaming aggregates in update mode --------------------------------
 
 
 def stream_status(changes: DataFrame) -> DataFrame:
     """M4: latest accepted status change per vendor order (streaming
-    max_by; the state is one row per key)."""
+    max_by; the state is one row per vendor order). `tracking.set_latest`
+    applies them to the vendor orders."""
     from ..operators.tracking import MAX_NOTE
     from ..functions import expr as K
     ok = (changes.filter(F.col("status").isin(*K.ORDER_STATUSES)
@@ -300,6 +346,6 @@ def stream_promo_tag(views: DataFrame, promotions: DataFrame) -> DataFrame:
     return G.promo_impressions(views, promotions)
 
 
-__all__ = ["replay_table", "run_to_sink", "read_latest", "read_all", "stream_order_intake", "intake_batch",
-           "stream_cart_state", "stream_subscriptions", "stream_status", "stream_wishlist",
+__all__ = ["replay_to_sink", "run_to_sink", "folder_exists", "read_latest", "read_all", "stream_order_intake", "intake_batch",
+           "stream_cart_state", "cart_batch", "stream_subscriptions", "ledger_batch", "stream_status", "stream_wishlist",
            "wishlist_from_counts", "stream_promo_tag"]

@@ -71,7 +71,7 @@ def test_merge_reprice_availability_and_split(spark):
     assert set(orders) == {"r3"}
     assert orders["r3"]["total"] == Decimal("52.50") and orders["r3"]["n_items"] == 2
     assert orders["r3"]["items"].startswith('[{"id":"p1","vendor":"vA"')
-    assert orders["r3"]["id"].startswith("ZS-240101-")
+    assert orders["r3"]["id"].startswith("ORD-240101-")
     vo = it.vendor_orders().collect()
     assert sorted((r["vendor_id"], r["subtotal"]) for r in vo) == [("vA", Decimal("50.00")), ("vB", Decimal("2.50"))]
     assert sum(r["subtotal"] for r in vo) == orders["r3"]["total"]
@@ -87,7 +87,7 @@ def test_whatsapp_outbox_text_and_link(spark):
     assert r["number"] == K.DEFAULT_WHATSAPP
     assert "  • Soap & Co (big)\nline (×1) — ₦10" in r["message"]
     assert "*Boutique:* Shop A" in r["message"] and "✉️ Email: Not provided" in r["message"]
-    assert r["url"].startswith("https://wa.me/2348147923724?text=")
+    assert r["url"].startswith(f"https://wa.me/{K.DEFAULT_WHATSAPP}?text=")
     assert "Soap%20%26%20Co%20(big)%0Aline" in r["url"]
 
 

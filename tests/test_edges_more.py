@@ -104,6 +104,7 @@ def test_home_featured_cut_before_subtraction(spark):
     before subtracting, as on the page); 8 in total."""
     prods = spark.createDataFrame([(f"p{i}", "v1", f"P{i}", "Hot", i) for i in range(12)],
                                   "id string, vendor string, name string, badge string, pos long")
+    vendors = spark.createDataFrame([("v1", 0)], "id string, pos long")
     s, e = T0, T0 + dt.timedelta(days=9)
     promos = spark.createDataFrame(
         [("m1", "product", "v1", "p5", None, None, None, None, 3, Decimal(1), "paid", "active", s, e, T0),
@@ -111,7 +112,7 @@ def test_home_featured_cut_before_subtraction(spark):
          ("m3", "product", "v1", "gone", None, None, None, None, 2, Decimal(1), "paid", "active", s, e, T0)],
         PROMO_SCHEMA)
     got = [r["product_id"] for r in
-           sorted(G.homepage_featured(prods, promos, T0 + dt.timedelta(days=1)).collect(), key=lambda r: r["rank"])]
+           sorted(G.homepage_featured(prods, promos, vendors, T0 + dt.timedelta(days=1)).collect(), key=lambda r: r["rank"])]
     assert got == ["p5", "p1", "p0", "p2", "p3", "p4", "p6", "p7"]
 
 
@@ -140,3 +141,47 @@ def test_order_response_json_shape(spark):
     assert [v["vendorId"] for v in body["vendorOrders"]] == ["vA", "vB"]
     assert body["vendorOrders"][0]["items"][0]["qty"] == 2 and body["vendorOrders"][0]["status"] == "pending"
     assert body["vendorOrders"][1]["items"][0]["image"] == "i"
+
+
+def test_featured_lists_vendor_by_vendor(spark):
+    """The catalogue is the vendors' products one vendor after the other."""
+    from marketspark.operators import catalog as C
+    prods = spark.createDataFrame([("p1", "vB", "Hot", 1), ("p2", "vA", "Hot", 2), ("p3", "vB", "Hot", 3), ("p4", "vA", "", 0), ("p5", "vX", "Hot", 0)],
+                                  "id string, vendor string, badge string, pos long")
+    vendors = spark.createDataFrame([("vA", 1), ("vB", 2)], "id string, pos long")
+    got = [r["id"] for r in sorted(C.featured_products(prods, vendors, 3).collect(), key=lambda r: r["rank"])]
+    assert got == ["p2", "p1", "p3"]
+
+
+def test_proven_edges(spark):
+    """Cases that once gave wrong answers: stars outside 0..5, final line
+    breaks, trailing text, objects as item lists, untouched products."""
+    from marketspark.functions import expr as K
+    from marketspark.operators import orders as O
+    from marketspark.operators import quality as J
+    from marketspark.operators import registry as R
+    from pyspark.sql import functions as F
+    stars = spark.createDataFrame([(5.5,), (-0.5,), (5.0,), (4.5,), (0.2,)], "r double").select(K.star_parts("r").alias("s")).collect()
+    assert [tuple(r.s) for r in stars] == [(5, False, 0), (0, False, 5), (5, False, 0), (4, True, 0), (0, False, 5)]
+    items = ['[{"id":"a","qty":"5\\n"}]', '[{"id":"a","qty":1}] x', '[{"id":"a","qty":"5"}]']
+    got = O.parse_items(spark.createDataFrame([(x,) for x in items], "items string")).collect()
+    assert [r.item_reason for r in got] == [O.R_ITEM, O.R_COUNT, None]
+    bad = spark.createDataFrame([('{"a":1}',), ("broken",), ("[]",), (None,), ("[1]",)], "items string").select(
+        "items", F.lit(1).alias("total"), F.lit("paid").alias("status"))
+    assert [len(r.violations) for r in J.violations(bad, "orders").collect()] == [1, 1, 1, 0, 0]
+    assert not spark.range(1).select(F.lit("v5\n").rlike(R.VENDOR_ID_RE).alias("x")).first().x
+    prods = spark.createDataFrame([("p1", "v", "A", 1, None, " Hot "), ("p2", "v", "B", 2, None, " New ")],
+                                  "id string, vendor string, name string, price int, in_stock boolean, badge string")
+    ch = spark.createDataFrame([("p2", "v", 1, "update", "B2", None, None, None)],
+                               "id string, vendor string, seq long, op string, name string, price int, in_stock boolean, badge string")
+    rows = {r.id: (r.name, r.in_stock, r.badge, r.source) for r in R.merge_products(prods, ch).collect()}
+    assert rows == {"p1": ("A", None, " Hot ", "existing"), "p2": ("B2", True, "New", "updated")}
+
+
+def test_products_without_price_stay_but_are_not_ordered(spark):
+    from marketspark.operators import orders as O
+    from marketspark.sources import loaders as L
+    raw = spark.createDataFrame([("p1", "v", None, True), ("p2", "v", 3, True)], "id string, vendor string, price int, in_stock boolean")
+    p = L.normalize_products(L.conform(raw, L.PRODUCT_SCHEMA))
+    assert p.count() == 2
+    assert [r.product_id for r in O.catalogue_for_orders(p).collect()] == ["p2"]

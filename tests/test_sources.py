@@ -29,10 +29,10 @@ def test_load_products_csv_and_parquet(spark):
         f.write("p1,v1,Soap,,10.5,,true,New,Home,,img,,1\n")
         f.write("p2,v1,NoPrice,,,,true,,Home,,img,3,2\n")
     got = {r["id"]: r for r in L.load_products(spark, p, "csv").collect()}
-    assert set(got) == {"p1"}                       # a product without a price is unusable
+    assert set(got) == {"p1", "p2"} and got["p2"]["price"] is None     # J4 reports it, D4 does not sell it
     assert got["p1"]["price"] == Decimal("10.50") and got["p1"]["original_price"] is None
     assert got["p1"]["review_count"] == 0 and got["p1"]["sizes"] == []
     out = os.path.join(d, "products.parquet")
     spark.read.option("header", True).csv(p).select("id", "vendor", "name", "price").write.parquet(out)
     pq = {r["id"]: r for r in L.load_products(spark, out, "parquet").collect()}
-    assert set(pq) == {"p1"} and pq["p1"]["in_stock"] is None and pq["p1"]["price"] == Decimal("10.50")
+    assert set(pq) == {"p1", "p2"} and pq["p1"]["in_stock"] is None and pq["p1"]["price"] == Decimal("10.50")

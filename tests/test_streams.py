@@ -1,7 +1,6 @@
 """Stream over several micro-batches = batch over their union."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from helpers import rows_of
 
@@ -9,7 +8,7 @@ SMALL = "/root/testdata/sf0.001"
 
 PAIRS = [("stream_order_intake", "split_by_vendor"), ("stream_cart_state", "cart_state"),
          ("stream_subscriptions", "subscription_state"), ("stream_wishlist", "wishlist_state"),
-         ("stream_promo_tag", "promo_impressions")]
+         ("stream_promo_tag", "promo_impressions"), ("stream_status", "apply_status_changes")]
 
 
 @pytest.mark.parametrize("stream_key,batch_key", PAIRS)
@@ -19,23 +18,6 @@ def test_stream_equals_batch(spark, entry, stream_key, batch_key):
     assert rows_of(s) == rows_of(b)
 
 
-def test_stream_status_equals_batch_latest(spark, entry):
-    from marketspark.operators import tracking as E
-    from marketspark.sources.testdata import TestTables
-    s = entry.queries()["stream_status"](spark, SMALL)
-    t = TestTables(spark, SMALL)
-    ch = t.status_changes().withColumnRenamed("request_id", "order_key")
-    fake_vo = ch.select(F.col("order_key").alias("request_id"), "vendor_id").distinct().select(
-        F.concat_ws("/", "request_id", "vendor_id").alias("id"), F.col("request_id").alias("order_id"),
-        "vendor_id", "request_id", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("status_note"),
-        F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    upd, _ = E.apply_status_changes(fake_vo, ch)
-    b = (upd.filter(F.col("updated_at").isNotNull())
-            .select(F.col("order_id").alias("order_key"), "vendor_id", "status", "status_note",
-                    F.col("updated_at").alias("ts")))
-    assert rows_of(s.select(*b.columns)) == rows_of(b)
-
-
 def test_late_events_are_set_aside_not_applied():
     """A cart event older than one already applied is emitted as 'late'."""
     import datetime as dt
@@ -81,7 +63,59 @@ def test_intake_stream_drops_repeated_requests(spark):
     products = spark.createDataFrame([("p1", "v1", "Soap", Decimal("10.00"), True, None, None)],
                                      "id string, vendor string, name string, price decimal(18,2), "
                                      "in_stock boolean, image string, size string")
-    stream, _ = M.replay_table(reqs, "dup", "requested_at", n_batches=2)
-    sink = M.run_to_sink(spark, M.stream_order_intake(stream, products), "dup", "append", M.intake_batch(products))
-    got = sorted((r["request_id"], r["subtotal"]) for r in M.read_all(spark, sink, "id string").collect())
+    base = M.replay_to_sink(reqs, "dup", "requested_at", lambda s: M.stream_order_intake(s, products), "append",
+                            M.intake_batch(products), n_batches=2)
+    got = sorted((r["request_id"], r["subtotal"]) for r in M.read_all(spark, f"{base}/sink", "id string").collect())
     assert got == [("r1", Decimal("10.00")), ("r2", Decimal("20.00")), ("r3", Decimal("30.00"))]
+
+
+def test_rejected_requests_and_rows_without_time_are_kept(spark):
+    """Rejected requests go to a side table; a null time is no reason to
+    lose a row; files are not gathered into one."""
+    import datetime as dt
+    from decimal import Decimal
+    from marketspark.streaming import streams as M
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("r1", "u1", None, "Ada", "0801", None, "St", '[{"id":"p1","qty":1}]'),
+            ("r2", None, t0, "Bo", "0802", None, "St", '[{"id":"p1","qty":2}]'),
+            ("r3", "u3", t0 + dt.timedelta(days=4), "Cy", "0803", None, "St", '[{"id":"p9","qty":3}]'),
+            ("r4", "u4", t0 + dt.timedelta(days=5), "Di", "0804", None, "St", '[{"id":"p1","qty":4}]')]
+    reqs = spark.createDataFrame(rows, "request_id string, user_id string, requested_at timestamp_ntz, "
+                                       "customer_name string, customer_phone string, customer_email string, "
+                                       "customer_address string, items string").repartition(4)
+    products = spark.createDataFrame([("p1", "v1", "Soap", Decimal("10.00"), True, None, None)],
+                                     "id string, vendor string, name string, price decimal(18,2), "
+                                     "in_stock boolean, image string, size string")
+    base = M.replay_to_sink(reqs, "side", "requested_at", lambda s: s, "append", M.intake_batch(products), n_batches=2)
+    placed = {r["request_id"] for r in M.read_all(spark, f"{base}/sink", "id string").collect()}
+    rejected = {(r["request_id"], r["reason"]) for r in M.read_all(spark, f"{base}/rejected", "id string").collect()}
+    assert placed == {"r1", "r4"}
+    assert rejected == {("r2", "sign_in_required"), ("r3", "unavailable")}
+
+
+def test_late_events_are_readable(spark):
+    """Events older than the last applied one land in the late tables."""
+    import datetime as dt
+    from marketspark.streaming import streams as M
+    from marketspark.session import scratch_path
+
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "vendor_id string, seq long, ts timestamp_ntz, kind string, plan string, days int, notes string"
+    src, base = scratch_path(spark, "late-src"), scratch_path(spark, "late-base")
+    for rows in ([("v1", 1, t0, "trial", None, None, None), ("v1", 3, t0 + dt.timedelta(days=3), "pay", "monthly", None, None)],
+                 [("v1", 2, t0 + dt.timedelta(days=1), "suspend", None, None, None)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        M.run_to_sink(M.stream_subscriptions(spark.readStream.schema(schema).parquet(src)), base, "update", M.ledger_batch)
+    assert [(r.vendor_id, r.late_seq, r.late_kind) for r in M.read_all(spark, f"{base}/late", "a int").collect()] == [("v1", 2, "suspend")]
+    assert [r.status for r in M.read_latest(spark, f"{base}/sink", ["vendor_id"], M.SUB_OUT).collect()] == ["active"]
+
+
+def test_missing_sink_is_empty_but_other_errors_surface(spark):
+    from marketspark.session import scratch_path
+    from marketspark.streaming import streams as M
+    assert M.read_all(spark, scratch_path(spark, "nowhere"), "a int").count() == 0
+    bad = scratch_path(spark, "not-parquet")
+    spark.range(3).selectExpr("cast(id as string) v").write.mode("overwrite").text(bad)
+    with pytest.raises(Exception):
+        M.read_all(spark, bad, "a int").count()
