@@ -82,7 +82,7 @@ def sort_key(mode: Column, page: Column | None = None) -> Column:
     """B5 sort key (ascending); ties fall to catalogue position.
 
     Vendor pages: price-asc, price-desc, popular (review count desc),
-    rating (desc; table rows carry no rating, so 5), anything else keeps
+    rating (desc, 5 where there is none), anything else keeps
     catalogue order. The store page sorts by popularity for anything that
     is not a price sort."""
     page = page if page is not None else F.lit("vendor")
@@ -91,7 +91,7 @@ def sort_key(mode: Column, page: Column | None = None) -> Column:
     return (F.when(mode == "price-asc", price)
              .when(mode == "price-desc", -price)
              .when((mode == "popular") | (page == "store"), -pop)
-             .when(mode == "rating", F.lit(-5).cast("decimal(20,2)"))
+             .when(mode == "rating", -F.coalesce(F.nullif(F.col("rating"), F.lit(0)), F.lit(5)).cast("decimal(20,2)"))
              .otherwise(F.lit(0).cast("decimal(20,2)")))
 
 
@@ -111,7 +111,7 @@ def browse_matches(requests: DataFrame, products: DataFrame) -> DataFrame:
     r = requests.select("request_id", F.col("vendor").alias("_rv"), "q", "categories", "max_price",
                         "in_stock_only", "sort", "page")
     p = products.select("id", "vendor", "name", "description", "category", "price", "in_stock",
-                        "review_count", "pos")
+                        "review_count", "rating", "pos")
     j = p.join(r, p["vendor"] == r["_rv"], "inner")
     store = F.col("page") == "store"
     raw_q = F.coalesce(F.col("q"), F.lit(""))

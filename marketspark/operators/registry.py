@@ -23,6 +23,11 @@ EMAIL_RE = r"^[^\s@]+@[^\s@]+[.][^\s@]+\z"
 WHATSAPP_RE = r"^[0-9]{10,15}\z"
 
 
+# vendor columns an upsert sets from its payload, blank meaning none
+VENDOR_TEXTS = ("tagline", "description", "logo", "primary_color", "secondary_color", "gradient", "card_gradient",
+                "accent_color", "banner_image")
+
+
 def clean_vendor_changes(changes: DataFrame, staff: DataFrame) -> DataFrame:
     """Normalise and validate vendor registry requests.
 
@@ -60,26 +65,37 @@ def last_vendor_change(accepted: DataFrame) -> DataFrame:
     """Last accepted change per vendor id."""
     ok = accepted.filter(F.col("reason").isNull())
     return ok.groupBy("vendor_id").agg(F.max_by(
-        F.struct("op", "name", "tagline", "email", "wa", "ts", "seq"), F.struct("ts", "seq")).alias("_c"))
+        F.struct("op", "name", *VENDOR_TEXTS, "rating", "review_count", "categories", "page", "email", "wa", "ts", "seq"),
+        F.struct("ts", "seq")).alias("_c"))
 
 
 def merge_vendors(vendors: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Upserts replace every listed column (blanks -> null, rating 5,
-    review count 0, default page); deletes remove; last change wins."""
+    """Upserts replace every column by the payload's (blank texts ->
+    null; no rating -> 5, no review count -> 0, no categories -> [], no page
+    -> the vendor's default page); deletes remove; last change wins."""
     last = last_vendor_change(accepted)
-    v = vendors.select(F.col("id").alias("vendor_id"), "name", "tagline", "whatsapp", "rating", "review_count", "page")
+    v = vendors.select(F.col("id").alias("vendor_id"), "name", *VENDOR_TEXTS, "whatsapp", "rating", "review_count",
+                       "categories", "page")
     j = v.join(last, "vendor_id", "full")
     up = F.col("_c.op") == "upsert"
+
+    def text(f):
+        return F.when(up, K.blank_to_null(F.coalesce(F.col(f"_c.{f}"), F.lit("")))).otherwise(F.col(f)).alias(f)
+
+    own_page = K.blank_to_null(F.coalesce(F.col("_c.page"), F.lit("")))
+    default_page = F.concat(F.lit("store.html?vendor="), F.col("vendor_id"))
     return (j.filter(F.col("_c").isNull() | up)
              .select("vendor_id",
                      F.when(up, F.btrim(F.col("_c.name"))).otherwise(F.col("name")).alias("name"),
-                     F.when(up, K.blank_to_null(F.coalesce(F.col("_c.tagline"), F.lit("")))).otherwise(F.col("tagline"))
-                      .alias("tagline"),
+                     *[text(f) for f in VENDOR_TEXTS],
                      F.when(up, F.col("_c.wa")).otherwise(F.col("whatsapp")).alias("whatsapp"),
-                     F.when(up, F.lit(5).cast("decimal(3,1)")).otherwise(F.col("rating")).alias("rating"),
-                     F.when(up, F.lit(0)).otherwise(F.col("review_count")).cast("int").alias("review_count"),
-                     F.when(up, F.concat(F.lit("store.html?vendor="), F.col("vendor_id"))).otherwise(F.col("page"))
-                      .alias("page"),
+                     F.when(up, F.coalesce(F.nullif(F.col("_c.rating"), F.lit("")).cast("decimal(3,1)"), F.lit(5)))
+                      .otherwise(F.col("rating")).cast("decimal(3,1)").alias("rating"),
+                     F.when(up, F.coalesce(F.nullif(F.col("_c.review_count"), F.lit("")).cast("int"), F.lit(0)))
+                      .otherwise(F.col("review_count")).cast("int").alias("review_count"),
+                     F.when(up, F.coalesce("_c.categories", F.array().cast("array<string>")))
+                      .otherwise(F.col("categories")).alias("categories"),
+                     F.when(up, F.coalesce(own_page, default_page)).otherwise(F.col("page")).alias("page"),
                      F.when(up, F.lit("upserted")).otherwise(F.lit("existing")).alias("source")))
 
 

@@ -15,7 +15,7 @@ SELECT 'b' || c_custkey AS request_id, 'v' || (c_custkey % (SELECT count(*) FROM
 FROM customer"""
 
 ADAPTERS["b_match"] = """
-SELECT r.request_id, p.id, p.pos, p.price, p.review_count, r.sort, r.page
+SELECT r.request_id, p.id, p.pos, p.price, p.review_count, p.rating, r.sort, r.page
 FROM (SELECT *, lower(CASE WHEN page = 'store' THEN trim(q) ELSE q END) AS qq FROM mk_browse) r
 JOIN np p ON p.vendor = r.vendor
 WHERE (r.qq = '' OR coalesce(contains(lower(p.name), r.qq), false)
@@ -28,14 +28,14 @@ WHERE (r.qq = '' OR coalesce(contains(lower(p.name), r.qq), false)
 SORT_KEY = """CASE WHEN {m} = 'price-asc' THEN CAST(price AS DECIMAL(20,2))
                    WHEN {m} = 'price-desc' THEN -CAST(price AS DECIMAL(20,2))
                    WHEN {m} = 'popular' OR {p} = 'store' THEN -CAST(coalesce(review_count, 0) AS DECIMAL(20,2))
-                   WHEN {m} = 'rating' THEN CAST(-5 AS DECIMAL(20,2))
+                   WHEN {m} = 'rating' THEN -CAST(rating AS DECIMAL(20,2))
                    ELSE CAST(0 AS DECIMAL(20,2)) END"""
 
 oracle("load_vendors", """
-SELECT id, name, pos, rating, review_count, array_to_string(categories, '|') AS categories, page, whatsapp FROM nv""")
+SELECT * REPLACE (array_to_string(categories, '|') AS categories) FROM nv""")
 
 oracle("load_products", """
-SELECT id, vendor, price, original_price, in_stock, array_to_string(sizes, '|') AS sizes, review_count FROM np""")
+SELECT * REPLACE (array_to_string(sizes, '|') AS sizes) FROM np""")
 
 oracle("drop_legacy_products", "SELECT id, vendor FROM np WHERE id NOT IN (SELECT id FROM mk_legacy)")
 

@@ -15,7 +15,17 @@ SELECT CASE WHEN event_id % 17 = 0 THEN ' V_' || (user_id % 60) || '! '
             WHEN event_id % 29 = 0 THEN 'C' || (user_id % 5) || '@Example.org'
             ELSE ' Owner' || user_id || '@Shop.Example ' END AS email,
        CASE WHEN event_id % 31 = 0 THEN '123' ELSE '+234 (80) ' || (10000000 + event_id) END AS whatsapp,
-       CASE WHEN event_id % 2 = 0 THEN '  ' ELSE 'tag ' || event_id END AS tagline
+       CASE WHEN event_id % 2 = 0 THEN '  ' ELSE 'tag ' || event_id END AS tagline,
+                   CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE ' About ' || event_id END AS description,
+                   CASE WHEN event_id % 5 = 0 THEN '' ELSE 'l' || event_id || '.png' END AS logo,
+                   CASE WHEN event_id % 6 = 0 THEN NULL ELSE ' #' || event_id END AS primary_color,
+                   '#s' || (event_id % 9) AS secondary_color, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'g' END AS gradient,
+                   'c' || (event_id % 3) AS card_gradient, '#a' AS accent_color,
+                   CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'b' || event_id END AS banner_image,
+                   CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '4.5' END AS rating,
+                   CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '17' END AS review_count,
+                   CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' own' || event_id || '.html ' END AS page,
+                   CASE WHEN event_id % 2 = 0 THEN NULL ELSE ['C' || (event_id % 4), 'Home'] END AS categories
 FROM events"""
 
 ADAPTERS["mk_staff"] = """
@@ -35,7 +45,7 @@ SELECT 'su' || s_suppkey, 'Owner' || s_suppkey || '@Shop.Example',
        MAP {'provider': 'email', 'role': 'vendor', 'vendor_id': 'v' || s_suppkey} FROM supplier"""
 
 ADAPTERS["r_clean"] = """
-SELECT c.seq, c.ts, c.op, c.name, c.tagline, vendor_id, email, wa,
+SELECT c.* EXCLUDE (id, email_raw, whatsapp),
   CASE WHEN NOT regexp_full_match(vendor_id, '[a-z0-9-]{2,50}') THEN 'invalid_vendor_id'
        WHEN op = 'delete' AND vendor_id IN ('perfume', 'kitchen', 'variety') THEN 'core_vendor'
        WHEN op = 'delete' THEN NULL
@@ -45,9 +55,9 @@ SELECT c.seq, c.ts, c.op, c.name, c.tagline, vendor_id, email, wa,
        WHEN nullif(trim(coalesce(c.name, '')), '') IS NULL THEN 'name_required'
        WHEN email IN (SELECT lower(email) FROM mk_staff WHERE role = 'admin') THEN 'admin_email'
   END AS reason
-FROM (SELECT *, lower(trim(coalesce(id, ''))) AS vendor_id, lower(trim(coalesce(email, ''))) AS email_n,
+FROM (SELECT * RENAME (email AS email_raw), lower(trim(coalesce(id, ''))) AS vendor_id, lower(trim(coalesce(email, ''))) AS email,
              regexp_replace(coalesce(whatsapp, ''), '[^0-9]', '', 'g') AS wa
-      FROM mk_vchanges) c(id, seq, ts, op, name, email_raw, whatsapp, tagline, vendor_id, email, wa)"""
+      FROM mk_vchanges) c"""
 
 ADAPTERS["r_acc"] = """
 SELECT *, CASE WHEN reason IS NULL AND op = 'delete' AND vendor_id IN (SELECT vendor_id FROM o_vendor_orders)
@@ -77,14 +87,19 @@ FROM r_staff s"""
 
 oracle("clean_vendor_changes", "SELECT seq, op, vendor_id, email, wa, reason FROM r_clean")
 
-oracle("merge_vendors", """
+_TEXTS = ("tagline description logo primary_color secondary_color gradient card_gradient accent_color banner_image").split()
+
+oracle("merge_vendors", f"""
 SELECT coalesce(v.id, l.vendor_id) AS vendor_id,
        CASE WHEN l.op = 'upsert' THEN trim(l.name) ELSE v.name END AS name,
-       CASE WHEN l.op = 'upsert' THEN nullif(trim(coalesce(l.tagline, '')), '') ELSE v.tagline END AS tagline,
+       {"".join(f"CASE WHEN l.op = 'upsert' THEN nullif(trim(coalesce(l.{c}, '')), '') ELSE v.{c} END AS {c}, " for c in _TEXTS)}
        CASE WHEN l.op = 'upsert' THEN l.wa ELSE v.whatsapp END AS whatsapp,
-       CASE WHEN l.op = 'upsert' THEN CAST(5 AS DECIMAL(3,1)) ELSE v.rating END AS rating,
-       CASE WHEN l.op = 'upsert' THEN 0 ELSE v.review_count END AS review_count,
-       CASE WHEN l.op = 'upsert' THEN 'store.html?vendor=' || l.vendor_id ELSE v.page END AS page,
+       CASE WHEN l.op = 'upsert' THEN coalesce(CAST(nullif(l.rating, '') AS DECIMAL(3,1)), 5) ELSE v.rating END AS rating,
+       CAST(CASE WHEN l.op = 'upsert' THEN coalesce(CAST(nullif(l.review_count, '') AS INTEGER), 0) ELSE v.review_count END AS INTEGER)
+         AS review_count,
+       array_to_string(CASE WHEN l.op = 'upsert' THEN coalesce(l.categories, []) ELSE v.categories END, '|') AS categories,
+       CASE WHEN l.op = 'upsert' THEN coalesce(nullif(trim(coalesce(l.page, '')), ''), 'store.html?vendor=' || l.vendor_id)
+            ELSE v.page END AS page,
        CASE WHEN l.op = 'upsert' THEN 'upserted' ELSE 'existing' END AS source
 FROM nv v FULL OUTER JOIN r_last l ON l.vendor_id = v.id
 WHERE l.op IS NULL OR l.op = 'upsert'""")

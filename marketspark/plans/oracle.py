@@ -17,6 +17,12 @@ SELECT 'v' || s_suppkey AS id, s_name AS name, s_suppkey AS pos,
        CASE WHEN s_suppkey % 2 = 0 THEN CAST(NULL AS VARCHAR[]) ELSE ['N' || s_nationkey, 'Home'] END AS categories,
        CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_suppkey % 5 = 1 THEN ''
             ELSE 'shop-' || s_suppkey || '.html' END AS page,
+                   CASE WHEN s_suppkey % 3 = 1 THEN NULL ELSE 'About ' || s_name END AS description,
+                   'logo' || s_suppkey || '.png' AS logo, '#' || (100000 + s_suppkey) AS primary_color,
+                   CASE WHEN s_suppkey % 4 = 1 THEN NULL ELSE '#' || (200000 + s_suppkey) END AS secondary_color,
+                   'grad' || (s_suppkey % 3) AS gradient, 'card' || (s_suppkey % 4) AS card_gradient,
+                   '#' || (300000 + s_suppkey) AS accent_color,
+                   CASE WHEN s_suppkey % 5 = 2 THEN NULL ELSE 'banner' || s_suppkey || '.jpg' END AS banner_image,
        CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE '+234 80-' || (10000000 + s_suppkey) END AS whatsapp
 FROM supplier"""
 
@@ -27,7 +33,7 @@ SELECT id, name, pos, tagline,
        CAST(coalesce(review_count, 0) AS INTEGER) AS review_count,
        coalesce(categories, CAST([] AS VARCHAR[])) AS categories,
        coalesce(nullif(page, ''), 'store.html?vendor=' || id) AS page,
-       whatsapp
+       whatsapp, description, logo, primary_color, secondary_color, gradient, card_gradient, accent_color, banner_image
 FROM mk_vendors"""
 
 ADAPTERS["mk_products"] = """
@@ -40,13 +46,17 @@ SELECT 'p' || p_partkey AS id, 'v' || (p_partkey % (SELECT count(*) FROM supplie
        CASE p_partkey % 7 WHEN 0 THEN 'Top Rated' WHEN 1 THEN 'New' WHEN 2 THEN '' END AS badge,
        CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) || 'ml' END AS size,
        CASE WHEN p_size % 3 = 0 THEN CAST(NULL AS VARCHAR[]) ELSE ['S' || p_size, 'L' || p_size] END AS sizes,
+                   CASE WHEN p_partkey % 5 = 1 THEN NULL ELSE p_type END AS material, p_brand AS origin,
+                   CASE WHEN p_partkey % 6 = 2 THEN NULL ELSE '{"top":"t' || p_partkey || '"}' END AS notes,
+                   CAST(CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 3 + (p_partkey % 21) / 10.0 END AS DECIMAL(3,1)) AS rating,
        'img/' || p_partkey || '.jpg' AS image,
        CAST((p_partkey * 7919) % 1000 AS INTEGER) AS review_count
 FROM part"""
 
 ADAPTERS["np"] = """
 SELECT id, vendor, name, description, category, pos, price, original_price, in_stock, badge, size,
-       coalesce(sizes, CAST([] AS VARCHAR[])) AS sizes, image, review_count
+       coalesce(sizes, CAST([] AS VARCHAR[])) AS sizes, image, review_count, material, origin, notes,
+       CAST(coalesce(nullif(rating, 0), 5) AS DECIMAL(3,1)) AS rating
 FROM mk_products"""
 
 ADAPTERS["mk_legacy"] = "SELECT 'p' || p_partkey AS id FROM part WHERE p_size > 47"
@@ -175,8 +185,8 @@ DECIMAL_OUT: dict[str, list[str]] = {
     "build_orders": ["total"], "canonical_lines": ["price"], "canonical_lines_visible": ["price"],
     "cart_by_vendor": ["total"], "cart_savings": ["savings"], "cart_state": ["price"],
     "cart_totals": ["total"], "filter_max_price": ["price"], "intake_report": ["value"],
-    "launch_cap": ["amount"], "load_products": ["price", "original_price"], "load_vendors": ["rating"],
-    "merge_products": ["price"], "merge_vendors": ["rating"], "my_orders": ["lines_total"],
+    "launch_cap": ["amount"], "load_products": ["price", "original_price", "rating"], "load_vendors": ["rating"],
+    "merge_products": ["price", "original_price"], "merge_vendors": ["rating"], "my_orders": ["lines_total"],
     "order_totals": ["total"], "payment_history": ["amount"], "plan_pricing": ["revenue"],
     "product_detail": ["vendor_rating", "price", "original_price", "savings"],
     "reconcile_orders": ["total", "sum_subtotals"], "renewal_periods": ["amount"],

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog as C
+from ..session import scratch_path
 from ..sources import loaders as L
 from .queries import query
 
@@ -17,18 +20,26 @@ def _vendors(t):
     return L.normalize_vendors(t.vendors())
 
 
+def _source_file(t, df, name: str) -> str:
+    """df as the parquet file set a reader is pointed at."""
+    path = scratch_path(t.spark, f"sources/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return path
+
+
 @query("load_vendors")
 def q_load_vendors(t):
-    """A1: vendors with catalogue defaults applied."""
-    return _vendors(t).select("id", "name", "pos", "rating", "review_count",
-                              F.array_join("categories", "|").alias("categories"), "page", "whatsapp")
+    """A1: vendors read from a file with catalogue defaults applied."""
+    v = L.load_vendors(t.spark, _source_file(t, t.vendors(), "vendors"))
+    return v.select(*[f.name for f in L.VENDOR_SCHEMA.fields if f.name != "categories"],
+                    F.array_join("categories", "|").alias("categories"))
 
 
 @query("load_products")
 def q_load_products(t):
-    """A2: products with catalogue defaults applied."""
-    return _products(t).select("id", "vendor", "price", "original_price", "in_stock",
-                               F.array_join("sizes", "|").alias("sizes"), "review_count")
+    """A2: products read from a file with catalogue defaults applied."""
+    p = L.load_products(t.spark, _source_file(t, t.products(), "products"))
+    return p.select(*[f.name for f in L.PRODUCT_SCHEMA.fields if f.name != "sizes"], F.array_join("sizes", "|").alias("sizes"))
 
 
 @query("drop_legacy_products")

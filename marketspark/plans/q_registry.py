@@ -26,7 +26,7 @@ def q_clean_vendor_changes(t):
 @query("merge_vendors")
 def q_merge_vendors(t):
     """Vendor table after the registry log."""
-    return R.merge_vendors(L.normalize_vendors(t.vendors()), _accepted(t))
+    return R.merge_vendors(L.normalize_vendors(t.vendors()), _accepted(t)).withColumn("categories", F.array_join("categories", "|"))
 
 
 @query("delete_vendors")

@@ -11,6 +11,14 @@ VENDOR_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
     T.StructField("name", T.StringType(), False),
     T.StructField("tagline", T.StringType()),
+    T.StructField("description", T.StringType()),
+    T.StructField("logo", T.StringType()),
+    T.StructField("primary_color", T.StringType()),
+    T.StructField("secondary_color", T.StringType()),
+    T.StructField("gradient", T.StringType()),
+    T.StructField("card_gradient", T.StringType()),
+    T.StructField("accent_color", T.StringType()),
+    T.StructField("banner_image", T.StringType()),
     T.StructField("rating", T.DecimalType(3, 1)),
     T.StructField("review_count", T.IntegerType()),
     T.StructField("categories", T.ArrayType(T.StringType())),
@@ -30,7 +38,11 @@ PRODUCT_SCHEMA = T.StructType([
     T.StructField("badge", T.StringType()),
     T.StructField("category", T.StringType()),
     T.StructField("size", T.StringType()),
+    T.StructField("material", T.StringType()),
+    T.StructField("origin", T.StringType()),
     T.StructField("sizes", T.ArrayType(T.StringType())),
+    T.StructField("notes", T.StringType()),         # JSON text
+    T.StructField("rating", T.DecimalType(3, 1)),
     T.StructField("image", T.StringType()),
     T.StructField("review_count", T.IntegerType()),
     T.StructField("pos", T.LongType()),
@@ -88,12 +100,13 @@ def normalize_vendors(df: DataFrame) -> DataFrame:
 
 
 def normalize_products(df: DataFrame) -> DataFrame:
-    """A2: sizes null -> [], review_count null -> 0; original_price keeps
+    """A2: sizes null -> [], review_count null -> 0, rating null/0 -> 5; original_price keeps
     null. A row without a price stays (J4 reports it); it can be listed but
     not ordered."""
     return (df.withColumn("price", F.col("price").cast("decimal(18,2)"))
               .withColumn("original_price", F.col("original_price").cast("decimal(18,2)"))
               .withColumn("sizes", F.coalesce(F.col("sizes"), F.array().cast("array<string>")))
+              .withColumn("rating", F.coalesce(F.nullif(F.col("rating"), F.lit(0)), F.lit(5)).cast("decimal(3,1)"))
               .withColumn("review_count", F.coalesce(F.col("review_count"), F.lit(0)).cast("int")))
 
 

@@ -60,6 +60,12 @@ class TestTables:
                    CASE WHEN s_suppkey % 5 = 0 THEN NULL
                         WHEN s_suppkey % 5 = 1 THEN ''
                         ELSE 'shop-' || s_suppkey || '.html' END AS page,
+                   CASE WHEN s_suppkey % 3 = 1 THEN NULL ELSE 'About ' || s_name END AS description,
+                   'logo' || s_suppkey || '.png' AS logo, '#' || (100000 + s_suppkey) AS primary_color,
+                   CASE WHEN s_suppkey % 4 = 1 THEN NULL ELSE '#' || (200000 + s_suppkey) END AS secondary_color,
+                   'grad' || (s_suppkey % 3) AS gradient, 'card' || (s_suppkey % 4) AS card_gradient,
+                   '#' || (300000 + s_suppkey) AS accent_color,
+                   CASE WHEN s_suppkey % 5 = 2 THEN NULL ELSE 'banner' || s_suppkey || '.jpg' END AS banner_image,
                    CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE '+234 80-' || (10000000 + s_suppkey) END AS whatsapp
             FROM {s}""", s="supplier")
 
@@ -76,6 +82,9 @@ class TestTables:
                    CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS STRING) || 'ml' END AS size,
                    CASE WHEN p_size % 3 = 0 THEN CAST(NULL AS ARRAY<STRING>)
                         ELSE array('S' || p_size, 'L' || p_size) END AS sizes,
+                   CASE WHEN p_partkey % 5 = 1 THEN NULL ELSE p_type END AS material, p_brand AS origin,
+                   CASE WHEN p_partkey % 6 = 2 THEN NULL ELSE '{{"top":"t' || p_partkey || '"}}' END AS notes,
+                   CAST(CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 3 + (p_partkey % 21) / 10.0 END AS DECIMAL(3,1)) AS rating,
                    'img/' || p_partkey || '.jpg' AS image,
                    CAST((p_partkey * 7919) % 1000 AS INT) AS review_count
             FROM {p}""", p="part", s="supplier")
@@ -317,6 +326,16 @@ class TestTables:
                         WHEN event_id % 29 = 0 THEN 'C' || (user_id % 5) || '@Example.org'
                         ELSE ' Owner' || user_id || '@Shop.Example ' END AS email,
                    CASE WHEN event_id % 31 = 0 THEN '123' ELSE '+234 (80) ' || (10000000 + event_id) END AS whatsapp,
+                   CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE ' About ' || event_id END AS description,
+                   CASE WHEN event_id % 5 = 0 THEN '' ELSE 'l' || event_id || '.png' END AS logo,
+                   CASE WHEN event_id % 6 = 0 THEN NULL ELSE ' #' || event_id END AS primary_color,
+                   '#s' || (event_id % 9) AS secondary_color, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'g' END AS gradient,
+                   'c' || (event_id % 3) AS card_gradient, '#a' AS accent_color,
+                   CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'b' || event_id END AS banner_image,
+                   CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '4.5' END AS rating,
+                   CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '17' END AS review_count,
+                   CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' own' || event_id || '.html ' END AS page,
+                   CASE WHEN event_id % 2 = 0 THEN NULL ELSE array('C' || (event_id % 4), 'Home') END AS categories,
                    CASE WHEN event_id % 2 = 0 THEN '  ' ELSE 'tag ' || event_id END AS tagline
             FROM {e}""", e="events")
 
