@@ -28,6 +28,14 @@ VENDOR_TEXTS = ("tagline", "description", "logo", "primary_color", "secondary_co
                 "accent_color", "banner_image")
 
 
+def _with_payload(df: DataFrame) -> DataFrame:
+    """df with the optional vendor columns it leaves out, as nulls."""
+    for f in (*VENDOR_TEXTS, "rating", "review_count", "page", "categories"):
+        if f not in df.columns:
+            df = df.withColumn(f, F.lit(None).cast("array<string>" if f == "categories" else "string"))
+    return df
+
+
 def clean_vendor_changes(changes: DataFrame, staff: DataFrame) -> DataFrame:
     """Normalise and validate vendor registry requests.
 
@@ -35,7 +43,7 @@ def clean_vendor_changes(changes: DataFrame, staff: DataFrame) -> DataFrame:
     `reason` (null = valid), checked in the order the call checks them."""
     admins = (staff.filter(F.col("role") == "admin").select(F.lower(F.col("email")).alias("email"))
               .distinct().withColumn("_admin", F.lit(True)))
-    c = (changes.withColumn("vendor_id", F.lower(F.btrim(F.coalesce(F.col("id"), F.lit("")))))
+    c = (_with_payload(changes).withColumn("vendor_id", F.lower(F.btrim(F.coalesce(F.col("id"), F.lit("")))))
                 .withColumn("email", F.lower(F.btrim(F.coalesce(F.col("email"), F.lit("")))))
                 .withColumn("wa", K.digits(F.coalesce(F.col("whatsapp"), F.lit("")))))
     c = c.join(admins, "email", "left")
@@ -74,7 +82,7 @@ def merge_vendors(vendors: DataFrame, accepted: DataFrame) -> DataFrame:
     null; no rating -> 5, no review count -> 0, no categories -> [], no page
     -> the vendor's default page); deletes remove; last change wins."""
     last = last_vendor_change(accepted)
-    v = vendors.select(F.col("id").alias("vendor_id"), "name", *VENDOR_TEXTS, "whatsapp", "rating", "review_count",
+    v = _with_payload(vendors).select(F.col("id").alias("vendor_id"), "name", *VENDOR_TEXTS, "whatsapp", "rating", "review_count",
                        "categories", "page")
     j = v.join(last, "vendor_id", "full")
     up = F.col("_c.op") == "upsert"
@@ -201,62 +209,112 @@ def vendor_access_list(vendors: DataFrame, staff: DataFrame) -> DataFrame:
              .orderBy("vendor_name", "vendor_id", "email"))
 
 
-PRODUCT_FIELDS = ("name", "price", "in_stock", "badge")
+# product columns a write sets; of the second line blank means none
+PRODUCT_FIELDS = ("name", "description", "price", "original_price", "image", "in_stock", "category", "sizes",
+                  "badge", "size", "material", "origin", "notes")
+BLANK_IS_NONE = ("badge", "size", "material", "origin", "notes")
 
 
 def merge_products(products: DataFrame, changes: DataFrame) -> DataFrame:
-    """I8: apply a product change log (upsert = full write, update =
-    partial with a field mask, delete). Per id: the base is the last
-    upsert after the last delete, else the existing row when no delete;
-    each field is then the last non-null update value after the base."""
-    c = changes.withColumn("_o", F.struct("ts", "seq")) if "ts" in changes.columns else \
-        changes.withColumn("_o", F.struct(F.col("seq")))
+    """I8: apply a product change log, ordered by (ts if present, seq).
+
+    Changes: id, vendor, seq, op (upsert = full write, update = the fields
+    named in array `fields`, which a null value clears; delete) and the
+    product columns. An update of a product that is not there does nothing.
+    A write saves the whole product with its defaults (in_stock true, sizes
+    [], blank texts null); untouched products stay as they are.
+
+    One aggregate per id: an upsert sets every field, an update its own, the
+    last setter of each field wins; then one full outer join. A product is
+    there after the log if it was upserted after its last delete, or existed
+    and was never deleted."""
+    o = F.struct("ts", "seq") if "ts" in changes.columns else F.struct(F.col("seq"))
     op = F.col("op")
-    marks = c.groupBy("id").agg(F.max(F.when(op == "delete", F.col("_o"))).alias("_ld"),
-                                F.max(F.when(op == "upsert", F.col("_o"))).alias("_lu_any"))
-    marks = marks.withColumn("_lu", F.when(F.col("_ld").isNull() | (F.col("_lu_any") > F.col("_ld")), F.col("_lu_any")))
-    marks = marks.withColumn("_thr", F.coalesce(F.col("_lu"), F.col("_ld")))
-    cj = c.join(marks.select("id", "_lu", "_ld", "_thr"), "id", "inner")
-    base_up = cj.filter(F.col("_o") == F.col("_lu"))
-    upd = cj.filter((op == "update") & (F.col("_thr").isNull() | (F.col("_o") > F.col("_thr"))))
-    aggs = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("_o"))).alias("_u_" + f) for f in PRODUCT_FIELDS]
-    u = upd.groupBy("id").agg(*aggs)
-    b = base_up.select("id", F.col("vendor").alias("_b_vendor"),
-                       *[F.col(f).alias("_b_" + f) for f in PRODUCT_FIELDS], F.lit(True).alias("_b_up"))
-    p = products.select("id", "vendor", *PRODUCT_FIELDS)
-    j = (p.join(marks.select("id", "_lu", "_ld"), "id", "full")
-          .join(b, "id", "left").join(u, "id", "left"))
-    # alive: written by an upsert after the last delete, or existing and never deleted
-    alive = F.col("_b_up").isNotNull() | (F.col("vendor").isNotNull() & F.col("_ld").isNull())
-    j = j.filter(alive)
+    c = changes.withColumn("_o", o)
+
+    def last(value, when):
+        return F.max_by(F.struct(value), F.when(when, F.col("_o")))
+
+    def sets(f):
+        return (op == "upsert") | ((op == "update") & F.array_contains("fields", f))
+
+    log = c.groupBy("id").agg(
+        F.max(F.when(op == "delete", F.col("_o"))).alias("_ld"),
+        F.max(F.when(op == "upsert", F.col("_o"))).alias("_lu"),
+        F.max(F.when((op == "update") & (F.size("fields") > 0), F.col("_o"))).isNotNull().alias("_updated"),
+        last(F.col("vendor"), op == "upsert").alias("_s_vendor"),
+        *[last(F.col(f), sets(f)).alias("_s_" + f) for f in PRODUCT_FIELDS])
+    j = products.select("id", "vendor", *PRODUCT_FIELDS, F.lit(True).alias("_was")).join(log, "id", "full")
+    upserted = F.col("_lu").isNotNull() & (F.col("_ld").isNull() | (F.col("_lu") > F.col("_ld")))
+    there = upserted | (F.col("_was") & F.col("_ld").isNull())
+    updated = F.col("_was") & F.coalesce(F.col("_updated"), F.lit(False))
+
     def field(f):
-        base = F.when(F.col("_b_up").isNotNull(), F.col("_b_" + f)).otherwise(F.col(f))
-        return F.coalesce(F.col("_u_" + f), base)
-    updated = (F.col("_u_name").isNotNull() | F.col("_u_price").isNotNull()
-               | F.col("_u_in_stock").isNotNull() | F.col("_u_badge").isNotNull())
-    # a write saves the whole product, defaults applied; untouched rows stay as they are
-    written = F.col("_b_up").isNotNull() | updated
-    in_stock = F.when(written, F.coalesce(field("in_stock"), F.lit(True))).otherwise(F.col("in_stock"))
-    badge = F.when(written, K.blank_to_null(F.coalesce(field("badge"), F.lit("")))).otherwise(F.col("badge"))
-    return j.select("id", F.coalesce(F.col("_b_vendor"), F.col("vendor")).alias("vendor"),
-                    field("name").alias("name"), field("price").cast("decimal(18,2)").alias("price"),
-                    in_stock.alias("in_stock"), badge.alias("badge"),
-                    F.when(F.col("_b_up").isNotNull(), F.lit("upserted"))
-                     .when(F.col("_lu").isNotNull() | updated, F.lit("updated"))
-                     .otherwise(F.lit("existing")).alias("source"))
+        value = F.when(F.col("_s_" + f).isNotNull(), F.col("_s_" + f)[f]).otherwise(F.col(f))
+        saved = (F.coalesce(value, F.lit(True)) if f == "in_stock"
+                 else F.coalesce(value, F.array().cast("array<string>")) if f == "sizes"
+                 else F.nullif(value, F.lit("")) if f in BLANK_IS_NONE else value)
+        kind = {"price": "decimal(18,2)", "original_price": "decimal(18,2)"}.get(f)
+        out = F.when(upserted | updated, saved).otherwise(F.col(f))
+        return (out.cast(kind) if kind else out).alias(f)
+
+    return (j.filter(F.coalesce(there, F.lit(False)))
+             .select("id", F.when(upserted, F.col("_s_vendor.vendor")).otherwise(F.col("vendor")).alias("vendor"),
+                     *[field(f) for f in PRODUCT_FIELDS],
+                     F.when(upserted, F.lit("upserted")).when(updated, F.lit("updated"))
+                      .otherwise(F.lit("existing")).alias("source")))
+
 
+INFO_FIELDS = ("name", "tagline", "description", "logo")
 
 
 def update_vendor_info(vendors: DataFrame, updates: DataFrame) -> DataFrame:
-    """Vendor settings: only name, tagline, description, logo may
-    change; a missing (null) field keeps the stored value; the last
-    provided value per field wins."""
-    fields = [f for f in ("name", "tagline", "description", "logo") if f in updates.columns]
+    """Vendor settings: only name, tagline, description and logo may
+    change. An update sets the fields named in array `fields`, and a null
+    value clears one; a name cannot be cleared, so an update that tries
+    fails as a whole. The last setter of each field wins."""
     o = F.struct("ts", "seq")
-    u = updates.groupBy("vendor_id").agg(
-        *[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), o)).alias("_u_" + f) for f in fields])
-    v = vendors.withColumnRenamed("id", "vendor_id")
-    j = v.join(u, "vendor_id", "left")
-    cols = [F.coalesce(F.col("_u_" + f), F.col(f)).alias(f) if f in fields else F.col(f)
-            for f in vendors.columns if f != "id"]
+    provided = lambda f: F.array_contains("fields", f)
+    ok = updates.filter(~(provided("name") & F.col("name").isNull()))
+    u = ok.groupBy("vendor_id").agg(
+        *[F.max_by(F.struct(f), F.when(provided(f), o)).alias("_u_" + f) for f in INFO_FIELDS])
+    j = vendors.withColumnRenamed("id", "vendor_id").join(u, "vendor_id", "left")
+    cols = [F.when(F.col("_u_" + f).isNotNull(), F.col("_u_" + f)[f]).otherwise(F.col(f)).alias(f)
+            if f in INFO_FIELDS else F.col(f) for f in vendors.columns if f != "id"]
     return j.select("vendor_id", *cols)
+
+
+# ---- I3: what a delete leaves ---------------------------------------------------
+
+def survivors(rows: DataFrame, vendor_col: str, accepted: DataFrame) -> DataFrame:
+    """Rows of a dependent table after the log: a vendor's delete takes all
+    its rows along, even if the vendor is created again later."""
+    gone = (accepted.filter(F.col("reason").isNull() & (F.col("op") == "delete"))
+            .select(F.col("vendor_id").alias("_gone")).distinct())
+    return rows.join(gone, rows[vendor_col] == gone["_gone"], "left_anti")
+
+
+def new_trials(vendors: DataFrame, accepted: DataFrame, trial_days: int) -> DataFrame:
+    """Trials that vendor inserts of the log start: a vendor that was not
+    there before, or was deleted, is inserted by its first upsert (after the
+    last delete). Columns of the subscription table."""
+    ok = accepted.filter(F.col("reason").isNull()).select("vendor_id", "op", F.struct("ts", "seq").alias("_o"))
+    marks = ok.groupBy("vendor_id").agg(F.max(F.when(F.col("op") == "delete", F.col("_o"))).alias("_ld"))
+    first = (ok.filter(F.col("op") == "upsert").join(marks, "vendor_id")
+             .filter(F.col("_ld").isNull() | (F.col("_o") > F.col("_ld")))
+             .groupBy("vendor_id").agg(F.min("_o").alias("_first"), F.first("_ld").alias("_ld")))
+    was = vendors.select(F.col("id").alias("vendor_id"), F.lit(True).alias("_was"))
+    ins = first.join(was, "vendor_id", "left").filter(F.col("_was").isNull() | F.col("_ld").isNotNull())
+    start = F.col("_first.ts")
+    return ins.select("vendor_id", F.lit("trial").alias("plan"), F.lit("trial").alias("status"),
+                      start.alias("access_started_at"), start.alias("current_period_start"),
+                      (start + F.make_dt_interval(days=F.lit(trial_days))).alias("access_ends_at"))
+
+
+def subscriptions_after(subscriptions: DataFrame, vendors: DataFrame, accepted: DataFrame, trial_days: int) -> DataFrame:
+    """Subscription rows after the log: survivors, and the trials of newly
+    inserted vendors that have no row."""
+    kept = survivors(subscriptions, "vendor_id", accepted).select(
+        "vendor_id", "plan", "status", "access_started_at", "current_period_start", "access_ends_at")
+    trials = new_trials(vendors, accepted, trial_days)
+    return kept.unionByName(trials.join(kept.select("vendor_id"), "vendor_id", "left_anti"))

@@ -1,6 +1,7 @@
 """Oracle SQL for the registry (I1-I9). The product log is replayed
 change by change with a recursive CTE."""
 
+from ..operators.subscriptions import TRIAL_DAYS
 from .oracle import ADAPTERS, oracle
 
 ADAPTERS["mk_vchanges"] = """
@@ -153,12 +154,23 @@ SELECT 'p' || (event_id % (SELECT count(*) FROM part)) AS id,
        'v' || ((event_id % (SELECT count(*) FROM part)) % (SELECT count(*) FROM supplier)) AS vendor,
        event_id AS seq,
        CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'upsert' ELSE 'update' END AS op,
-       CASE WHEN event_type IN ('signup', 'click') THEN 'Renamed ' || event_id END AS name,
-       CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(round(value * 10, 2) AS DECIMAL(18,2)) END AS price,
-       CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN false
-            WHEN event_type = 'view' THEN event_id % 3 <> 0 END AS in_stock,
-       CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN ' ' ELSE 'New' END
-            WHEN event_type = 'view' THEN 'Hot' END AS badge
+                   CASE WHEN event_type IN ('signup', 'click') THEN 'Renamed ' || event_id END AS name,
+                   CASE WHEN event_id % 3 > 0 THEN 'Text ' || event_id END AS description,
+                   CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(round(value * 10, 2) AS DECIMAL(18,2)) END AS price,
+                   CASE WHEN event_id % 2 = 0 THEN CAST(round(value * 12, 2) AS DECIMAL(18,2)) END AS original_price,
+                   'img' || event_id || '.jpg' AS image,
+                   CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN false
+                        WHEN event_type = 'view' AND event_id % 4 > 0 THEN event_id % 3 <> 0 END AS in_stock,
+                   CASE event_id % 3 WHEN 0 THEN 'Home' WHEN 1 THEN 'Gifts' ELSE NULL END AS category,
+                   CASE WHEN event_id % 4 = 1 THEN NULL ELSE ['S', 'X' || (event_id % 5)] END AS sizes,
+                   CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'Hot' END AS badge,
+                   CASE event_id % 3 WHEN 0 THEN '' ELSE 'L' END AS size,
+                   CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'wood' END AS material,
+                   CASE event_id % 2 WHEN 0 THEN 'here' ELSE NULL END AS origin,
+                   CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'n' || event_id END AS notes,
+                   CASE event_type WHEN 'click' THEN ['name', 'description', 'badge', 'sizes']
+                        WHEN 'purchase' THEN ['price', 'original_price', 'category']
+                        WHEN 'view' THEN ['in_stock', 'material', 'notes'] ELSE CAST([] AS VARCHAR[]) END AS fields
 FROM events"""
 
 ADAPTERS["r_np"] = """
@@ -168,43 +180,88 @@ SELECT * REPLACE (CASE WHEN pos % 13 <> 5 THEN in_stock END AS in_stock,
 ADAPTERS["r_pstream"] = """
 SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM mk_pchanges"""
 
-ADAPTERS["r_preplay"] = """
-SELECT k.id, 0 AS n, p.id IS NOT NULL AS present, p.vendor, p.name, p.price, p.in_stock, p.badge,
+_FIELDS = ("name description price original_price image in_stock category sizes badge size material origin notes").split()
+
+# the product log, one change at a time: an upsert writes all, an update its fields
+ADAPTERS["r_preplay"] = f"""
+SELECT k.id, 0 AS n, p.id IS NOT NULL AS present, p.vendor, {", ".join("p." + f for f in _FIELDS)},
        CASE WHEN p.id IS NOT NULL THEN 'existing' END AS source
 FROM (SELECT id FROM r_np UNION SELECT id FROM mk_pchanges) k LEFT JOIN r_np p ON p.id = k.id
 UNION ALL
 SELECT r.id, c.n,
   CASE WHEN c.op = 'delete' THEN false WHEN c.op = 'upsert' THEN true ELSE r.present END,
   CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' THEN c.vendor ELSE r.vendor END,
-  CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' THEN c.name
-       WHEN r.present THEN coalesce(c.name, r.name) ELSE r.name END,
-  CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' THEN c.price
-       WHEN r.present THEN coalesce(c.price, r.price) ELSE r.price END,
-  CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' THEN c.in_stock
-       WHEN r.present THEN coalesce(c.in_stock, r.in_stock) ELSE r.in_stock END,
-  CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' THEN c.badge
-       WHEN r.present THEN coalesce(c.badge, r.badge) ELSE r.badge END,
+  {", ".join(f"CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' THEN c.{f} WHEN r.present AND list_contains(c.fields, '{f}') THEN c.{f} ELSE r.{f} END" for f in _FIELDS)},
   CASE WHEN c.op = 'delete' THEN NULL WHEN c.op = 'upsert' THEN 'upserted'
-       WHEN r.present AND r.source = 'upserted' THEN 'upserted'
-       WHEN r.present AND (c.name IS NOT NULL OR c.price IS NOT NULL OR c.in_stock IS NOT NULL
-                           OR c.badge IS NOT NULL) THEN 'updated'
-       ELSE r.source END
+       WHEN r.present AND r.source = 'existing' AND len(c.fields) > 0 THEN 'updated' ELSE r.source END
 FROM r_preplay r JOIN r_pstream c ON c.id = r.id AND c.n = r.n + 1"""
 
-oracle("merge_products", """
-SELECT r.id, r.vendor, r.name, CAST(r.price AS DECIMAL(18,2)) AS price,
-       CASE WHEN r.source = 'existing' THEN r.in_stock ELSE coalesce(r.in_stock, true) END AS in_stock,
-       CASE WHEN r.source = 'existing' THEN r.badge ELSE nullif(trim(coalesce(r.badge, '')), '') END AS badge, r.source
+_SAVED = {"in_stock": "coalesce(r.in_stock, true)", "sizes": "coalesce(r.sizes, [])"} | {
+    f: f"nullif(r.{f}, '')" for f in ("badge", "size", "material", "origin", "notes")}
+
+
+def _saved(f: str) -> str:
+    kept = f"CASE WHEN r.source = 'existing' THEN r.{f} ELSE {_SAVED.get(f, 'r.' + f)} END"
+    if f == "sizes":
+        kept = f"array_to_string({kept}, '|')"
+    return f"CAST({kept} AS DECIMAL(18,2)) AS {f}" if f.endswith("price") else f"{kept} AS {f}"
+
+
+oracle("merge_products", f"""
+SELECT r.id, r.vendor, {", ".join(map(_saved, _FIELDS))}, r.source
 FROM r_preplay r JOIN (SELECT id, max(n) AS n FROM r_preplay GROUP BY id) m USING (id, n)
 WHERE r.present""")
 
-oracle("update_vendor_info", """
-WITH u AS (
-  SELECT lower(trim(id)) AS vendor_id, ts, seq, nullif(trim(name), '') AS name, nullif(trim(tagline), '') AS tagline
-  FROM mk_vchanges WHERE regexp_full_match(lower(trim(id)), '[a-z0-9-]{2,50}')),
-l AS (
-  SELECT vendor_id, arg_max(name, (ts, seq)) FILTER (WHERE name IS NOT NULL) AS name,
-         arg_max(tagline, (ts, seq)) FILTER (WHERE tagline IS NOT NULL) AS tagline
-  FROM u GROUP BY vendor_id)
-SELECT v.id AS vendor_id, coalesce(l.name, v.name) AS name, coalesce(l.tagline, v.tagline) AS tagline, v.whatsapp
-FROM nv v LEFT JOIN l ON l.vendor_id = v.id""")
+ADAPTERS["mk_settings"] = """
+SELECT 'v' || (user_id % 12) AS vendor_id, event_id AS seq, ts,
+       CASE WHEN event_id % 19 = 0 THEN NULL ELSE 'Shop ' || event_id END AS name,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'tag ' || event_id END AS tagline,
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'about ' || event_id END AS description,
+       CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'l' || event_id END AS logo,
+       CASE event_id % 4 WHEN 0 THEN ['name', 'tagline', 'description', 'logo'] WHEN 1 THEN ['name']
+            WHEN 2 THEN ['tagline', 'logo'] ELSE ['description'] END AS fields
+FROM events"""
+
+
+def _setting(f: str) -> str:
+    """The last valid update that sends f, else the stored value."""
+    last = (f"(SELECT {{'x': s.{f}}} FROM mk_settings s WHERE s.vendor_id = v.id AND list_contains(s.fields, '{f}') "
+            f"AND NOT (list_contains(s.fields, 'name') AND s.name IS NULL) ORDER BY ts DESC, seq DESC LIMIT 1)")
+    return f"CASE WHEN {last} IS NULL THEN v.{f} ELSE {last}['x'] END AS {f}"
+
+
+oracle("update_vendor_info", f"""WITH RECURSIVE
+SELECT v.id AS vendor_id, {", ".join(map(_setting, ("name", "tagline", "description", "logo")))}, v.whatsapp FROM nv v""")
+
+ADAPTERS["r_gone"] = "SELECT DISTINCT vendor_id FROM r_acc WHERE reason2 IS NULL AND op = 'delete'"
+
+oracle("products_after_deletes", "SELECT id, vendor FROM np WHERE vendor NOT IN (SELECT vendor_id FROM r_gone)")
+
+oracle("promotions_after_deletes", """WITH RECURSIVE
+SELECT p.id, p.vendor_id, p.product_id FROM mk_promotions p LEFT JOIN np ON np.id = p.product_id
+WHERE NOT EXISTS (SELECT 1 FROM r_gone g WHERE g.vendor_id = p.vendor_id OR g.vendor_id = np.vendor)""")
+
+oracle("payments_after_deletes", """WITH RECURSIVE
+SELECT vendor_id, seq, plan FROM s_periods WHERE kind = 'pay' AND vendor_id NOT IN (SELECT vendor_id FROM r_gone)""")
+
+# the registry log replayed: is the vendor there, and when was it last inserted
+ADAPTERS["r_vlog"] = """
+SELECT vendor_id, op, ts, row_number() OVER (PARTITION BY vendor_id ORDER BY ts, seq) AS n FROM r_acc WHERE reason2 IS NULL"""
+
+ADAPTERS["r_vreplay"] = """
+SELECT l.vendor_id, 0 AS n, v.id IS NOT NULL AS present, CAST(NULL AS TIMESTAMP) AS inserted
+FROM (SELECT DISTINCT vendor_id FROM r_vlog) l LEFT JOIN nv v ON v.id = l.vendor_id
+UNION ALL
+SELECT r.vendor_id, l.n, l.op = 'upsert',
+       CASE WHEN l.op = 'delete' THEN NULL WHEN r.present THEN r.inserted ELSE l.ts END
+FROM r_vreplay r JOIN r_vlog l ON l.vendor_id = r.vendor_id AND l.n = r.n + 1"""
+
+oracle("subscriptions_after_deletes", f"""WITH RECURSIVE
+kept AS (SELECT vendor_id, plan, status, access_started_at, current_period_start, access_ends_at FROM s_state
+         WHERE vendor_id NOT IN (SELECT vendor_id FROM r_gone)),
+ins AS (SELECT vendor_id, inserted FROM r_vreplay WHERE n = (SELECT max(n) FROM r_vlog l WHERE l.vendor_id = r_vreplay.vendor_id)
+          AND inserted IS NOT NULL)
+SELECT * FROM kept
+UNION ALL
+SELECT vendor_id, 'trial', 'trial', inserted, inserted, inserted + INTERVAL {TRIAL_DAYS} DAY FROM ins
+WHERE vendor_id NOT IN (SELECT vendor_id FROM kept)""")

@@ -73,16 +73,41 @@ def q_merge_products(t):
     p = (L.normalize_products(t.products())
          .withColumn("in_stock", F.when(F.col("pos") % 13 != 5, F.col("in_stock")))
          .withColumn("badge", F.when(F.col("pos") % 7 == 3, F.lit(" Hot ")).otherwise(F.col("badge"))))
-    return R.merge_products(p, t.product_changes())
+    return R.merge_products(p, t.product_changes()).withColumn("sizes", F.array_join("sizes", "|"))
 
 
 @query("update_vendor_info")
 def q_update_vendor_info(t):
-    """Vendor name / tagline after vendors' settings updates."""
-    ch = t.vendor_changes()
-    upd = (ch.select(F.lower(F.btrim("id")).alias("vendor_id"), "ts", "seq",
-                     F.nullif(F.btrim("name"), F.lit("")).alias("name"),
-                     F.nullif(F.btrim("tagline"), F.lit("")).alias("tagline"))
-             .filter(F.col("vendor_id").rlike(R.VENDOR_ID_RE)))
-    v = L.normalize_vendors(t.vendors()).select("id", "name", "tagline", "whatsapp")
-    return R.update_vendor_info(v, upd)
+    """Vendor name, tagline, description and logo after settings updates."""
+    v = L.normalize_vendors(t.vendors()).select("id", "name", "tagline", "description", "logo", "whatsapp")
+    return R.update_vendor_info(v, t.vendor_settings())
+
+
+@query("products_after_deletes")
+def q_products_after_deletes(t):
+    """Products left after the registry log's deletes."""
+    return R.survivors(L.normalize_products(t.products()), "vendor", _accepted(t)).select("id", "vendor")
+
+
+@query("promotions_after_deletes")
+def q_promotions_after_deletes(t):
+    """Promotions left: neither their vendor nor their product's was deleted."""
+    acc = _accepted(t)
+    owner = t.products().select(F.col("id").alias("product_id"), F.col("vendor").alias("_owner"))
+    p = R.survivors(t.promotions(), "vendor_id", acc).join(owner, "product_id", "left")
+    return R.survivors(p, "_owner", acc).select("id", "vendor_id", "product_id")
+
+
+@query("payments_after_deletes")
+def q_payments_after_deletes(t):
+    """Subscription payments left after the deletes."""
+    pays = H.renewal_periods(H.classify_events(t.subscription_events())).filter(F.col("kind") == "pay")
+    return R.survivors(pays, "vendor_id", _accepted(t)).select("vendor_id", "seq", "plan")
+
+
+@query("subscriptions_after_deletes")
+def q_subscriptions_after_deletes(t):
+    """Subscription rows left, and trials of newly inserted vendors."""
+    c = H.classify_events(t.subscription_events())
+    state = H.subscription_state(c, H.renewal_periods(c))
+    return R.subscriptions_after(state, L.normalize_vendors(t.vendors()), _accepted(t), H.TRIAL_DAYS)

@@ -339,6 +339,18 @@ class TestTables:
                    CASE WHEN event_id % 2 = 0 THEN '  ' ELSE 'tag ' || event_id END AS tagline
             FROM {e}""", e="events")
 
+    def vendor_settings(self) -> DataFrame:
+        """Vendors' settings updates: which fields they send, some cleared."""
+        return self._sql("""
+            SELECT 'v' || (user_id % 12) AS vendor_id, event_id AS seq, ts,
+                   CASE WHEN event_id % 19 = 0 THEN NULL ELSE 'Shop ' || event_id END AS name,
+                   CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'tag ' || event_id END AS tagline,
+                   CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'about ' || event_id END AS description,
+                   CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'l' || event_id END AS logo,
+                   CASE event_id % 4 WHEN 0 THEN array('name', 'tagline', 'description', 'logo') WHEN 1 THEN array('name')
+                        WHEN 2 THEN array('tagline', 'logo') ELSE array('description') END AS fields
+            FROM {e}""", e="events")
+
     def product_changes(self) -> DataFrame:
         """Catalogue edits by vendors: insert, partial update, delete."""
         return self._sql("""
@@ -347,11 +359,22 @@ class TestTables:
                    event_id AS seq,
                    CASE event_type WHEN 'error' THEN 'delete' WHEN 'signup' THEN 'upsert' ELSE 'update' END AS op,
                    CASE WHEN event_type IN ('signup', 'click') THEN 'Renamed ' || event_id END AS name,
+                   CASE WHEN event_id % 3 > 0 THEN 'Text ' || event_id END AS description,
                    CASE WHEN event_type IN ('signup', 'purchase') THEN CAST(round(value * 10, 2) AS DECIMAL(18,2)) END AS price,
+                   CASE WHEN event_id % 2 = 0 THEN CAST(round(value * 12, 2) AS DECIMAL(18,2)) END AS original_price,
+                   'img' || event_id || '.jpg' AS image,
                    CASE WHEN event_type = 'signup' AND event_id % 2 = 0 THEN false
-                        WHEN event_type = 'view' THEN event_id % 3 <> 0 END AS in_stock,
-                   CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 2 = 0 THEN ' ' ELSE 'New' END
-                        WHEN event_type = 'view' THEN 'Hot' END AS badge
+                        WHEN event_type = 'view' AND event_id % 4 > 0 THEN event_id % 3 <> 0 END AS in_stock,
+                   CASE event_id % 3 WHEN 0 THEN 'Home' WHEN 1 THEN 'Gifts' ELSE NULL END AS category,
+                   CASE WHEN event_id % 4 = 1 THEN NULL ELSE array('S', 'X' || (event_id % 5)) END AS sizes,
+                   CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'Hot' END AS badge,
+                   CASE event_id % 3 WHEN 0 THEN '' ELSE 'L' END AS size,
+                   CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'wood' END AS material,
+                   CASE event_id % 2 WHEN 0 THEN 'here' ELSE NULL END AS origin,
+                   CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'n' || event_id END AS notes,
+                   CASE event_type WHEN 'click' THEN array('name', 'description', 'badge', 'sizes')
+                        WHEN 'purchase' THEN array('price', 'original_price', 'category')
+                        WHEN 'view' THEN array('in_stock', 'material', 'notes') ELSE CAST(array() AS ARRAY<STRING>) END AS fields
             FROM {e}""", e="events", p="part", s="supplier")
 
     def checkout_forms(self) -> DataFrame:

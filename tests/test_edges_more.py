@@ -14,26 +14,36 @@ from marketspark.operators import visibility as V
 T0 = dt.datetime(2024, 1, 1)
 
 
+def _full_products(df):
+    """df with the product columns it leaves out."""
+    from pyspark.sql import functions as F
+    for f in R.PRODUCT_FIELDS:
+        if f not in df.columns:
+            df = df.withColumn(f, F.lit(None).cast("array<string>" if f == "sizes" else "decimal(18,2)" if f == "original_price" else "string"))
+    return df
+
+
 def test_product_log_field_mask_and_deletes(spark):
     products = spark.createDataFrame(
         [("a", "v1", "A", Decimal("1.00"), True, "New"), ("b", "v1", "B", Decimal("2.00"), True, None),
          ("c", "v2", "C", Decimal("3.00"), False, None)],
         "id string, vendor string, name string, price decimal(18,2), in_stock boolean, badge string")
     changes = spark.createDataFrame(
-        [("a", "v1", 1, "update", None, Decimal("9.00"), None, None),     # only price changes
-         ("a", "v1", 2, "update", "A2", None, None, " "),                # name; blank badge -> null
-         ("b", "v1", 3, "delete", None, None, None, None),
-         ("b", "v1", 4, "update", "ghost", None, None, None),            # update after delete: nothing
-         ("c", "v2", 5, "delete", None, None, None, None),
-         ("c", "v2", 6, "upsert", "C2", Decimal("4.00"), None, ""),      # re-created: in_stock default true
-         ("d", "v3", 7, "upsert", "D", Decimal("5.00"), False, "Hot")],
+        [("a", "v1", 1, "update", None, Decimal("9.00"), None, None, ["price"]),          # only price changes
+         ("a", "v1", 2, "update", "A2", None, None, "", ["name", "badge"]),              # name; empty badge -> null
+         ("b", "v1", 3, "delete", None, None, None, None, []),
+         ("b", "v1", 4, "update", "ghost", None, None, None, ["name"]),                  # update after delete: nothing
+         ("c", "v2", 5, "delete", None, None, None, None, []),
+         ("c", "v2", 6, "upsert", "C2", Decimal("4.00"), None, "", []),                  # re-created: in_stock default true
+         ("d", "v3", 7, "upsert", "D", Decimal("5.00"), False, "Hot", []),
+         ("d", "v3", 8, "update", None, None, None, None, ["badge"])],                   # a sent null clears
         "id string, vendor string, seq long, op string, name string, price decimal(18,2), "
-        "in_stock boolean, badge string")
+        "in_stock boolean, badge string, fields array<string>")
     got = {r["id"]: (r["name"], r["price"], r["in_stock"], r["badge"], r["source"])
-           for r in R.merge_products(products, changes).collect()}
+           for r in R.merge_products(_full_products(products), _full_products(changes)).collect()}
     assert got == {"a": ("A2", Decimal("9.00"), True, None, "updated"),
                    "c": ("C2", Decimal("4.00"), True, None, "upserted"),
-                   "d": ("D", Decimal("5.00"), False, "Hot", "upserted")}
+                   "d": ("D", Decimal("5.00"), False, None, "upserted")}
 
 
 def test_vendor_registry_validation_and_last_change(spark):
@@ -170,12 +180,17 @@ def test_proven_edges(spark):
         "items", F.lit(1).alias("total"), F.lit("paid").alias("status"))
     assert [len(r.violations) for r in J.violations(bad, "orders").collect()] == [1, 1, 1, 0, 0]
     assert not spark.range(1).select(F.lit("v5\n").rlike(R.VENDOR_ID_RE).alias("x")).first().x
-    prods = spark.createDataFrame([("p1", "v", "A", 1, None, " Hot "), ("p2", "v", "B", 2, None, " New ")],
-                                  "id string, vendor string, name string, price int, in_stock boolean, badge string")
-    ch = spark.createDataFrame([("p2", "v", 1, "update", "B2", None, None, None)],
-                               "id string, vendor string, seq long, op string, name string, price int, in_stock boolean, badge string")
-    rows = {r.id: (r.name, r.in_stock, r.badge, r.source) for r in R.merge_products(prods, ch).collect()}
-    assert rows == {"p1": ("A", None, " Hot ", "existing"), "p2": ("B2", True, "New", "updated")}
+    cols = ("id string, vendor string, name string, price int, in_stock boolean, badge string, description string, "
+            "original_price int, image string, category string, sizes array<string>, size string, material string, "
+            "origin string, notes string")
+    rest = ("text", 9, "i", "c", None, "", "m", "o", "n")
+    prods = spark.createDataFrame([("p1", "v", "A", 1, None, " Hot ", *rest), ("p2", "v", "B", 2, None, "", *rest)], cols)
+    none = (None,) * 9
+    ch = spark.createDataFrame([("p2", "v", "B2", None, None, None, *none, 1, "update", ["name", "description"]),
+                                ("p9", "v", "gone", 1, None, None, *none, 2, "update", ["name"])],
+                               cols + ", seq long, op string, fields array<string>")
+    rows = {r.id: (r.name, r.in_stock, r.badge, r.description, r.size, r.source) for r in R.merge_products(prods, ch).collect()}
+    assert rows == {"p1": ("A", None, " Hot ", "text", "", "existing"), "p2": ("B2", True, None, None, None, "updated")}
 
 
 def test_products_without_price_stay_but_are_not_ordered(spark):
