@@ -14,48 +14,50 @@ from .visibility import promotion_live
 HOME_FEATURED = 8
 
 
+def _live(promotions: DataFrame, promotion_type: str, at) -> DataFrame:
+    """Live promotions of one type with their order columns: placement
+    level desc, created_at desc, id."""
+    p = promotions.filter(promotion_live(at) & (F.col("promotion_type") == promotion_type))
+    p = p.withColumn("_lvl", -F.coalesce(F.col("placement_level"), F.lit(1)).cast("int"))
+    return p.withColumn("_age", -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("created_at")))
+
+
 def active_promotions(promotions: DataFrame, promotion_type: str, at) -> DataFrame:
     """G1: live promotions of one type, ranked placement_level desc,
     created_at desc, id. The ranking is one global order, so it uses the
     range-partitioned ranking (no single-partition window)."""
-    p = promotions.filter(promotion_live(at) & (F.col("promotion_type") == promotion_type))
-    p = p.withColumn("_lvl", -F.coalesce(F.col("placement_level"), F.lit(1)).cast("int"))
-    p = p.withColumn("_age", -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"),
-                                               F.col("created_at")))
-    return rank_within(p, ["promotion_type"], ["_lvl", "_age", "id"]).drop("_lvl", "_age")
+    return rank_within(_live(promotions, promotion_type, at), ["promotion_type"], ["_lvl", "_age", "id"]).drop("_lvl", "_age")
+
+
+def _sponsored(promotions: DataFrame, promotion_type: str, at) -> DataFrame:
+    """Distinct targets of live promotions with the place of their first one
+    in promotion order (a struct that sorts like it; no ranking needed)."""
+    col = "product_id" if promotion_type == "product" else "vendor_id"
+    return (_live(promotions, promotion_type, at).groupBy(F.col(col).alias("target_id"))
+            .agg(F.min(F.struct("_lvl", "_age", "id")).alias("_place")))
 
 
 def homepage_vendor_order(promotions: DataFrame, vendors: DataFrame, at) -> DataFrame:
     """Promoted vendors in promotion order, then all vendors in
     catalogue order; first occurrence kept; only existing vendors."""
-    promoted = (active_promotions(promotions, "boutique", at)
-                .select("vendor_id", F.lit(0).alias("_src"), F.col("rank").cast("bigint").alias("_r")))
-    allv = vendors.select(F.col("id").alias("vendor_id"), F.lit(1).alias("_src"), F.col("pos").cast("bigint").alias("_r"))
-    first = (promoted.unionByName(allv).filter(F.col("vendor_id").isNotNull())
-             .groupBy("vendor_id").agg(F.min(F.struct("_src", "_r")).alias("_o")))
-    first = first.join(vendors.select(F.col("id").alias("vendor_id")), "vendor_id", "left_semi")
-    first = first.select("vendor_id", F.col("_o._src").alias("_src"), F.col("_o._r").alias("_r"),
-                         F.lit("home").alias("_g"))
-    return (rank_within(first, ["_g"], ["_src", "_r", "vendor_id"])
-            .select("vendor_id", (F.col("_src") == 0).alias("promoted"), "rank"))
-
-
-def sponsored_ids(promotions: DataFrame, promotion_type: str, at) -> DataFrame:
-    """Distinct targets of live promotions, with their first (best) rank."""
-    col = "product_id" if promotion_type == "product" else "vendor_id"
-    a = active_promotions(promotions, promotion_type, at)
-    return a.groupBy(F.col(col).alias("target_id")).agg(F.min("rank").alias("sponsor_rank"))
+    promoted = _sponsored(promotions, "boutique", at).withColumnRenamed("target_id", "_vid")
+    j = vendors.select("id", F.col("pos").cast("bigint").alias("_pos")).join(promoted, F.col("id") == F.col("_vid"), "left")
+    first = j.select(F.col("id").alias("vendor_id"), F.col("_place").isNotNull().alias("promoted"),
+                     F.when(F.col("_place").isNull(), 1).otherwise(0).alias("_src"),
+                     F.coalesce("_place._lvl", F.lit(0)).alias("_lvl"), F.coalesce("_place._age", F.lit(0)).alias("_age"),
+                     F.coalesce("_place.id", F.lit("")).alias("_pid_"),
+                     F.when(F.col("_place").isNull(), F.col("_pos")).otherwise(F.lit(0)).alias("_pos"), F.lit("home").alias("_g"))
+    return (rank_within(first, ["_g"], ["_src", "_lvl", "_age", "_pid_", "_pos", "vendor_id"])
+            .select("vendor_id", "promoted", "rank"))
 
 
 def flag_sponsored(products: DataFrame, vendors: DataFrame, promotions: DataFrame, at) -> DataFrame:
     """Products and vendors with a `sponsored` flag."""
-    sp = sponsored_ids(promotions, "product", at).select(F.col("target_id").alias("id"), F.lit(True).alias("_s"))
-    sv = sponsored_ids(promotions, "boutique", at).select(F.col("target_id").alias("id"), F.lit(True).alias("_s"))
-    p = (products.select("id").join(sp, "id", "left")
-         .select(F.lit("product").alias("kind"), "id", F.col("_s").isNotNull().alias("sponsored")))
-    v = (vendors.select("id").join(sv, "id", "left")
-         .select(F.lit("vendor").alias("kind"), "id", F.col("_s").isNotNull().alias("sponsored")))
-    return p.unionByName(v)
+    def flags(kind: str, rows: DataFrame, promotion_type: str) -> DataFrame:
+        s = _sponsored(promotions, promotion_type, at).select(F.col("target_id").alias("id"), F.lit(True).alias("_s"))
+        return rows.select("id").join(s, "id", "left").select(F.lit(kind).alias("kind"), "id", F.col("_s").isNotNull().alias("sponsored"))
+
+    return flags("product", products, "product").unionByName(flags("vendor", vendors, "boutique"))
 
 
 def homepage_featured(products: DataFrame, promotions: DataFrame, vendors: DataFrame, at,
@@ -63,17 +65,19 @@ def homepage_featured(products: DataFrame, promotions: DataFrame, vendors: DataF
     """Sponsored products (in promotion order, existing only) then the
     first n badged products minus every sponsored id; first n overall.
     The organic list is cut to n before the subtraction, as on the page."""
-    sp = sponsored_ids(promotions, "product", at)
+    sp = _sponsored(promotions, "product", at)
+    none = F.struct(F.lit(0).alias("_lvl"), F.lit(0).cast("bigint").alias("_age"), F.lit("").alias("id"))
     sp_existing = (sp.join(products.select(F.col("id").alias("target_id")), "target_id", "left_semi")
-                   .orderBy("sponsor_rank", "target_id").limit(n)
-                   .select(F.col("target_id").alias("product_id"), F.lit(0).alias("_src"),
-                           F.col("sponsor_rank").cast("bigint").alias("_r")))
+                   .orderBy("_place").limit(n)
+                   .select(F.col("target_id").alias("product_id"), F.lit(0).alias("_src"), "_place",
+                           F.lit(0).cast("bigint").alias("_r")))
     organic = (featured_products(products, vendors, n)
                .join(sp.select(F.col("target_id").alias("id")), "id", "left_anti")
-               .select(F.col("id").alias("product_id"), F.lit(1).alias("_src"), F.col("rank").alias("_r")))
-    both = sp_existing.unionByName(organic).orderBy("_src", "_r").limit(n)
+               .select(F.col("id").alias("product_id"), F.lit(1).alias("_src"), none.alias("_place"), F.col("rank").alias("_r")))
+    order = ["_src", "_place", "_r"]
+    both = sp_existing.unionByName(organic).orderBy(*order).limit(n)
     # at most n rows here: a plain window is fine
-    return top_k_per_group(both.withColumn("_g", F.lit(1)), ["_g"], ["_src", "_r"], n).select(
+    return top_k_per_group(both.withColumn("_g", F.lit(1)), ["_g"], order, n).select(
         "product_id", (F.col("_src") == 0).alias("sponsored"), "rank")
 
 

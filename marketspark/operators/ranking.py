@@ -16,10 +16,13 @@ rows that task does a third of the work. Here instead:
    (partition, group) - a key that is never skewed, because the
    partition index splits hot groups.
 
-Steps 3 and 4 both read the sorted data, and Spark does not reuse a range
-exchange across two branches (each would sample its own bounds). So the
-sorted, numbered data is checkpointed once (reliable checkpoint in the
-folder named by spark.checkpoint.dir) and both steps read that.
+Only the keys take part in this: steps 3 and 4 both read the sorted keys, and
+Spark does not reuse a range exchange across two branches (each would sample
+its own bounds), so the sorted, numbered keys are checkpointed once (reliable
+checkpoint in the folder named by spark.checkpoint.dir; the session removes
+checkpoints that are no longer used). The full rows are then joined with
+their ranks by (group, order), which no row shares with another. The number
+of range partitions is left to AQE, which sizes them by the keys' bytes.
 
 `top_k_per_group` keeps the k first rows per group. It is a filter on
 `row_number() <= k`, which Catalyst plans with a partial
@@ -41,24 +44,47 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _numbered_keys(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
+    """df (key columns and little else) sorted over range partitions, with
+    _mid ascending in the global order and _pid the partition; checkpointed."""
+    cols = _cols(keys)
+    s = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+    s = s.sortWithinPartitions(*cols).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_pid", F.shiftright("_mid", 33))
+    ensure_checkpoint_dir(df.sparkSession)
+    return s.checkpoint(eager=True)
+
+
+def _keyed(df: DataFrame, order: Sequence[Column | str]) -> tuple[DataFrame, list[str]]:
+    """df with its order expressions as columns _k0, _k1, ..."""
+    names = [f"_k{i}" for i in range(len(order))]
+    return df.withColumns(dict(zip(names, _cols(order)))), names
+
+
+def _join_back(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of found, matched by the keys (nulls equal)."""
+    f = found.withColumnsRenamed({k: f"_f_{k}" for k in keys})
+    on = [rows[k].eqNullSafe(f[f"_f_{k}"]) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return rows.join(f, cond).drop(*[f"_f_{k}" for k in keys])
+
+
 def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                 rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """Add `rank_col` = 1-based position of each row inside its group by
-    `order` (which must make a total order inside a group)."""
+    `order`, ascending values that make a total order inside a group."""
     g = list(group)
-    keys = _cols(g) + _cols(order)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    s = s.withColumn("_mid", F.monotonically_increasing_id())
-    s = s.withColumn("_pid", F.shiftright("_mid", 33))
-    ensure_checkpoint_dir(df.sparkSession)
-    s = s.checkpoint(eager=True)
+    rows, names = _keyed(df, order)
+    keys = g + names
+    s = _numbered_keys(rows.select(*keys), keys, num_partitions)
     runs = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_start"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = s.join(runs.drop("_n"), ["_pid", *g], "inner")
-    return (out.withColumn(rank_col, (F.col("_mid") - F.col("_start") + 1 + F.col("_off")).cast("bigint"))
-               .drop("_mid", "_pid", "_start", "_off"))
+    ranks = _join_back(s, runs.drop("_n"), ["_pid", *g])
+    ranks = ranks.select(*keys, (F.col("_mid") - F.col("_start") + 1 + F.col("_off")).cast("bigint").alias(rank_col))
+    return _join_back(rows.drop(rank_col), ranks, keys).drop(*names)
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int,
@@ -84,23 +110,20 @@ def extend_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     `t_col` and `d_col` are longs (microseconds); nulls in d count as 0.
     """
     g = list(group)
-    keys = _cols(g) + _cols(order)
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    s = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    s = s.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_pid", F.shiftright("_mid", 33))
-    ensure_checkpoint_dir(df.sparkSession)
-    s = s.checkpoint(eager=True)
+    rows, names = _keyed(df, order)
+    keys = g + names
     d = F.coalesce(F.col(d_col), F.lit(0)).cast("long")
+    s = _numbered_keys(rows.select(*keys, F.col(t_col).alias("_t"), d.alias("_d")), keys, num_partitions)
     wl = Window.partitionBy("_pid", *g).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_d", d).withColumn("_sl", F.sum("_d").over(wl))
-    s = s.withColumn("_ml", F.max(F.col(t_col) - (F.col("_sl") - F.col("_d"))).over(wl))
+    s = s.withColumn("_sl", F.sum("_d").over(wl))
+    s = s.withColumn("_ml", F.max(F.col("_t") - (F.col("_sl") - F.col("_d"))).over(wl))
     runs = s.groupBy("_pid", *g).agg(F.sum("_d").alias("_sr"), F.max("_ml").alias("_mr"))
     wr = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("_sb", F.coalesce(F.sum("_sr").over(wr), F.lit(0)))
     runs = runs.withColumn("_mb", F.max(F.col("_mr") - F.col("_sb")).over(
         Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
     # _mb must use each earlier run's own carry-in: M_before(j) = max_{r<j}(M_r - S_before(r))
-    out = s.join(runs.select("_pid", *g, "_sb", "_mb"), ["_pid", *g], "inner")
+    ends = s.join(runs.select("_pid", *g, "_sb", "_mb"), ["_pid", *g], "inner")
     m = F.greatest(F.col("_mb"), F.col("_ml") - F.col("_sb"))
-    return (out.withColumn(out_col, F.col("_sb") + F.col("_sl") + m)
-               .drop("_mid", "_pid", "_d", "_sl", "_ml", "_sb", "_mb"))
+    ends = ends.select(*keys, (F.col("_sb") + F.col("_sl") + m).alias(out_col))
+    return _join_back(rows.drop(out_col), ends, keys).drop(*names)

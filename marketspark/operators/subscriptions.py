@@ -164,5 +164,5 @@ def payment_history(periods: DataFrame) -> DataFrame:
     pays = periods.filter(F.col("kind") == "pay").withColumn(
         "notes", F.nullif(F.trim(F.col("notes")), F.lit("")))
     pays = pays.withColumn("_neg_us", -_us(F.col("ts")))
-    return rank_within(pays, ["vendor_id"], [F.col("_neg_us"), F.desc("seq")]).select(
+    return rank_within(pays, ["vendor_id"], ["_neg_us", -F.col("seq")]).select(
         "vendor_id", "seq", "plan", "amount", "period_start", "period_end", "notes", "rank")
