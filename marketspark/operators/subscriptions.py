@@ -65,7 +65,7 @@ def classify_events(events: DataFrame) -> DataFrame:
     price = F.broadcast(plan_pricing(spark)).withColumnRenamed("days", "_plan_days")
     ev = ev.join(price, "plan", "left")
     kind = F.col("kind")
-    reason = (F.when(kind.isNull() | ~kind.isin("trial", "pay", "grant", "suspend", "resume"), F.lit("invalid_action"))
+    reason = (F.when(kind.isNull() | ~kind.isin("trial", "pay", "grant", "suspend", "resume", "cancel"), F.lit("invalid_action"))
                .when((kind == "trial") & (F.col("_o") == F.col("_t0")), F.lit(None))
                .when(kind == "trial", F.lit("subscription_exists"))
                .when(F.col("_t0").isNull() | (F.col("_o") < F.col("_t0")), F.lit("subscription_not_found"))
@@ -117,7 +117,9 @@ def subscription_state(classified: DataFrame, periods: DataFrame) -> DataFrame:
     st = acc.groupBy("vendor_id").agg(
         F.min(F.when(kind == "trial", F.col("ts"))).alias("access_started_at"),
         F.max_by(F.col("plan"), F.when(kind == "pay", o)).alias("_paid_plan"),
-        F.max_by(kind, F.when(kind.isin("trial", "pay", "suspend", "resume"), o)).alias("_last_kind"),
+        F.max_by(kind, F.when(kind.isin("trial", "pay", "suspend", "resume", "cancel"), o)).alias("_last_kind"),
+        F.max(F.when(kind == "cancel", o)).alias("_last_cancel"),
+        F.max(F.when(kind == "grant", o)).alias("_last_grant"),
         F.max(F.when(kind == "pay", F.col("ts"))).alias("last_payment_at"),
         F.max(o)["ts"].alias("updated_at"),
         F.count(F.when(kind == "pay", 1)).alias("n_payments"))
@@ -127,7 +129,10 @@ def subscription_state(classified: DataFrame, periods: DataFrame) -> DataFrame:
             "current_period_start"))
     j = st.join(pr, "vendor_id", "inner")
     plan = F.coalesce(F.col("_paid_plan"), F.lit("trial"))
+    # granted days revive a cancelled subscription, but not a suspended one
+    revived = F.coalesce(F.col("_last_grant") > F.col("_last_cancel"), F.lit(False))
     status = (F.when(F.col("_last_kind") == "suspend", F.lit("suspended"))
+               .when((F.col("_last_kind") == "cancel") & ~revived, F.lit("cancelled"))
                .when(plan == "trial", F.lit("trial")).otherwise(F.lit("active")))
     return j.select("vendor_id", plan.alias("plan"), status.alias("status"), "access_started_at",
                     "current_period_start", "access_ends_at", "last_payment_at", "updated_at", "n_payments")

@@ -10,11 +10,12 @@ FROM supplier
 UNION ALL
 SELECT 'v' || (user_id % (SELECT count(*) FROM supplier)), event_id, ts,
        CASE event_type WHEN 'purchase' THEN 'pay' WHEN 'click' THEN 'grant'
-            WHEN 'error' THEN 'suspend' WHEN 'view' THEN 'resume' ELSE 'pay' END,
+            WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'suspend' ELSE 'cancel' END
+            WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'resume' ELSE 'grant' END ELSE 'pay' END,
        CASE WHEN event_type = 'signup' THEN 'launch'
             WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'launch' WHEN 1 THEN 'monthly'
                  WHEN 2 THEN 'annual' ELSE 'bogus' END END,
-       CASE WHEN event_type = 'click' THEN CAST(floor(value) AS INTEGER) % 40 END,
+       CASE WHEN event_type IN ('click', 'view') THEN CAST(floor(value) AS INTEGER) % 40 END,
        CASE WHEN event_id % 3 = 0 THEN '  ' ELSE 'ref ' || event_id END
 FROM events"""
 
@@ -35,7 +36,7 @@ FROM s_base WHERE kind = 'pay' AND plan = 'launch' AND after_trial"""
 
 ADAPTERS["s_cls"] = """
 SELECT b.vendor_id, b.seq, b.ts, b.kind, b.plan, b.days, b.notes,
-  CASE WHEN b.kind IS NULL OR b.kind NOT IN ('trial', 'pay', 'grant', 'suspend', 'resume') THEN 'invalid_action'
+  CASE WHEN b.kind IS NULL OR b.kind NOT IN ('trial', 'pay', 'grant', 'suspend', 'resume', 'cancel') THEN 'invalid_action'
        WHEN b.kind = 'trial' AND b.is_first_trial THEN NULL
        WHEN b.kind = 'trial' THEN 'subscription_exists'
        WHEN NOT b.after_trial THEN 'subscription_not_found'
@@ -71,12 +72,22 @@ FROM s_fold f JOIN s_ext e ON e.vendor_id = f.vendor_id AND e.n = f.n + 1"""
 
 ADAPTERS["s_periods"] = "SELECT *, period_end - to_days(d_days) AS period_start FROM s_fold"
 
+# plan and status replayed call by call
+ADAPTERS["s_calls"] = """
+SELECT vendor_id, kind, plan, row_number() OVER (PARTITION BY vendor_id ORDER BY ts, seq) AS n FROM s_acc WHERE accepted"""
+
+ADAPTERS["s_status"] = """
+SELECT vendor_id, n, 'trial' AS plan, 'trial' AS status FROM s_calls WHERE n = 1
+UNION ALL
+SELECT c.vendor_id, c.n, CASE WHEN c.kind = 'pay' THEN c.plan ELSE s.plan END,
+       CASE c.kind WHEN 'pay' THEN 'active' WHEN 'suspend' THEN 'suspended' WHEN 'cancel' THEN 'cancelled'
+            WHEN 'resume' THEN CASE WHEN s.plan = 'trial' THEN 'trial' ELSE 'active' END
+            WHEN 'grant' THEN CASE WHEN s.status = 'suspended' THEN 'suspended' WHEN s.plan = 'trial' THEN 'trial' ELSE 'active' END
+            ELSE s.status END
+FROM s_status s JOIN s_calls c ON c.vendor_id = s.vendor_id AND c.n = s.n + 1"""
+
 ADAPTERS["s_state"] = """
 WITH a AS (SELECT * FROM s_acc WHERE accepted),
-last_kind AS (
-  SELECT vendor_id, kind AS last_kind FROM (
-    SELECT vendor_id, kind, row_number() OVER (PARTITION BY vendor_id ORDER BY ts DESC, seq DESC) AS rn
-    FROM a WHERE kind IN ('trial', 'pay', 'suspend', 'resume')) WHERE rn = 1),
 last_pay AS (
   SELECT vendor_id, plan AS paid_plan FROM (
     SELECT vendor_id, plan, row_number() OVER (PARTITION BY vendor_id ORDER BY ts DESC, seq DESC) AS rn
@@ -92,12 +103,11 @@ cps AS (
   SELECT vendor_id, period_start AS current_period_start FROM (
     SELECT vendor_id, period_start, row_number() OVER (PARTITION BY vendor_id ORDER BY ts DESC, seq DESC) AS rn
     FROM s_periods WHERE kind IN ('trial', 'pay')) WHERE rn = 1)
-SELECT agg.vendor_id, coalesce(paid_plan, 'trial') AS plan,
-       CASE WHEN last_kind = 'suspend' THEN 'suspended'
-            WHEN coalesce(paid_plan, 'trial') = 'trial' THEN 'trial' ELSE 'active' END AS status,
+SELECT agg.vendor_id, coalesce(paid_plan, 'trial') AS plan, final.status,
        access_started_at, current_period_start, access_ends_at, last_payment_at, updated_at, n_payments
 FROM agg JOIN per USING (vendor_id) LEFT JOIN cps USING (vendor_id)
-LEFT JOIN last_kind USING (vendor_id) LEFT JOIN last_pay USING (vendor_id)"""
+LEFT JOIN (SELECT vendor_id, arg_max(status, n) AS status FROM s_status GROUP BY vendor_id) final USING (vendor_id)
+LEFT JOIN last_pay USING (vendor_id)"""
 
 oracle("renewal_periods", """WITH RECURSIVE
 SELECT vendor_id, seq, kind, plan, d_days, amount, period_start, period_end FROM s_periods""")

@@ -191,11 +191,12 @@ class TestTables:
             UNION ALL
             SELECT 'v' || (user_id % (SELECT count(*) FROM {s})), event_id, ts,
                    CASE event_type WHEN 'purchase' THEN 'pay' WHEN 'click' THEN 'grant'
-                        WHEN 'error' THEN 'suspend' WHEN 'view' THEN 'resume' ELSE 'pay' END,
+                        WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'suspend' ELSE 'cancel' END
+                        WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'resume' ELSE 'grant' END ELSE 'pay' END,
                    CASE WHEN event_type = 'signup' THEN 'launch'
                         WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'launch'
                              WHEN 1 THEN 'monthly' WHEN 2 THEN 'annual' ELSE 'bogus' END END,
-                   CASE WHEN event_type = 'click' THEN CAST(floor(value) AS INT) % 40 END,
+                   CASE WHEN event_type IN ('click', 'view') THEN CAST(floor(value) AS INT) % 40 END,
                    CASE WHEN event_id % 3 = 0 THEN '  ' ELSE 'ref ' || event_id END
             FROM {e}""", s="supplier", e="events")
 

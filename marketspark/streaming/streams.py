@@ -273,6 +273,8 @@ def _ledger_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
             s["status"] = "suspended" if s["status"] == "suspended" else ("trial" if s["plan"] == "trial" else "active")
         elif r.kind == "suspend":
             s["status"] = "suspended"
+        elif r.kind == "cancel":
+            s["status"] = "cancelled"
         elif r.kind == "resume":
             s["status"] = "trial" if s["plan"] == "trial" else "active"
         else:

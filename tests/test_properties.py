@@ -93,7 +93,7 @@ def test_ledger_state_matches_stream_fold(spark):
     from marketspark.streaming.streams import _ledger_fold
 
     ev = [("v", -1, T0, "trial", None, 30, None)]
-    kinds = ["pay", "grant", "suspend", "resume"]
+    kinds = ["pay", "grant", "suspend", "resume", "cancel"]
     plans = ["launch", "monthly", "annual", "bogus"]
     for i in range(1, 40):
         k = kinds[i % 4]
