@@ -16,6 +16,8 @@ from marketspark.session import scratch_path
 
 #: documents whose best language stays below this score are rejected
 MIN_LANGUAGE_SCORE = 0.25
+#: words a packing worker remembers: few, as the stages share their workers' memory
+REMEMBER_WORDS = 50_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the mix and the sequence and offset of each."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, remember_words=REMEMBER_WORDS)
 
 
 STAGES = [

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,26 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def settle() -> None:
+    """Give memory that a finished task no longer needs back to the system:
+    Python workers are reused, and their free memory counts as theirs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):       # another C library: nothing to trim
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A mapInArrow or mapInPandas function that settles when it ends."""
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            settle()
+    return tidied
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as a parquet table under spark.checkpoint.dir
     and read it back. Lost executors do not lose it, its size is known to
@@ -63,7 +84,7 @@ def with_word_count(rows: DataFrame, text_col: str, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n, pa.int64())], names=[*keep, name])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema.fields)
-    return rows.select(text_col, *keep).mapInArrow(run, fields + f"`{name}` long")
+    return rows.select(text_col, *keep).mapInArrow(tidy(run), fields + f"`{name}` long")
 
 
 def ordered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, tidy
 from .components import components
 
 MIN_COSINE = 0.9
@@ -84,7 +84,7 @@ def unit_vectors(rows: DataFrame, vec_col: str) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.binary())], names=[*keep, "_em_unit"])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*keep).schema.fields)
-    return rows.select(vec_col, *keep).mapInArrow(run, fields + "_em_unit binary"), dim
+    return rows.select(vec_col, *keep).mapInArrow(tidy(run), fields + "_em_unit binary"), dim
 
 
 def _keyed(rows: DataFrame, dim: int, passes: list[int], bits: int, seed: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _keyed(rows: DataFrame, dim: int, passes: list[int], bits: int, seed: int) -
                     [pa.array(np.full(b.num_rows, p, dtype=np.int32)), pa.array(sort_keys(x, pl)), *b.columns],
                     names=["pass", "key", "id", "radius", "unit"])
 
-    keyed = rows.select("id", "radius", "unit").mapInArrow(run, "pass int, key long, id long, radius double, unit binary")
+    keyed = rows.select("id", "radius", "unit").mapInArrow(tidy(run), "pass int, key long, id long, radius double, unit binary")
     return keyed.repartitionByRange(F.col("pass"), F.col("key"), F.col("id")).sortWithinPartitions("pass", "key", "id")
 
 
@@ -136,7 +136,7 @@ def _absorb(rows: DataFrame, dim: int, pass_no: int, max_radius: float, window:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(child)), pa.array(np.array(leader)), pa.array(angle, pa.float64())],
                                                  names=["child", "leader", "angle"])
 
-    return _keyed(rows, dim, [pass_no], bits, seed).mapInArrow(run, "child long, leader long, angle double")
+    return _keyed(rows, dim, [pass_no], bits, seed).mapInArrow(tidy(run), "child long, leader long, angle double")
 
 
 def _near(rows: DataFrame, dim: int, passes: list[int], limit: float, window: int, bits: int, seed: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _near(rows: DataFrame, dim: int, passes: list[int], limit: float, window: in
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["a", "b", "cosine", "ra", "rb"])
             tail = tuple(v[-window:] for v in cur)
 
-    return _keyed(rows, dim, passes, bits, seed).mapInArrow(run, "a long, b long, cosine double, ra double, rb double")
+    return _keyed(rows, dim, passes, bits, seed).mapInArrow(tidy(run), "a long, b long, cosine double, ra double, rb double")
 
 
 def _block_links(pairs: DataFrame, members: DataFrame, dim: int, min_cosine: float, block: int) -> DataFrame:
@@ -201,7 +201,7 @@ def _block_links(pairs: DataFrame, members: DataFrame, dim: int, min_cosine: flo
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ids, hits, aa, bb)], names=["id", "hits", "a", "b"])
 
     return (pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "va", "vb")
-            .mapInArrow(run, "id long, hits long, a long, b long"))
+            .mapInArrow(tidy(run), "id long, hits long, a long, b long"))
 
 
 def _by_ball():

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ragged, ship, text_slices
+from .common import ragged, ship, text_slices, tidy
 
 MAX_GRAM = 3
 PROFILE_SIZE = 400
@@ -153,7 +153,7 @@ def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text"
                     [pa.array([lang] * len(seen), pa.string()), pa.array([key_gram(k) for k in ids.keys[seen].tolist()], pa.string()),
                      pa.array(n[seen].astype(np.int64))], names=["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(tidy(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= profile_size)
     profiles: dict[str, list[str]] = {}
     for r in top.orderBy("lang", "r").collect():        # languages x profile_size rows
@@ -212,7 +212,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], *, text_col: str =
 
     out = docs.select(F.col(text_col).alias("_li_text"), *keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return out.mapInArrow(run, (fields + ", " if fields else "") + "lang_pred string, score double")
+    return out.mapInArrow(tidy(run), (fields + ", " if fields else "") + "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, *, fold=None, **params) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_slices
+from .common import ship, text_slices, tidy
 
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
@@ -249,4 +249,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
                                              names=["doc_id", "n_matches", "matches"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, "doc_id long, n_matches long, matches array<struct<license:string,first_word:long,end_word:long,containment:double>>")
+        tidy(run), "doc_id long, n_matches long, matches array<struct<license:string,first_word:long,end_word:long,containment:double>>")

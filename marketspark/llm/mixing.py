@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ship, with_word_count
+from .common import materialize, ship, tidy, with_word_count
 
 BLOCK_WORDS = 128          # words per block
 SHARD_SLOTS = 4096         # blocks per output shard
@@ -232,7 +232,7 @@ def _slots(spark: SparkSession, slots: np.ndarray, n_blocks: np.ndarray, shard_s
 
     parts = int(min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     return spark.range(0, shards, 1, parts).mapInPandas(
-        run, "shard long, place long, _mx_sid int, pass int, _mx_block long")
+        tidy(run), "shard long, place long, _mx_sid int, pass int, _mx_block long")
 
 
 def mix_report(docs: DataFrame, **params) -> DataFrame:

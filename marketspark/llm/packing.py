@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ragged, ship, text_slices
+from .common import materialize, ragged, ship, text_slices, tidy
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -36,7 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 TASK_PIECES = 40_000       # pieces a packing task takes on average
 REPACK_GAP = 0.02          # sequences with a larger free share are packed again
 SEED = 11
-_CACHE_WORDS = 250_000     # words of a generation that a worker remembers (speed only)
+REMEMBER_WORDS = 450_000   # words of a generation that a worker remembers (speed only)
 _SLICE_BYTES = 2_000_000   # text that is tokenised at once
 
 #: Latin letters. The tokenizer's own pattern splits exactly between them
@@ -110,8 +110,8 @@ class _Encoder:
         letters = w.decode("utf-8").lower().encode("utf-8").decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(letters)] + self.marks.get(mark, [])
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words.code) > _CACHE_WORDS:
+    def encode(self, words: list[bytes], remember: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words.code) > remember:
             self.words, self.older = _Ids(), self.words
         code = self.words.of(words)
         missing = np.flatnonzero(code < 0).tolist()
@@ -132,7 +132,7 @@ class _Encoder:
         return self.words.take(code)
 
 
-def encode_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_ids(texts: list[bytes], path: str, remember: int = REMEMBER_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, concatenated, and their number per text.
     White space is a boundary for this tokenizer, so every distinct word is
     encoded once and remembered."""
@@ -144,7 +144,7 @@ def encode_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
         w = t.split()
         per[i] = len(w)
         words += w
-    out, n = _worker["encoder"].encode(words)
+    out, n = _worker["encoder"].encode(words, remember)
     total = np.concatenate([[0], np.cumsum(n)])
     bound = np.concatenate([[0], np.cumsum(per)])
     return out, total[bound[1:]] - total[bound[:-1]]
@@ -154,10 +154,11 @@ _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long
 
 
 def pieces(docs: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID,
-           tokenizer_path: str | None = None, with_ids: bool = False,
+           tokenizer_path: str | None = None, with_ids: bool = False, remember_words: int = REMEMBER_WORDS,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a tokenised document: doc_id, piece, start,
-    length, ids_crc32, and with_ids its ids (array<int>)."""
+    length, ids_crc32, and with_ids its ids (array<int>). remember_words
+    trades the workers' memory for speed and changes nothing else."""
     spark = docs.sparkSession
     ship(spark)
     path = tokenizer_path or default_tokenizer_path()
@@ -167,7 +168,7 @@ def pieces(docs: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, end_id: i
             ids_col = batch.column(0).to_pylist()
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             for lo, hi in text_slices(texts, _SLICE_BYTES):
-                flat, lens = encode_ids([t or b"" for t in texts[lo:hi]], path)
+                flat, lens = encode_ids([t or b"" for t in texts[lo:hi]], path, remember_words)
                 cols: list[list] = [[], [], [], [], []]
                 id_lists = []
                 at = 0
@@ -188,7 +189,7 @@ def pieces(docs: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, end_id: i
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, _PIECE_SCHEMA + (", ids array<int>" if with_ids else "")))
+            .mapInArrow(tidy(run), _PIECE_SCHEMA + (", ids array<int>" if with_ids else "")))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,9 +285,10 @@ def pack(piece_rows: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, task_
 
 
 def pack_documents(docs: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID,
-                   tokenizer_path: str | None = None, **params) -> DataFrame:
+                   tokenizer_path: str | None = None, remember_words: int = REMEMBER_WORDS, **params) -> DataFrame:
     """Tokenise and pack docs: one row per piece with its sequence."""
-    return pack(pieces(docs, sequence_tokens=sequence_tokens, end_id=end_id, tokenizer_path=tokenizer_path),
+    return pack(pieces(docs, sequence_tokens=sequence_tokens, end_id=end_id, tokenizer_path=tokenizer_path,
+                       remember_words=remember_words),
                 sequence_tokens=sequence_tokens, **params)
 
 

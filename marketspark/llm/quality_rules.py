@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, text_slices
+from .common import materialize, ship, text_slices, tidy
 from .lines import line_counts, line_key, lines_of, norm_line, with_host_lines
 
 MIN_WORDS = 20
@@ -110,7 +110,7 @@ def base_rules(docs: DataFrame, *, text_col: str = "text", window: int = WINDOW)
                                                  names=[*keep, *names])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    return docs.select(text_col, *keep).mapInArrow(run, fields + ", ".join(f"{n} long" for n in names))
+    return docs.select(text_col, *keep).mapInArrow(tidy(run), fields + ", ".join(f"{n} long" for n in names))
 
 
 def line_limits(docs: DataFrame, *, max_docs: int = MAX_DOCS, ratio: float = RATIO, host_col: str = "source",

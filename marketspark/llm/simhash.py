@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import materialize, ship, tidy
 from .components import components, local_components
 
 SHINGLE_WORDS = 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, id_col:
                 [b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, "doc_id long, fp long"))
+            .mapInArrow(tidy(run), "doc_id long, fp long"))
 
 
 def blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -178,7 +178,7 @@ def links(fps: DataFrame, *, max_bits: int = MAX_BITS, node_limit: int = NODE_LI
 
     return (rows.select("trie", "item", "depth", "diff", "side", "key", "fp")
             .repartition(*[F.col(c) for c in work]).sortWithinPartitions(*work, "side", F.col("key"))
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(tidy(run), "a long, b long"))
 
 
 def _children(rows: DataFrame, max_bits: int) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ordered, release, ship
+from .common import materialize, ordered, release, ship, tidy
 from .run_index import RunIndex
 
 LENGTH = 100
@@ -323,26 +323,26 @@ def repeated_windows(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM,
     at p0 .. p0 + m - 1 of document ord also start earlier. docs: ordered()."""
     spark = docs.sparkSession
     ship(spark)
-    found = docs.select("ord", "text").mapInArrow(_scan_anchors(length, gram), _ROW_SCHEMA)
-    met = materialize(found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_meet, _ROW_SCHEMA), "suffix-met")
+    found = docs.select("ord", "text").mapInArrow(tidy(_scan_anchors(length, gram)), _ROW_SCHEMA)
+    met = materialize(found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_meet), _ROW_SCHEMA), "suffix-met")
     release(spark)
     marks = met.where("m < 0").select("ord", "p0", (-F.col("m")).alias("m"))
     need = met.where("m > 0")
     hot = materialize(need.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot_contexts).select("anchor"), "suffix-hot")
     wanted = need.groupBy("ord").agg(F.collect_list(F.struct("anchor", "p0", "m")).alias("needs"))
     ctx = (docs.select("ord", "text").join(wanted, "ord").select("ord", "text", "needs")
-           .mapInArrow(_fetch(length), "anchor long, ord long, p0 long, m long, bytes binary"))
+           .mapInArrow(tidy(_fetch(length)), "anchor long, ord long, p0 long, m long, bytes binary"))
     any_hot = not hot.isEmpty()
     if any_hot:
         ctx = materialize(ctx, "suffix-contexts")
-        each = ctx.join(hot, "anchor", "left_semi").select(*_CTX).mapInArrow(_hash_windows(length), "w1 long, w2 long, ord long, p0 long")
+        each = ctx.join(hot, "anchor", "left_semi").select(*_CTX).mapInArrow(tidy(_hash_windows(length)), "w1 long, w2 long, ord long, p0 long")
         each = materialize(each, "suffix-windows")
         first = each.groupBy("w1", "w2").agg(F.min(F.struct("ord", "p0")).alias("f"))
         marks = marks.unionByName(each.join(first, ["w1", "w2"]).where(F.struct("ord", "p0") > F.col("f"))
                                   .select("ord", "p0", F.lit(1).cast("long").alias("m")))
         ctx = ctx.join(hot, "anchor", "left_anti").select(*_CTX)
     indexed = materialize(ctx.repartition("anchor").sortWithinPartitions("anchor", "ord", "p0")
-                          .mapInArrow(_index_blocks(length, block_bytes), _ROW_SCHEMA), "suffix-indexed")
+                          .mapInArrow(tidy(_index_blocks(length, block_bytes)), _ROW_SCHEMA), "suffix-indexed")
     release(spark)
     return marks.unionByName(indexed.select("ord", "p0", (-F.col("m")).alias("m")))
 
@@ -388,4 +388,4 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_kept: bool = F
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return (rows.join(per, "ord", "left").select("doc_id", "text", "marks")
-            .mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept))
+            .mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept))
