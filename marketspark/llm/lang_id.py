@@ -132,9 +132,14 @@ def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text"
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # choose by id first: texts are fetched for the chosen rows only
-    chosen = (rows.select("doc_id", "lang", F.xxhash64("text").alias("h"))
-              .withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")))
+    # choose by id first: texts are fetched for the chosen rows only. Of a language's n rows those with
+    # the smallest hashes are wanted; the lowest share of 2 * train_rows / n holds them, so only about
+    # that many reach the window
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("_size")))      # a row per language
+    chosen = (rows.select("doc_id", "lang", F.xxhash64("text").alias("h"), place.alias("_place")).join(sizes, "lang")
+              .where(F.col("_place") * F.col("_size") <= 2 * train_rows + 100)
+              .withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_place", "doc_id", "h")))
               .where(F.col("_n") <= train_rows).select(F.col("doc_id").alias("_i"), F.col("lang").alias("_l"), F.col("h").alias("_h")).distinct())
     sample = rows.join(F.broadcast(chosen), rows["doc_id"].eqNullSafe(chosen["_i"]) & (rows["lang"] == chosen["_l"])
                        & (F.xxhash64(rows["text"]) == chosen["_h"])).select("lang", "text")
