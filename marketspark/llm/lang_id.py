@@ -113,7 +113,10 @@ class GramIds:
 
 
 def text_words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased words of a text; none if no character is a letter (the
+    pattern alone would take a superscript digit for one)."""
+    words = _WORD.findall(text.lower()) if text else []
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def top_grams(code: np.ndarray, ids: GramIds, size: int) -> np.ndarray:
