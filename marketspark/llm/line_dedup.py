@@ -6,7 +6,7 @@ ratio are dropped from the host's pages.
 
 A host needs ``min_pages`` pages before any of its lines can count as
 boilerplate, and a line must be on at least ``min_pages`` of them. Lines are
-compared after normalising (A-Z lower-cased, white space collapsed, trimmed);
+compared after normalising (lower-cased, white space collapsed, trimmed);
 the kept lines stay as they were. Blank lines are never boilerplate.
 
 Defined results for odd input: null text stays null and has no lines; a null
@@ -49,7 +49,7 @@ def drop_boilerplate(pages: DataFrame, *, ratio: float = BOILERPLATE_RATIO, min_
     text = F.col(text_col)
     kept = F.filter(lines_of(text), lambda x: F.coalesce(~F.array_contains(F.col("_ld_bad"), line_key(x)), F.lit(True)))
     rows = (rows.withColumn("_ld_kept", F.when(text.isNotNull() & (F.size("_ld_bad") > 0), kept))
-            .withColumn("n_lines", F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long"))
+            .withColumn("n_lines", F.when(text.isNull(), F.lit(0)).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
             .withColumn("n_dropped", F.when(F.col("_ld_kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("_ld_kept")).cast("long"))
             .withColumn(text_col, F.when(F.col("n_dropped") > 0, F.array_join("_ld_kept", "\n")).otherwise(text)))
     return rows.select(*[c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -13,9 +13,14 @@ BROADCAST_HASHES = 250_000
 
 
 def norm_line(line: Column) -> Column:
-    """A-Z lower-cased, ASCII white space collapsed, ends trimmed."""
-    low = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz    ")
-    return F.trim(F.regexp_replace(low, " +", " "))
+    """Lower-cased, ASCII white space collapsed, ends trimmed. The pattern
+    runs only on lines that need it: most are clean, and it costs far more
+    memory than the byte searches for what makes it necessary."""
+    low = F.lower(line)
+    untidy = F.contains(low, F.lit("  "))
+    for c in "\t\x0b\x0c\r":
+        untidy = untidy | F.contains(low, F.lit(c))
+    return F.trim(F.when(untidy, F.regexp_replace(low, "[\\t\\x0B\\f\\r ]+", " ")).otherwise(low))
 
 
 def line_key(line: Column) -> Column:

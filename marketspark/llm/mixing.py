@@ -15,10 +15,13 @@ columns pass through untouched; working columns are prefixed ``_mx_``.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -266,26 +269,27 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
               .withColumn("_mx_copy", F.row_number().over(Window.partitionBy("_mx_k1", "_mx_k2").orderBy(F.lit(0))))
               .where(F.col("_mx_copy") <= F.size("_mx_copies"))
               .withColumn("_mx_p", F.explode(F.element_at("_mx_copies", F.col("_mx_copy"))["_mx_takes"])))
-    starts = _word_starts()
-    out = joined.withColumn("text", starts(F.col("text"), F.col("_mx_p._mx_spans")))
+    keep = [c for c in docs.columns if c != "text"]
+    cut = joined.select("text", F.col("_mx_p._mx_spans").alias("_mx_spans"), *keep)
+    fields = "text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
+    out = cut.mapInArrow(tidy(_cut_texts(keep)), fields)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
-def _word_starts():
-    import re
+def _cut_texts(keep: list[str]):
     word = re.compile("[^\x20\x09-\x0d]+")
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, sp in zip(text, spans):
-            at = [m.start() for m in word.finditer(t)]
-            n = len(at)
-            at[0] = 0
-            at.append(len(t))
-            out.append("".join(t[at[int(s["_mx_from"])]:at[min(int(s["_mx_to"]), n)]] for s in sp))
-        return pd.Series(out)
-
-    return cut
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = [m.start() for m in word.finditer(t)]
+                n = len(at)
+                at[0] = 0
+                at.append(len(t))
+                out.append("".join(t[at[x["_mx_from"]]:at[min(x["_mx_to"], n)]] for x in spans))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *b.columns[2:]], names=["text", *keep])
+
+    return run

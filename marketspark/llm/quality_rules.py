@@ -6,7 +6,7 @@ distinct documents of a host each occurs, removes the lines above the host's
 limit, and rejects documents that this depletes.
 
 Distinct documents are distinct contents: exact copies of a document (after
-white space and A-Z case) are one document of their host, so a document is
+white space and case) are one document of their host, so a document is
 not taken for boilerplate because it was copied. The limit of a host is the
 larger of ``max_docs`` and ``ratio`` times its distinct documents. A document
 is depleted when it lost lines and keeps fewer than ``min_words`` words or
@@ -120,7 +120,7 @@ def line_limits(docs: DataFrame, *, max_docs: int = MAX_DOCS, ratio: float = RAT
     text = F.col(text_col)
     rows = (docs.where(F.col(host_col).isNotNull() & text.isNotNull())
             .select(F.col(host_col).cast("string").alias("_qr_host"), text.alias("_qr_text"))
-            .withColumn("_qr_norm", norm_line(F.translate(F.col("_qr_text"), "\n", " ")))
+            .withColumn("_qr_norm", norm_line(F.replace(F.col("_qr_text"), F.lit("\n"), F.lit(" "))))
             .select("_qr_host", F.xxhash64("_qr_norm").alias("_qr_c1"), F.xxhash64(F.lit(1), "_qr_norm").alias("_qr_c2"),
                     F.array_distinct(F.array_compact(F.transform(lines_of(F.col("_qr_text")), line_key))).alias("_qr_keys")))
     distinct = rows.dropDuplicates(["_qr_host", "_qr_c1", "_qr_c2"]).select("_qr_host", "_qr_keys")
@@ -142,7 +142,7 @@ def quality(docs: DataFrame, *, min_words: int = MIN_WORDS, max_repeat_percent:
     # the removed lines' words: only rows whose host has frequent lines are split again
     def words(x):
         n = norm_line(x)
-        return F.when(n == "", F.lit(0)).otherwise(F.length(n) - F.length(F.translate(n, " ", "")) + 1)
+        return F.when(n == "", F.lit(0)).otherwise(F.length(n) - F.length(F.replace(n, F.lit(" "), F.lit(""))) + 1)
 
     gone = F.aggregate(F.filter(lines_of(F.col("_qr_text")), lambda x: F.coalesce(F.array_contains(F.col("_qr_bad"), line_key(x)), F.lit(False))),
                        F.lit(0), lambda a, x: a + words(x))

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from . import embedding_dedup, lang_id, license_scan, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup
 from .common import table
 
-_LOWER_SQL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 #: the normalised form of a line ``l`` (see lines.norm_line)
-_NORM_SQL = f"trim(regexp_replace(translate(l, {_LOWER_SQL}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')"
+_NORM_SQL = "trim(regexp_replace(lower(l), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')"
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

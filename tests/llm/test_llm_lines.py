@@ -9,7 +9,7 @@ from marketspark.llm import line_dedup, quality_rules
 
 
 def norm(line):
-    return re.sub(r"[\x20\x09-\x0d]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), line)).strip(" ")
+    return re.sub(r"[\x20\x09-\x0d]+", " ", line.lower()).strip(" ")
 
 
 def hosted(seed=1):
