@@ -36,7 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 TASK_PIECES = 40_000       # pieces a packing task takes on average
 REPACK_GAP = 0.02          # sequences with a larger free share are packed again
 SEED = 11
-REMEMBER_WORDS = 450_000   # words of a generation that a worker remembers (speed only)
+REMEMBER_WORDS = 800_000   # words of a generation that a worker remembers (speed only)
 _SLICE_BYTES = 2_000_000   # text that is tokenised at once
 
 #: Latin letters. The tokenizer's own pattern splits exactly between them
