@@ -80,3 +80,9 @@ WITH a AS (
 SELECT o.id AS order_id, o.total, a.s AS sum_subtotals, o.total = coalesce(a.s, 0) AS totals_match,
        o.n_items = coalesce(a.n, 0) AS items_match, coalesce(a.own, false) AS items_match_vendor
 FROM o_orders o LEFT JOIN a ON a.order_id = o.id""")
+
+oracle("write_marts", "WITH RECURSIVE\n" + "\nUNION ALL\n".join(
+    f"SELECT '{mart}' AS mart, strftime({ts}, '%Y-%m-%d') AS day, count(*) AS n_rows, CAST(sum({amount}) AS DECIMAL(38,2)) AS amount "
+    f"FROM {source} GROUP BY 1, 2" for mart, source, ts, amount in (
+        ("orders", "o_orders", "created_at", "total"), ("vendor_orders", "o_vendor_orders", "created_at", "subtotal"),
+        ("payments", "(SELECT * FROM s_periods WHERE kind = 'pay')", "period_start", "amount"))))

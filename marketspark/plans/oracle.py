@@ -190,7 +190,7 @@ DECIMAL_OUT: dict[str, list[str]] = {
     "order_totals": ["total"], "payment_history": ["amount"], "plan_pricing": ["revenue"],
     "product_detail": ["vendor_rating", "price", "original_price", "savings"],
     "reconcile_orders": ["total", "sum_subtotals"], "renewal_periods": ["amount"],
-    "split_by_vendor": ["subtotal"], "stream_cart_state": ["price"], "stream_order_intake": ["subtotal"],
+    "split_by_vendor": ["subtotal"], "write_marts": ["amount"], "stream_cart_state": ["price"], "stream_order_intake": ["subtotal"],
 }
 
 

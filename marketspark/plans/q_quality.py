@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import orders as O
 from ..operators import quality as J
+from ..operators import subscriptions as H
+from ..session import scratch_path
 from ..sources import loaders as L
 from ..sources.raw_sql import NOT_NULL, REFERENCES, UNIQUE
+from ..sources.sinks import write_marts
 from .queries import query
 
 
@@ -42,3 +47,19 @@ def q_reconcile_orders(t):
     """Orders reconciled with their vendor orders."""
     it = O.intake(t.order_requests(), L.normalize_products(t.products()))
     return J.reconcile_orders(it.orders(), it.vendor_orders())
+
+
+@query("write_marts")
+def q_write_marts(t):
+    """Orders, vendor orders and payments written as marts; the rows and
+    amounts of each mart and day as read back."""
+    it = O.intake(t.order_requests(), L.normalize_products(t.products()))
+    pays = H.renewal_periods(H.classify_events(t.subscription_events())).filter(F.col("kind") == "pay")
+    paths = write_marts(scratch_path(t.spark, f"marts-{uuid.uuid4().hex}"), it.orders(), it.vendor_orders(),
+                        pays.select("vendor_id", "seq", "plan", "amount", "period_start", "period_end"))
+    out = None
+    for mart, amount in (("orders", "total"), ("vendor_orders", "subtotal"), ("payments", "amount")):
+        m = (t.spark.read.parquet(paths[mart]).groupBy(F.lit(mart).alias("mart"), F.col("date").cast("string").alias("day"))
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(amount).cast("decimal(38,2)").alias("amount")))
+        out = m if out is None else out.unionByName(m)
+    return out

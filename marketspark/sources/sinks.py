@@ -4,8 +4,8 @@ Orders, vendor orders and subscription payments are read by vendor (or
 user) and newest first. The layout does what the database indexes do:
 files partitioned by day, rows sorted inside each file by the access key
 and time (descending), so parquet min/max statistics prune both.
-`repartition(date, key)` clusters each day's rows of one key into few
-files without a global sort.
+A range partitioning by (date, key, time) clusters each day's rows of one
+key into few files; a key with a large part of a day spans several of them.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ def write_mart(df: DataFrame, path: str, key: str, ts_col: str, mode: str = "ove
     """Write `df` under `path`, partitioned by the day of `ts_col`,
     clustered by `key` and sorted by (key, ts desc) inside files."""
     out = df.withColumn("date", F.to_date(F.col(ts_col)))
-    (out.repartition("date", key)
-        .sortWithinPartitions(key, F.col(ts_col).desc())
+    (out.repartitionByRange("date", key, F.col(ts_col).desc())
+        .sortWithinPartitions("date", key, F.col(ts_col).desc())
         .write.mode(mode).partitionBy("date").parquet(path))
 
 
