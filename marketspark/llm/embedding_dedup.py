@@ -11,7 +11,14 @@ window if the ball stays within half the linking angle of its leader, so
 that all members of a ball are linked with certainty by the triangle
 inequality and need no comparison. The later passes order the leaders and
 verify pairs of balls: linked as a whole, not at all, or (in between) by
-comparing their members in bounded blocks.
+comparing their members in bounded blocks. Their number grows with the
+number of leaders, so that a pair at the limit is met in a window with
+probability ``RECALL``.
+
+Loose groups, whose members link but form no balls, are larger than the
+windows too. So the links found only decide the components; inside each
+component all leaders are then compared with each other, in bounded blocks
+dealt by pair of blocks, and the links are counted from that.
 
 Equal vectors are one vector with a weight. Vectors that are null, zero or
 hold null or non-finite components link with nothing.
@@ -35,7 +42,8 @@ from .components import components
 
 MIN_COSINE = 0.9
 BALL_PASSES = 4
-PAIR_PASSES = 24
+PAIR_PASSES = 24          # at least, and at once
+RECALL = 0.995            # of lone pairs at the limit, by the passes
 WINDOW = 48
 KEY_BITS = 48
 BLOCK = 512               # members compared at once between two balls
@@ -54,6 +62,14 @@ def sort_keys(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
     return (bits * weights).sum(1, dtype=np.uint64).astype(np.int64)
 
 
+def passes_needed(n: int, window: int, theta: float, least: int) -> int:
+    """Passes after which a pair at angle theta among n vectors has shared a
+    window with probability RECALL: it has to agree in the log2(n / window)
+    key bits that tell windows apart."""
+    p = (1 - theta / np.pi) ** max(0.0, np.log2(max(n, 1) / window))
+    return max(least, int(np.ceil(np.log(1 - RECALL) / np.log1p(-min(p, 0.999)))))
+
+
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     """Unit rows in double precision from a binary column of doubles."""
     return np.frombuffer(b"".join(col.to_pylist()), dtype="<f8").reshape(-1, dim)
@@ -204,6 +220,76 @@ def _block_links(pairs: DataFrame, members: DataFrame, dim: int, min_cosine: flo
             .mapInArrow(tidy(run), "id long, hits long, a long, b long"))
 
 
+def _component_links(leaders: DataFrame, dim: int, min_cosine: float, block: int) -> DataFrame:
+    """Exact comparison of all leaders (component, id, radius, size, unit) of
+    each component, in pairs of blocks of about ``block`` leaders: rows (a,
+    null, weight of the balls that link with all of ball a) and (a, b, 0)
+    for pairs of balls that only their members can decide."""
+    theta = float(np.arccos(min_cosine))
+    blocks = leaders.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("_em_n"))
+    own = F.pmod(F.hash("id"), F.col("_em_n"))
+    dealt = (leaders.join(blocks, "component").withColumn("_em_own", own)
+             .withColumn("_em_other", F.explode(F.sequence(F.lit(0), F.col("_em_n") - 1)))
+             .select("component", F.least("_em_own", "_em_other").alias("lo"), F.greatest("_em_own", "_em_other").alias("hi"),
+                     F.col("_em_own").alias("own"), "id", "radius", "size", "unit"))
+
+    def compare(lo, hi, own, ids, r, size, x):
+        left = own == lo
+        right = own == hi
+        il, ir = ids[left], ids[right]
+        if not len(il) or not len(ir):
+            return
+        c = x[left] @ x[right].T
+        rs = r[left][:, None] + r[right][None, :]
+        sure = (rs == 0) & (c >= min_cosine)
+        unsure = np.zeros_like(sure)
+        if rs.any():
+            angle = np.arccos(np.clip(c, -1.0, 1.0))
+            sure |= (rs > 0) & (angle + rs <= theta - 1e-7)
+            unsure = (rs > 0) & ~sure & (angle <= theta + rs + _EPS)
+        if lo == hi:
+            np.fill_diagonal(sure, False)
+            unsure = np.triu(unsure, 1)
+            more = ((il, sure @ size[right]),)
+        else:
+            more = ((il, sure @ size[right]), (ir, size[left] @ sure))
+        for who, n in more:
+            some = np.flatnonzero(n)
+            yield who[some], None, n[some]
+        u, v = np.nonzero(unsure)
+        yield np.minimum(il[u], ir[v]), np.maximum(il[u], ir[v]), np.zeros(len(u), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def rows(cols, cuts):
+            a, b, more = [], [], []
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                for x, y, n in compare(cols[1][s], cols[2][s], *(v[s:e] for v in cols[3:])):
+                    a.append(pa.array(x, pa.int64()))
+                    b.append(pa.nulls(len(x), pa.int64()) if y is None else pa.array(y, pa.int64()))
+                    more.append(pa.array(n, pa.int64()))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(v) for v in (a, b, more)], names=["a", "b", "more"])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            cur = [*(batch.column(i).to_numpy() for i in range(7)), _matrix(batch.column(7), dim)]
+            if held is not None:
+                cur = [np.concatenate(v) for v in zip(held, cur)]
+            k = cur[:3]
+            new = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in k])) + 1
+            cuts = [0, *new.tolist()]
+            yield from rows(cur, cuts)
+            held = [v[cuts[-1]:] for v in cur]
+        if held is not None:
+            yield from rows(held, [0, len(held[0])])
+
+    return (dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+            .mapInArrow(tidy(run), "a long, b long, more long"))
+
+
 def _by_ball():
     from pyspark.sql.window import Window
     return Window.partitionBy("ball").orderBy("id")
@@ -234,19 +320,30 @@ def embedding_groups(vectors: DataFrame, *, min_cosine: float = MIN_COSINE, ball
             ball.join(step.select(F.col("child").alias("ball"), "leader"), "ball", "left")
             .select("id", F.coalesce("leader", "ball").alias("ball")), f"embed-member{p}")
     members = classes.join(ball, "id").select("id", "ball", "weight", "least", "unit")
-    near = _near(leaders, dim, list(range(1000, 1000 + pair_passes)), theta, window, key_bits, seed)
-    near = materialize(near.groupBy("a", "b").agg(F.first("cosine").alias("cosine"), F.max(F.col("ra") + F.col("rb")).alias("r")), "embed-near")
+    total = passes_needed(leaders.count(), window, theta, pair_passes)
+    parts = [materialize(_near(leaders, dim, list(range(1000 + p, 1000 + min(p + pair_passes, total))), theta, window, key_bits, seed)
+                         .groupBy("a", "b").agg(F.first("cosine").alias("cosine"), F.max(F.col("ra") + F.col("rb")).alias("r")), "embed-near")
+             for p in range(0, total, pair_passes)]
+    near = parts[0]
+    for part in parts[1:]:
+        near = near.unionByName(part)
+    if len(parts) > 1:
+        near = near.groupBy("a", "b").agg(F.first("cosine").alias("cosine"), F.max("r").alias("r"))
     angle = F.acos(F.least(F.col("cosine"), F.lit(1.0)))
     sure = near.where(F.when(F.col("r") == 0, F.col("cosine") >= min_cosine).otherwise(angle + F.col("r") <= theta - 1e-7)).select("a", "b")
     open_ = near.where((F.col("r") > 0) & (angle + F.col("r") > theta - 1e-7)).select("a", "b")
     by_member = materialize(_block_links(open_, members, dim, min_cosine, block), "embed-blocks")
     weights = members.groupBy("ball").agg(F.sum("weight").alias("size"), F.min("least").alias("least"))
     weights = materialize(weights, "embed-balls")
-    whole = (sure.select(F.col("a").alias("ball"), F.col("b").alias("other")).unionByName(sure.select(F.col("b").alias("ball"), F.col("a").alias("other")))
-             .join(weights.select(F.col("ball").alias("other"), F.col("size").alias("other_size")), "other")
-             .groupBy("ball").agg(F.sum("other_size").alias("more")))
     links = sure.unionByName(by_member.select("a", "b").distinct())
-    comp = components(links)
+    comp = materialize(components(links), "embed-components")
+    # the passes decide components; their links are counted exactly
+    inner = (leaders.join(comp.withColumnRenamed("node", "id"), "id")
+             .join(weights.select(F.col("ball").alias("id"), "size"), "id").select("component", "id", "radius", "size", "unit"))
+    inner = materialize(_component_links(inner, dim, min_cosine, block), "embed-inner")
+    whole = inner.where("b is null").groupBy(F.col("a").alias("ball")).agg(F.sum("more").alias("more"))
+    rest = inner.where("b is not null").select("a", "b").join(open_, ["a", "b"], "left_anti")
+    by_member = by_member.unionByName(materialize(_block_links(rest, members, dim, min_cosine, block), "embed-rest"))
     named = (weights.join(comp, weights["ball"] == comp["node"], "left")
              .select("ball", "size", "least", F.coalesce("component", "ball").alias("component")))
     name = named.groupBy("component").agg(F.min("least").alias("component_id"))

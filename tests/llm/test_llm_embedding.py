@@ -86,3 +86,25 @@ def test_empty_and_all_invalid(spark):
     rows = [(1, None, 0), (2, [0.0, 0.0], 0), (2, [0.0, 0.0], 0)]
     got = ed.embedding_groups(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True)]
+
+
+def test_loose_group_larger_than_the_windows(spark):
+    """Members that link without forming balls are all counted."""
+    rng = np.random.default_rng(3)
+    c = rng.standard_normal(64)
+    x = c / np.linalg.norm(c) + 0.3 * rng.standard_normal((3000, 64)) / 8
+    rows = [(i, [float(v) for v in np.asarray(r, dtype=np.float32)], 0) for i, r in enumerate(x)]
+    ok, hit = model(rows, 64)
+    got = {r.vec_id: r for r in ed.embedding_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    links = hit.sum(1)
+    assert links.sum() > 1_000_000
+    assert sum(got[i].n_links == n for i, n in zip(ok, links.tolist())) >= 0.999 * len(ok)
+    assert sum(got[i].n_links for i in ok) >= 0.9999 * links.sum()
+
+
+def test_passes_grow_with_the_table():
+    theta = math.acos(0.9)
+    few, many = (ed.passes_needed(n, 48, theta, 24) for n in (10_000, 10_000_000))
+    assert few == 24 and 70 < many < 90
+    p = (1 - theta / math.pi) ** math.log2(10_000_000 / 48)
+    assert 1 - (1 - p) ** many >= 0.995
