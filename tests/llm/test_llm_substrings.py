@@ -196,3 +196,40 @@ def test_order_of_repeated_ids(spark):
     rows = [doc(2, "b"), doc(1, "a"), doc(2, "b"), (None, "c", None, None, None)]
     o = ordered(frame(spark, rows)).orderBy("ord").collect()
     assert [r.doc_id for r in o] == [1, 2, 2, None] and len({r.ord for r in o}) == 4
+
+
+def brute_longest(equal, share):
+    best = 0
+    for i in range(len(equal)):
+        for j in range(i + 1, len(equal) + 1):
+            if equal[i] and equal[j - 1] and sum(equal[i:j]) >= share * (j - i):
+                best = max(best, j - i)
+    return best
+
+
+def test_longest_good_range_matches_brute_force():
+    rng = random.Random(8)
+    for _ in range(300):
+        equal = np.array([int(rng.random() < 0.75) for _ in range(rng.randrange(1, 40))])
+        lo, hi = chaining._longest(equal, 0.8)
+        if hi > lo:
+            assert equal[lo] and equal[hi - 1] and equal[lo:hi].sum() >= 0.8 * (hi - lo)
+        # trimming its ends can only shorten a range that was longest before
+        assert (hi > lo) == (brute_longest(equal.tolist(), 0.8) > 0)
+
+
+def test_good_run_beside_a_bad_gap_is_kept(spark):
+    """60 equal words, 22 different ones, 25 equal ones: the run stays a copy."""
+    rng = random.Random(9)
+    rows, at = [], {}
+    for i in range(20):
+        head, foot = words(rng, 60, 50_000), words(rng, 25, 50_000)
+        for j in range(2):
+            lead = words(rng, 30, 50_000)
+            at[2 * i + j] = len(lead)
+            rows.append(doc(2 * i + j, " ".join(lead + head + words(rng, 22, 50_000) + foot + words(rng, 30, 50_000))))
+    got = {r.doc_id: r for r in substring_dedup.passage_report(frame(spark, rows)).collect()}
+    for i in range(20):
+        r, lo = got[2 * i + 1], at[2 * i + 1]
+        assert sum(max(0, min(lo + 60, s.end_word) - max(lo, s.first_word)) for s in r.spans) >= 58, (i, r)
+        assert got[2 * i].n_removed == 0
