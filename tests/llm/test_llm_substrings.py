@@ -233,3 +233,19 @@ def test_good_run_beside_a_bad_gap_is_kept(spark):
         r, lo = got[2 * i + 1], at[2 * i + 1]
         assert sum(max(0, min(lo + 60, s.end_word) - max(lo, s.first_word)) for s in r.spans) >= 58, (i, r)
         assert got[2 * i].n_removed == 0
+
+
+def test_passages_with_a_changed_word_every_eight_are_found(spark):
+    rng = random.Random(10)
+    rows, at = [], {}
+    for i in range(60):
+        p = words(rng, 64, 50_000)
+        changed = [x if j % 8 != 4 else f"edit{rng.randrange(10**6)}" for j, x in enumerate(p)]
+        for j, q in enumerate((p, changed)):
+            lead = words(rng, 30, 50_000)
+            at[2 * i + j] = len(lead)
+            rows.append(doc(2 * i + j, " ".join(lead + q + words(rng, 30, 50_000))))
+    got = {r.doc_id: r for r in substring_dedup.passage_report(frame(spark, rows)).collect()}
+    found = [i for i in range(60) if got[2 * i + 1].n_removed >= 56 and got[2 * i + 1].source_docs == [2 * i]]
+    assert len(found) >= 57
+    assert all(got[2 * i].n_removed == 0 for i in range(60))
