@@ -249,3 +249,37 @@ def test_passages_with_a_changed_word_every_eight_are_found(spark):
     found = [i for i in range(60) if got[2 * i + 1].n_removed >= 56 and got[2 * i + 1].source_docs == [2 * i]]
     assert len(found) >= 57
     assert all(got[2 * i].n_removed == 0 for i in range(60))
+
+
+def test_copies_whose_parts_first_occur_elsewhere(spark):
+    """b copies c whole; both halves of the passage occur in earlier
+    documents, in one half after the other or overlapping."""
+    rng = random.Random(11)
+    rows, copies = [], []
+    for i in range(20):
+        p = words(rng, 80, 50_000)
+        parts = [p[:40], p[40:]] if i % 2 else [p[:42], p[20:62], p[38:]]
+        for part in parts:
+            rows.append(doc(len(rows), " ".join(words(rng, 30, 50_000) + part + words(rng, 30, 50_000))))
+        for _ in range(2):
+            rows.append(doc(len(rows), " ".join(words(rng, 30, 50_000) + p + words(rng, 30, 50_000))))
+        copies.append(len(rows) - 1)
+    got = {r.doc_id: r for r in substring_dedup.passage_report(frame(spark, rows)).collect()}
+    for i in copies:
+        assert 78 <= got[i].n_removed <= 84 and got[i].source_docs == [i - 1], got[i]
+    assert sum(r.n_removed for r in got.values()) == sum(got[i].n_removed for i in copies)
+
+
+def test_run_keys_name_equal_runs():
+    rng = np.random.default_rng(2)
+    seed = rng.integers(-2**62, 2**62, 30)
+    pos = np.cumsum(rng.integers(1, 5, 30))
+    ord_ = np.repeat([1, 2, 3], [30, 30, 10])
+    keys = substring_dedup.run_keys(ord_, np.concatenate([pos, pos + 7, pos[:10]]), np.concatenate([seed, seed, seed[:10]]), 5, 4, 50)
+    for k, far in zip(keys, (2, 6, None)):
+        assert (k[:30] == k[30:60]).all()
+        alive = k[:30][k[:30] != 0]
+        assert len(set(alive.tolist())) == len(alive)
+        if far:
+            assert len(alive) == 31 - far and (k[60:71 - far] == k[:11 - far]).all() and not k[71 - far:].any()
+    assert [int(x) for x in np.flatnonzero(keys[2][:30])] == [i for i in range(30) if pos[-1] + 5 - pos[i] >= 50]
