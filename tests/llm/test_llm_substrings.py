@@ -283,3 +283,15 @@ def test_run_keys_name_equal_runs():
         if far:
             assert len(alive) == 31 - far and (k[60:71 - far] == k[:11 - far]).all() and not k[71 - far:].any()
     assert [int(x) for x in np.flatnonzero(keys[2][:30])] == [i for i in range(30) if pos[-1] + 5 - pos[i] >= 50]
+
+
+def test_probe_stops_only_where_the_alignment_does():
+    rng = np.random.default_rng(4)
+    for _ in range(2000):
+        x = rng.integers(0, 10**6, 140, dtype=np.uint32)
+        y = np.where(rng.random(140) < rng.choice([0.02, 0.1, 0.3, 0.9]), rng.integers(0, 10**6, 140, dtype=np.uint32), x)
+        y[66:72] = x[66:72]
+        near = slice(56, 82)
+        if not chaining.goes_on(x[near], y[near], [(10, 10, 6)], 50):
+            assert not list(chaining.good_passages(x, y, [(66, 66, 6)], 50, 0.8))
+            assert chaining.align_chain(x, y, [(66, 66, 6)])[4:] == chaining.align_chain(x[near], y[near], [(10, 10, 6)])[4:]
