@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, lang_id, license_scan, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import (embedding_dedup, lang_id, lexical_search, license_scan, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup,
+               suffix_dedup)
 from .common import table
 
 #: the normalised form of a line ``l`` (see lines.norm_line)
@@ -145,10 +146,29 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERM_SQL = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERM_SQL} AS ts FROM documents WHERE text IS NOT NULL),
+stat AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+item AS (SELECT DISTINCT item_id, unnest({_TERM_SQL}) AS t FROM benchmark),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(ts) AS t FROM d) SEMI JOIN item USING (t) GROUP BY rid, t),
+wt AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), stat),
+norm AS (SELECT rid, doc_id, 100 - 90 + (90 * len(ts) * n_docs) // n_terms AS m FROM d, stat WHERE len(ts) > 0),
+part AS (SELECT rid, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * m)) AS s FROM tf JOIN norm USING (rid) JOIN wt USING (t)),
+score AS (SELECT item_id, rid, doc_id, CAST(sum(s) AS BIGINT) AS score FROM part JOIN item USING (t) GROUP BY item_id, rid, doc_id HAVING sum(s) > 0),
+best AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM score)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= {lexical_search.TOP_K}"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_embedding_dedup, op4_pack, op5_license_scan, op6_suffix_dedup, op7_simhash, op8_lang_id, op9_substring_dedup,
-                                op10_mix)}
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL}
+                                op10_mix, op12_lexical_search)}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op12_lexical_search": OP12_SQL}
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
