@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (embedding_dedup, lang_id, lexical_search, license_scan, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup,
+from . import (bpe_stream, embedding_dedup, lang_id, lexical_search, license_scan, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup,
                suffix_dedup)
 from .common import table
 
@@ -165,9 +165,14 @@ best AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s
 SELECT item_id, rank, doc_id, score FROM best WHERE rank <= {lexical_search.TOP_K}"""
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their decoded text, as digests."""
+    return bpe_stream.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_embedding_dedup, op4_pack, op5_license_scan, op6_suffix_dedup, op7_simhash, op8_lang_id, op9_substring_dedup,
-                                op10_mix, op12_lexical_search)}
+                                op10_mix, op12_lexical_search, op13_bpe)}
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op12_lexical_search": OP12_SQL}
 
 
