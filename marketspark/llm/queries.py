@@ -4,12 +4,13 @@ DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe_stream, embedding_dedup, lang_id, lexical_search, license_scan, line_dedup, mixing, packing, quality_rules, simhash, substring_dedup,
+from . import (bpe_stream, embedding_dedup, lang_id, lexical_search, license_scan, line_dedup, mixing, packing, periodic_runs, quality_rules, simhash, substring_dedup,
                suffix_dedup)
 from .common import table
 
@@ -146,6 +147,25 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth document by the hash of its id repeats itself from one of
+    its words on."""
+    if doc_id is None or not words:
+        return words
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some planted."""
+    return periodic_runs.run_report(table(spark, sf_dir, "documents"), edit=planted)
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -172,7 +192,7 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_quality_rules, op3_embedding_dedup, op4_pack, op5_license_scan, op6_suffix_dedup, op7_simhash, op8_lang_id, op9_substring_dedup,
-                                op10_mix, op12_lexical_search, op13_bpe)}
+                                op10_mix, op11_periodic_runs, op12_lexical_search, op13_bpe)}
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op2_quality_rules": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op12_lexical_search": OP12_SQL}
 
 
