@@ -29,9 +29,10 @@ bytes, and an incremental UTF-8 machine gives characters out once complete
 join the tokens' own strings with spaces; the machine then only remembers
 whether a token went before.
 
-A Spark task runs one transducer per text. Short words repeat, so their ids
-and decoded text are remembered, REMEMBER_WORDS in each of two generations;
-this changes nothing but the time.
+A Spark task runs the transducer over one text after the other. Short words
+repeat, and words share pieces, so the ids and decoded text of both are
+remembered, REMEMBER_WORDS in each of two generations; this changes nothing
+but the time.
 
 Defined results for odd input: null text counts as empty: no ids, empty decoded
 text; null ids (of documents) stay null; rows with repeated ids or texts are
@@ -60,7 +61,7 @@ from pyspark.sql import functions as F
 from .common import ship, tidy
 
 TOKENIZER = "word_bpe_49k.json"
-REMEMBER_WORDS = 150_000    # words a worker remembers in each of two generations (speed only)
+REMEMBER_WORDS = 250_000    # words, and pieces, a worker remembers in each of two generations (speed only)
 REMEMBER_BYTES = 64         # longer words are not remembered
 SLICE_BYTES = 65_536        # text that is cut into words at once
 FEED_CHARS = 4_096          # characters of a long word fed at once
@@ -239,15 +240,15 @@ class Normaliser:
         for i in range(len(self.held) - 1, -1, -1):
             if self._safe(self.held[i]):
                 out, self.held = self.held[:i], self.held[i:]
-                return self._normal(out)
+                return self.whole(out)
         return ""
 
     def finish(self, text: str = "") -> str:
         out, self.held = self.held + text, ""
-        return self._normal(out)
+        return self.whole(out)
 
     @staticmethod
-    def _normal(text: str) -> str:
+    def whole(text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")     # sigma is lowered without regard to word ends
         return text.lower()
@@ -387,25 +388,49 @@ class Tokenizer:
 _BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
+class _Remembered:
+    """A bounded memory of results in two generations: a full one is kept
+    until the next is full, so frequent keys stay known."""
+
+    def __init__(self, make, size: int):
+        self._make, self._size = make, size
+        self.known: dict = {}
+        self._older: dict = {}
+
+    def new(self, key):
+        got = self._older.get(key) or self._make(key)
+        if len(self.known) >= self._size:
+            self._older = dict(self.known)
+            self.known.clear()          # the same dict: callers keep its get
+        self.known[key] = got
+        return got
+
+
 class RoundTrip:
     """Encodes texts word by word (white space ends every piece), and decodes
-    the ids again; short words are remembered."""
+    the ids again; short words and their pieces are remembered."""
 
     def __init__(self, tokenizer: Tokenizer, remember: int = REMEMBER_WORDS):
-        self.tokenizer, self.remember = tokenizer, remember
-        self._machine = tokenizer.encoder()
-        self._words: dict[bytes, tuple[int, bytes, str]] = {}
-        self._older: dict[bytes, tuple[int, bytes, str]] = {}
-
-    def _new(self, word: bytes) -> tuple[int, bytes, str]:
-        got = self._older.get(word)
-        if got is None:
-            ids = self._machine.finish(word.decode("utf-8"))
-            got = (len(ids), " ".join(map(str, ids)).encode(), Decoder(self.tokenizer, begun=True).feed(ids).encode("utf-8"))
-        if len(self._words) >= self.remember:
-            self._words, self._older = {}, self._words
-        self._words[word] = got
-        return got
+        self.tokenizer = tokenizer
+        self._machine, self._merges = tokenizer.encoder(), MergeStream(tokenizer.merges)
+        self._words = _Remembered(self._word, remember)
+        self._pieces = _Remembered(self._piece, remember)
+
+    def _with_text(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), " ".join(map(str, ids)).encode(), Decoder(self.tokenizer, begun=True).feed(ids).encode("utf-8")
+
+    def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
+        return self._with_text(self._merges.finish(piece.encode("utf-8")))
+
+    def _word(self, word: bytes) -> tuple[int, bytes, bytes]:
+        text = word.decode("utf-8")
+        if self.tokenizer.byte_decoder or (self.tokenizer.special is not None and self.tokenizer.special.search(text)):
+            return self._with_text(self._machine.finish(text))
+        known = self._pieces.known.get
+        found = [known(p) or self._pieces.new(p) for p in _PIECE.findall(Normaliser.whole(text))]
+        if len(found) == 1:
+            return found[0]
+        return sum([f[0] for f in found]), b" ".join([f[1] for f in found]), b"".join([f[2] for f in found])
 
     def parts(self, text: bytes) -> Iterator[tuple[int, bytes, bytes]]:
         """(number of ids, their decimals, decoded bytes) part by part; the
@@ -415,11 +440,10 @@ class RoundTrip:
             m = _BREAK.search(text, at + SLICE_BYTES)
             end = m.start() if m else len(text)
             if end - at <= 2 * SLICE_BYTES:
-                known, held = self._words.get, []
+                known, held = self._words.known.get, []
                 for w in text[at:end].split():
                     if len(w) <= REMEMBER_BYTES:
-                        held.append(known(w) or self._new(w))
-                        known = self._words.get
+                        held.append(known(w) or self._words.new(w))
                     else:
                         yield from _joined(held)
                         held = []
