@@ -68,7 +68,7 @@ FEED_CHARS = 4_096          # characters of a long word fed at once
 CHUNK_BYTES = 2_048         # bytes beyond the lookahead after which stable tokens leave
 _SHORT = 24                 # symbols up to which merges are searched one by one
 
-_NONE = (1 << 62, -1)       # no merge: ranks after all
+_NO_MERGE = 1 << 62         # ranks after all merges
 
 # Fixed values of the tokenizer format: its split pattern and white space.
 _SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -105,14 +105,16 @@ class MergeList:
         self.last_byte_id = [vocab[c + self.end] for c in letters]
         pairs = [tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         made = set(self.byte_id) | set(self.last_byte_id)
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}      # in rank order
+        self.result: list[int] = []                     # by rank
         self.left_part: dict[int, int] = {}
         self.length = dict.fromkeys(made, 1)
         for rank, (a, b) in enumerate(pairs):
             ia, ib, new = vocab[a], vocab[b], vocab[a + b]
-            if ia not in made or ib not in made or (ia, ib) in self.merge:
+            if ia not in made or ib not in made or (ia, ib) in self.rank:
                 raise ValueError(f"merge {rank} ({a!r}, {b!r}) uses a token that no earlier merge made")
-            self.merge[ia, ib] = (rank, new)
+            self.rank[ia, ib] = rank
+            self.result.append(new)
             if new not in made:         # a second way to a token does not change what it starts with
                 made.add(new)
                 self.left_part[new] = ia
@@ -124,7 +126,7 @@ class MergeList:
     def _lookahead(self) -> int:
         reach: dict[int, int] = {}      # by left part: the longest chain of merges that ends with it
         longest = 0
-        for a, b in self.merge:         # in rank order
+        for a, b in self.rank:
             before, part = 0, b
             while part is not None:
                 before = max(before, reach.get(part, 0))
@@ -145,42 +147,42 @@ class MergeList:
         return self._apply_short(ids) if len(ids) <= _SHORT else self._apply_long(ids)
 
     def _apply_short(self, ids: list[int]) -> list[int]:
-        get = self.merge.get
+        get = self.rank.get
         ids = list(ids)
-        near = list(map(get, zip(ids, ids[1:]), repeat(_NONE)))      # the merge of each neighbouring pair
+        near = list(map(get, zip(ids, ids[1:]), repeat(_NO_MERGE)))      # the rank of each neighbouring pair
         while near:
             best = min(near)
-            if best is _NONE:
+            if best == _NO_MERGE:
                 break
             i = near.index(best)            # one at a time: the leftmost of the best
-            ids[i:i + 2] = [best[1]]
-            del near[i]
+            ids[i] = self.result[best]
+            del ids[i + 1], near[i]
             if i:
-                near[i - 1] = get((ids[i - 1], ids[i]), _NONE)
+                near[i - 1] = get((ids[i - 1], ids[i]), _NO_MERGE)
             if i < len(near):
-                near[i] = get((ids[i], ids[i + 1]), _NONE)
+                near[i] = get((ids[i], ids[i + 1]), _NO_MERGE)
         return ids
 
     def _apply_long(self, ids: list[int]) -> list[int]:
-        get, n = self.merge.get, len(ids)
+        get, n = self.rank.get, len(ids)
         ids = list(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], i, m[1], ids[i], ids[i + 1]) for i, m in enumerate(map(get, zip(ids, ids[1:]))) if m is not None]
+        queue = [(rank, i, ids[i], ids[i + 1]) for i, rank in enumerate(map(get, zip(ids, ids[1:]))) if rank is not None]
         heapq.heapify(queue)
         while queue:
-            _, i, new, a, b = heapq.heappop(queue)
+            rank, i, a, b = heapq.heappop(queue)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:        # one of the two is gone
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.result[rank], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for x in (before[i], i):
                 if x >= 0 and after[x] < n:
-                    m = get((ids[x], ids[after[x]]))
-                    if m is not None:
-                        heapq.heappush(queue, (m[0], x, m[1], ids[x], ids[after[x]]))
+                    rank = get((ids[x], ids[after[x]]))
+                    if rank is not None:
+                        heapq.heappush(queue, (rank, x, ids[x], ids[after[x]]))
         return [t for t in ids if t >= 0]
 
 
@@ -344,7 +346,7 @@ class Decoder:
         token = self._tokenizer.token
         if self._utf8 is not None:
             return self._utf8.decode(b"".join([self._tokenizer.token_bytes(i) for i in ids]))
-        text = " ".join([token[i] for i in ids if i in token])
+        text = " ".join([t for t in map(token.get, ids) if t is not None])
         if text and self._begun:
             text = " " + text
         self._begun = self._begun or bool(text)
@@ -415,9 +417,10 @@ class RoundTrip:
         self._machine, self._merges = tokenizer.encoder(), MergeStream(tokenizer.merges)
         self._words = _Remembered(self._word, remember)
         self._pieces = _Remembered(self._piece, remember)
+        self._back = Decoder(tokenizer, begun=True)     # words and pieces end where characters do
 
     def _with_text(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        return len(ids), " ".join(map(str, ids)).encode(), Decoder(self.tokenizer, begun=True).feed(ids).encode("utf-8")
+        return len(ids), " ".join(map(str, ids)).encode(), self._back.feed(ids).encode("utf-8")
 
     def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
         return self._with_text(self._merges.finish(piece.encode("utf-8")))
@@ -484,9 +487,11 @@ class RoundTrip:
 
 
 def _joined(held: list[tuple[int, bytes, bytes]]) -> Iterator[tuple[int, bytes, bytes]]:
-    held = [h for h in held if h[0]]        # a word may hold no piece at all
+    numbers = [h[0] for h in held]
+    if 0 in numbers:                        # a word may hold no piece at all
+        held = [h for h in held if h[0]]
     if held:
-        yield sum(h[0] for h in held), b" ".join([h[1] for h in held]), b"".join([h[2] for h in held])
+        yield sum(numbers), b" ".join([h[1] for h in held]), b"".join([h[2] for h in held])
 
 
 _worker: dict = {}
