@@ -310,7 +310,9 @@ def find_runs(docs: DataFrame, *, edit: Callable[[int | None, list[bytes]], list
     ship(docs.sparkSession)
     rows = materialize(_scan(ordered(docs, id_col, text_col), edit), "periods_scan")
     tiles = rows.where("kind = 'tile'").select("ord", "step", "low", "place", "bounds", "ids", "tile")
-    dealt = tiles.repartition("ord", "step", "tile").select("ord", "step", "low", "place", "bounds", "ids")
+    # a fixed number of tasks: the work of a tile is not in its bytes, by which adaptive tasks are joined
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = tiles.repartition(tasks, "ord", "step", "tile").select("ord", "step", "low", "place", "bounds", "ids")
     runs = (_stitched(_fragments(dealt)).groupBy("ord")
             .agg(F.collect_list(F.struct("start", "length", "period")).alias("runs")))
     texts = rows.where("kind = 'text'").select("ord", "doc_id", "n", "words").join(runs, "ord", "left")
