@@ -3,11 +3,14 @@
 Shape of the plan (one request = one row until the product lookup):
 
 * D1, D2 and D3 are row-local: the header rules are a `when` chain and
-  the item array is parsed as VARIANT, checked and merged with
-  higher-order functions inside the row. No shuffle.
+  the item list is parsed once, checked and merged with higher-order
+  functions inside the row. No shuffle.
 * D4 explodes the merged lines and joins the catalogue on product id
   (AQE broadcasts the catalogue side when its measured size is under the
-  threshold, else a sort-merge join with skew splitting).
+  threshold, else a sort-merge join with skew splitting). The placement call
+  runs with its caller's rights, so a line matches only products the caller
+  may read at the time of the request: of vendors whose subscription was
+  live just then, the caller's own vendor, or all for an admin (F2).
 * D5 counts matched lines per request with a window on request_id. A
   request holds at most 50 distinct lines (D2), so every window group is
   bounded. D6-D9 then group on request_id or (request_id, vendor), which
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as K
+from .visibility import live_at
 
 MAX_ITEMS = 50
 MAX_QTY = 99
@@ -53,7 +57,7 @@ def validate_headers(requests: DataFrame) -> DataFrame:
     return requests.withColumn("reason", header_reason(requests))
 
 
-ITEM_SCHEMA = "array<struct<id:string,qty:string>>"
+ITEM_SCHEMA = "array<array<struct<id:string,qty:string>>>"
 
 
 def parse_items(df: DataFrame, items_col: str = "items") -> DataFrame:
@@ -62,22 +66,32 @@ def parse_items(df: DataFrame, items_col: str = "items") -> DataFrame:
     Adds `item_reason` (null when the list passes) and `lines`
     array<struct<id:string, qty:int>> of the raw (unmerged) lines.
 
-    * Shape: `json_array_size` is null unless the text is a JSON array,
-      so a bare object (which from_json would wrap into a one-element
-      array) or broken JSON fails the 1..50 count rule; the whole text must
-      parse, so text after the closing bracket fails it too.
-    * Elements: one from_json into array<struct<id, qty:string>>. A string
-      field keeps a number's literal text (3.0 stays "3.0"), so the qty
-      text is tested against QTY_PATTERN as the reference tests it.
-      When any element is not an object from_json yields null for the
-      whole list, and a JSON null element is a null entry: both reject.
+    * One parse. The JSON functions read one value and ignore what follows,
+      so the list is parsed as the first of two elements of an outer array;
+      the second is a mark that the text cannot know (its own hash). Only a
+      text that is exactly one JSON value leaves two elements, the mark last.
+      A list of objects comes out as the first one: its length gives the
+      1..50 rule.
+    * Elements: struct<id, qty:string>. A string field keeps a number's
+      literal text (3.0 stays "3.0"), so the qty text is tested against
+      QTY_PATTERN as the reference tests it; VARIANT would turn 3.0 into 3.
+    * Any other text (broken JSON, a bare object, a list with an element that
+      is no object) gives no such pair; only then is the text read again, to
+      tell a list of bad elements from no list at all.
     """
-    n = K.json_array_size(items_col)
-    df = df.withColumn("_els", F.from_json(F.col(items_col), ITEM_SCHEMA))
+    text = F.col(items_col)
+    mark = F.md5(text)
+    pair = F.from_json(F.concat(F.lit("["), text, F.lit(',[{"id":"'), mark, F.lit('"}]]')), ITEM_SCHEMA)
+    df = df.withColumn("_pair", pair)
+    whole = (F.size("_pair") == 2) & (F.col("_pair")[1][0]["id"] == mark)
+    df = df.withColumn("_els", F.when(whole, F.col("_pair")[0])).drop("_pair")
     bad_elem = F.exists("_els", lambda x: x.isNull() | F.coalesce(x["id"] == "", F.lit(True))
                         | ~F.coalesce(x["qty"], F.lit("")).rlike(QTY_PATTERN))
-    reason = (F.when(n.isNull() | (n == 0) | (n > MAX_ITEMS), F.lit(R_COUNT))
-               .when(F.col("_els").isNull() | bad_elem, F.lit(R_ITEM)))
+    listed = F.col("_els").isNotNull()
+    n_bad = K.json_array_size(items_col)
+    reason = (F.when(listed & ((F.size("_els") == 0) | (F.size("_els") > MAX_ITEMS)), F.lit(R_COUNT))
+               .when(listed, F.when(bad_elem, F.lit(R_ITEM)))
+               .otherwise(F.when(n_bad.between(1, MAX_ITEMS), F.lit(R_ITEM)).otherwise(F.lit(R_COUNT))))
     df = df.withColumn("item_reason", reason)
     lines = F.transform("_els", lambda x: F.struct(x["id"].alias("id"), x["qty"].cast("int").alias("qty")))
     return (df.withColumn("lines", F.when(F.col("item_reason").isNull(), lines))
@@ -125,6 +139,9 @@ HEADER_COLS = ("user_id", "requested_at", "customer_name", "customer_email", "cu
                "customer_address")
 
 
+CALLER_COLS = ("caller_role", "caller_vendor_id")      # claims of the caller's token
+
+
 def _exploded(screened: DataFrame) -> DataFrame:
     """Merged lines of passing requests, header fields carried along.
 
@@ -132,35 +149,41 @@ def _exploded(screened: DataFrame) -> DataFrame:
     on its output is used instead of `inline`: for `inline` Catalyst infers
     `size(merged) > 0` and pushes it below the projection, which re-runs
     the whole JSON check inside the filter."""
-    return (screened.select("request_id", *header_columns(), "user_id", "requested_at", "n_requested",
+    claims = [F.col(c) if c in screened.columns else F.lit(None).cast("string").alias(c) for c in CALLER_COLS]
+    return (screened.select("request_id", *header_columns(), "user_id", "requested_at", *claims, "n_requested",
                             F.inline_outer("merged"))
                     .filter(F.col("product_id").isNotNull()))
 
 
-def canonical_lines(screened: DataFrame, products: DataFrame) -> DataFrame:
+def _matched(screened: DataFrame, products: DataFrame, live: DataFrame | None) -> DataFrame:
+    """Merged lines that match a product: in stock, qty 1..99, and, when the
+    vendors' live intervals are given, readable by the caller at
+    requested_at."""
+    joined = (_exploded(screened).filter(F.col("qty").between(1, MAX_QTY))
+              .join(catalogue_for_orders(products), "product_id", "inner"))
+    if live is None:
+        return joined.drop(*CALLER_COLS)
+    own = (F.col("caller_role") == "admin") | (F.col("vendor") == F.col("caller_vendor_id"))
+    seen = live_at(joined, live, "vendor", "requested_at")
+    return seen.filter(F.coalesce(own, F.lit(False)) | F.col("live")).drop("live", *CALLER_COLS)
+
+
+def canonical_lines(screened: DataFrame, products: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """D4 + D5: merged lines re-priced from the catalogue; a request keeps
-    its lines only when every requested id matched (in stock, qty 1..99)."""
-    lines = _exploded(screened)
-    cat = catalogue_for_orders(products)
-    joined = (lines.filter(F.col("qty").between(1, MAX_QTY))
-                   .join(cat, "product_id", "inner"))
+    its lines only when every requested id matched."""
     w = Window.partitionBy("request_id")
-    return (joined.withColumn("_n_ok", F.count(F.lit(1)).over(w))
-                  .filter(F.col("_n_ok") == F.col("n_requested"))
-                  .drop("_n_ok"))
+    return (_matched(screened, products, live).withColumn("_n_ok", F.count(F.lit(1)).over(w))
+            .filter(F.col("_n_ok") == F.col("n_requested"))
+            .drop("_n_ok"))
 
 
-def availability_check(screened: DataFrame, products: DataFrame) -> DataFrame:
+def availability_check(screened: DataFrame, products: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """D5 as a per-request table: requested ids, matched ids, ok flag."""
-    lines = (screened.select("request_id", "n_requested", F.inline_outer("merged"))
-                     .filter(F.col("product_id").isNotNull()))
-    cat = catalogue_for_orders(products).select("product_id", F.lit(True).alias("_hit"))
-    j = lines.join(cat, "product_id", "left")
-    matched = F.col("_hit").isNotNull() & F.col("qty").between(1, MAX_QTY)
-    return (j.groupBy("request_id")
-             .agg(F.first("n_requested").cast("bigint").alias("n_requested"),
-                  F.count(F.when(matched, 1)).alias("n_matched"))
-             .withColumn("available", F.col("n_requested") == F.col("n_matched")))
+    n = _matched(screened, products, live).groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
+    asked = screened.select("request_id", F.col("n_requested").cast("bigint").alias("n_requested")).filter(F.col("n_requested") > 0)
+    return asked.join(n, "request_id", "left").select(
+        "request_id", "n_requested", F.coalesce(F.col("_n"), F.lit(0)).alias("n_matched"),
+        (F.col("n_requested") == F.coalesce(F.col("_n"), F.lit(0))).alias("available"))
 
 
 def order_id(request_id: Column, at: Column) -> Column:
@@ -239,9 +262,12 @@ class Intake:
         return self.outcomes().filter(F.col("reason").isNotNull()).select("request_id", "reason")
 
 
-def intake(requests: DataFrame, products: DataFrame) -> Intake:
+def intake(requests: DataFrame, products: DataFrame, live: DataFrame | None = None) -> Intake:
+    """The placement call over many requests. `live` are the vendors' live
+    intervals (`subscriptions.live_intervals`): with them, products count as
+    readable as of each request's own time; without, all of them."""
     screened = screen_requests(requests)
-    return Intake(screened=screened, lines=canonical_lines(screened, products), requests=requests)
+    return Intake(screened=screened, lines=canonical_lines(screened, products, live), requests=requests)
 
 
 def order_totals(it: Intake) -> DataFrame:

@@ -1,28 +1,27 @@
-"""Ranking inside groups without putting a whole group into one task.
+"""Ranking and prefix scans inside groups without a whole group in one task.
 
-`rank_within` numbers rows 1..n inside each group in a total order. A
-plain `row_number() over (partition by g order by ...)` sends every row
-of a group to one task; when one vendor or user holds a third of the
-rows that task does a third of the work. Here instead:
+A plain `row_number() over (partition by g order by ...)` sends every row of
+a group to one task; when one vendor or user holds a third of the rows that
+task does a third of the work. Here instead:
 
 1. `repartitionByRange(g, order...)` samples the keys, so a hot group is
    spread over many range partitions; rows are sorted inside partitions.
-2. `monotonically_increasing_id` is then increasing in the global order;
-   its upper bits are the partition index.
-3. A small aggregate gives, per (partition, group) run, its first id and
-   size; a window over those runs (at most one per partition for any
-   group) gives the offset of each run inside its group.
-4. rank = id - run start + 1 + run offset, after an equi join on
-   (partition, group) - a key that is never skewed, because the
-   partition index splits hot groups.
-
-Only the keys take part in this: steps 3 and 4 both read the sorted keys, and
-Spark does not reuse a range exchange across two branches (each would sample
-its own bounds), so the sorted, numbered keys are checkpointed once (reliable
-checkpoint in the folder named by spark.checkpoint.dir; the session removes
-checkpoints that are no longer used). The full rows are then joined with
-their ranks by (group, order), which no row shares with another. The number
-of range partitions is left to AQE, which sizes them by the keys' bytes.
+2. `monotonically_increasing_id` is then increasing in the global order; its
+   upper bits are the partition index. It also tells rows with equal keys
+   apart: repeated rows stay as many as they were, each with its own place.
+3. A small aggregate gives, per (partition, group) run, what the run adds
+   (its size, sums, last values); a window over those runs (at most one per
+   partition for any group) gives what earlier runs carry into each.
+4. Each row combines its place inside the run with the run's carry-in, after
+   an equi join on (partition, group) - a key that is never skewed, because
+   the partition index splits hot groups.
+
+Steps 3 and 4 both read the sorted rows, and Spark does not reuse a range
+exchange across two branches (each would sample its own bounds), so the sorted
+rows are checkpointed once (reliable checkpoint in the folder named by
+spark.checkpoint.dir; the session removes checkpoints that are no longer
+used). The input is evaluated for that copy alone; nothing is joined back to
+it. The number of range partitions is left to AQE, which sizes them by bytes.
 
 `top_k_per_group` keeps the k first rows per group. It is a filter on
 `row_number() <= k`, which Catalyst plans with a partial
@@ -32,8 +31,9 @@ rows per group, so even a hot group shuffles only k x tasks rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,26 +44,24 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def _numbered_keys(df: DataFrame, keys: list[str], num_partitions: int | None) -> DataFrame:
-    """df (key columns and little else) sorted over range partitions, with
-    _mid ascending in the global order and _pid the partition; checkpointed."""
-    cols = _cols(keys)
+def _sorted_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], num_partitions: int | None) -> DataFrame:
+    """df over range partitions sorted by (group, order), with _mid ascending
+    in the global order and _pid the partition; checkpointed."""
+    names = [f"_k{i}" for i in range(len(order))]
+    df = df.withColumns(dict(zip(names, _cols(order))))
+    cols = [*(F.col(g) for g in group), *(F.col(n) for n in names)]
     s = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
-    s = s.sortWithinPartitions(*cols).withColumn("_mid", F.monotonically_increasing_id())
+    s = s.sortWithinPartitions(*cols).drop(*names).withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33))
     ensure_checkpoint_dir(df.sparkSession)
     return s.checkpoint(eager=True)
 
 
-def _keyed(df: DataFrame, order: Sequence[Column | str]) -> tuple[DataFrame, list[str]]:
-    """df with its order expressions as columns _k0, _k1, ..."""
-    names = [f"_k{i}" for i in range(len(order))]
-    return df.withColumns(dict(zip(names, _cols(order)))), names
-
-
-def _join_back(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the other columns of found, matched by the keys (nulls equal)."""
-    f = found.withColumnsRenamed({k: f"_f_{k}" for k in keys})
+def _with_carry(rows: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
+    """rows with the columns of their (partition, group) run; null groups are
+    groups, too."""
+    keys = ["_pid", *group]
+    f = carry.withColumnsRenamed({k: f"_f_{k}" for k in keys})
     on = [rows[k].eqNullSafe(f[f"_f_{k}"]) for k in keys]
     cond = on[0]
     for c in on[1:]:
@@ -71,20 +69,27 @@ def _join_back(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(f, cond).drop(*[f"_f_{k}" for k in keys])
 
 
+def _run_windows(group: Sequence[str]):
+    """(rows of a run up to the current one, earlier runs of the group, all
+    its runs in order)."""
+    own = Window.partitionBy("_pid", *group).orderBy("_mid")
+    runs = Window.partitionBy(*group).orderBy("_pid")
+    return own, runs.rowsBetween(Window.unboundedPreceding, -1), runs
+
+
 def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                 rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """Add `rank_col` = 1-based position of each row inside its group by
-    `order`, ascending values that make a total order inside a group."""
+    `order`. Rows equal in group and order get places next to each other, in
+    no particular order among them."""
     g = list(group)
-    rows, names = _keyed(df, order)
-    keys = g + names
-    s = _numbered_keys(rows.select(*keys), keys, num_partitions)
+    s = _sorted_rows(df.drop(rank_col), g, order, num_partitions)
+    _, earlier, _ = _run_windows(g)
     runs = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_start"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    ranks = _join_back(s, runs.drop("_n"), ["_pid", *g])
-    ranks = ranks.select(*keys, (F.col("_mid") - F.col("_start") + 1 + F.col("_off")).cast("bigint").alias(rank_col))
-    return _join_back(rows.drop(rank_col), ranks, keys).drop(*names)
+    runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    ranked = _with_carry(s, runs, g)
+    return (ranked.withColumn(rank_col, (F.col("_mid") - F.col("_start") + 1 + F.col("_off")).cast("bigint"))
+            .drop("_mid", "_pid", "_start", "_off"))
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int,
@@ -97,8 +102,8 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column
 
 
 def extend_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
-                t_col: str, d_col: str, out_col: str = "end_us",
-                num_partitions: int | None = None) -> DataFrame:
+                t_col: str, d_col: str, out_col: str = "end_us", num_partitions: int | None = None,
+                last: dict[str, Column] | None = None, following: dict[str, str] | None = None) -> DataFrame:
     """Running `end = max(end_prev, t) + d` inside each group, in `order`.
 
     Closed form: with S the running sum of d, end_i = S_i + max_{k<=i}(t_k - S_{k-1}).
@@ -108,22 +113,110 @@ def extend_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     local prefixes, one small table of per-(partition, group) totals gives
     each run its carry-in, and a hot group spans many tasks.
     `t_col` and `d_col` are longs (microseconds); nulls in d count as 0.
+
+    On the same sorted rows, `last` adds columns holding the latest non-null
+    value of an expression up to the current row, and `following` the value
+    of a (never null) column in the group's next row, null for its last.
     """
-    g = list(group)
-    rows, names = _keyed(df, order)
-    keys = g + names
+    g, last, following = list(group), last or {}, following or {}
+    extra = {f"_l_{n}": c for n, c in last.items()}
     d = F.coalesce(F.col(d_col), F.lit(0)).cast("long")
-    s = _numbered_keys(rows.select(*keys, F.col(t_col).alias("_t"), d.alias("_d")), keys, num_partitions)
-    wl = Window.partitionBy("_pid", *g).orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("_sl", F.sum("_d").over(wl))
-    s = s.withColumn("_ml", F.max(F.col("_t") - (F.col("_sl") - F.col("_d"))).over(wl))
-    runs = s.groupBy("_pid", *g).agg(F.sum("_d").alias("_sr"), F.max("_ml").alias("_mr"))
-    wr = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_sb", F.coalesce(F.sum("_sr").over(wr), F.lit(0)))
-    runs = runs.withColumn("_mb", F.max(F.col("_mr") - F.col("_sb")).over(
-        Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-    # _mb must use each earlier run's own carry-in: M_before(j) = max_{r<j}(M_r - S_before(r))
-    ends = s.join(runs.select("_pid", *g, "_sb", "_mb"), ["_pid", *g], "inner")
+    rows = df.drop(out_col).withColumns({"_t": F.col(t_col), "_d": d, **extra})
+    s = _sorted_rows(rows, g, order, num_partitions)
+    own, earlier, runs_in_order = _run_windows(g)
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("_sl", F.sum("_d").over(so_far))
+    s = s.withColumn("_ml", F.max(F.col("_t") - (F.col("_sl") - F.col("_d"))).over(so_far))
+    s = s.withColumns({f"_o_{n}": F.last(n, ignorenulls=True).over(so_far) for n in extra})
+    s = s.withColumns({f"_n_{n}": F.lead(c).over(own) for n, c in following.items()})
+    runs = s.groupBy("_pid", *g).agg(
+        F.sum("_d").alias("_sr"), F.max("_ml").alias("_mr"),
+        *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_mid"))).alias(f"_r{n}") for n in extra],
+        *[F.min_by(c, "_mid").alias(f"_first_{n}") for n, c in following.items()])
+    runs = runs.withColumn("_sb", F.coalesce(F.sum("_sr").over(earlier), F.lit(0)))
+    # each earlier run's maximum is shifted by that run's own carry-in
+    runs = runs.withColumn("_mb", F.max(F.col("_mr") - F.col("_sb")).over(earlier))
+    runs = runs.withColumns({f"_c{n}": F.last(f"_r{n}", ignorenulls=True).over(earlier) for n in extra})
+    runs = runs.withColumns({f"_next_{n}": F.lead(f"_first_{n}").over(runs_in_order) for n in following})
+    carried = ["_sb", "_mb", *[f"_c{n}" for n in extra], *[f"_next_{n}" for n in following]]
+    ends = _with_carry(s, runs.select("_pid", *g, *carried), g)
     m = F.greatest(F.col("_mb"), F.col("_ml") - F.col("_sb"))
-    ends = ends.select(*keys, (F.col("_sb") + F.col("_sl") + m).alias(out_col))
-    return _join_back(rows.drop(out_col), ends, keys).drop(*names)
+    out = ends.withColumns({
+        out_col: F.col("_sb") + F.col("_sl") + m,
+        **{n: F.coalesce(F.col(f"_o__l_{n}"), F.col(f"_c_l_{n}")) for n in last},
+        **{n: F.coalesce(F.col(f"_n_{n}"), F.col(f"_next_{n}")) for n in following}})
+    return out.select(*[c for c in df.columns if c not in (out_col, *last, *following)], out_col, *last, *following)
+
+
+def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], last: dict[str, Column],
+               num_partitions: int | None = None) -> DataFrame:
+    """Add columns holding the latest non-null value of an expression in the
+    group, in `order`, up to the current row (an as-of lookup, when rows of
+    both sides are in df)."""
+    g = list(group)
+    extra = {f"_l_{n}": c for n, c in last.items()}
+    s = _sorted_rows(df.withColumns(extra), g, order, num_partitions)
+    own, earlier, _ = _run_windows(g)
+    s = s.withColumns({f"_o_{n}": F.last(n, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)) for n in extra})
+    runs = s.groupBy("_pid", *g).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_mid"))).alias(f"_r{n}") for n in extra])
+    runs = runs.withColumns({f"_c{n}": F.last(f"_r{n}", ignorenulls=True).over(earlier) for n in extra})
+    out = _with_carry(s, runs.select("_pid", *g, *[f"_c{n}" for n in extra]), g)
+    out = out.withColumns({n: F.coalesce(F.col(f"_o__l_{n}"), F.col(f"_c_l_{n}")) for n in last})
+    return out.select(*[c for c in df.columns if c not in last], *last)
+
+
+def transition_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], step: Column, n_states: int,
+                    start: int = 0, out_col: str = "state", num_partitions: int | None = None) -> DataFrame:
+    """The state before each row when the rows of a group, in `order`, move a
+    small state 0 .. n_states - 1 that begins with `start`. `step` is the
+    row's transition: an array with the next state for each state.
+
+    Transitions compose associatively (an array of n_states states again), so
+    the scan is split like the others: every (partition, group) run composes
+    its rows into one transition, the small table of runs composes those in
+    order into each run's first state, and a second pass over the sorted rows
+    gives the states. Rows pass through Arrow in sorted batches; a worker
+    holds one transition or state, never a run.
+    """
+    g = list(group)
+    s = _sorted_rows(df.drop(out_col).withColumn("_step", step), g, order, num_partitions)
+    _, earlier, _ = _run_windows(g)
+    runs = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_run"))
+    # a run's number is the place of its first row
+    marked = _with_carry(s, runs, g)
+    lean = marked.select("_run", "_mid", "_step").repartition("_run").sortWithinPartitions("_run", "_mid")
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, moved = None, list(range(n_states))
+        for b in batches:
+            out: list[tuple[int, list[int]]] = []
+            for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                if r != run:
+                    if run is not None:
+                        out.append((run, moved))
+                    run, moved = r, list(range(n_states))
+                moved = [t[x] for x in moved]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int32()))], names=["_run", "_moved"])
+        if run is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([moved], pa.list_(pa.int32()))], names=["_run", "_moved"])
+
+    moved = lean.mapInArrow(compose, "_run long, _moved array<int>")
+    carry = runs.join(moved, "_run").withColumn("_before", F.collect_list("_moved").over(earlier))
+    carry = carry.select("_run", F.aggregate("_before", F.lit(start), lambda at, f: F.element_at(f, at + 1)).alias("_first"))
+    ready = (marked.select("_run", "_mid", "_step").join(carry, "_run").repartition("_run")
+             .sortWithinPartitions("_run", "_mid").select("_run", "_mid", "_step", "_first"))
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, at = None, start
+        for b in batches:
+            before = []
+            for r, t, first in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if r != run:
+                    run, at = r, first
+                before.append(at)
+                at = t[at]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(before, pa.int32())], names=["_mid", "_state"])
+
+    found = ready.mapInArrow(states, "_mid long, _state int")
+    return s.join(found, "_mid").withColumn(out_col, F.col("_state")).drop("_state", "_mid", "_pid", "_step")

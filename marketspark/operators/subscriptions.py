@@ -1,12 +1,17 @@
 """Vendor subscription ledger (H1-H9) as a fold over subscription events.
 
-Events: (vendor_id, seq, ts, kind in trial|pay|grant|suspend|resume, plan,
-days, notes), processed per vendor in (ts, seq) order, exactly as the
-payment and management calls would have run them one by one.
-
-* Acceptance of each event is decided with joins and aggregates only
-  (first trial per vendor, events before it, launch-rate cap via a top-3
-  per vendor, day range of grants).
+Events: (vendor_id, seq, ts, kind in trial|pay|grant|suspend|resume|cancel|
+refund, plan, days, notes), processed per vendor in (ts, seq) order, exactly as
+the payment and management calls would have run them one by one. An event that
+the log holds more than once, in all its columns, was delivered again: it
+counts once.
+
+* Acceptance of each event is decided with joins and aggregates (first trial
+  per vendor, events before it, day range of grants), but for the launch-rate
+  cap: whether a launch payment is accepted depends on how many earlier ones
+  were, and on refunds, which give a slot back. Each of these events moves the
+  number of used slots (0 .. LAUNCH_LIMIT); `ranking.transition_scan` composes
+  the moves, split over range partitions.
 * The access end date is the fold end = max(end, t) + d over accepted
   trial / payment / grant events: a segmented prefix scan
   (`ranking.extend_scan`), no per-vendor task.
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import extend_scan, rank_within, top_k_per_group
+from .ranking import extend_scan, rank_within, transition_scan
 
 # ---- fixed values: plans, prices (naira), lengths (days) -------------------
 PLAN_PRICES = {"launch": 5000, "monthly": 10000, "annual": 100000}
@@ -49,29 +54,41 @@ def plan_pricing(spark) -> DataFrame:
         "plan", F.col("amount").cast("decimal(12,2)").alias("amount"), "days")
 
 
+KINDS = ("trial", "pay", "grant", "suspend", "resume", "cancel", "refund")
+
+
+def _with_launch_slots(ev: DataFrame) -> DataFrame:
+    """Adds `_slots`: the launch-rate slots in use before each launch payment
+    or refund that follows the vendor's first trial (null for other events).
+    A payment takes a free slot, a refund frees the last one taken."""
+    moves = F.coalesce((F.col("plan") == "launch") & F.col("kind").isin("pay", "refund") & (F.col("_o") > F.col("_t0")), F.lit(False))
+    used = range(LAUNCH_LIMIT + 1)
+    step = (F.when(F.col("kind") == "pay", F.array(*[F.lit(min(c + 1, LAUNCH_LIMIT)) for c in used]))
+             .otherwise(F.array(*[F.lit(max(c - 1, 0)) for c in used])))
+    scanned = transition_scan(ev.filter(moves), ["vendor_id"], ["ts", "seq"], step, LAUNCH_LIMIT + 1, 0, "_slots")
+    return scanned.unionByName(ev.filter(~moves).withColumn("_slots", F.lit(None).cast("int")))
+
+
 def classify_events(events: DataFrame) -> DataFrame:
-    """Accept or reject each event; adds accepted, reason, d_days, amount."""
+    """Accept or reject each event; adds accepted, reason, d_days, amount.
+    A refund names a plan: it gives back a launch-rate slot, if one is in use;
+    refunds of other plans are noted and change nothing here."""
     spark = events.sparkSession
-    ev = events.withColumn("_o", F.struct("ts", "seq"))
+    ev = events.distinct().withColumn("_o", F.struct("ts", "seq"))
     # first trial per vendor: one row per vendor, partial-aggregated
     first_trial = (ev.filter(F.col("kind") == "trial").groupBy("vendor_id")
                      .agg(F.min("_o").alias("_t0")))
-    ev = ev.join(first_trial, "vendor_id", "left")
-    # the first LAUNCH_LIMIT valid launch payments per vendor are allowed
-    launch = ev.filter((F.col("kind") == "pay") & (F.col("plan") == "launch") & (F.col("_o") > F.col("_t0")))
-    first3 = (top_k_per_group(launch.select("vendor_id", "seq", "ts"), ["vendor_id"], ["ts", "seq"], LAUNCH_LIMIT)
-              .select("vendor_id", "seq", F.lit(True).alias("_in_cap")))
-    ev = ev.join(first3, ["vendor_id", "seq"], "left")
+    ev = _with_launch_slots(ev.join(first_trial, "vendor_id", "left"))
     price = F.broadcast(plan_pricing(spark)).withColumnRenamed("days", "_plan_days")
     ev = ev.join(price, "plan", "left")
     kind = F.col("kind")
-    reason = (F.when(kind.isNull() | ~kind.isin("trial", "pay", "grant", "suspend", "resume", "cancel"), F.lit("invalid_action"))
+    reason = (F.when(kind.isNull() | ~kind.isin(*KINDS), F.lit("invalid_action"))
                .when((kind == "trial") & (F.col("_o") == F.col("_t0")), F.lit(None))
                .when(kind == "trial", F.lit("subscription_exists"))
                .when(F.col("_t0").isNull() | (F.col("_o") < F.col("_t0")), F.lit("subscription_not_found"))
-               .when((kind == "pay") & F.col("amount").isNull(), F.lit("invalid_plan"))
-               .when((kind == "pay") & (F.col("plan") == "launch") & F.col("_in_cap").isNull(),
-                     F.lit("launch_limit_reached"))
+               .when(kind.isin("pay", "refund") & F.col("amount").isNull(), F.lit("invalid_plan"))
+               .when((kind == "pay") & (F.col("_slots") >= LAUNCH_LIMIT), F.lit("launch_limit_reached"))
+               .when((kind == "refund") & (F.col("_slots") == 0), F.lit("nothing_to_refund"))
                .when((kind == "grant") & (F.col("days").isNull() | ~F.col("days").between(GRANT_MIN_DAYS, GRANT_MAX_DAYS)),
                      F.lit("invalid_days")))
     d_days = (F.when(kind == "trial", F.lit(TRIAL_DAYS))
@@ -81,7 +98,7 @@ def classify_events(events: DataFrame) -> DataFrame:
               .withColumn("accepted", F.col("reason").isNull())
               .withColumn("d_days", F.when(F.col("reason").isNull(), d_days))
               .withColumn("amount", F.when((kind == "pay") & F.col("reason").isNull(), F.col("amount")))
-              .drop("_o", "_t0", "_in_cap", "_plan_days"))
+              .drop("_o", "_t0", "_slots", "_plan_days"))
 
 
 def renewal_periods(classified: DataFrame) -> DataFrame:
@@ -111,7 +128,7 @@ def grant_days(classified: DataFrame, periods: DataFrame) -> DataFrame:
 
 def subscription_state(classified: DataFrame, periods: DataFrame) -> DataFrame:
     """H6 + H7: final row per vendor with a subscription."""
-    acc = classified.filter(F.col("accepted"))
+    acc = classified.filter(F.col("accepted") & (F.col("kind") != "refund"))     # a refund leaves the subscription as it is
     o = F.struct("ts", "seq")
     kind = F.col("kind")
     st = acc.groupBy("vendor_id").agg(
@@ -138,6 +155,30 @@ def subscription_state(classified: DataFrame, periods: DataFrame) -> DataFrame:
                     "current_period_start", "access_ends_at", "last_payment_at", "updated_at", "n_payments")
 
 
+def live_intervals(classified: DataFrame) -> DataFrame:
+    """When each vendor's subscription was live: disjoint [live_from, live_to)
+    per vendor_id, from the ledger's accepted events.
+
+    After every event the row holds a status and an access end until the next
+    event; it is live up to that end, if the status is. The end is the fold
+    of `renewal_periods`: an event without days keeps an end behind its own
+    time, and an end before it may as well move up to it, as access is over
+    by then. The status is that of the last event that sets one; granted days
+    revive a cancelled subscription. All of it is one `extend_scan`."""
+    acc = classified.filter(F.col("accepted") & (F.col("kind") != "refund"))
+    acc = acc.withColumn("_t", _us(F.col("ts"))).withColumn("_dus", F.col("d_days").cast("long") * DAY_US)
+    acc = acc.select("vendor_id", "ts", "seq", "kind", "_t", "_dus", F.col("_t").alias("_next"))
+    grant = F.col("kind") == "grant"
+    sc = extend_scan(acc, ["vendor_id"], ["ts", "seq"], "_t", "_dus", "_end",
+                     last={"_mode": F.when(~grant, F.struct("ts", "seq", "kind")), "_grant": F.when(grant, F.struct("ts", "seq"))},
+                     following={"_next": "_t"})
+    set_at = F.struct(F.col("_mode.ts").alias("ts"), F.col("_mode.seq").alias("seq"))
+    live = F.col("_mode.kind").isin("trial", "pay", "resume") | ((F.col("_mode.kind") == "cancel") & F.coalesce(F.col("_grant") > set_at, F.lit(False)))
+    until = F.least(F.col("_end"), F.coalesce(F.col("_next"), F.col("_end")))
+    return (sc.filter(live & (until > F.col("_t")))
+              .select("vendor_id", _ts(F.col("_t")).alias("live_from"), _ts(until).alias("live_to")))
+
+
 def subscription_status(state: DataFrame) -> DataFrame:
     """H6: status per vendor."""
     return state.select("vendor_id", "plan", "status")

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import carry_last
+
 LIVE = ("trial", "active")
 ALL_KEY = "\u0000all"   # reserved group key: cannot be a user id
 
@@ -61,6 +63,22 @@ def visible_products(products: DataFrame, subscriptions: DataFrame, viewer: View
     return j.filter(own | F.col("_live").isNotNull()).drop("_live")
 
 
+def live_at(rows: DataFrame, intervals: DataFrame, vendor_col: str, at_col: str) -> DataFrame:
+    """Adds `live`: whether the row's vendor had a live subscription at the
+    row's own time. `intervals` are disjoint (`subscriptions.live_intervals`).
+
+    An as-of join without pairing rows and intervals: both are sorted into
+    one sequence per vendor, where an interval's start comes before rows of
+    the same time, and every row takes the last start before it. A hot
+    vendor's sequence spans many range partitions (`ranking.carry_last`)."""
+    starts = intervals.select(F.col("vendor_id").alias(vendor_col), F.col("live_from").alias(at_col),
+                              F.col("live_to").alias("_until"), F.lit(0).alias("_side"))
+    both = rows.withColumns({"_until": F.lit(None).cast("timestamp_ntz"), "_side": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
+    found = carry_last(both, [vendor_col], [at_col, "_side"], {"_open": F.col("_until")})
+    live = F.coalesce(F.col(at_col) < F.col("_open"), F.lit(False))
+    return found.filter(F.col("_side") == 1).withColumn("live", live).drop("_until", "_side", "_open")
+
+
 def visible_orders(orders: DataFrame, viewer: Viewer) -> DataFrame:
     """owner or admin (authenticated only)."""
     if viewer.role == "anon":

@@ -32,10 +32,9 @@ oracle("canonical_lines", """
 SELECT request_id, product_id, vendor, name, price, CAST(qty AS BIGINT) AS qty FROM o_lines""")
 
 oracle("availability_check", """
-SELECT m.request_id, CAST(count(*) AS BIGINT) AS n_requested,
-       count(CASE WHEN p.id IS NOT NULL AND m.qty BETWEEN 1 AND 99 THEN 1 END) AS n_matched,
-       count(*) = count(CASE WHEN p.id IS NOT NULL AND m.qty BETWEEN 1 AND 99 THEN 1 END) AS available
-FROM o_merged m LEFT JOIN np p ON p.id = m.product_id AND p.in_stock
+SELECT m.request_id, CAST(count(*) AS BIGINT) AS n_requested, count(c.product_id) AS n_matched,
+       count(*) = count(c.product_id) AS available
+FROM o_merged m LEFT JOIN o_canon c ON c.request_id = m.request_id AND c.product_id = m.product_id
 GROUP BY 1""")
 
 oracle("order_totals", """

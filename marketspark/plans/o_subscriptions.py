@@ -10,38 +10,51 @@ FROM supplier
 UNION ALL
 SELECT 'v' || (user_id % (SELECT count(*) FROM supplier)), event_id, ts,
        CASE event_type WHEN 'purchase' THEN 'pay' WHEN 'click' THEN 'grant'
-            WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'suspend' ELSE 'cancel' END
+            WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'suspend' WHEN 1 THEN 'cancel' ELSE 'refund' END
             WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'resume' ELSE 'grant' END ELSE 'pay' END,
        CASE WHEN event_type = 'signup' THEN 'launch'
+            WHEN event_type = 'error' THEN CASE event_id % 12 WHEN 2 THEN 'monthly' WHEN 3 THEN NULL ELSE 'launch' END
             WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'launch' WHEN 1 THEN 'monthly'
                  WHEN 2 THEN 'annual' ELSE 'bogus' END END,
        CASE WHEN event_type IN ('click', 'view') THEN CAST(floor(value) AS INTEGER) % 40 END,
        CASE WHEN event_id % 3 = 0 THEN '  ' ELSE 'ref ' || event_id END
-FROM events"""
+FROM events, unnest(CASE WHEN event_id % 29 = 0 THEN [1, 2] ELSE [1] END) AS d(delivery)"""
+
+# an event delivered twice counts once
+ADAPTERS["s_events"] = "SELECT DISTINCT * FROM mk_sub_events"
 
 ADAPTERS["s_ft"] = """
 SELECT vendor_id, ts AS t0_ts, seq AS t0_seq FROM (
   SELECT vendor_id, ts, seq, row_number() OVER (PARTITION BY vendor_id ORDER BY ts, seq) AS rn
-  FROM mk_sub_events WHERE kind = 'trial') WHERE rn = 1"""
+  FROM s_events WHERE kind = 'trial') WHERE rn = 1"""
 
 ADAPTERS["s_base"] = """
 SELECT e.*, f.t0_ts, f.t0_seq,
        f.t0_ts IS NOT NULL AND (e.ts > f.t0_ts OR (e.ts = f.t0_ts AND e.seq > f.t0_seq)) AS after_trial,
        f.t0_ts IS NOT NULL AND e.ts = f.t0_ts AND e.seq = f.t0_seq AS is_first_trial
-FROM mk_sub_events e LEFT JOIN s_ft f USING (vendor_id)"""
+FROM s_events e LEFT JOIN s_ft f USING (vendor_id)"""
+
+# launch slots replayed move by move
+ADAPTERS["s_moves"] = """
+SELECT vendor_id, seq, kind, row_number() OVER (PARTITION BY vendor_id ORDER BY ts, seq) AS n
+FROM s_base WHERE kind IN ('pay', 'refund') AND plan = 'launch' AND after_trial"""
 
 ADAPTERS["s_launch"] = """
-SELECT vendor_id, seq, row_number() OVER (PARTITION BY vendor_id ORDER BY ts, seq) AS lrank
-FROM s_base WHERE kind = 'pay' AND plan = 'launch' AND after_trial"""
+SELECT vendor_id, seq, n, 0 AS used, CASE kind WHEN 'pay' THEN 1 ELSE 0 END AS then_used FROM s_moves WHERE n = 1
+UNION ALL
+SELECT m.vendor_id, m.seq, m.n, l.then_used,
+       CASE m.kind WHEN 'pay' THEN least(l.then_used + 1, 3) ELSE greatest(l.then_used - 1, 0) END
+FROM s_launch l JOIN s_moves m ON m.vendor_id = l.vendor_id AND m.n = l.n + 1"""
 
 ADAPTERS["s_cls"] = """
 SELECT b.vendor_id, b.seq, b.ts, b.kind, b.plan, b.days, b.notes,
-  CASE WHEN b.kind IS NULL OR b.kind NOT IN ('trial', 'pay', 'grant', 'suspend', 'resume', 'cancel') THEN 'invalid_action'
+  CASE WHEN b.kind IS NULL OR b.kind NOT IN ('trial', 'pay', 'grant', 'suspend', 'resume', 'cancel', 'refund') THEN 'invalid_action'
        WHEN b.kind = 'trial' AND b.is_first_trial THEN NULL
        WHEN b.kind = 'trial' THEN 'subscription_exists'
        WHEN NOT b.after_trial THEN 'subscription_not_found'
-       WHEN b.kind = 'pay' AND coalesce(b.plan, '') NOT IN ('launch', 'monthly', 'annual') THEN 'invalid_plan'
-       WHEN b.kind = 'pay' AND b.plan = 'launch' AND l.lrank > 3 THEN 'launch_limit_reached'
+       WHEN b.kind IN ('pay', 'refund') AND coalesce(b.plan, '') NOT IN ('launch', 'monthly', 'annual') THEN 'invalid_plan'
+       WHEN b.kind = 'pay' AND b.plan = 'launch' AND l.used >= 3 THEN 'launch_limit_reached'
+       WHEN b.kind = 'refund' AND b.plan = 'launch' AND l.used = 0 THEN 'nothing_to_refund'
        WHEN b.kind = 'grant' AND (b.days IS NULL OR b.days < 1 OR b.days > 365) THEN 'invalid_days'
   END AS reason
 FROM s_base b LEFT JOIN s_launch l ON l.vendor_id = b.vendor_id AND l.seq = b.seq"""
@@ -74,7 +87,8 @@ ADAPTERS["s_periods"] = "SELECT *, period_end - to_days(d_days) AS period_start
 
 # plan and status replayed call by call
 ADAPTERS["s_calls"] = """
-SELECT vendor_id, kind, plan, row_number() OVER (PARTITION BY vendor_id ORDER BY ts, seq) AS n FROM s_acc WHERE accepted"""
+SELECT vendor_id, ts, kind, plan, d_days, row_number() OVER (PARTITION BY vendor_id ORDER BY ts, seq) AS n
+FROM s_acc WHERE accepted AND kind <> 'refund'"""
 
 ADAPTERS["s_status"] = """
 SELECT vendor_id, n, 'trial' AS plan, 'trial' AS status FROM s_calls WHERE n = 1
@@ -86,8 +100,19 @@ SELECT c.vendor_id, c.n, CASE WHEN c.kind = 'pay' THEN c.plan ELSE s.plan END,
             ELSE s.status END
 FROM s_status s JOIN s_calls c ON c.vendor_id = s.vendor_id AND c.n = s.n + 1"""
 
+# the subscription row after each call, and the last of calls at the same time
+ADAPTERS["s_ends"] = """
+SELECT vendor_id, n, ts + to_days(d_days) AS access_ends_at FROM s_calls WHERE n = 1
+UNION ALL
+SELECT c.vendor_id, c.n, CASE WHEN c.d_days IS NULL THEN e.access_ends_at ELSE greatest(e.access_ends_at, c.ts) + to_days(c.d_days) END
+FROM s_ends e JOIN s_calls c ON c.vendor_id = e.vendor_id AND c.n = e.n + 1"""
+
+ADAPTERS["s_asof"] = """
+SELECT vendor_id, ts, arg_max(s_status.status, n) AS status, arg_max(access_ends_at, n) AS access_ends_at
+FROM s_calls JOIN s_status USING (vendor_id, n) JOIN s_ends USING (vendor_id, n) GROUP BY vendor_id, ts"""
+
 ADAPTERS["s_state"] = """
-WITH a AS (SELECT * FROM s_acc WHERE accepted),
+WITH a AS (SELECT * FROM s_acc WHERE accepted AND kind <> 'refund'),
 last_pay AS (
   SELECT vendor_id, plan AS paid_plan FROM (
     SELECT vendor_id, plan, row_number() OVER (PARTITION BY vendor_id ORDER BY ts DESC, seq DESC) AS rn

@@ -74,7 +74,9 @@ FROM lineitem"""
 ADAPTERS["mk_requests"] = """
 SELECT 'r' || o_orderkey AS request_id,
        CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE 'u' || o_custkey END AS user_id,
-       o_orderdate AS requested_at,
+       TIMESTAMP '2023-12-08 00:00:00' + to_seconds(2160 * date_diff('day', TIMESTAMP '1995-01-01 00:00:00', o_orderdate)) AS requested_at,
+       CASE WHEN o_custkey % 50 = 0 THEN 'admin' WHEN o_custkey % 7 = 3 THEN 'vendor' ELSE 'authenticated' END AS caller_role,
+       CASE WHEN o_custkey % 7 = 3 THEN 'v' || (o_custkey % 10) END AS caller_vendor_id,
        CASE WHEN o_orderkey % 97 = 0 THEN repeat('x', 151) ELSE '  ' || c_name || ' ' END AS customer_name,
        CASE WHEN o_orderkey % 11 = 0 THEN '   ' ELSE '0801' || (1000000 + o_custkey) END AS customer_phone,
        CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'c' || o_custkey || '@example.org' END AS customer_email,
@@ -140,8 +142,11 @@ ADAPTERS["o_nreq"] = "SELECT request_id, count(*) AS n FROM o_merged GROUP BY 1"
 
 ADAPTERS["o_canon"] = """
 SELECT m.request_id, m.product_id, p.vendor, p.name, p.price, p.image, p.size, m.qty
-FROM o_merged m JOIN np p ON p.id = m.product_id
-WHERE p.in_stock AND m.qty BETWEEN 1 AND 99"""
+FROM o_merged m JOIN mk_requests r USING (request_id) JOIN np p ON p.id = m.product_id
+     ASOF LEFT JOIN s_asof a ON a.vendor_id = p.vendor AND r.requested_at >= a.ts
+WHERE p.in_stock AND m.qty BETWEEN 1 AND 99
+  AND (r.caller_role = 'admin' OR coalesce(p.vendor = r.caller_vendor_id, false)
+       OR coalesce(a.status IN ('trial', 'active') AND a.access_ends_at > r.requested_at, false))"""
 
 ADAPTERS["o_lines"] = """
 SELECT c.* FROM o_canon c
@@ -249,7 +254,9 @@ def with_adapters(body: str, key: str | None = None) -> str:
     """One WITH RECURSIVE list: adapters, the query's own CTEs, then the
     final SELECT (wrapped to cast decimal result columns to DOUBLE)."""
     own, final = split_with(body)
-    ctes = [f"{k} AS ({v})" for k, v in ADAPTERS.items()] + own
+    # the ledger's tables stand before the orders, which look up who was live
+    first = lambda k: 0 if k.startswith(("mk_", "n")) else 1 if k.startswith("s_") else 2
+    ctes = [f"{k} AS ({ADAPTERS[k]})" for k in sorted(ADAPTERS, key=first)] + own
     casts = [f"CAST({c} AS DOUBLE) AS {c}" for c in DECIMAL_OUT.get(key or "", [])]
     casts += [f"CAST({c} AS VARCHAR) AS {c}" for c in DATE_OUT.get(key or "", [])]
     if casts:

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import orders as O
 from ..sources import loaders as L
+from .inputs import intake, live
 from .queries import query
 
 
-def _intake(t):
-    return O.intake(t.order_requests(), L.normalize_products(t.products()))
 
 
 @query("validate_headers")
@@ -45,7 +44,7 @@ def q_merge_order_lines(t):
 @query("canonical_lines")
 def q_canonical_lines(t):
     """D4+D5: re-priced lines of accepted requests."""
-    it = _intake(t)
+    it = intake(t)
     return it.lines.select("request_id", "product_id", "vendor", "name", "price",
                            F.col("qty").cast("bigint").alias("qty"))
 
@@ -54,37 +53,37 @@ def q_canonical_lines(t):
 def q_availability_check(t):
     """Requested vs matched ids per screened request."""
     s = O.screen_requests(t.order_requests())
-    return O.availability_check(s, L.normalize_products(t.products()))
+    return O.availability_check(s, L.normalize_products(t.products()), live(t))
 
 
 @query("order_totals")
 def q_order_totals(t):
     """Total, line and unit counts per accepted request."""
-    return O.order_totals(_intake(t))
+    return O.order_totals(intake(t))
 
 
 @query("build_orders")
 def q_build_orders(t):
     """Order rows with ordered item JSON."""
-    return _intake(t).orders()
+    return intake(t).orders()
 
 
 @query("split_by_vendor")
 def q_split_by_vendor(t):
     """One vendor order per (order, vendor)."""
-    return _intake(t).vendor_orders()
+    return intake(t).vendor_orders()
 
 
 @query("order_response")
 def q_order_response(t):
     """The JSON returned per placed order."""
-    return O.order_response(_intake(t))
+    return O.order_response(intake(t))
 
 
 @query("whatsapp_outbox")
 def q_whatsapp_outbox(t):
     """Message and wa.me link per vendor order."""
-    return O.whatsapp_outbox(_intake(t).vendor_orders(), L.normalize_vendors(t.vendors()))
+    return O.whatsapp_outbox(intake(t).vendor_orders(), L.normalize_vendors(t.vendors()))
 
 
 @query("product_inquiry_link")
@@ -103,4 +102,4 @@ def q_checkout_form_clean(t):
 @query("intake_report")
 def q_intake_report(t):
     """accepted/rejected counts and value by reason."""
-    return O.intake_report(_intake(t))
+    return O.intake_report(intake(t))

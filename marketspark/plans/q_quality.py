@@ -13,6 +13,7 @@ from ..session import scratch_path
 from ..sources import loaders as L
 from ..sources.raw_sql import NOT_NULL, REFERENCES, UNIQUE
 from ..sources.sinks import write_marts
+from .inputs import intake
 from .queries import query
 
 
@@ -45,7 +46,7 @@ def q_check_not_null(t):
 @query("reconcile_orders")
 def q_reconcile_orders(t):
     """Orders reconciled with their vendor orders."""
-    it = O.intake(t.order_requests(), L.normalize_products(t.products()))
+    it = intake(t)
     return J.reconcile_orders(it.orders(), it.vendor_orders())
 
 
@@ -53,7 +54,7 @@ def q_reconcile_orders(t):
 def q_write_marts(t):
     """Orders, vendor orders and payments written as marts; the rows and
     amounts of each mart and day as read back."""
-    it = O.intake(t.order_requests(), L.normalize_products(t.products()))
+    it = intake(t)
     pays = H.renewal_periods(H.classify_events(t.subscription_events())).filter(F.col("kind") == "pay")
     paths = write_marts(scratch_path(t.spark, f"marts-{uuid.uuid4().hex}"), it.orders(), it.vendor_orders(),
                         pays.select("vendor_id", "seq", "plan", "amount", "period_start", "period_end"))

@@ -8,11 +8,12 @@ from ..operators import orders as O
 from ..operators import registry as R
 from ..operators import subscriptions as H
 from ..sources import loaders as L
+from .inputs import intake
 from .queries import query
 
 
 def _accepted(t):
-    vo = O.intake(t.order_requests(), L.normalize_products(t.products())).vendor_orders()
+    vo = intake(t).vendor_orders()
     return R.accepted_vendor_changes(R.clean_vendor_changes(t.vendor_changes(), t.staff()), vo)
 
 

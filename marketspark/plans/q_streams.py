@@ -11,6 +11,7 @@ from ..operators import orders as O
 from ..operators import tracking as E
 from ..sources import loaders as L
 from ..streaming import streams as M
+from .inputs import intake, live
 from .queries import query
 
 
@@ -19,7 +20,7 @@ def q_stream_order_intake(t):
     """M1: vendor orders from the request stream (twin: split_by_vendor)."""
     products = L.normalize_products(t.products())
     base = M.replay_to_sink(t.order_requests(), "intake", "requested_at", lambda s: M.stream_order_intake(s, products),
-                            "append", M.intake_batch(products))
+                            "append", M.intake_batch(products, live(t)))
     return M.read_all(t.spark, f"{base}/sink", "id string")
 
 
@@ -47,7 +48,7 @@ def q_stream_status(t):
     base = M.replay_to_sink(ch, "status", "ts", M.stream_status, "update")
     latest = M.read_latest(t.spark, f"{base}/sink", ["order_key", "vendor_id"],
                            "order_key string, vendor_id string, status string, status_note string, ts timestamp_ntz")
-    vo = O.intake(t.order_requests(), L.normalize_products(t.products())).vendor_orders()
+    vo = intake(t).vendor_orders()
     return E.set_latest(vo, latest.select("order_key", "vendor_id", F.struct("status", "status_note", "ts").alias("_c")))
 
 

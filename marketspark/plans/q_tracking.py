@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import orders as O
 from ..operators import tracking as E
 from ..sources import loaders as L
+from .inputs import intake
 from .queries import query
 
 
 def _vo(t):
-    return O.intake(t.order_requests(), L.normalize_products(t.products())).vendor_orders()
+    return intake(t).vendor_orders()
 
 
 @query("my_orders")

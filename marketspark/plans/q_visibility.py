@@ -8,6 +8,7 @@ from ..operators import orders as O
 from ..operators import subscriptions as H
 from ..operators import visibility as V
 from ..sources import loaders as L
+from .inputs import intake
 from .queries import query
 
 AT = "2024-01-20 00:00:00"
@@ -40,14 +41,14 @@ def q_visible_products(t):
 @query("visible_orders")
 def q_visible_orders(t):
     """orders of one customer."""
-    it = O.intake(t.order_requests(), L.normalize_products(t.products()))
+    it = intake(t)
     return V.visible_orders(it.orders(), V.Viewer("authenticated", "u5")).select("id", "user_id")
 
 
 @query("visible_vendor_orders")
 def q_visible_vendor_orders(t):
     """vendor orders a vendor-role viewer sees."""
-    it = O.intake(t.order_requests(), L.normalize_products(t.products()))
+    it = intake(t)
     return V.visible_vendor_orders(it.vendor_orders(), V.Viewer("vendor", "su3", "v3")).select("id", "vendor_id")
 
 
@@ -72,7 +73,7 @@ def q_visible_payments(t):
 @query("visibility_counts")
 def q_visibility_counts(t):
     """F8: rows every viewer may read in every table, at AT."""
-    it = O.intake(t.order_requests(), L.normalize_products(t.products()))
+    it = intake(t)
     c = H.classify_events(t.subscription_events())
     periods = H.renewal_periods(c)
     return V.visibility_counts(t.viewers(), L.normalize_vendors(t.vendors()), L.normalize_products(t.products()),

@@ -121,7 +121,10 @@ class TestTables:
               FROM {l} GROUP BY l_orderkey)
             SELECT 'r' || o_orderkey AS request_id,
                    CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE 'u' || o_custkey END AS user_id,
-                   o_orderdate AS requested_at,
+                   TIMESTAMP_NTZ '2023-12-08 00:00:00'
+                     + make_dt_interval(0, 0, 0, 2160 * timestampdiff(DAY, TIMESTAMP_NTZ '1995-01-01 00:00:00', o_orderdate)) AS requested_at,
+                   CASE WHEN o_custkey % 50 = 0 THEN 'admin' WHEN o_custkey % 7 = 3 THEN 'vendor' ELSE 'authenticated' END AS caller_role,
+                   CASE WHEN o_custkey % 7 = 3 THEN 'v' || (o_custkey % 10) END AS caller_vendor_id,
                    CASE WHEN o_orderkey % 97 = 0 THEN repeat('x', 151) ELSE '  ' || c_name || ' ' END AS customer_name,
                    CASE WHEN o_orderkey % 11 = 0 THEN '   ' ELSE '0801' || (1000000 + o_custkey) END AS customer_phone,
                    CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'c' || o_custkey || '@example.org' END AS customer_email,
@@ -183,6 +186,7 @@ class TestTables:
 
     # ---- subscriptions, promotions ---------------------------------------
     def subscription_events(self) -> DataFrame:
+        """The ledger's event log; one event in 29 was delivered twice."""
         return self._sql("""
             SELECT 'v' || s_suppkey AS vendor_id, CAST(-1 AS BIGINT) AS seq,
                    TIMESTAMP_NTZ '2023-12-15 00:00:00' AS ts, 'trial' AS kind,
@@ -191,14 +195,16 @@ class TestTables:
             UNION ALL
             SELECT 'v' || (user_id % (SELECT count(*) FROM {s})), event_id, ts,
                    CASE event_type WHEN 'purchase' THEN 'pay' WHEN 'click' THEN 'grant'
-                        WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'suspend' ELSE 'cancel' END
+                        WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN 'suspend' WHEN 1 THEN 'cancel' ELSE 'refund' END
                         WHEN 'view' THEN CASE WHEN event_id % 4 = 0 THEN 'resume' ELSE 'grant' END ELSE 'pay' END,
                    CASE WHEN event_type = 'signup' THEN 'launch'
+                        WHEN event_type = 'error' THEN CASE event_id % 12 WHEN 2 THEN 'monthly' WHEN 3 THEN NULL ELSE 'launch' END
                         WHEN event_type = 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'launch'
                              WHEN 1 THEN 'monthly' WHEN 2 THEN 'annual' ELSE 'bogus' END END,
                    CASE WHEN event_type IN ('click', 'view') THEN CAST(floor(value) AS INT) % 40 END,
                    CASE WHEN event_id % 3 = 0 THEN '  ' ELSE 'ref ' || event_id END
-            FROM {e}""", s="supplier", e="events")
+            FROM {e} LATERAL VIEW explode(sequence(1, CASE WHEN event_id % 29 = 0 THEN 2 ELSE 1 END)) d AS delivery""",
+            s="supplier", e="events")
 
     def promotions(self) -> DataFrame:
         return self._sql("""

@@ -127,9 +127,9 @@ def stream_order_intake(requests: DataFrame, products: DataFrame, watermark: str
                     .drop("_event_time"))
 
 
-def intake_batch(products: DataFrame) -> Callable[[DataFrame], Batch]:
+def intake_batch(products: DataFrame, live: DataFrame | None = None) -> Callable[[DataFrame], Batch]:
     def f(batch: DataFrame) -> Batch:
-        it = O.intake(batch, products)
+        it = O.intake(batch, products, live)
         return {"sink": it.vendor_orders(), "rejected": it.rejected()}
     return f
 
@@ -254,6 +254,9 @@ def _ledger_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterat
             continue
         if s is None:
             continue
+        if r.kind == "refund":          # gives a launch slot back, leaves the row as it is
+            s["launch"] -= r.plan == "launch" and s["launch"] > 0
+            continue
         end = T(s["end"])
         if r.kind == "pay":
             plan = r.plan
