@@ -30,13 +30,14 @@ QUIZ_STRONG = "Signature (Eau de Parfum)"
 QUIZ_LIGHT = "Signature (Concentré de Parfum)"
 # Perfume size picker -> product id.
 SIZE_TO_PRODUCT = {"30ml": "p2", "50ml": "p1", "100ml": "p7"}
-# Newsletter e-mail pattern (applied to the lower-cased address).
+# Newsletter e-mail pattern (applied to the lower-cased address). \z here and
+# below: a final line break is part of the text, as in the page's engine.
 EMAIL_STRICT_RE = (
     r'^(([^<>()\[\]\\.,;:\s@"]+(\.[^<>()\[\]\\.,;:\s@"]+)*)|(".+"))@'
-    r'((\[[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\])|(([a-zA-Z\-0-9]+\.)+[a-zA-Z]{2,}))$'
+    r'((\[[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\])|(([a-zA-Z\-0-9]+\.)+[a-zA-Z]{2,}))\z'
 )
 # Link allow-list for promotion links and images (case-insensitive).
-SAFE_URL_RE = r"(?i)^(https?://|[a-z0-9][a-z0-9._/-]*(\?[^\s]*)?$)"
+SAFE_URL_RE = r"(?i)^(https?://|[a-z0-9][a-z0-9._/-]*(\?[^\s]*)?\z)"
 # Fallbacks for banners.
 BANNER_IMAGE_FALLBACK = "images/banner.jpg"
 BANNER_SUBTITLE_FALLBACK = f"Discover this promoted offer on {STORE_NAME}."
@@ -126,9 +127,14 @@ def html_escape(x) -> Column:
     return e
 
 
+def trim_white(x) -> Column:
+    """The page's trim(): all white space and line ends, not spaces alone."""
+    return F.regexp_replace(_c(x), r"^[\s\u00a0\ufeff\p{Z}]+|[\s\u00a0\ufeff\p{Z}]+\z", "")
+
+
 def safe_url(x, fallback=SAFE_URL_DEFAULT) -> Column:
     """K8: trimmed link if it passes the allow-list, else the fallback."""
-    u = F.trim(F.coalesce(_c(x), F.lit("")))
+    u = trim_white(F.coalesce(_c(x), F.lit("")))
     fb = _c(fallback) if not isinstance(fallback, str) else F.lit(fallback)
     return F.when((u != "") & u.rlike(SAFE_URL_RE), u).otherwise(fb)
 

@@ -164,7 +164,7 @@ def _matched(screened: DataFrame, products: DataFrame, live: DataFrame | None) -
     if live is None:
         return joined.drop(*CALLER_COLS)
     own = (F.col("caller_role") == "admin") | (F.col("vendor") == F.col("caller_vendor_id"))
-    seen = live_at(joined, live, "vendor", "requested_at")
+    seen = live_at(joined, live, "vendor", "requested_at", screened.select("requested_at"))
     return seen.filter(F.coalesce(own, F.lit(False)) | F.col("live")).drop("live", *CALLER_COLS)
 
 

@@ -36,6 +36,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -103,7 +104,8 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column
 
 def extend_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                 t_col: str, d_col: str, out_col: str = "end_us", num_partitions: int | None = None,
-                last: dict[str, Column] | None = None, following: dict[str, str] | None = None) -> DataFrame:
+                last: dict[str, Column] | None = None, following: dict[str, str] | None = None,
+                placed: bool = False) -> DataFrame:
     """Running `end = max(end_prev, t) + d` inside each group, in `order`.
 
     Closed form: with S the running sum of d, end_i = S_i + max_{k<=i}(t_k - S_{k-1}).
@@ -117,12 +119,14 @@ def extend_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     On the same sorted rows, `last` adds columns holding the latest non-null
     value of an expression up to the current row, and `following` the value
     of a (never null) column in the group's next row, null for its last.
+    `placed` says that df, or what it was filtered from, is already sorted
+    and cut off its lineage: its columns _pid and _mid are used as they are.
     """
     g, last, following = list(group), last or {}, following or {}
     extra = {f"_l_{n}": c for n, c in last.items()}
     d = F.coalesce(F.col(d_col), F.lit(0)).cast("long")
     rows = df.drop(out_col).withColumns({"_t": F.col(t_col), "_d": d, **extra})
-    s = _sorted_rows(rows, g, order, num_partitions)
+    s = rows if placed else _sorted_rows(rows, g, order, num_partitions)
     own, earlier, runs_in_order = _run_windows(g)
     so_far = own.rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_sl", F.sum("_d").over(so_far))
@@ -148,25 +152,8 @@ def extend_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     return out.select(*[c for c in df.columns if c not in (out_col, *last, *following)], out_col, *last, *following)
 
 
-def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], last: dict[str, Column],
-               num_partitions: int | None = None) -> DataFrame:
-    """Add columns holding the latest non-null value of an expression in the
-    group, in `order`, up to the current row (an as-of lookup, when rows of
-    both sides are in df)."""
-    g = list(group)
-    extra = {f"_l_{n}": c for n, c in last.items()}
-    s = _sorted_rows(df.withColumns(extra), g, order, num_partitions)
-    own, earlier, _ = _run_windows(g)
-    s = s.withColumns({f"_o_{n}": F.last(n, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)) for n in extra})
-    runs = s.groupBy("_pid", *g).agg(*[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_mid"))).alias(f"_r{n}") for n in extra])
-    runs = runs.withColumns({f"_c{n}": F.last(f"_r{n}", ignorenulls=True).over(earlier) for n in extra})
-    out = _with_carry(s, runs.select("_pid", *g, *[f"_c{n}" for n in extra]), g)
-    out = out.withColumns({n: F.coalesce(F.col(f"_o__l_{n}"), F.col(f"_c_l_{n}")) for n in last})
-    return out.select(*[c for c in df.columns if c not in last], *last)
-
-
 def transition_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], step: Column, n_states: int,
-                    start: int = 0, out_col: str = "state", num_partitions: int | None = None) -> DataFrame:
+                    start: int = 0, out_col: str = "state", num_partitions: int | None = None, keep_place: bool = False) -> DataFrame:
     """The state before each row when the rows of a group, in `order`, move a
     small state 0 .. n_states - 1 that begins with `start`. `step` is the
     row's transition: an array with the next state for each state.
@@ -176,47 +163,49 @@ def transition_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column
     its rows into one transition, the small table of runs composes those in
     order into each run's first state, and a second pass over the sorted rows
     gives the states. Rows pass through Arrow in sorted batches; a worker
-    holds one transition or state, never a run.
+    holds one transition or state, never a run. `keep_place` leaves the rows'
+    places (_pid, _mid) in the result, for a later scan in the same order.
     """
     g = list(group)
     s = _sorted_rows(df.drop(out_col).withColumn("_step", step), g, order, num_partitions)
-    _, earlier, _ = _run_windows(g)
-    runs = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_run"))
-    # a run's number is the place of its first row
-    marked = _with_carry(s, runs, g)
-    lean = marked.select("_run", "_mid", "_step").repartition("_run").sortWithinPartitions("_run", "_mid")
+    _, earlier, runs_in_order = _run_windows(g)
+    runs = s.groupBy("_pid", *g).agg(F.min("_mid").alias("_run"))       # a run's number is the place of its first row
+    runs = runs.withColumn("_ends", F.lead("_pid").over(runs_in_order).isNull())
+    # only runs that go on in the next partition hand a transition on
+    open_rows = _with_carry(s.select("_pid", *g, "_mid", "_step"), runs.filter(~F.col("_ends")), g)
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, moved = None, list(range(n_states))
+        done: list[tuple[int, list[int]]] = []
         for b in batches:
-            out: list[tuple[int, list[int]]] = []
             for r, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 if r != run:
                     if run is not None:
-                        out.append((run, moved))
+                        done.append((run, moved))
                     run, moved = r, list(range(n_states))
                 moved = [t[x] for x in moved]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int32()))], names=["_run", "_moved"])
         if run is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([moved], pa.list_(pa.int32()))], names=["_run", "_moved"])
+            done.append((run, moved))       # a partition's runs, at most one of a group
+        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.list_(pa.int32()))], names=["_run", "_moved"])
 
-    moved = lean.mapInArrow(compose, "_run long, _moved array<int>")
-    carry = runs.join(moved, "_run").withColumn("_before", F.collect_list("_moved").over(earlier))
-    carry = carry.select("_run", F.aggregate("_before", F.lit(start), lambda at, f: F.element_at(f, at + 1)).alias("_first"))
-    ready = (marked.select("_run", "_mid", "_step").join(carry, "_run").repartition("_run")
-             .sortWithinPartitions("_run", "_mid").select("_run", "_mid", "_step", "_first"))
+    moved = (open_rows.select("_run", "_mid", "_step").repartition("_run").sortWithinPartitions("_run", "_mid")
+             .mapInArrow(compose, "_run long, _moved array<int>"))
+    carry = runs.join(moved, "_run", "left").withColumn("_before", F.collect_list("_moved").over(earlier))
+    carry = carry.select("_pid", *g, "_run", F.aggregate("_before", F.lit(start), lambda at, f: F.element_at(f, at + 1)).alias("_first"))
+    ready = _with_carry(s, carry, g).repartition("_run").sortWithinPartitions("_run", "_mid")
+    keep = [c for c in df.columns if c != out_col] + (["_pid", "_mid"] if keep_place else [])
+    ready = ready.select("_run", "_step", "_first", *keep)
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, at = None, start
         for b in batches:
             before = []
-            for r, t, first in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for r, t, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if r != run:
                     run, at = r, first
                 before.append(at)
                 at = t[at]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(before, pa.int32())], names=["_mid", "_state"])
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(before, pa.int32())], names=[*keep, out_col])
 
-    found = ready.mapInArrow(states, "_mid long, _state int")
-    return s.join(found, "_mid").withColumn(out_col, F.col("_state")).drop("_state", "_mid", "_pid", "_step")
+    schema = T.StructType([*ready.select(*keep).schema.fields, T.StructField(out_col, T.IntegerType())])
+    return ready.mapInArrow(states, schema)

@@ -12,7 +12,7 @@ after the last full write.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as K
@@ -36,11 +36,22 @@ def _with_payload(df: DataFrame) -> DataFrame:
     return df
 
 
+def _number(kind: str, field: str) -> Column:
+    """A payload text as a number: blank and unreadable texts are null."""
+    return F.nullif(F.col(field), F.lit("")).try_cast(kind)
+
+
+def _not_a(kind: str, field: str) -> Column:
+    return F.nullif(F.col(field), F.lit("")).isNotNull() & _number(kind, field).isNull()
+
+
 def clean_vendor_changes(changes: DataFrame, staff: DataFrame) -> DataFrame:
     """Normalise and validate vendor registry requests.
 
     Adds vendor_id (lower+trim), email (lower+trim), wa (digits only) and
-    `reason` (null = valid), checked in the order the call checks them."""
+    `reason` (null = valid), checked in the order the call checks them; a
+    rating or review count that is no number fails its own request last, where
+    the call would have stored it."""
     admins = (staff.filter(F.col("role") == "admin").select(F.lower(F.col("email")).alias("email"))
               .distinct().withColumn("_admin", F.lit(True)))
     c = (_with_payload(changes).withColumn("vendor_id", F.lower(F.btrim(F.coalesce(F.col("id"), F.lit("")))))
@@ -55,7 +66,8 @@ def clean_vendor_changes(changes: DataFrame, staff: DataFrame) -> DataFrame:
                .when(~F.col("email").rlike(EMAIL_RE), F.lit("invalid_email"))
                .when(~F.col("wa").rlike(WHATSAPP_RE), F.lit("invalid_whatsapp"))
                .when(K.blank_to_null(F.coalesce(F.col("name"), F.lit(""))).isNull(), F.lit("name_required"))
-               .when(F.col("_admin").isNotNull(), F.lit("admin_email")))
+               .when(F.col("_admin").isNotNull(), F.lit("admin_email"))
+               .when(_not_a("decimal(3,1)", "rating") | _not_a("int", "review_count"), F.lit("invalid_number")))
     return c.withColumn("reason", reason).drop("_admin")
 
 
@@ -97,9 +109,9 @@ def merge_vendors(vendors: DataFrame, accepted: DataFrame) -> DataFrame:
                      F.when(up, F.btrim(F.col("_c.name"))).otherwise(F.col("name")).alias("name"),
                      *[text(f) for f in VENDOR_TEXTS],
                      F.when(up, F.col("_c.wa")).otherwise(F.col("whatsapp")).alias("whatsapp"),
-                     F.when(up, F.coalesce(F.nullif(F.col("_c.rating"), F.lit("")).cast("decimal(3,1)"), F.lit(5)))
+                     F.when(up, F.coalesce(_number("decimal(3,1)", "_c.rating"), F.lit(5)))
                       .otherwise(F.col("rating")).cast("decimal(3,1)").alias("rating"),
-                     F.when(up, F.coalesce(F.nullif(F.col("_c.review_count"), F.lit("")).cast("int"), F.lit(0)))
+                     F.when(up, F.coalesce(_number("int", "_c.review_count"), F.lit(0)))
                       .otherwise(F.col("review_count")).cast("int").alias("review_count"),
                      F.when(up, F.coalesce("_c.categories", F.array().cast("array<string>")))
                       .otherwise(F.col("categories")).alias("categories"),

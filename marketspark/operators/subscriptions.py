@@ -6,12 +6,11 @@ the payment and management calls would have run them one by one. An event that
 the log holds more than once, in all its columns, was delivered again: it
 counts once.
 
-* Acceptance of each event is decided with joins and aggregates (first trial
-  per vendor, events before it, day range of grants), but for the launch-rate
-  cap: whether a launch payment is accepted depends on how many earlier ones
-  were, and on refunds, which give a slot back. Each of these events moves the
-  number of used slots (0 .. LAUNCH_LIMIT); `ranking.transition_scan` composes
-  the moves, split over range partitions.
+* Whether an event is accepted depends on a small state of its vendor: is
+  there a subscription yet, and how many launch-rate slots are in use, which
+  in turn depends on which payments were accepted before and on refunds. Each
+  event moves that state; `ranking.transition_scan` composes the moves, split
+  over range partitions.
 * The access end date is the fold end = max(end, t) + d over accepted
   trial / payment / grant events: a segmented prefix scan
   (`ranking.extend_scan`), no per-vendor task.
@@ -24,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .ranking import extend_scan, rank_within, transition_scan
 
 # ---- fixed values: plans, prices (naira), lengths (days) -------------------
@@ -57,48 +57,53 @@ def plan_pricing(spark) -> DataFrame:
 KINDS = ("trial", "pay", "grant", "suspend", "resume", "cancel", "refund")
 
 
-def _with_launch_slots(ev: DataFrame) -> DataFrame:
-    """Adds `_slots`: the launch-rate slots in use before each launch payment
-    or refund that follows the vendor's first trial (null for other events).
-    A payment takes a free slot, a refund frees the last one taken."""
-    moves = F.coalesce((F.col("plan") == "launch") & F.col("kind").isin("pay", "refund") & (F.col("_o") > F.col("_t0")), F.lit(False))
-    used = range(LAUNCH_LIMIT + 1)
-    step = (F.when(F.col("kind") == "pay", F.array(*[F.lit(min(c + 1, LAUNCH_LIMIT)) for c in used]))
-             .otherwise(F.array(*[F.lit(max(c - 1, 0)) for c in used])))
-    scanned = transition_scan(ev.filter(moves), ["vendor_id"], ["ts", "seq"], step, LAUNCH_LIMIT + 1, 0, "_slots")
-    return scanned.unionByName(ev.filter(~moves).withColumn("_slots", F.lit(None).cast("int")))
+def _moves() -> Column:
+    """How an event moves a vendor's state: 0 is no subscription, 1 + c is
+    one with c launch-rate slots in use. The first trial creates the
+    subscription, a launch payment takes a free slot, a refund of the launch
+    plan frees the last one taken; nothing else moves the state."""
+    states = range(LAUNCH_LIMIT + 2)
+    table = lambda f: F.array(*[F.lit(f(s)) for s in states])
+    launch = F.col("plan") == "launch"
+    return (F.when(F.col("kind") == "trial", table(lambda s: max(s, 1)))
+             .when((F.col("kind") == "pay") & launch, table(lambda s: s and min(s + 1, LAUNCH_LIMIT + 1)))
+             .when((F.col("kind") == "refund") & launch, table(lambda s: s and max(s - 1, 1)))
+             .otherwise(table(lambda s: s)))
+
+
+def _by_plan(values: dict) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("plan"))
 
 
 def classify_events(events: DataFrame) -> DataFrame:
     """Accept or reject each event; adds accepted, reason, d_days, amount.
-    A refund names a plan: it gives back a launch-rate slot, if one is in use;
-    refunds of other plans are noted and change nothing here."""
-    spark = events.sparkSession
-    ev = events.distinct().withColumn("_o", F.struct("ts", "seq"))
-    # first trial per vendor: one row per vendor, partial-aggregated
-    first_trial = (ev.filter(F.col("kind") == "trial").groupBy("vendor_id")
-                     .agg(F.min("_o").alias("_t0")))
-    ev = _with_launch_slots(ev.join(first_trial, "vendor_id", "left"))
-    price = F.broadcast(plan_pricing(spark)).withColumnRenamed("days", "_plan_days")
-    ev = ev.join(price, "plan", "left")
+
+    A refund names a plan: it gives back a launch-rate slot, if one is in
+    use; refunds of other plans are noted and change nothing here. The result
+    is cut off its lineage, as several tables are derived from it, and keeps
+    the rows' places in the ledger's order (_pid, _mid) for their scans."""
+    placed = transition_scan(events.distinct(), ["vendor_id"], ["ts", "seq"], _moves(), LAUNCH_LIMIT + 2, 0, "_at", keep_place=True)
     kind = F.col("kind")
+    known = F.coalesce(F.col("plan").isin(*PLAN_PRICES), F.lit(False))
     reason = (F.when(kind.isNull() | ~kind.isin(*KINDS), F.lit("invalid_action"))
-               .when((kind == "trial") & (F.col("_o") == F.col("_t0")), F.lit(None))
-               .when(kind == "trial", F.lit("subscription_exists"))
-               .when(F.col("_t0").isNull() | (F.col("_o") < F.col("_t0")), F.lit("subscription_not_found"))
-               .when(kind.isin("pay", "refund") & F.col("amount").isNull(), F.lit("invalid_plan"))
-               .when((kind == "pay") & (F.col("_slots") >= LAUNCH_LIMIT), F.lit("launch_limit_reached"))
-               .when((kind == "refund") & (F.col("_slots") == 0), F.lit("nothing_to_refund"))
+               .when((kind == "trial") & (F.col("_at") > 0), F.lit("subscription_exists"))
+               .when(kind == "trial", F.lit(None))
+               .when(F.col("_at") == 0, F.lit("subscription_not_found"))
+               .when(kind.isin("pay", "refund") & ~known, F.lit("invalid_plan"))
+               .when((kind == "pay") & (F.col("plan") == "launch") & (F.col("_at") > LAUNCH_LIMIT), F.lit("launch_limit_reached"))
+               .when((kind == "refund") & (F.col("plan") == "launch") & (F.col("_at") == 1), F.lit("nothing_to_refund"))
                .when((kind == "grant") & (F.col("days").isNull() | ~F.col("days").between(GRANT_MIN_DAYS, GRANT_MAX_DAYS)),
                      F.lit("invalid_days")))
     d_days = (F.when(kind == "trial", F.lit(TRIAL_DAYS))
-               .when(kind == "pay", F.col("_plan_days"))
+               .when(kind == "pay", _by_plan(PLAN_DAYS))
                .when(kind == "grant", F.col("days")))
-    return (ev.withColumn("reason", reason)
-              .withColumn("accepted", F.col("reason").isNull())
-              .withColumn("d_days", F.when(F.col("reason").isNull(), d_days))
-              .withColumn("amount", F.when((kind == "pay") & F.col("reason").isNull(), F.col("amount")))
-              .drop("_o", "_t0", "_slots", "_plan_days"))
+    ok = F.col("reason").isNull()
+    out = (placed.withColumn("reason", reason).withColumn("accepted", ok)
+           .withColumn("d_days", F.when(ok, d_days))
+           .withColumn("amount", F.when((kind == "pay") & ok, _by_plan(PLAN_PRICES).cast("decimal(12,2)")))
+           .drop("_at"))
+    ensure_checkpoint_dir(events.sparkSession)
+    return out.checkpoint(eager=True)
 
 
 def renewal_periods(classified: DataFrame) -> DataFrame:
@@ -107,7 +112,7 @@ def renewal_periods(classified: DataFrame) -> DataFrame:
     period_start = end - d (for payments: greatest(previous end, ts))."""
     ext = classified.filter(F.col("accepted") & F.col("d_days").isNotNull())
     ext = ext.withColumn("_t", _us(F.col("ts"))).withColumn("_dus", F.col("d_days").cast("long") * DAY_US)
-    sc = extend_scan(ext, ["vendor_id"], ["ts", "seq"], "_t", "_dus", "_end")
+    sc = extend_scan(ext, ["vendor_id"], ["ts", "seq"], "_t", "_dus", "_end", placed=True)
     return (sc.withColumn("period_end", _ts(F.col("_end")))
               .withColumn("period_start", _ts(F.col("_end") - F.col("_dus")))
               .drop("_t", "_dus", "_end"))
@@ -167,11 +172,11 @@ def live_intervals(classified: DataFrame) -> DataFrame:
     revive a cancelled subscription. All of it is one `extend_scan`."""
     acc = classified.filter(F.col("accepted") & (F.col("kind") != "refund"))
     acc = acc.withColumn("_t", _us(F.col("ts"))).withColumn("_dus", F.col("d_days").cast("long") * DAY_US)
-    acc = acc.select("vendor_id", "ts", "seq", "kind", "_t", "_dus", F.col("_t").alias("_next"))
+    acc = acc.select("vendor_id", "ts", "seq", "kind", "_pid", "_mid", "_t", "_dus", F.col("_t").alias("_next"))
     grant = F.col("kind") == "grant"
     sc = extend_scan(acc, ["vendor_id"], ["ts", "seq"], "_t", "_dus", "_end",
                      last={"_mode": F.when(~grant, F.struct("ts", "seq", "kind")), "_grant": F.when(grant, F.struct("ts", "seq"))},
-                     following={"_next": "_t"})
+                     following={"_next": "_t"}, placed=True)
     set_at = F.struct(F.col("_mode.ts").alias("ts"), F.col("_mode.seq").alias("seq"))
     live = F.col("_mode.kind").isin("trial", "pay", "resume") | ((F.col("_mode.kind") == "cancel") & F.coalesce(F.col("_grant") > set_at, F.lit(False)))
     until = F.least(F.col("_end"), F.coalesce(F.col("_next"), F.col("_end")))

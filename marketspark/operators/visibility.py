@@ -4,21 +4,18 @@ A viewer is (role, user_id, vendor_id); roles: anon, authenticated,
 vendor, admin. F1-F7 take one viewer as literals (the policy of one
 request). F8 evaluates every policy for a whole table of viewers at
 once: each OR-branch of a policy becomes an equi-join with a
-pre-aggregated count (or a one-row total keyed by a constant), so the
-job is linear in viewers + facts and never pairs viewers with rows.
+pre-aggregated count (the order tables' from one grouping-sets pass), so
+the job is linear in viewers + facts and never pairs viewers with rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import carry_last
-
 LIVE = ("trial", "active")
-ALL_KEY = "\u0000all"   # reserved group key: cannot be a user id
 
 
 @dataclass(frozen=True)
@@ -63,20 +60,35 @@ def visible_products(products: DataFrame, subscriptions: DataFrame, viewer: View
     return j.filter(own | F.col("_live").isNotNull()).drop("_live")
 
 
-def live_at(rows: DataFrame, intervals: DataFrame, vendor_col: str, at_col: str) -> DataFrame:
+def live_at(rows: DataFrame, intervals: DataFrame, vendor_col: str, at_col: str, times: DataFrame | None = None) -> DataFrame:
     """Adds `live`: whether the row's vendor had a live subscription at the
     row's own time. `intervals` are disjoint (`subscriptions.live_intervals`).
 
-    An as-of join without pairing rows and intervals: both are sorted into
-    one sequence per vendor, where an interval's start comes before rows of
-    the same time, and every row takes the last start before it. A hot
-    vendor's sequence spans many range partitions (`ranking.carry_last`)."""
-    starts = intervals.select(F.col("vendor_id").alias(vendor_col), F.col("live_from").alias(at_col),
-                              F.col("live_to").alias("_until"), F.lit(0).alias("_side"))
-    both = rows.withColumns({"_until": F.lit(None).cast("timestamp_ntz"), "_side": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
-    found = carry_last(both, [vendor_col], [at_col, "_side"], {"_open": F.col("_until")})
-    live = F.coalesce(F.col(at_col) < F.col("_open"), F.lit(False))
-    return found.filter(F.col("_side") == 1).withColumn("live", live).drop("_until", "_side", "_open")
+    Intervals are cut at midnight, over the span of the rows' times only, and
+    meet the rows by an equi-join on (vendor, day), never by time alone: a
+    hot vendor's rows spread over its days, AQE splits a skewed day further,
+    and touching intervals of a vendor's day are one, so a row meets as many
+    as the vendor went live that day. At most one of them holds it. `times` is
+    a cheaper table with the same span of at_col than rows."""
+    at = F.col(at_col)
+    span = (rows if times is None else times).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    spans = intervals.filter((F.col("live_to") > lo) & (F.col("live_from") <= hi))
+    day0, day1 = F.to_date(F.greatest("live_from", lo)), F.to_date(F.least("live_to", hi))
+    cut = spans.withColumn("_day", F.explode(F.sequence(day0, day1)))
+    start = F.col("_day").cast("timestamp_ntz")
+    end = F.date_add("_day", 1).cast("timestamp_ntz")
+    cut = cut.select("vendor_id", "_day", F.greatest("live_from", start).alias("_from"), F.least("live_to", end).alias("_to"))
+    own = Window.partitionBy("vendor_id", "_day").orderBy("_from")
+    part = F.sum(F.when(F.lag("_to").over(own) == F.col("_from"), 0).otherwise(1)).over(own)
+    cut = (cut.filter(F.col("_to") > F.col("_from")).withColumn("_part", part)
+           .groupBy("vendor_id", "_day", "_part").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+           .groupBy("vendor_id", "_day").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans")))
+    keyed = rows.withColumn("_day", F.to_date(at))
+    cut = cut.withColumnsRenamed({"vendor_id": "_vendor", "_day": "_on"})
+    found = keyed.join(cut, (F.col(vendor_col) == F.col("_vendor")) & (F.col("_day") == F.col("_on")), "left")
+    live = F.exists("_spans", lambda s: (s["_from"] <= at) & (at < s["_to"]))
+    return found.withColumn("live", F.coalesce(live, F.lit(False))).drop("_day", "_vendor", "_on", "_spans")
 
 
 def visible_orders(orders: DataFrame, viewer: Viewer) -> DataFrame:
@@ -136,10 +148,45 @@ def _total(df: DataFrame, cond: Column | None = None) -> Column:
     return x.agg(F.count(F.lit(1))).scalar()
 
 
-def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFrame, orders: DataFrame,
+def order_counts(vendor_orders: DataFrame) -> DataFrame:
+    """Orders and vendor orders by user, by vendor, by both and over all, from
+    one pass over (request_id, user_id, vendor_id) rows, one per vendor order:
+    (level, user_id, vendor_id, n_orders, n_vendor_orders), level being the
+    grouping id: 0 both, 1 the user, 2 the vendor, 3 all."""
+    per_request = vendor_orders.groupBy("request_id", "user_id").agg(F.collect_set("vendor_id").alias("_vendors"))
+    rows = per_request.select("user_id", F.posexplode("_vendors").alias("_place", "vendor_id"))
+    u, v = F.col("user_id"), F.col("vendor_id")
+    return (rows.groupingSets([[u, v], [u], [v], []], u, v)
+            .agg(F.grouping_id().cast("int").alias("level"), F.count(F.when(F.col("_place") == 0, 1)).alias("n_orders"),
+                 F.count(F.lit(1)).alias("n_vendor_orders")))
+
+
+def _orders_of_viewers(viewers: DataFrame, vendor_orders: DataFrame) -> DataFrame:
+    """(viewer_id, _orders, _vendor_orders): each viewer asks for the counts
+    its policy adds up - all for admins, else its user's, and for a vendor's
+    staff the vendor's without those counted twice."""
+    def ask(level, own_orders, own_vendor_orders):
+        return F.struct(F.lit(level).alias("level"), F.lit(own_orders).alias("a"), F.lit(own_vendor_orders).alias("b"))
+    role = F.col("role")
+    asked = (F.when(role == "admin", F.array(ask(3, 1, 1)))
+              .when(role == "anon", F.array().cast("array<struct<level:int,a:int,b:int>>"))
+              .when(role == "vendor", F.array(ask(1, 1, 1), ask(2, 0, 1), ask(0, 0, -1)))
+              .otherwise(F.array(ask(1, 1, 1))))
+    keys = (viewers.select("viewer_id", "user_id", "vendor_id", F.inline(asked))
+            .withColumn("_u", F.when(F.col("level") < 2, F.col("user_id")))
+            .withColumn("_v", F.when(F.col("level").isin(0, 2), F.col("vendor_id"))))
+    n = order_counts(vendor_orders).withColumnsRenamed({"level": "_level", "user_id": "_user", "vendor_id": "_vendor"})
+    met = keys.join(n, (F.col("level") == F.col("_level")) & F.col("_u").eqNullSafe(F.col("_user")) & F.col("_v").eqNullSafe(F.col("_vendor")))
+    return met.groupBy("viewer_id").agg(F.sum(F.col("a") * F.col("n_orders")).alias("_orders"),
+                                        F.sum(F.col("b") * F.col("n_vendor_orders")).alias("_vendor_orders"))
+
+
+def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFrame,
                       vendor_orders: DataFrame, promotions: DataFrame, subscriptions: DataFrame,
                       payments: DataFrame, at) -> DataFrame:
-    """F8: rows each viewer may read in every table."""
+    """F8: rows each viewer (one row per viewer_id) may read in every table.
+    `vendor_orders` needs request_id, user_id and vendor_id only: an order is
+    a request with vendor orders."""
     a = _at(at)
     live_ids = live_vendor_ids(subscriptions, at)
     live_flag = live_ids.select("vendor_id", F.lit(True).alias("_live"))
@@ -147,8 +194,7 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
     authd = F.col("role") != "anon"
     live_sub = F.col("status").isin(*LIVE) & (F.col("access_ends_at") > a)
 
-    # whole-table totals for admins: scalar subqueries over the cheap inputs;
-    # the order totals ride along in the per-user counts below
+    # whole-table totals for admins: scalar subqueries over the cheap inputs
     v = viewers.select("viewer_id", "role", "user_id", "vendor_id").select(
         "*",
         _total(vendors).alias("t_vendors"),
@@ -170,26 +216,12 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
     own_subs = (subscriptions.withColumn("_is_live", F.col("status").isin(*LIVE) & (F.col("access_ends_at") > a))
                 .groupBy("vendor_id").agg(F.count(F.when(~F.col("_is_live"), 1)).alias("_own_dead_subs")))
     own_pay = payments.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("_own_payments"))
-    vo_vendor = vendor_orders.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("_vo_vendor"))
-    # every order counts for its user and for the reserved ALL key, so the
-    # admin total is one more group of the same aggregate (pre-combined
-    # map-side) and admins join on it by a computed key: no cross join
-    def by_user_and_all(df: DataFrame, name: str) -> DataFrame:
-        keys = df.select(F.explode(F.array(F.col("user_id"), F.lit(ALL_KEY))).alias("_uk"))
-        return keys.groupBy("_uk").agg(F.count(F.lit(1)).alias(name))
-    by_user = by_user_and_all(orders, "_o_user")
-    vo_user = by_user_and_all(vendor_orders, "_vo_user")
-    vo_both = vendor_orders.groupBy("user_id", "vendor_id").agg(F.count(F.lit(1)).alias("_vo_both"))
 
     v = (v.join(own_vendor, "vendor_id", "left").join(own_products, "vendor_id", "left")
           .join(own_subs, "vendor_id", "left").join(own_pay, "vendor_id", "left")
-          .join(vo_vendor, "vendor_id", "left")
-          .withColumn("_uk", F.when(is_admin, F.lit(ALL_KEY)).otherwise(F.col("user_id")))
-          .join(by_user, "_uk", "left").join(vo_user, "_uk", "left")
-          .join(vo_both, ["user_id", "vendor_id"], "left"))
+          .join(_orders_of_viewers(viewers, vendor_orders), "viewer_id", "left"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     own_not_live = F.col("_own_exists").isNotNull() & F.col("_own_live").isNull()
-    is_vendor = F.col("role") == "vendor"
     return v.select(
         "viewer_id", "role",
         F.when(is_admin, F.col("t_vendors"))
@@ -197,10 +229,8 @@ def visibility_counts(viewers: DataFrame, vendors: DataFrame, products: DataFram
         F.when(is_admin, F.col("t_products"))
          .otherwise(F.col("t_live_products") + F.when(own_not_live, z("_own_products")).otherwise(0))
          .cast("bigint").alias("n_products"),
-        F.when(~authd, 0).otherwise(z("_o_user")).cast("bigint").alias("n_orders"),
-        F.when(~authd, 0).when(is_admin, z("_vo_user"))
-         .when(is_vendor, z("_vo_user") + z("_vo_vendor") - z("_vo_both"))
-         .otherwise(z("_vo_user")).cast("bigint").alias("n_vendor_orders"),
+        z("_orders").cast("bigint").alias("n_orders"),
+        z("_vendor_orders").cast("bigint").alias("n_vendor_orders"),
         F.when(is_admin, F.col("t_promotions")).otherwise(F.col("t_live_promotions")).cast("bigint")
          .alias("n_promotions"),
         F.when(is_admin, F.col("t_subs")).otherwise(F.col("t_live_subs") + z("_own_dead_subs")).cast("bigint")

@@ -23,8 +23,8 @@ SELECT CASE WHEN event_id % 17 = 0 THEN ' V_' || (user_id % 60) || '! '
                    '#s' || (event_id % 9) AS secondary_color, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'g' END AS gradient,
                    'c' || (event_id % 3) AS card_gradient, '#a' AS accent_color,
                    CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'b' || event_id END AS banner_image,
-                   CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '4.5' END AS rating,
-                   CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '17' END AS review_count,
+                   CASE WHEN event_id % 31 = 7 THEN 'abc' WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 2 THEN '4.5' END AS rating,
+                   CASE WHEN event_id % 37 = 5 THEN '1x' WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 > 1 THEN '17' END AS review_count,
                    CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' own' || event_id || '.html ' END AS page,
                    CASE WHEN event_id % 2 = 0 THEN NULL ELSE ['C' || (event_id % 4), 'Home'] END AS categories
 FROM events"""
@@ -55,6 +55,8 @@ SELECT c.* EXCLUDE (id, email_raw, whatsapp),
        WHEN NOT regexp_full_match(wa, '[0-9]{10,15}') THEN 'invalid_whatsapp'
        WHEN nullif(trim(coalesce(c.name, '')), '') IS NULL THEN 'name_required'
        WHEN email IN (SELECT lower(email) FROM mk_staff WHERE role = 'admin') THEN 'admin_email'
+       WHEN (nullif(rating, '') IS NOT NULL AND TRY_CAST(rating AS DECIMAL(3,1)) IS NULL)
+         OR (nullif(review_count, '') IS NOT NULL AND TRY_CAST(review_count AS INTEGER) IS NULL) THEN 'invalid_number'
   END AS reason
 FROM (SELECT * RENAME (email AS email_raw), lower(trim(coalesce(id, ''))) AS vendor_id, lower(trim(coalesce(email, ''))) AS email,
              regexp_replace(coalesce(whatsapp, ''), '[^0-9]', '', 'g') AS wa
@@ -95,8 +97,8 @@ SELECT coalesce(v.id, l.vendor_id) AS vendor_id,
        CASE WHEN l.op = 'upsert' THEN trim(l.name) ELSE v.name END AS name,
        {"".join(f"CASE WHEN l.op = 'upsert' THEN nullif(trim(coalesce(l.{c}, '')), '') ELSE v.{c} END AS {c}, " for c in _TEXTS)}
        CASE WHEN l.op = 'upsert' THEN l.wa ELSE v.whatsapp END AS whatsapp,
-       CASE WHEN l.op = 'upsert' THEN coalesce(CAST(nullif(l.rating, '') AS DECIMAL(3,1)), 5) ELSE v.rating END AS rating,
-       CAST(CASE WHEN l.op = 'upsert' THEN coalesce(CAST(nullif(l.review_count, '') AS INTEGER), 0) ELSE v.review_count END AS INTEGER)
+       CASE WHEN l.op = 'upsert' THEN coalesce(TRY_CAST(nullif(l.rating, '') AS DECIMAL(3,1)), 5) ELSE v.rating END AS rating,
+       CAST(CASE WHEN l.op = 'upsert' THEN coalesce(TRY_CAST(nullif(l.review_count, '') AS INTEGER), 0) ELSE v.review_count END AS INTEGER)
          AS review_count,
        array_to_string(CASE WHEN l.op = 'upsert' THEN coalesce(l.categories, []) ELSE v.categories END, '|') AS categories,
        CASE WHEN l.op = 'upsert' THEN coalesce(nullif(trim(coalesce(l.page, '')), ''), 'store.html?vendor=' || l.vendor_id)

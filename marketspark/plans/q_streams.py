@@ -19,8 +19,9 @@ from .queries import query
 def q_stream_order_intake(t):
     """M1: vendor orders from the request stream (twin: split_by_vendor)."""
     products = L.normalize_products(t.products())
-    base = M.replay_to_sink(t.order_requests(), "intake", "requested_at", lambda s: M.stream_order_intake(s, products),
-                            "append", M.intake_batch(products, live(t)))
+    spans = live(t).persist()
+    base = M.replay_to_sink(t.order_requests(), "intake", "requested_at", M.stream_order_intake, "append", M.intake_batch(products, spans))
+    spans.unpersist()
     return M.read_all(t.spark, f"{base}/sink", "id string")
 
 

@@ -73,12 +73,12 @@ def q_visible_payments(t):
 @query("visibility_counts")
 def q_visibility_counts(t):
     """F8: rows every viewer may read in every table, at AT."""
-    it = intake(t)
     c = H.classify_events(t.subscription_events())
     periods = H.renewal_periods(c)
+    it = O.intake(t.order_requests(), L.normalize_products(t.products()), H.live_intervals(c))
     return V.visibility_counts(t.viewers(), L.normalize_vendors(t.vendors()), L.normalize_products(t.products()),
-                               it.orders(), it.vendor_orders(), t.promotions(), H.subscription_state(c, periods),
-                               periods.filter(F.col("kind") == "pay"), AT)
+                               it.lines.select("request_id", "user_id", F.col("vendor").alias("vendor_id")), t.promotions(),
+                               H.subscription_state(c, periods), periods.filter(F.col("kind") == "pay"), AT)
 
 
 @query("check_changes")

@@ -339,8 +339,8 @@ class TestTables:
                    '#s' || (event_id % 9) AS secondary_color, CASE WHEN event_id % 7 = 0 THEN ' ' ELSE 'g' END AS gradient,
                    'c' || (event_id % 3) AS card_gradient, '#a' AS accent_color,
                    CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'b' || event_id END AS banner_image,
-                   CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '4.5' END AS rating,
-                   CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE '17' END AS review_count,
+                   CASE WHEN event_id % 31 = 7 THEN 'abc' WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 2 THEN '4.5' END AS rating,
+                   CASE WHEN event_id % 37 = 5 THEN '1x' WHEN event_id % 4 = 0 THEN '' WHEN event_id % 4 > 1 THEN '17' END AS review_count,
                    CASE event_id % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE ' own' || event_id || '.html ' END AS page,
                    CASE WHEN event_id % 2 = 0 THEN NULL ELSE array('C' || (event_id % 4), 'Home') END AS categories,
                    CASE WHEN event_id % 2 = 0 THEN '  ' ELSE 'tag ' || event_id END AS tagline

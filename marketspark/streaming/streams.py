@@ -18,13 +18,16 @@ live in the query's checkpoint location, also under spark.checkpoint.dir.
 
 from __future__ import annotations
 
+import datetime as dt
 import decimal
+import inspect
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,13 +41,40 @@ from ..session import scratch_path, ship_package
 Batch = DataFrame | dict[str, DataFrame]
 
 
+@dataclass
+class Past:
+    """What earlier micro-batches of a job wrote: a replayed batch sees the
+    same past, as its own folder does not belong to it."""
+    spark: SparkSession
+    base: str
+    batch_id: int
+    held: list[DataFrame] = field(default_factory=list)
+
+    def table(self, name: str, schema: str) -> DataFrame:
+        path = f"{self.base}/{name}"
+        if not folder_exists(self.spark, path):
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(f"{schema}, batch_id long").option("basePath", path).parquet(path)
+        return read.filter(F.col("batch_id") < self.batch_id).drop("batch_id")
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Keep df until the batch's tables are written."""
+        self.held.append(df.persist())
+        return df
+
+
 def folder_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _sink_writer(base: str, transform: Callable[[DataFrame], Batch] | None = None):
+Transform = Callable[[DataFrame], Batch] | Callable[[DataFrame, Past], Batch]
+
+
+def _sink_writer(base: str, transform: Transform | None = None):
+    """Write a micro-batch's tables. A transform of two arguments also gets
+    the job's Past."""
     def write(batch: DataFrame, batch_id: int) -> None:
         def put(table: str, df: DataFrame) -> None:
             df.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
@@ -53,18 +83,20 @@ def _sink_writer(base: str, transform: Callable[[DataFrame], Batch] | None = Non
         if transform is None:
             put("sink", batch)
             return
-        batch = batch.persist()       # several tables are written from one evaluation
+        past = Past(batch.sparkSession, base, batch_id)
+        past.hold(batch)              # several tables are written from one evaluation
         try:
-            out = transform(batch)
+            out = transform(batch, past) if len(inspect.signature(transform).parameters) > 1 else transform(batch)
             for table, df in (out if isinstance(out, dict) else {"sink": out}).items():
                 put(table, df)
         finally:
-            batch.unpersist()
+            for df in past.held:
+                df.unpersist()
     return write
 
 
 def run_to_sink(stream: DataFrame, base: str, output_mode: str = "append",
-                transform: Callable[[DataFrame], Batch] | None = None) -> None:
+                transform: Transform | None = None) -> None:
     """Run `stream` on what its source holds that is new (availableNow)."""
     q = (stream.writeStream.outputMode(output_mode)
          .option("checkpointLocation", f"{base}/_checkpoint")
@@ -74,7 +106,7 @@ def run_to_sink(stream: DataFrame, base: str, output_mode: str = "append",
 
 
 def replay_to_sink(df: DataFrame, name: str, ts_col: str, build: Callable[[DataFrame], DataFrame],
-                   output_mode: str = "append", transform: Callable[[DataFrame], Batch] | None = None,
+                   output_mode: str = "append", transform: Transform | None = None,
                    n_batches: int = 4) -> str:
     """Feed df to the job `build(stream)` in n time-ordered file sets and
     return the folder of its tables. The table is scanned once."""
@@ -114,23 +146,53 @@ def read_all(spark: SparkSession, sink: str, schema: str) -> DataFrame:
 # ---- M1: order intake -------------------------------------------------------
 
 
-def stream_order_intake(requests: DataFrame, products: DataFrame, watermark: str = "30 days") -> DataFrame:
-    """M1: requests stream -> de-duplicated by request_id within the
-    watermark -> the batch intake on every micro-batch (foreachBatch).
-    Returns the streaming DataFrame to pass to `run_to_sink` with
-    `intake_batch(products)` as transform, which also writes the rejected
-    requests with their reasons."""
-    # watermarks need TIMESTAMP (not NTZ): a derived event-time column
-    return (requests.withColumn("_event_time", F.col("requested_at").cast("timestamp"))
-                    .withWatermark("_event_time", watermark)
-                    .dropDuplicatesWithinWatermark(["request_id"])
-                    .drop("_event_time"))
-
-
-def intake_batch(products: DataFrame, live: DataFrame | None = None) -> Callable[[DataFrame], Batch]:
-    def f(batch: DataFrame) -> Batch:
-        it = O.intake(batch, products, live)
-        return {"sink": it.vendor_orders(), "rejected": it.rejected()}
+SEEN = "request_id string, requested_at timestamp_ntz, _batch long"
+KEEP_DAYS = 30
+
+
+def stream_order_intake(requests: DataFrame) -> DataFrame:
+    """M1: the request stream, to be passed to `run_to_sink` with
+    `intake_batch(...)` as transform. De-duplication is done there and not by
+    dropDuplicatesWithinWatermark, which drops what arrives behind its
+    watermark: here every request ends up in a table."""
+    return requests
+
+
+def intake_batch(products: DataFrame, live: DataFrame | None = None, keep_days: int = KEEP_DAYS) -> Callable[[DataFrame, Past], Batch]:
+    """M1 per micro-batch: the batch intake over requests not seen before.
+
+    Tables: `sink` (vendor orders), `rejected` (with the reason), `repeated`
+    (a request_id that came before, or twice in this batch: retried calls),
+    `late` (dated over keep_days behind the newest request of earlier
+    batches: whether it came before is no longer known, so it is set aside
+    whole, not placed), and `seen`, the job's memory: id and time of each
+    request taken. A request without a time counts as new, never as late.
+
+    A batch reads the part of `seen` not older than its horizon, which prunes
+    the Parquet scan by time; the newest time of earlier batches comes from
+    the same table's file statistics. The screened requests and their lines
+    are computed once and held while the tables are written from them."""
+    def f(batch: DataFrame, past: Past) -> Batch:
+        seen = past.table("seen", SEEN).drop("_batch")
+        newest = seen.agg(F.max("requested_at")).first()[0]
+        horizon = None if newest is None else newest - dt.timedelta(days=keep_days)
+        at = F.col("requested_at")
+        is_late = F.lit(False) if horizon is None else F.coalesce(at < F.lit(horizon), F.lit(False))
+        marked = batch.withColumn("_late", is_late)
+        on_time = marked.filter(~F.col("_late")).drop("_late")
+        known = seen.select("request_id", "requested_at") if horizon is None else seen.filter(at.isNull() | (at >= F.lit(horizon)))
+        known = known.select("request_id").distinct().withColumn("_known", F.lit(True))
+        # of equal ids in one batch the first by time is taken; the hash orders rows of the same time
+        order = Window.partitionBy("request_id").orderBy(at.asc_nulls_first(), F.xxhash64(*batch.columns))
+        split = past.hold(on_time.withColumn("_nth", F.row_number().over(order)).join(known, "request_id", "left"))
+        fresh_row = (F.col("_nth") == 1) & F.col("_known").isNull()
+        fresh = split.filter(fresh_row).drop("_nth", "_known")
+        screened = past.hold(O.screen_requests(fresh))
+        it = O.Intake(screened=screened, lines=past.hold(O.canonical_lines(screened, products, live)), requests=fresh)
+        return {"sink": it.vendor_orders(), "rejected": it.rejected(),
+                "repeated": split.filter(~fresh_row).drop("_nth", "_known"),
+                "late": marked.filter("_late").drop("_late"),
+                "seen": fresh.select("request_id", "requested_at")}
     return f
 
 

@@ -63,7 +63,7 @@ def test_intake_stream_drops_repeated_requests(spark):
     products = spark.createDataFrame([("p1", "v1", "Soap", Decimal("10.00"), True, None, None)],
                                      "id string, vendor string, name string, price decimal(18,2), "
                                      "in_stock boolean, image string, size string")
-    base = M.replay_to_sink(reqs, "dup", "requested_at", lambda s: M.stream_order_intake(s, products), "append",
+    base = M.replay_to_sink(reqs, "dup", "requested_at", M.stream_order_intake, "append",
                             M.intake_batch(products), n_batches=2)
     got = sorted((r["request_id"], r["subtotal"]) for r in M.read_all(spark, f"{base}/sink", "id string").collect())
     assert got == [("r1", Decimal("10.00")), ("r2", Decimal("20.00")), ("r3", Decimal("30.00"))]
@@ -119,3 +119,37 @@ def test_missing_sink_is_empty_but_other_errors_surface(spark):
     spark.range(3).selectExpr("cast(id as string) v").write.mode("overwrite").text(bad)
     with pytest.raises(Exception):
         M.read_all(spark, bad, "a int").count()
+
+
+def _requests(spark, rows):
+    return spark.createDataFrame(rows, "request_id string, user_id string, requested_at timestamp_ntz, customer_name string, "
+                                       "customer_phone string, customer_email string, customer_address string, items string")
+
+
+def test_every_request_of_the_stream_ends_up_in_a_table(spark):
+    """Late, repeated, rejected and placed requests: nothing vanishes, and a
+    batch run again after a failure writes the same."""
+    import datetime as dt
+    from decimal import Decimal
+    from marketspark.session import scratch_path
+    from marketspark.streaming import streams as M
+
+    t0 = dt.datetime(2024, 6, 1)
+    def req(i, days, pid="p1", user="u"):
+        return (i, user, None if days is None else t0 + dt.timedelta(days=days), "Ada", "0801", None, "St", f'[{{"id":"{pid}","qty":1}}]')
+    products = spark.createDataFrame([("p1", "v1", "Soap", Decimal("10.00"), True, None, None)],
+                                     "id string, vendor string, name string, price decimal(18,2), in_stock boolean, image string, size string")
+    src, base = scratch_path(spark, "m1-src"), scratch_path(spark, "m1-base")
+    batches = [[req("a", 0), req("b", 1), req("a", 0), req("n", None)],
+               [req("old", -150), req("b", 2), req("c", 3, "p9"), req("d", 4), req("n", 4)],
+               [req("b", 5), req("e", 40, user=None)], [req("f", 9), req("g", 41)]]
+    for rows in batches:
+        _requests(spark, rows).coalesce(1).write.mode("append").parquet(src)
+        M.run_to_sink(spark.readStream.schema(_requests(spark, []).schema).parquet(src), base, "append", M.intake_batch(products))
+    got = {t: sorted(r["request_id"] for r in spark.read.parquet(f"{base}/{t}").collect()) for t in ("sink", "rejected", "repeated", "late")}
+    assert got == {"sink": ["a", "b", "d", "g", "n"], "rejected": ["c", "e"], "repeated": ["a", "b", "b", "n"], "late": ["f", "old"]}
+    assert sum(map(len, got.values())) == sum(map(len, batches))
+    past = M.Past(spark, base, 1)
+    again = M.intake_batch(products)(_requests(spark, batches[1]), past)
+    assert sorted(r.request_id for r in again["sink"].collect()) == ["d"]
+    assert sorted(r.request_id for r in again["late"].collect()) == ["old"]
