@@ -4,8 +4,9 @@ Pages are grouped by host. A line's frequency is the number of the host's
 pages that hold it, divided by the host's pages; lines above a boilerplate
 ratio are dropped from the host's pages.
 
-A host needs ``min_pages`` pages before any of its lines can count as
-boilerplate, and a line must be on at least ``min_pages`` of them. Lines are
+The ratio decides; only below ``min_pages`` pages that hold a line there is
+nothing to tell boilerplate from a line used twice (on a host of five pages a
+line of one page would be above any ratio under a fifth). Lines are
 compared after normalising (lower-cased, white space collapsed, trimmed);
 the kept lines stay as they were. Blank lines are never boilerplate.
 
@@ -25,7 +26,7 @@ from .common import materialize
 from .lines import line_counts, line_key, lines_of, with_host_lines
 
 BOILERPLATE_RATIO = 0.1
-MIN_PAGES = 20
+MIN_PAGES = 3
 
 
 def boilerplate_lines(pages: DataFrame, *, ratio: float = BOILERPLATE_RATIO, min_pages: int = MIN_PAGES,

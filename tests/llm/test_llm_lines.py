@@ -1,5 +1,6 @@
 """Line dedup and quality rules against plain-Python counts."""
 
+import pytest
 import random
 import re
 
@@ -96,3 +97,11 @@ def test_quality_rejects_depleted_keeps_copies(spark):
     assert all(got[i].depleted and not got[i].kept and got[i].words_removed == 30 for i in range(60))
     assert all(got[i].kept and got[i].words_removed == 30 for i in range(60, 120))
     assert all(got[1000 + i].kept and got[1000 + i].words_removed == 0 for i in range(200))
+
+
+@pytest.mark.parametrize("pages,with_footer,gone", [(5, 5, True), (19, 19, True), (50, 15, True), (50, 5, False), (5, 3, True), (5, 2, False), (2, 2, False)])
+def test_small_hosts_lose_their_footer(spark, pages, with_footer, gone):
+    """The ratio decides from three pages on."""
+    rows = [doc(i, f"own line {i}\nanother {i}" + ("\nfooter of the site" if i < with_footer else "")) for i in range(pages)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(frame(spark, rows)).collect()}
+    assert got == {r[0]: r[1].replace("\nfooter of the site", "") if gone else r[1] for r in rows}
