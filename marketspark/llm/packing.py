@@ -35,6 +35,7 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 TASK_PIECES = 40_000       # pieces a packing task takes on average
 REPACK_GAP = 0.02          # sequences with a larger free share are packed again
+REPACK_GAIN = 0.001        # ... until a round saves a smaller share of their sequences
 SEED = 11
 REMEMBER_WORDS = 800_000   # words of a generation that a worker remembers (speed only)
 _SLICE_BYTES = 2_000_000   # text that is tokenised at once
@@ -260,6 +261,7 @@ def pack(piece_rows: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, task_
     done: list[DataFrame] = []
     n = todo.count()
     round_no = 0
+    used_before = None
     while True:
         tasks = max(1, -(-n // task_pieces))
         dealt = todo.withColumn("_pk_task", F.pmod(
@@ -274,9 +276,12 @@ def pack(piece_rows: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, task_
         left = todo.count()
         if left == 0:
             break
-        if left > 0.8 * n:          # the rest does not shrink any more: keep it as placed
+        # the rest is packed again, among other neighbours, as long as that saves sequences
+        used = placed.select("sequence_id").distinct().count()
+        if used_before is not None and used > (1 - REPACK_GAIN) * used_before:
             done.append(todo)
             break
+        used_before = todo.select("sequence_id").distinct().count()
         n, round_no = left, round_no + 1
     out = done[0]
     for d in done[1:]:
