@@ -15,6 +15,7 @@ columns pass through untouched; working columns are prefixed ``_mx_``.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,7 @@ WEIGHT_CYCLE = (3, 1, 2)   # weights of the sorted sources, repeating
 SHARE = 1.5                # the mix's size as a share of all sizes
 MAX_PASSES = 2             # no source gives more than this many times its size
 SEED = 20240607
-#: numpy's hypergeometric draw takes populations below this
+#: numpy's hypergeometric draw takes populations below this; larger ones are drawn by _hypergeometric
 _DRAW_LIMIT = 900_000_000
 
 
@@ -61,6 +62,62 @@ def water_fill(sizes: np.ndarray, weights: np.ndarray, total: float, cap: float)
     return target
 
 
+def _log_ways(good: int, bad: int, n: int, k: int) -> float:
+    """log of the number of ways to draw k of good and n - k of bad, but for
+    a constant."""
+    return -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(n - k + 1) + math.lgamma(bad - n + k + 1))
+
+
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good, for populations of
+    any size: ratio of uniforms around the mode, under a table mountain hat
+    whose width is the standard deviation times a constant (the hat of
+    Stadlober's ratio-of-uniforms method for unimodal counts)."""
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    total = good + bad
+    mean = n * good / total
+    var = mean * (bad / total) * ((total - n) / max(1, total - 1))
+    if var < 100:       # few of one kind: one draw after the other is exact and short enough
+        return _few(rng, good, bad, n)
+    top = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    peak = _log_ways(good, bad, n, top)
+    width = math.sqrt(8 / math.e * (var + 0.5)) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = rng.random(), rng.random()
+        if u == 0.0:
+            continue
+        k = math.floor(mean + 0.5 + width * (v - 0.5) / u)
+        if low <= k <= high and 2 * math.log(u) <= _log_ways(good, bad, n, k) - peak:
+            return k
+
+
+def _few(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A draw of small variance: the smallest of the four margins is drawn
+    one by one from what is left."""
+    total = good + bad
+    sides = {"good": good, "bad": bad, "drawn": n, "left": total - n}
+    side = min(sides, key=sides.get)
+    size, other = sides[side], (n if side in ("good", "bad") else good)
+    hit = 0
+    for i in range(size):       # i of the side are dealt, hit of them fell on the other side
+        hit += rng.random() * (total - i) < other - hit
+    return {"good": hit, "bad": n - hit, "drawn": hit, "left": good - hit}[side]
+
+
+def _split_counts(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """Counts per source among n draws without replacement."""
+    total = int(counts.sum())
+    if total < _DRAW_LIMIT:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    out = np.zeros_like(counts)
+    for i, c in enumerate(counts.tolist()):
+        out[i] = _hypergeometric(rng, c, total - c, n)
+        total, n = total - c, n - int(out[i])
+    return out
+
+
 def draw_shard(shard: int, shards: int, slots: np.ndarray, shard_slots: int, seed: int):
     """Slots of each source in one output shard and the source's slots in
     the shards before it. Walks a binary tree over the shards: every node
@@ -73,14 +130,7 @@ def draw_shard(shard: int, shards: int, slots: np.ndarray, shard_slots: int, see
     while hi - lo > 1:
         mid = (lo + hi) // 2
         n_left = min((mid - lo) * shard_slots, int(counts.sum()))
-        if int(counts.sum()) < _DRAW_LIMIT:
-            rng = np.random.default_rng([seed, lo, hi])
-            left = rng.multivariate_hypergeometric(counts, n_left, method="marginals")
-        else:   # vast node: the proportional split (relative noise would be below 1e-4)
-            total = int(counts.sum())
-            left = np.array([int(c) * n_left // total for c in counts], dtype=np.int64)
-            short = n_left - int(left.sum())
-            left[np.argsort(-(counts - left), kind="stable")[:short]] += 1
+        left = _split_counts(np.random.default_rng([seed, lo, hi]), counts, n_left)
         if shard < mid:
             counts, hi = left, mid
         else:

@@ -105,3 +105,24 @@ def test_repeated_rows_and_empty(spark):
     assert mixing.mix_report(frame(spark, [])).count() == 0
     assert mixing.mix_documents(frame(spark, [])).count() == 0
     assert mixing.mix_report(frame(spark, [doc(1, None), doc(2, "")])).count() == 2
+
+
+def test_vast_populations_are_drawn_not_split(monkeypatch):
+    """The draw for populations beyond numpy's limit: the same distribution
+    (against numpy's draw where both work), exact totals, seeded."""
+    rng = np.random.default_rng(3)
+    for good, bad, n in ((500, 700, 300), (30, 9000, 4000), (9000, 30, 4000), (5000, 4000, 20), (50_000, 20_000, 60_000), (3, 2, 4)):
+        own = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(4000)])
+        ref = rng.hypergeometric(good, bad, n, 4000)
+        spread = max(ref.std(), 0.3)
+        assert abs(own.mean() - ref.mean()) < 0.1 * spread and 0.92 < (own.std() + 0.05) / (ref.std() + 0.05) < 1.08, (good, bad, n)
+        assert own.min() >= max(0, n - bad) and own.max() <= min(n, good)
+    slots = np.array([4_000_000_000, 1_000_000_000, 7, 0])
+    left = mixing._split_counts(np.random.default_rng([1, 0, 8]), slots, 2_000_000_000)
+    assert int(left.sum()) == 2_000_000_000 and (left <= slots).all() and (left >= 0).all()
+    assert left[0] != 1_600_000_000 and abs(int(left[0]) - 1_599_999_997) < 200_000      # a draw, five standard deviations wide
+    assert (left == mixing._split_counts(np.random.default_rng([1, 0, 8]), slots, 2_000_000_000)).all()
+    small = np.array([300, 200, 50])
+    monkeypatch.setattr(mixing, "_DRAW_LIMIT", 0)
+    parts = [mixing.draw_shard(k, 6, small, 100, 9) for k in range(6)]
+    assert (sum(p[0] for p in parts) == small).all() and all(int(p[0].sum()) == 100 for p in parts[:5])
