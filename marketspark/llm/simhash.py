@@ -59,17 +59,18 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 def fingerprints(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+    """doc_id, fp (the fingerprint's bits as a signed long), and text_hash,
+    which tells rows that share an id apart."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = [fingerprint(t, shingle_words) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                [b.column(0), pa.array(np.array(fp, dtype=np.uint64).view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(tidy(run), "doc_id long, fp long"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+            .mapInArrow(tidy(run), "doc_id long, fp long, text_hash long"))
 
 
 def blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -251,9 +252,9 @@ def _links_of(pdf: pd.DataFrame, work: list[str], max_bits: int) -> Iterator[pa.
         yield out
 
 
-def simhash_groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
-                   node_limit: int = NODE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable by links)."""
+def _grouped(docs: DataFrame, shingle_words: int, max_bits: int, node_limit: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp, text_hash, component (one of its fingerprints) and
+    component_id of every row."""
     fps = materialize(fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col), "simhash-fp")
     leaves = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     leaves = materialize(leaves, "simhash-leaves")
@@ -262,15 +263,26 @@ def simhash_groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_b
     named = (leaves.join(comp, leaves["fp"] == comp["node"], "left")
              .select("fp", "least", F.coalesce("component", "fp").alias("component")))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = named.join(least, "component").select("fp", "component", "component_id")
+    return fps.join(by_fp, "fp").select("doc_id", "fp", "text_hash", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """docs without near-duplicates: of each group the rows with its
-    smallest doc_id stay (one of them where that row is repeated; rows
-    without an id stay)."""
-    groups = simhash_groups(docs, **params)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_sh_id")).distinct()
-    with_id = (docs.join(keep, docs["doc_id"] == keep["_sh_id"]).drop("_sh_id").dropDuplicates(["doc_id"]))
+def simhash_groups(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
+                   node_limit: int = NODE_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id reachable by links)."""
+    return _grouped(docs, shingle_words, max_bits, node_limit, id_col, text_col).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, node_limit: int = NODE_LIMIT) -> DataFrame:
+    """docs without near-duplicates: one row of each group stays, of those
+    with its smallest doc_id the one with the smallest fingerprint (then
+    text hash). Rows that share an id are told apart by their text, so two
+    texts under one id stay both where no other row is like them. Rows
+    without an id stay."""
+    groups = _grouped(docs, shingle_words, max_bits, node_limit, "doc_id", "text").where(F.col("doc_id").isNotNull())
+    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "fp", "text_hash")).alias("one"))
+    keep = first.select(F.col("one.doc_id").alias("_sh_id"), F.col("one.text_hash").alias("_sh_hash"))
+    rows = docs.withColumn("_sh_text", F.xxhash64("text"))
+    with_id = rows.join(keep, (rows["doc_id"] == keep["_sh_id"]) & (rows["_sh_text"] == keep["_sh_hash"]))
+    with_id = with_id.dropDuplicates(["doc_id", "_sh_text"]).select(*docs.columns)
     return with_id.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
