@@ -81,6 +81,30 @@ def test_run_on_files_and_odd_rows(spark, tmp_path):
     assert cp.run(spark, str(empty)).count() == 0
 
 
+def test_other_columns_pass_through_whatever_their_names(spark):
+    from pyspark.sql import functions as F
+    names = ["score", "n_lines", "lang_pred", "n_dropped", "pass", "size", "fp", "component_id", "_n", "Score2", "held_out", "words"]
+    docs = frame(spark, corpus()[:60] + corpus()[-6:])
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.concat(F.lit(f"{n}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) if i % 2 else F.lit(777.0) + F.col("doc_id"))
+    for name, stage in cp.STAGES[:4]:
+        out = stage(spark, docs, "/nowhere")
+        assert out.dtypes == docs.dtypes, name
+        for r in out.collect():
+            d = r["doc_id"]
+            for i, n in enumerate(names):
+                assert r[n] == (f"{n}-{'none' if d is None else d}" if i % 2 else None if d is None else 777.0 + d), (name, n)
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+
+
+def test_texts_under_one_id_are_told_apart(spark):
+    rows = [doc(1, "one text about something quite different from the rest of it"), doc(1, "a second text under the same number with other words in it"),
+            doc(2, "a third text that nobody else has written down anywhere so far"), doc(2, "a third text that nobody else has written down anywhere so far"),
+            doc(3, "one text about something quite different from the rest of it"), doc(None, "one text about something quite different from the rest of it")]
+    got = sorted(((r[0], r[1][:9]) for r in simhash.keep_one(frame(spark, rows)).collect()), key=repr)
+    assert got == [(1, "a second "), (1, "one text "), (2, "a third t"), (None, "one text ")]
+
+
 def test_nothing_else_imports_this_package():
     for folder, _, files in os.walk(os.path.join(ROOT, "marketspark")):
         if os.path.basename(folder) == "llm" or "__pycache__" in folder:
