@@ -100,21 +100,39 @@ def sponsored_banners(promotions: DataFrame, vendors: DataFrame, at) -> DataFram
 def promo_impressions(views: DataFrame, promotions: DataFrame) -> DataFrame:
     """Which product / boutique promotions were live at each view.
 
-    Interval join without a theta join: each live-able promotion is
-    exploded into the UTC days it covers and equi-joined with views on
-    (target key, day); the exact half-open test starts_at <= ts < ends_at
-    runs after. A view has exactly one day, so no pair is produced twice.
-    Promotion rows grow with their length in days, not with the views."""
+    Interval join without a theta join: a promotion of n UTC days is laid on
+    tiles of 2^k days, the largest power of two up to n, so it covers at most
+    three tiles however long it runs. A view looks up one tile per width that
+    occurs among the promotions (at most 22 for dates up to the year 9999,
+    read once as a scalar) by an equi-join on (target key, width, tile); the
+    exact half-open test starts_at <= ts < ends_at runs after. A view lies in
+    one tile of a width, so no pair is produced twice, and at least a quarter
+    of the days a tile row answers for are the promotion's own."""
     p = promotions.filter((F.col("status") == "active") & (F.col("payment_status") == "paid")
                           & F.col("promotion_type").isin("product", "boutique"))
     p = p.withColumn("_key", F.when(F.col("promotion_type") == "product", F.concat(F.lit("p:"), F.col("product_id")))
                             .otherwise(F.concat(F.lit("v:"), F.col("vendor_id"))))
     p = p.filter(F.col("_key").isNotNull() & (F.col("ends_at") > F.col("starts_at")))
-    last_day = F.to_date(F.timestamp_add("MICROSECOND", F.lit(-1), F.col("ends_at")))
-    p = p.select(F.col("id").alias("promotion_id"), "promotion_type", "_key", "starts_at", "ends_at",
-                 F.explode(F.sequence(F.to_date("starts_at"), last_day)).alias("_day"))
-    ev = views.select("event_id", "ts", F.explode(F.array(F.concat(F.lit("p:"), F.col("product_id")),
-                                                          F.concat(F.lit("v:"), F.col("vendor_id")))).alias("_key"),
-                      F.to_date("ts").alias("_day"))
-    j = ev.join(p, ["_key", "_day"], "inner").filter((F.col("starts_at") <= F.col("ts")) & (F.col("ts") < F.col("ends_at")))
+    first, last = _day(F.col("starts_at")), _day(F.timestamp_add("MICROSECOND", F.lit(-1), F.col("ends_at")))
+    width = F.length(F.bin(last - first + 1)) - 1
+    p = p.withColumn("_width", width)
+    widths = p.agg(F.collect_set("_width")).scalar()
+    tiles = p.select(F.col("id").alias("promotion_id"), "promotion_type", "_key", "starts_at", "ends_at", "_width",
+                     F.explode(F.sequence(_tile(first, F.col("_width")), _tile(last, F.col("_width")))).alias("_tile"))
+    ev = (views.select("event_id", "ts", F.explode(F.array(F.concat(F.lit("p:"), F.col("product_id")),
+                                                           F.concat(F.lit("v:"), F.col("vendor_id")))).alias("_key"))
+               .filter(F.col("_key").isNotNull())
+               .withColumn("_width", F.explode(widths))
+               .withColumn("_tile", _tile(_day(F.col("ts")), F.col("_width"))))
+    j = (ev.join(tiles, ["_key", "_width", "_tile"], "inner")
+           .filter((F.col("starts_at") <= F.col("ts")) & (F.col("ts") < F.col("ends_at"))))
     return j.select("event_id", "promotion_id", "promotion_type")
+
+
+def _day(ts: Column) -> Column:
+    """Days since 1970-01-01 (UTC)."""
+    return F.unix_date(F.to_date(ts))
+
+
+def _tile(day: Column, width: Column) -> Column:
+    return F.call_function("shiftright", day, width)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as K
 from .ranking import rank_within
+from .visibility import Viewer, visible_vendor_orders
 
 MAX_NOTE = 500
 ITEMS_SCHEMA = "array<struct<id:string,name:string,price:decimal(18,2),qty:int>>"
@@ -18,20 +19,52 @@ def _newest_first(df: DataFrame, group: list[str]) -> DataFrame:
     return rank_within(df.withColumn("_neg", neg), group, ["_neg", "id"]).drop("_neg")
 
 
-def my_orders(vendor_orders: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Every shopper's vendor orders, newest first, with the vendor
-    name (id when unknown), status label and line totals (qty default 1)."""
+def _order_cards(vendor_orders: DataFrame, vendors: DataFrame) -> DataFrame:
+    """Vendor orders as the tracking page shows them: vendor name (id when
+    unknown), status label, the seller's note (null when empty), the lines
+    with their totals (qty default 1) and their sum."""
     v = vendors.select(F.col("id").alias("vendor_id"), F.col("name").alias("_vname"))
-    j = vendor_orders.join(v, "vendor_id", "left")
-    items = F.from_json("items", ITEMS_SCHEMA)
-    lines = F.transform(items, lambda i: i["price"] * F.coalesce(i["qty"], F.lit(1)))
-    j = j.select("id", "order_id", "user_id", "vendor_id", "created_at", "status", "subtotal",
-                 F.coalesce(F.col("_vname"), F.col("vendor_id")).alias("vendor_name"),
-                 K.status_label(F.col("status")).alias("status_label"),
-                 F.aggregate(lines, F.lit(0).cast("decimal(38,2)"), lambda a, x: a + x)
-                  .cast("decimal(38,2)").alias("lines_total"),
-                 F.array_size(items).cast("bigint").alias("n_lines"))
-    return _newest_first(j, ["user_id"])
+    j = vendor_orders.join(v, "vendor_id", "left").withColumn("_items", F.from_json("items", ITEMS_SCHEMA))
+    qty = lambda i: F.coalesce(i["qty"], F.lit(1))
+    lines = F.transform("_items", lambda i: F.struct(
+        i["name"].alias("name"), qty(i).alias("qty"), (i["price"] * qty(i)).cast("decimal(38,2)").alias("total")))
+    return j.select("id", "order_id", "user_id", "vendor_id", "created_at", "status", "subtotal",
+                    F.coalesce(F.col("_vname"), F.col("vendor_id")).alias("vendor_name"),
+                    K.status_label(F.col("status")).alias("status_label"),
+                    F.nullif(F.col("status_note"), F.lit("")).alias("status_note"), lines.alias("lines"),
+                    F.array_size("_items").cast("bigint").alias("n_lines")).withColumn(
+        "lines_total", F.aggregate("lines", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x["total"]).cast("decimal(38,2)")))
+
+
+def my_orders(vendor_orders: DataFrame, vendors: DataFrame, viewer: Viewer | None = None) -> DataFrame:
+    """The tracking page, newest first. With a viewer, all rows that F4
+    lets it read (the page asks for them without a filter of its own), ranked
+    as one list; without, every shopper's own orders, ranked per shopper."""
+    if viewer is None:
+        return _newest_first(_order_cards(vendor_orders, vendors), ["user_id"])
+    rows = _order_cards(visible_vendor_orders(vendor_orders, viewer), vendors).withColumn("_all", F.lit(1))
+    return _newest_first(rows, ["_all"]).drop("_all")
+
+
+def my_orders_by_viewer(vendor_orders: DataFrame, viewers: DataFrame) -> DataFrame:
+    """E1 for a whole table of viewers (viewer_id, role, user_id, vendor_id):
+    (viewer_id, id, rank) of every row F4 lets each read, newest first.
+
+    Each branch of the policy is one equi-join, and a row that two branches
+    give belongs to the first: admins read all rows, others their own orders
+    and, in the vendor role, those of their vendor. The admins are a handful
+    of rows, repeated per vendor order as their pages are; a hot vendor's or
+    shopper's join is split by AQE, the ranking is range-partitioned."""
+    vo = vendor_orders.select("id", "user_id", "vendor_id", "created_at")
+    signed_in = viewers.filter(F.coalesce(F.col("role"), F.lit("anon")) != "anon")
+    others = signed_in.filter(F.col("role") != "admin")
+    admins = signed_in.filter(F.col("role") == "admin").agg(F.collect_list("viewer_id")).scalar()
+    every = vo.select(F.explode(admins).alias("viewer_id"), "id", "created_at")
+    own = others.select("viewer_id", "user_id").join(vo.drop("vendor_id"), "user_id")
+    staff = (others.filter((F.col("role") == "vendor") & (F.col("vendor_id") != "")).select("viewer_id", "vendor_id", F.col("user_id").alias("_me"))
+             .join(vo, "vendor_id").filter(~F.col("user_id").eqNullSafe(F.col("_me")) | F.col("_me").isNull()))
+    parts = [x.select("viewer_id", "id", "created_at") for x in (every, own, staff)]
+    return _newest_first(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["viewer_id"]).select("viewer_id", "id", "rank")
 
 
 def vendor_queue(vendor_orders: DataFrame) -> DataFrame:
@@ -65,14 +98,13 @@ def apply_status_changes(vendor_orders: DataFrame, changes: DataFrame) -> tuple[
 def set_latest(vendor_orders: DataFrame, latest: DataFrame) -> DataFrame:
     """Vendor orders with their latest accepted change (order_key,
     vendor_id, _c struct<status, status_note, ts>) applied; changes of
-    vendor orders that do not exist fall away."""
+    vendor orders that do not exist fall away. All columns stay."""
     base = vendor_orders.withColumn("order_key", F.col("request_id"))
     j = base.join(latest, ["order_key", "vendor_id"], "left")
-    return j.select(
-        "id", "order_id", "vendor_id",
-        F.coalesce(F.col("_c.status"), F.col("status")).alias("status"),
-        F.when(F.col("_c").isNotNull(), F.col("_c.status_note")).otherwise(F.col("status_note")).alias("status_note"),
-        F.coalesce(F.col("_c.ts"), F.col("updated_at")).alias("updated_at"))
+    new = {"status": F.coalesce(F.col("_c.status"), F.col("status")),
+           "status_note": F.when(F.col("_c").isNotNull(), F.col("_c.status_note")).otherwise(F.col("status_note")),
+           "updated_at": F.coalesce(F.col("_c.ts"), F.col("updated_at"))}
+    return j.select(*(new[c].alias(c) if c in new else c for c in vendor_orders.columns))
 
 
 def order_contact_link(vendor_orders: DataFrame, vendors: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def q_stream_status(t):
     latest = M.read_latest(t.spark, f"{base}/sink", ["order_key", "vendor_id"],
                            "order_key string, vendor_id string, status string, status_note string, ts timestamp_ntz")
     vo = intake(t).vendor_orders()
-    return E.set_latest(vo, latest.select("order_key", "vendor_id", F.struct("status", "status_note", "ts").alias("_c")))
+    return E.set_latest(vo, latest.select("order_key", "vendor_id", F.struct("status", "status_note", "ts").alias("_c"))).select("id", "order_id", "vendor_id", "status", "status_note", "updated_at")
 
 
 @query("stream_wishlist")

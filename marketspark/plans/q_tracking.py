@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import orders as O
 from ..operators import tracking as E
+from ..operators.visibility import Viewer
 from ..sources import loaders as L
 from .inputs import intake
 from .queries import query
@@ -15,11 +15,31 @@ def _vo(t):
     return intake(t).vendor_orders()
 
 
+def _updated(t):
+    """Vendor orders after the sellers' status updates."""
+    return E.apply_status_changes(_vo(t), t.status_changes().withColumnRenamed("request_id", "order_key"))[0]
+
+
 @query("my_orders")
 def q_my_orders(t):
-    """Every shopper's vendor orders, newest first."""
-    return E.my_orders(_vo(t), L.normalize_vendors(t.vendors())).select(
-        "user_id", "id", "vendor_name", "status_label", "lines_total", "n_lines", "rank")
+    """Every shopper's vendor orders, newest first, with the lines and the seller's note."""
+    line = lambda x: F.concat_ws(" ", x["name"], F.lit("x"), x["qty"].cast("string"), F.lit("="), x["total"].cast("string"))
+    return E.my_orders(_updated(t), L.normalize_vendors(t.vendors())).select(
+        "user_id", "id", "vendor_name", "status_label", "status_note", F.array_join(F.transform("lines", line), "\n").alias("lines"),
+        "lines_total", "n_lines", "rank")
+
+
+@query("my_orders_viewer")
+def q_my_orders_viewer(t):
+    """E1 under F4: the page of one vendor's owner."""
+    return E.my_orders(_updated(t), L.normalize_vendors(t.vendors()), Viewer("vendor", "su3", "v3")).select(
+        "id", "user_id", "vendor_id", "status_label", "status_note", "rank")
+
+
+@query("my_orders_by_viewer")
+def q_my_orders_by_viewer(t):
+    """E1 under F4: the pages of all customers, vendor owners and admins."""
+    return E.my_orders_by_viewer(_vo(t), t.viewers())
 
 
 @query("vendor_queue")
@@ -31,9 +51,7 @@ def q_vendor_queue(t):
 @query("apply_status_changes")
 def q_apply_status_changes(t):
     """Vendor orders after the sellers' status updates."""
-    ch = t.status_changes().withColumnRenamed("request_id", "order_key")
-    upd, _ = E.apply_status_changes(_vo(t), ch)
-    return upd
+    return _updated(t).select("id", "order_id", "vendor_id", "status", "status_note", "updated_at")
 
 
 @query("status_change_verdicts")
