@@ -3,9 +3,8 @@
 The browser keeps one cart per shopper and mutates it event by event.
 Here the cart of every shopper is derived from the whole event log in
 closed form, with aggregates and equi-joins only (no UDF, no per-user
-window): each step groups by user or (user, product), so partial
-aggregation combines a hot shopper's events map-side and AQE can split a
-skewed join partition.
+window), so partial aggregation combines a hot shopper's events map-side
+and AQE can split a skewed join partition.
 
 Order of events: (ts, seq).
 """
@@ -30,40 +29,47 @@ def cart_state(events: DataFrame) -> DataFrame:
     Rules: add increments an existing line or appends a new one (with the
     product snapshot of that add); set with qty <= 0 removes the line; set
     on an absent line does nothing; remove drops the line; clear empties
-    the cart. Closed form per (user, product):
-    1. keep events after the user's last clear;
-    2. keep events after the last removal (remove, or set <= 0);
-    3. fa = first add left (no add -> no line), snapshot of that add;
-    4. ls = last positive set after fa;
-    5. qty = set value at ls (0 without one) + adds after ls (after fa-).
+    the cart. Events without a user, or but for clears without a product,
+    change nothing.
+
+    Two facts make the fold an aggregate that merges in any order. What
+    counts lies after the line's last reset, the later of its last removal
+    (remove, or set <= 0) and its user's last clear. And of the positive sets
+    only the line's last one can decide: where it lies before the reset, all
+    do. So:
+    1. marks, one row per (user, product): last add, last removal, last
+       positive set with its value; and per user the last clear. Both are
+       combined on the map side, so few rows move;
+    2. the adds alone meet their line's marks, which is the one time that log
+       rows are shuffled. The join key is the pair as one value, so the
+       grouping after it has an exchange of its own: adaptive execution can
+       split a hot line's join, and its parts are combined before they move;
+    3. qty = value of the last set, if it came after the line's first add
+       since the reset, plus the adds after it; else all adds since the reset.
     """
-    e = events.withColumn("_o", _o())
-    last_clear = (e.filter(F.col("kind") == "clear").groupBy("user_id")
-                   .agg(F.max("_o").alias("_lc")))
-    e1 = (e.filter(F.col("kind") != "clear").join(last_clear, "user_id", "left")
-           .filter(F.col("_lc").isNull() | (F.col("_o") > F.col("_lc"))).drop("_lc"))
-    removal = (F.col("kind") == "remove") | ((F.col("kind") == "set") & (F.col("qty") <= 0))
-    last_rm = e1.filter(removal).groupBy("user_id", "product_id").agg(F.max("_o").alias("_lr"))
-    e2 = (e1.join(last_rm, ["user_id", "product_id"], "left")
-            .filter(F.col("_lr").isNull() | (F.col("_o") > F.col("_lr"))).drop("_lr"))
+    line = F.struct("user_id", "product_id")
+    e = events.filter(F.col("user_id").isNotNull()).withColumn("_o", _o())
+    cleared = e.filter(F.col("kind") == "clear").groupBy("user_id").agg(F.max("_o").alias("_lc"))
+    e = e.filter(F.col("product_id").isNotNull())
     is_add = F.col("kind") == "add"
     is_set = (F.col("kind") == "set") & (F.col("qty") > 0)
-    a = e2.groupBy("user_id", "product_id").agg(
-        F.min(F.when(is_add, F.col("_o"))).alias("_fa"),
-        F.min_by("snap", F.when(is_add, F.col("_o"))).alias("snap"),
-        F.max(F.when(is_set, F.col("_o"))).alias("_ls_any"),
-        F.max_by("qty", F.when(is_set, F.col("_o"))).alias("_sq_any"))
-    a = a.filter(F.col("_fa").isNotNull())
-    # a positive set only counts when it comes after the line exists
-    a = (a.withColumn("_ls", F.when(F.col("_ls_any") > F.col("_fa"), F.col("_ls_any")))
-          .withColumn("_sq", F.when(F.col("_ls_any") > F.col("_fa"), F.col("_sq_any"))))
-    adds = e2.filter(is_add).select("user_id", "product_id", "_o", "qty")
-    j = adds.join(a.select("user_id", "product_id", "_ls"), ["user_id", "product_id"], "inner")
-    tail = (j.filter(F.col("_ls").isNull() | (F.col("_o") > F.col("_ls")))
-             .groupBy("user_id", "product_id").agg(F.sum("qty").alias("_tail")))
-    out = a.join(tail, ["user_id", "product_id"], "left")
-    qty = (F.coalesce(F.col("_sq"), F.lit(0)) + F.coalesce(F.col("_tail"), F.lit(0))).cast("int")
-    return out.select("user_id", "product_id", qty.alias("qty"),
+    removal = (F.col("kind") == "remove") | ((F.col("kind") == "set") & (F.col("qty") <= 0))
+    marks = (e.filter(is_add | is_set | removal).groupBy("user_id", "product_id")
+             .agg(F.max(F.when(is_add, F.col("_o"))).alias("_la"), F.max(F.when(removal, F.col("_o"))).alias("_lr"),
+                  F.max(F.when(is_set, F.col("_o"))).alias("_ls"), F.max_by("qty", F.when(is_set, F.col("_o"))).alias("_sq"))
+             .filter(F.col("_la").isNotNull())
+             .join(cleared, "user_id", "left"))
+    reset = F.greatest("_lr", "_lc")
+    marks = (marks.select(line.alias("_line"), "_ls", "_sq", "_la", reset.alias("_reset"))
+             .filter(F.col("_reset").isNull() | (F.col("_la") > F.col("_reset"))).drop("_la"))
+    adds = (e.filter(is_add).select(line.alias("_line"), "_o", "qty", "snap").join(marks, "_line")
+            .filter(F.col("_reset").isNull() | (F.col("_o") > F.col("_reset"))))
+    after_set = F.col("_ls").isNull() | (F.col("_o") > F.col("_ls"))
+    out = adds.groupBy(F.col("_line.user_id").alias("user_id"), F.col("_line.product_id").alias("product_id")).agg(
+        F.min("_o").alias("_fa"), F.min_by("snap", "_o").alias("snap"), F.sum("qty").alias("_all"),
+        F.sum(F.when(after_set, F.col("qty"))).alias("_tail"), F.max("_ls").alias("_ls"), F.max("_sq").alias("_sq"))
+    qty = F.when(F.col("_ls") > F.col("_fa"), F.col("_sq") + F.coalesce(F.col("_tail"), F.lit(0))).otherwise(F.col("_all"))
+    return out.select("user_id", "product_id", F.coalesce(qty, F.lit(0)).cast("int").alias("qty"),
                       F.col("_fa.ts").alias("added_at"), F.col("_fa.seq").alias("added_seq"), "snap")
 
 

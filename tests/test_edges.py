@@ -201,3 +201,33 @@ def test_vendor_visibility(spark):
     assert ids(V.Viewer("anon")) == ["v1"]
     assert ids(V.Viewer("vendor", "u3", "v3")) == ["v1", "v3"]
     assert ids(V.Viewer("admin", "u0")) == ["v1", "v2", "v3"]
+
+
+def test_cart_moves_log_rows_once(spark):
+    """Without broadcasts, one exchange carries log rows (the adds); the others
+    carry one row per line, per shopper or per line and task."""
+    from marketspark.sources.testdata import TestTables
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = C.cart_state(TestTables(spark, "/root/testdata/sf0.001").cart_events())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = plan.splitlines()
+    below = [lines[i + 1] for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    whole = [x for x in below if "Aggregate" not in x and "_la" not in x]     # _la: a line's marks
+    assert "Window" not in plan and "Python" not in plan
+    assert len(whole) == 1 and "snap" in whole[0], below
+
+
+def test_cart_events_without_user_or_product(spark):
+    t = dt.datetime(2024, 1, 1)
+    row = lambda u, s, k, p, q: (u, s, t + dt.timedelta(seconds=s), k, p, q, ("n", Decimal("1.00"), None, "v"))
+    df = spark.createDataFrame(
+        [row("u", 1, "add", "p", 2), row(None, 2, "add", "p", 5), row("u", 3, "add", None, 5), row(None, 4, "clear", None, None),
+         row("u", 5, "remove", None, None), row("u", 6, "set", "q", 4), row("u", 7, "add", "q", None)],
+        "user_id string, seq long, ts timestamp_ntz, kind string, product_id string, qty int, "
+        "snap struct<name:string,price:decimal(18,2),original_price:decimal(18,2),vendor:string>")
+    got = {(r["user_id"], r["product_id"]): r["qty"] for r in C.cart_state(df).collect()}
+    assert got == {("u", "p"): 2, ("u", "q"): 0}
+    assert C.cart_state(df.limit(0)).count() == 0
