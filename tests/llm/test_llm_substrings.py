@@ -131,6 +131,29 @@ def test_fenwick_chain_is_optimal():
         assert score == pytest.approx(slow_chain_score(b, a, size, 0.25))
 
 
+@pytest.mark.parametrize("places", [16, 40, 101, 5000])
+def test_seeds_of_long_texts(places):
+    """Cut into pieces or not, texts give the same seeds."""
+    rng = np.random.default_rng(6)
+    per = np.array([0, 7, 8, 9, 300, 49, 50, 100, 1000, 15])
+    h = rng.integers(0, 40, per.sum()).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k, window, least in ((5, 4, 50), (5, 4, 0), (3, 6, 8)):
+        want = list(zip(*(x.tolist() for x in substring_dedup.minimizers(h, per, k, window, least))))
+        got = [r for part in substring_dedup.sampled(h, per, k, window, least, places) for r in zip(*(x.tolist() for x in part))]
+        assert got == want and len(want) > 100
+
+
+def test_a_text_longer_than_the_pieces(spark, monkeypatch):
+    rng = random.Random(8)
+    part = words(rng, 90)
+    texts = [" ".join(words(rng, 400) + part + words(rng, 200)), " ".join(words(rng, 30) + part + words(rng, 500))]
+    df = frame(spark, [doc(i, t) for i, t in enumerate(texts)])
+    cut = substring_dedup.sampled
+    monkeypatch.setattr(substring_dedup, "sampled", lambda *a: cut(*a, places=60))
+    found = [r for r in substring_dedup.passage_report(df).collect() if r.n_removed]
+    assert [(r.doc_id, r.source_docs) for r in found] == [(1, [0])] and 88 <= found[0].n_removed <= 96
+
+
 def test_alignment_counts():
     x = np.arange(100, dtype=np.uint32)
     y = np.concatenate([x[:40], np.array([900, 901], np.uint32), x[40:]])
