@@ -101,17 +101,28 @@ def check_unique(checks: dict[str, tuple[DataFrame, list[str], Column | None]])
 def check_foreign_keys(checks: dict[str, tuple[DataFrame, list[tuple[str, DataFrame, str]]]]) -> DataFrame:
     """Orphans per reference: child rows whose non-null key has no
     parent. checks: child table -> (rows, [(key, parent rows, parent key)]).
-    A child's keys are counted per distinct value first (a hot key becomes
-    one row), then looked up among the parent's distinct keys."""
-    parts = []
+
+    Every table is read once per role: a child gives all its keys side by side,
+    counted per (reference, value) before they move, so a hot key becomes
+    one row; a parent key column that several references name is made
+    distinct once and answers for all of them. One join on (reference, value)
+    decides all references. Keys are compared as text."""
+    names, used, answers = [], [], {}
     for child, (df, refs) in checks.items():
         for ck, parent, pk in refs:
-            keys = parent.select(C(pk).alias("_k")).filter(C("_k").isNotNull()).distinct()
-            used = df.filter(C(ck).isNotNull()).groupBy(C(ck).alias("_c")).agg(F.count(F.lit(1)).alias("n"))
-            orphans = used.join(keys, used["_c"] == keys["_k"], "left_anti")
-            parts.append(orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"))
-                         .select(F.lit(f"{child}.{ck}").alias("check"), "n_orphans"))
-    return reduce(DataFrame.unionByName, parts)
+            names.append(f"{child}.{ck}")
+            answers.setdefault((id(parent), pk), (parent, []))[1].append(f"{child}.{ck}")
+        used.append(df.select(F.inline(F.array(*[F.struct(F.lit(f"{child}.{ck}").alias("check"), C(ck).cast("string").alias("_c"))
+                                                 for ck, _, _ in refs]))).filter(C("_c").isNotNull()))
+    keys = [parent.select(C(pk).cast("string").alias("_c")).filter(C("_c").isNotNull()).distinct()
+            .select(F.explode(F.array(*[F.lit(n) for n in ns])).alias("check"), "_c").withColumn("_known", F.lit(True))
+            for (_, pk), (parent, ns) in answers.items()]
+    counted = reduce(DataFrame.unionByName, used).groupBy("check", "_c").agg(F.count(F.lit(1)).alias("n"))
+    missing = (counted.join(reduce(DataFrame.unionByName, keys), ["check", "_c"], "left").filter(C("_known").isNull())
+               .groupBy("check").agg(F.sum("n").alias("n")))
+    spark = counted.sparkSession
+    every = spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("check"))
+    return every.join(missing, "check", "left").select("check", F.coalesce("n", F.lit(0)).alias("n_orphans"))
 
 
 def check_not_null(checks: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:

@@ -48,7 +48,7 @@ SELECT v.user_id, v.vendor_id, v.created_at, v.id, coalesce(nv.name, v.vendor_id
        CAST(json_array_length(v.items) AS BIGINT) AS n_lines
 FROM e_updated v LEFT JOIN nv ON nv.id = v.vendor_id"""
 
-oracle("my_orders", """
+oracle("my_orders", MY_ORDERS := """
 SELECT user_id, id, vendor_name, status_label, status_note, lines, lines_total, n_lines,
        row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id) AS rank
 FROM e_cards""")
@@ -64,10 +64,16 @@ WITH seen AS (
   UNION SELECT w.viewer_id, v.id, v.created_at FROM mk_viewers w CROSS JOIN o_vendor_orders v WHERE w.role = 'admin')
 SELECT viewer_id, id, row_number() OVER (PARTITION BY viewer_id ORDER BY created_at DESC, id) AS rank FROM seen""")
 
-oracle("vendor_queue", """
+oracle("mart_my_orders", MY_ORDERS)
+
+oracle("mart_visible_orders", "SELECT id, user_id FROM o_orders WHERE user_id = 'u5'")
+
+oracle("vendor_queue", QUEUE := """
 SELECT vendor_id, status, id, row_number() OVER (PARTITION BY vendor_id, status ORDER BY created_at DESC, id) AS rank
 FROM o_vendor_orders""")
 
+oracle("mart_vendor_queue", QUEUE)
+
 oracle("apply_status_changes", """
 SELECT id, order_id, vendor_id, status, status_note, updated_at FROM e_updated""")
 

@@ -191,7 +191,7 @@ DECIMAL_OUT: dict[str, list[str]] = {
     "cart_by_vendor": ["total"], "cart_savings": ["savings"], "cart_state": ["price"],
     "cart_totals": ["total"], "filter_max_price": ["price"], "intake_report": ["value"],
     "launch_cap": ["amount"], "load_products": ["price", "original_price", "rating"], "load_vendors": ["rating"],
-    "merge_products": ["price", "original_price"], "merge_vendors": ["rating"], "my_orders": ["lines_total"],
+    "merge_products": ["price", "original_price"], "merge_vendors": ["rating"], "my_orders": ["lines_total"], "mart_my_orders": ["lines_total"],
     "order_totals": ["total"], "payment_history": ["amount"], "plan_pricing": ["revenue"],
     "product_detail": ["vendor_rating", "price", "original_price", "savings"],
     "reconcile_orders": ["total", "sum_subtotals"], "renewal_periods": ["amount"],

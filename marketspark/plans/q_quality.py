@@ -33,7 +33,8 @@ def q_check_unique(t):
 @query("check_foreign_keys")
 def q_check_foreign_keys(t):
     """Orphan counts per reference."""
-    return J.check_foreign_keys({child: (t.raw_table(child), [(ck, t.raw_table(parent), pk) for ck, parent, pk in refs])
+    tables = {name: t.raw_table(name) for name in {*REFERENCES, *(parent for refs in REFERENCES.values() for _, parent, _ in refs)}}
+    return J.check_foreign_keys({child: (tables[child], [(ck, tables[parent], pk) for ck, parent, pk in refs])
                                  for child, refs in REFERENCES.items()})
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import tracking as E
 from ..operators.visibility import Viewer
+from ..operators.visibility import visible_orders
+from ..session import scratch_path
 from ..sources import loaders as L
+from ..sources.sinks import read_mart, rewrite_days, write_mart
 from .inputs import intake
 from .queries import query
 
@@ -23,8 +28,12 @@ def _updated(t):
 @query("my_orders")
 def q_my_orders(t):
     """Every shopper's vendor orders, newest first, with the lines and the seller's note."""
+    return _pages(t, _updated(t))
+
+
+def _pages(t, vendor_orders):
     line = lambda x: F.concat_ws(" ", x["name"], F.lit("x"), x["qty"].cast("string"), F.lit("="), x["total"].cast("string"))
-    return E.my_orders(_updated(t), L.normalize_vendors(t.vendors())).select(
+    return E.my_orders(vendor_orders, L.normalize_vendors(t.vendors())).select(
         "user_id", "id", "vendor_name", "status_label", "status_note", F.array_join(F.transform("lines", line), "\n").alias("lines"),
         "lines_total", "n_lines", "rank")
 
@@ -66,3 +75,35 @@ def q_status_change_verdicts(t):
 def q_order_contact_link(t):
     """WhatsApp contact link per vendor order."""
     return E.order_contact_link(_vo(t), L.normalize_vendors(t.vendors()))
+
+
+def _stored(t, rows, key):
+    """rows written as a mart; its path."""
+    path = scratch_path(t.spark, f"mart-{uuid.uuid4().hex}")
+    write_mart(rows, path, key, "created_at")
+    return path
+
+
+@query("mart_visible_orders")
+def q_mart_visible_orders(t):
+    """F3 from the orders mart: one customer's orders, found by the files' key ranges."""
+    path = _stored(t, intake(t).orders(), "user_id")
+    viewer = Viewer("authenticated", "u5")
+    return visible_orders(read_mart(t.spark, path, "user_id", viewer.user_id), viewer).select("id", "user_id")
+
+
+@query("mart_vendor_queue")
+def q_mart_vendor_queue(t):
+    """E2 from the vendor orders mart."""
+    return E.vendor_queue(read_mart(t.spark, _stored(t, _vo(t), "vendor_id"))).select("vendor_id", "status", "id", "rank")
+
+
+@query("mart_my_orders")
+def q_mart_my_orders(t):
+    """E3 applied to the mart itself (only the days whose orders changed are written anew), then E1 read from it."""
+    path = _stored(t, _vo(t), "vendor_id")
+    updated = E.apply_status_changes(read_mart(t.spark, path), t.status_changes().withColumnRenamed("request_id", "order_key"))[0]
+    day = F.to_date("created_at").alias("_day")
+    changed = updated.filter(F.col("updated_at") != F.col("created_at")).select(day).distinct()
+    rewrite_days(updated.withColumn("_day", day).join(changed, "_day", "left_semi").drop("_day"), path, "vendor_id", "created_at")
+    return _pages(t, read_mart(t.spark, path))

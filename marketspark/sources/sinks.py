@@ -10,17 +10,45 @@ key into few files; a key with a large part of a day spans several of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _clustered(df: DataFrame, key: str, ts_col: str):
+    out = df.withColumn("date", F.to_date(F.col(ts_col)))
+    return (out.repartitionByRange("date", key, F.col(ts_col).desc())
+            .sortWithinPartitions("date", key, F.col(ts_col).desc()).write.partitionBy("date"))
+
+
 def write_mart(df: DataFrame, path: str, key: str, ts_col: str, mode: str = "overwrite") -> None:
     """Write `df` under `path`, partitioned by the day of `ts_col`,
     clustered by `key` and sorted by (key, ts desc) inside files."""
-    out = df.withColumn("date", F.to_date(F.col(ts_col)))
-    (out.repartitionByRange("date", key, F.col(ts_col).desc())
-        .sortWithinPartitions("date", key, F.col(ts_col).desc())
-        .write.mode(mode).partitionBy("date").parquet(path))
+    _clustered(df, key, ts_col).mode(mode).parquet(path)
+
+
+def rewrite_days(df: DataFrame, path: str, key: str, ts_col: str) -> None:
+    """Replace the days that `df` has rows of, and leave the files of all
+    other days as they are (dynamic partition overwrite). `df` holds those
+    days whole; it may be derived from the mart itself, because the old files
+    go only after the new ones are complete."""
+    _clustered(df, key, ts_col).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_mart(spark: SparkSession, path: str, key: str | None = None, value: str | None = None,
+              first_day: dt.date | None = None, last_day: dt.date | None = None) -> DataFrame:
+    """A mart's rows, of one key value and of some days if given: days choose
+    folders, the key is compared with the files' minima and maxima, so only
+    the files that can hold such rows are read."""
+    rows = spark.read.parquet(path)
+    if first_day is not None:
+        rows = rows.filter(F.col("date") >= F.lit(first_day))
+    if last_day is not None:
+        rows = rows.filter(F.col("date") <= F.lit(last_day))
+    if key is not None:
+        rows = rows.filter(F.col(key) == F.lit(value))
+    return rows.drop("date")
 
 
 def write_marts(root: str, orders: DataFrame, vendor_orders: DataFrame, payments: DataFrame,

@@ -231,3 +231,14 @@ def test_cart_events_without_user_or_product(spark):
     got = {(r["user_id"], r["product_id"]): r["qty"] for r in C.cart_state(df).collect()}
     assert got == {("u", "p"): 2, ("u", "q"): 0}
     assert C.cart_state(df.limit(0)).count() == 0
+
+
+def test_foreign_keys_in_one_pass(spark):
+    parent = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    other = spark.createDataFrame([(1,)], "no int")
+    child = spark.createDataFrame([("a", "x", 1), ("b", "a", 2), ("z", None, None), ("z", "x", 2), (None, "x", 1)], "p string, q string, o int")
+    checks = {"child": (child, [("p", parent, "id"), ("q", parent, "id"), ("o", other, "no")]), "none": (child.limit(0), [("p", parent, "id")])}
+    df = J.check_foreign_keys(checks)
+    assert {r["check"]: r["n_orphans"] for r in df.collect()} == {"child.p": 2, "child.q": 3, "child.o": 2, "none.p": 0}
+    empty = {"child": (child, [("p", parent.limit(0), "id")])}
+    assert [tuple(r) for r in J.check_foreign_keys(empty).collect()] == [("child.p", 4)]
