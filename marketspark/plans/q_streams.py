@@ -29,15 +29,16 @@ def q_stream_order_intake(t):
 def q_stream_cart_state(t):
     """M2: cart lines from the cart event stream (twin: cart_state)."""
     base = M.replay_to_sink(t.cart_events(), "cart", "ts", M.stream_cart_state, "update", M.cart_batch)
-    return (M.read_latest(t.spark, f"{base}/sink", ["user_id"], M.CART_OUT)
-             .filter(F.col("row_kind") == "line")
+    return (M.read_carts(t.spark, f"{base}/sink")
              .select("user_id", "product_id", "qty", "added_at", "added_seq", "name", "price"))
 
 
 @query("stream_subscriptions")
 def q_stream_subscriptions(t):
-    """M3: subscription rows from the event stream (twin: subscription_state)."""
-    base = M.replay_to_sink(t.subscription_events(), "subs", "ts", M.stream_subscriptions, "update", M.ledger_batch)
+    """M3: subscription rows from the event stream, which a clock tick ends
+    (twin: subscription_state)."""
+    events = t.subscription_events()
+    base = M.replay_to_sink(events.unionByName(M.tick(events)), "subs", "ts", M.stream_subscriptions, "update", M.ledger_batch)
     return M.read_latest(t.spark, f"{base}/sink", ["vendor_id"], M.SUB_OUT).drop("n_late", "row_kind", "late_seq", "late_kind")
 
 

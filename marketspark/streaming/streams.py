@@ -18,23 +18,20 @@ live in the query's checkpoint location, also under spark.checkpoint.dir.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
-import decimal
 import inspect
-import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import orders as O
 from ..operators import promotions as G
-from ..operators import subscriptions as H
 from ..session import scratch_path, ship_package
+from .stateful import CART_OUT, SUB_OUT, Cart, Ledger
 
 # ---- replay and sink helpers ------------------------------------------------
 
@@ -95,13 +92,35 @@ def _sink_writer(base: str, transform: Transform | None = None):
     return write
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKSDB):
+    """The state store of queries started inside: a query takes the setting
+    over when it starts."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, provider)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+
+
 def run_to_sink(stream: DataFrame, base: str, output_mode: str = "append",
                 transform: Transform | None = None) -> None:
-    """Run `stream` on what its source holds that is new (availableNow)."""
-    q = (stream.writeStream.outputMode(output_mode)
-         .option("checkpointLocation", f"{base}/_checkpoint")
-         .foreachBatch(_sink_writer(base, transform))
-         .trigger(availableNow=True).start())
+    """Run `stream` on what its source holds that is new (availableNow). State
+    is kept in RocksDB, which the keyed state of M2 and M3 needs; the
+    session's own choice of store is put back."""
+    with state_store(stream.sparkSession):
+        q = (stream.writeStream.outputMode(output_mode)
+             .option("checkpointLocation", f"{base}/_checkpoint")
+             .foreachBatch(_sink_writer(base, transform))
+             .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -198,172 +217,63 @@ def intake_batch(products: DataFrame, live: DataFrame | None = None, keep_days:
 
 # ---- M2: cart state ----------------------------------------------------------
 
-CART_OUT = ("user_id string, product_id string, qty int, added_at timestamp_ntz, added_seq long, "
-            "name string, price decimal(18,2), original_price decimal(18,2), vendor string, row_kind string")
-CART_STATE = "cart string"
-
-
-def _order_key(ts, seq) -> list:
-    return [int(pd.Timestamp(ts).value), int(seq)]
-
-
-_NO_LINE = {"qty": None, "added_at": None, "added_seq": None, "name": None, "price": None,
-            "original_price": None, "vendor": None}
-
-
-def _cart_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply one user's events of this micro-batch, in (ts, seq) order, to
-    the cart kept in state (product -> line, plus the last applied event).
-
-    Emits the whole cart (row_kind 'line'), one 'marker' row so that an
-    emptied cart replaces the old one, and every event that arrives after
-    a later event was already applied as a 'late' row: it is set aside,
-    not folded in out of order."""
-    user = key[0]
-    st = json.loads(state.get[0]) if state.exists else {"lines": {}, "last": None}
-    lines, last = st["lines"], st["last"]
-    ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-    late = []
-    for r in ev.itertuples(index=False):
-        k = _order_key(r.ts, r.seq)
-        if last is not None and k <= last:
-            late.append(r)
-            continue
-        last = k
-        p, kind, q = r.product_id, r.kind, int(r.qty) if pd.notna(r.qty) else 0
-        if kind == "clear":
-            lines = {}
-        elif kind == "remove" or (kind == "set" and q <= 0):
-            lines.pop(p, None)
-        elif kind == "set":
-            if p in lines:
-                lines[p]["qty"] = q
-        elif kind == "add":
-            if p in lines:
-                lines[p]["qty"] += q
-            else:
-                snap = r.snap if isinstance(r.snap, dict) else (r.snap.asDict() if r.snap is not None else {})
-                lines[p] = {"qty": q, "ts": pd.Timestamp(r.ts).isoformat(), "seq": int(r.seq),
-                            "name": snap.get("name"),
-                            "price": None if snap.get("price") is None else str(snap.get("price")),
-                            "original": None if snap.get("original_price") is None else str(snap.get("original_price")),
-                            "vendor": snap.get("vendor")}
-    state.update((json.dumps({"lines": lines, "last": last}),))
-    empty = _NO_LINE
-    rows = [{"user_id": user, "product_id": p, "qty": v["qty"], "added_at": pd.Timestamp(v["ts"]),
-             "added_seq": v["seq"], "name": v["name"],
-             "price": None if v["price"] is None else decimal.Decimal(v["price"]),
-             "original_price": None if v["original"] is None else decimal.Decimal(v["original"]),
-             "vendor": v["vendor"], "row_kind": "line"} for p, v in lines.items()]
-    rows.append({"user_id": user, "product_id": None, **empty, "row_kind": "marker"})
-    rows += [{"user_id": user, "product_id": r.product_id, **empty, "qty": None if pd.isna(r.qty) else int(r.qty),
-              "added_at": pd.Timestamp(r.ts), "added_seq": int(r.seq), "row_kind": "late"} for r in late]
-    yield pd.DataFrame(rows)
-
-
 def stream_cart_state(events: DataFrame) -> DataFrame:
-    """M2: cart per user with applyInPandasWithState (state = the user's
-    lines, bounded by the distinct products in one cart, and the last event
-    applied, kept as long as the user may send one). No timeout: an event
-    time timeout would drop late events unseen, and a processing time
-    timeout keeps an availableNow run from ending."""
+    """M2: changes of the carts' lines, with one state entry per (user,
+    product). Events without a user, or but for clears without a product,
+    change nothing (C1). No timeout: an entry lives as long as its line."""
     ship_package(events.sparkSession)
-    return (events.groupBy("user_id")
-                  .applyInPandasWithState(_cart_fold, CART_OUT, CART_STATE, "update",
-                                          GroupStateTimeout.NoTimeout))
+    e = events.filter(F.col("user_id").isNotNull() & ((F.col("kind") == "clear") | F.col("product_id").isNotNull()))
+    return (e.select("user_id", "ts", "seq", "kind", "product_id", F.col("qty").cast("double").alias("qty"), "snap.name",
+                     F.col("snap.price").cast("decimal(18,2)").alias("price"),
+                     F.col("snap.original_price").cast("decimal(18,2)").alias("original_price"), "snap.vendor")
+             .groupBy("user_id").transformWithStateInPandas(Cart(), CART_OUT, "Update", "None"))
+
+
+def read_carts(spark: SparkSession, sink: str) -> DataFrame:
+    """The lines that the cart job's table stands for: each line's last row,
+    unless the user's cart was cleared in a later batch."""
+    if not folder_exists(spark, sink):
+        return spark.createDataFrame([], CART_OUT)
+    rows = spark.read.parquet(sink)
+    # a clear is its user's row without product; the last row per line, marked with its user's last clear
+    cleared = rows.filter(F.col("row_kind") == "clear").groupBy("user_id").agg(F.max("_batch").alias("_cleared"))
+    line = rows.filter(F.col("row_kind") != "clear").groupBy("user_id", "product_id").agg(
+        F.max_by(F.struct(*[c for c in rows.columns if c not in ("user_id", "product_id", "batch_id")]), "_batch").alias("r"))
+    return (line.join(cleared, "user_id", "left").select("user_id", "product_id", "r.*", "_cleared")
+                .filter((F.col("row_kind") == "line") & (F.col("_cleared").isNull() | (F.col("_batch") >= F.col("_cleared"))))
+                .drop("_batch", "_cleared"))
 
 
 def cart_batch(batch: DataFrame) -> Batch:
-    """Carts, and beside them the events that came too late to be applied."""
+    """Changed lines, and beside them the events that came too late to be
+    applied."""
     late = F.col("row_kind") == "late"
     return {"sink": batch.filter(~late), "late": batch.filter(late)}
 
 
 # ---- M3: subscription ledger ---------------------------------------------------
 
-SUB_OUT = ("vendor_id string, plan string, status string, access_started_at timestamp_ntz, "
-           "current_period_start timestamp_ntz, access_ends_at timestamp_ntz, last_payment_at timestamp_ntz, "
-           "updated_at timestamp_ntz, n_payments long, n_late long, row_kind string, late_seq long, late_kind string")
-SUB_STATE = "ledger string"
-_DAY = pd.Timedelta(days=1)
-
-
-def _ledger_fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply one vendor's subscription events in (ts, seq) order, exactly as
-    the payment / management calls do, keeping the row in state. An event
-    older than the last applied one is not applied: it is counted, and
-    emitted as a 'late' row. The state is one row per vendor, for as long as
-    the vendor exists."""
-    st = json.loads(state.get[0]) if state.exists else {"row": None, "last": None, "late": 0}
-    s, last, n_late = st["row"], st["last"], st["late"]
-    ev = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-    T = pd.Timestamp
-    late = []
-    for r in ev.itertuples(index=False):
-        k = _order_key(r.ts, r.seq)
-        if last is not None and k <= last:
-            n_late += 1
-            late.append({"vendor_id": key[0], "plan": r.plan, "updated_at": T(r.ts), "row_kind": "late",
-                         "late_seq": int(r.seq), "late_kind": r.kind})
-            continue
-        last = k
-        ts = T(r.ts)
-        if r.kind == "trial":
-            if s is None:
-                s = {"plan": "trial", "status": "trial", "started": ts.isoformat(), "cps": ts.isoformat(),
-                     "end": (ts + H.TRIAL_DAYS * _DAY).isoformat(), "last_pay": None, "updated": ts.isoformat(),
-                     "launch": 0, "n_pay": 0}
-            continue
-        if s is None:
-            continue
-        if r.kind == "refund":          # gives a launch slot back, leaves the row as it is
-            s["launch"] -= r.plan == "launch" and s["launch"] > 0
-            continue
-        end = T(s["end"])
-        if r.kind == "pay":
-            plan = r.plan
-            if plan not in H.PLAN_DAYS:
-                continue
-            if plan == "launch" and s["launch"] >= H.LAUNCH_LIMIT:
-                continue
-            start = max(end, ts)
-            s.update(plan=plan, status="active", cps=start.isoformat(),
-                     end=(start + H.PLAN_DAYS[plan] * _DAY).isoformat(), last_pay=ts.isoformat(),
-                     n_pay=s["n_pay"] + 1, launch=s["launch"] + (plan == "launch"))
-        elif r.kind == "grant":
-            d = r.days
-            if pd.isna(d) or not (H.GRANT_MIN_DAYS <= int(d) <= H.GRANT_MAX_DAYS):
-                continue
-            s["end"] = (max(end, ts) + int(d) * _DAY).isoformat()
-            s["status"] = "suspended" if s["status"] == "suspended" else ("trial" if s["plan"] == "trial" else "active")
-        elif r.kind == "suspend":
-            s["status"] = "suspended"
-        elif r.kind == "cancel":
-            s["status"] = "cancelled"
-        elif r.kind == "resume":
-            s["status"] = "trial" if s["plan"] == "trial" else "active"
-        else:
-            continue
-        s["updated"] = ts.isoformat()
-    state.update((json.dumps({"row": s, "last": last, "late": n_late}),))
-    columns = [c.strip().split(" ")[0] for c in SUB_OUT.split(",")]
-    if late:
-        yield pd.DataFrame(late, columns=columns)
-    if s is None:
-        return
-    yield pd.DataFrame([{"vendor_id": key[0], "plan": s["plan"], "status": s["status"],
-                         "access_started_at": T(s["started"]), "current_period_start": T(s["cps"]),
-                         "access_ends_at": T(s["end"]),
-                         "last_payment_at": None if s["last_pay"] is None else T(s["last_pay"]),
-                         "updated_at": T(s["updated"]), "n_payments": s["n_pay"], "n_late": n_late, "row_kind": "row"}], columns=columns)
-
-
-def stream_subscriptions(events: DataFrame) -> DataFrame:
-    """M3: subscription row per vendor, stateful per vendor."""
+LEDGER_DELAY = "7 days"
+
+
+def stream_subscriptions(events: DataFrame, delay: str = LEDGER_DELAY) -> DataFrame:
+    """M3: subscription row per vendor as of the watermark, which runs
+    `delay` behind the newest event. Events without a vendor are clock ticks:
+    they advance the watermark, so a quiet ledger is applied to its end. (The
+    state passes them over; a filter would be pushed below the watermark.)
+
+    The watermark's own column is dropped before the state: the engine then
+    drops no rows by it, and late events come out as rows."""
     ship_package(events.sparkSession)
-    return (events.groupBy("vendor_id")
-                  .applyInPandasWithState(_ledger_fold, SUB_OUT, SUB_STATE, "update",
-                                          GroupStateTimeout.NoTimeout))
+    return (events.withColumn("_at", F.col("ts").cast("timestamp")).withWatermark("_at", delay).drop("_at")
+                  .select("vendor_id", "ts", "seq", "kind", "plan", "days")
+                  .groupBy("vendor_id").transformWithStateInPandas(Ledger(), SUB_OUT, "Update", "EventTime"))
+
+
+def tick(events: DataFrame, days: int = 8) -> DataFrame:
+    """A clock tick `days` after the newest event."""
+    at = events.agg((F.max("ts") + F.make_dt_interval(F.lit(days))).alias("ts"))
+    return at.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields])
 
 
 def ledger_batch(batch: DataFrame) -> Batch:
@@ -413,6 +323,6 @@ def stream_promo_tag(views: DataFrame, promotions: DataFrame) -> DataFrame:
     return G.promo_impressions(views, promotions)
 
 
-__all__ = ["replay_to_sink", "run_to_sink", "folder_exists", "read_latest", "read_all", "stream_order_intake", "intake_batch",
-           "stream_cart_state", "cart_batch", "stream_subscriptions", "ledger_batch", "stream_status", "stream_wishlist",
+__all__ = ["replay_to_sink", "run_to_sink", "state_store", "folder_exists", "read_latest", "read_all", "stream_order_intake", "intake_batch",
+           "stream_cart_state", "read_carts", "cart_batch", "tick", "stream_subscriptions", "ledger_batch", "stream_status", "stream_wishlist",
            "wishlist_from_counts", "stream_promo_tag"]

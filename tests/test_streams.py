@@ -1,8 +1,18 @@
 """Stream over several micro-batches = batch over their union."""
 
+import datetime as dt
+import uuid
+from decimal import Decimal
+
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import rows_of
+from marketspark.operators import subscriptions as H
+from marketspark.operators.cart import cart_state
+from marketspark.session import scratch_path
+from marketspark.streaming import streams as M
+from marketspark.streaming.stateful import compact
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -18,31 +28,99 @@ def test_stream_equals_batch(spark, entry, stream_key, batch_key):
     assert rows_of(s) == rows_of(b)
 
 
-def test_late_events_are_set_aside_not_applied():
-    """A cart event older than one already applied is emitted as 'late'."""
-    import datetime as dt
-    import pandas as pd
-    from marketspark.streaming.streams import _cart_fold
+T0 = dt.datetime(2024, 1, 1)
+CART = ("user_id string, seq long, ts timestamp_ntz, kind string, product_id string, qty int, "
+        "snap struct<name:string,price:decimal(18,2),original_price:decimal(18,2),vendor:string>")
 
-    class S:
-        exists, get = False, None
 
-        def update(self, v):
-            self.exists, self.get = True, v
+def _cart_runs(spark, batches):
+    """The cart job over the batches, one run each: (lines, late seqs, rows of the last run)."""
+    src, base = scratch_path(spark, "cart-src-" + uuid.uuid4().hex), scratch_path(spark, "cart-base-" + uuid.uuid4().hex)
+    for rows in batches:
+        spark.createDataFrame(rows, CART).coalesce(1).write.mode("append").parquet(src)
+        M.run_to_sink(M.stream_cart_state(spark.readStream.schema(CART).parquet(src)), base, "update", M.cart_batch)
+    lines = sorted((r.user_id, r.product_id, r.qty, r.added_seq, r.name, r.price) for r in M.read_carts(spark, f"{base}/sink").collect())
+    late = sorted(r.added_seq for r in M.read_all(spark, f"{base}/late", M.CART_OUT).collect())
+    return lines, late, spark.read.parquet(f"{base}/sink").filter(F.col("batch_id") == len(batches) - 1).collect()
+
+
+def _add(user, seq, product, qty, kind="add", name="n"):
+    return (user, seq, T0 + dt.timedelta(minutes=seq), kind, product, qty, (name, Decimal("1.50"), None, "v"))
+
+
+def test_cart_state_is_kept_per_line(spark):
+    """Late events are set aside; a clear empties lines that the batch does not
+    name; a batch writes only the lines it changes."""
+    batches = [[_add("u", 2, "p1", 2), _add("u", 3, "p2", 1), _add("w", 3, "p1", 1)],
+               [_add("u", 1, None, None, "clear"), _add("u", 4, "p1", 1, name="later"), _add("u", 5, "p1", 9, "remove"),
+                _add("u", 6, "p1", 4, name="again"), _add("u", 7, "p2", 0, "set"), _add(None, 8, "p1", 1), _add("u", 9, None, 1)],
+               [_add("w", 10, "p1", 5, "set"), _add("w", 11, "p9", 5, "set"), _add("u", 12, None, None, "clear"), _add("u", 13, "p3", 1)]]
+    lines, late, _ = _cart_runs(spark, batches[:2])
+    assert late == [1]
+    assert lines == [("u", "p1", 4, 6, "again", Decimal("1.50")), ("w", "p1", 1, 3, "n", Decimal("1.50"))]
+    lines, late, last = _cart_runs(spark, batches)
+    assert lines == [("u", "p3", 1, 13, "n", Decimal("1.50")), ("w", "p1", 5, 3, "n", Decimal("1.50"))]
+    assert sorted((r.user_id, r.product_id, r.row_kind) for r in last if r.product_id) == [("u", "p3", "line"), ("w", "p1", "line")]
+
+
+def test_one_user_with_very_many_events_in_a_batch(spark):
+    """100,000 events of one user: the stream agrees with the batch fold."""
+    e = spark.range(100_000).select(
+        F.lit("u").alias("user_id"), F.col("id").alias("seq"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id"))).cast("timestamp_ntz").alias("ts"),
+        F.expr("CASE WHEN id = 60000 THEN 'clear' ELSE element_at(array('add', 'add', 'set', 'remove', 'add', 'add', 'add'), cast(1 + xxhash64(id) % 3 + 3 as int)) END").alias("kind"),
+        F.expr("'p' || (xxhash64(id, 1) % 20000)").alias("product_id"), F.expr("cast(1 + pmod(id, 5) as int)").alias("qty"),
+        F.expr("named_struct('name', 'n' || id, 'price', cast(id as decimal(18,2)), 'original_price', cast(null as decimal(18,2)), 'vendor', 'v')").alias("snap"))
+    base = M.replay_to_sink(e.repartition(8), "many", "ts", M.stream_cart_state, "update", M.cart_batch, n_batches=1)
+    got = sorted((r.product_id, r.qty, r.added_seq, r.name) for r in M.read_carts(spark, f"{base}/sink").collect())
+    assert got == sorted((r.product_id, r.qty, r.added_seq, r.snap["name"]) for r in cart_state(e).collect()) and len(got) > 1000
+
+
+def test_compact_drops_nothing_that_counts():
+    """The chunk summary is a fixed point of any split of a user's events."""
+    import random
 
-    t0 = dt.datetime(2024, 1, 1)
-    snap = {"name": "n", "price": 1, "original_price": None, "vendor": "v"}
-    b1 = pd.DataFrame([("u", 2, t0 + dt.timedelta(minutes=2), "add", "p1", 2, snap)],
-                      columns=["user_id", "seq", "ts", "kind", "product_id", "qty", "snap"])
-    b2 = pd.DataFrame([("u", 1, t0 + dt.timedelta(minutes=1), "clear", None, None, None),
-                       ("u", 3, t0 + dt.timedelta(minutes=3), "add", "p1", 1, snap)],
-                      columns=b1.columns)
-    st = S()
-    list(_cart_fold(("u",), iter([b1]), st))
-    out = list(_cart_fold(("u",), iter([b2]), st))[0]
-    lines = out[out.row_kind == "line"]
-    assert list(lines.qty) == [3]                         # the late clear did not empty the cart
-    assert list(out[out.row_kind == "late"].added_seq) == [1]
+    import pandas as pd
+    rnd = random.Random(3)
+    for _ in range(100):
+        ev = pd.DataFrame([(i, i, rnd.choice(["add", "add", "set", "remove", "clear"]), rnd.choice("ab"), rnd.randint(-1, 3)) for i in range(rnd.randint(1, 12))],
+                          columns=["us", "seq", "kind", "product_id", "qty"])
+        mixed = ev.sample(frac=1, random_state=rnd.randint(0, 99))
+        cut = rnd.randint(0, len(ev))
+        held = compact(mixed[:cut]) if cut else mixed[:0]
+        whole = compact(pd.concat([held, mixed[cut:]], ignore_index=True))
+        assert whole.values.tolist() == compact(ev).values.tolist()
+
+
+LEDGER = "vendor_id string, seq long, ts timestamp_ntz, kind string, plan string, days int, notes string"
+
+
+def test_ledger_in_any_order_inside_the_watermark(spark):
+    """Shuffled arrival gives the batch ledger; only what the watermark has
+    passed is late; nothing is applied before its turn."""
+    import random
+    rnd = random.Random(5)
+    ev = [(f"v{v}", -1, T0, "trial", None, None, None) for v in range(3)]
+    for i in range(90):
+        kind = rnd.choice(["pay", "grant", "suspend", "resume", "cancel", "refund"])
+        ev.append((f"v{rnd.randrange(3)}", i, T0 + dt.timedelta(hours=3 * i + 1), kind,
+                   rnd.choice(["launch", "monthly", "annual"]) if kind in ("pay", "refund") else None, rnd.randint(0, 40), None))
+    log = spark.createDataFrame(ev, LEDGER)
+    want = {r.vendor_id: r.asDict() for r in (lambda c: H.subscription_state(c, H.renewal_periods(c)))(H.classify_events(log)).collect()}
+    arrival = sorted(ev, key=lambda e: (e[2] + dt.timedelta(hours=rnd.randrange(140)), e[1]))   # less than the delay of 7 days
+    src, base = scratch_path(spark, "led-src-" + uuid.uuid4().hex), scratch_path(spark, "led-base-" + uuid.uuid4().hex)
+
+    def run(rows):
+        spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(src)
+        M.run_to_sink(M.stream_subscriptions(spark.readStream.schema(LEDGER).parquet(src)), base, "update", M.ledger_batch)
+
+    for i in range(0, len(arrival), 40):
+        run(arrival[i:i + 40])
+    assert M.read_all(spark, f"{base}/late", LEDGER).count() == 0
+    run(M.tick(log).collect())
+    run([("v0", 500, T0, "suspend", None, None, None)])
+    got = {r.vendor_id: r.asDict() for r in M.read_latest(spark, f"{base}/sink", ["vendor_id"], M.SUB_OUT).collect()}
+    assert {v: {k: r[k] for k in want[v]} for v, r in got.items()} == want
+    assert [(r.vendor_id, r.late_seq) for r in M.read_all(spark, f"{base}/late", LEDGER).collect()] == [("v0", 500)]
 
 
 def test_intake_stream_drops_repeated_requests(spark):
@@ -94,23 +172,6 @@ def test_rejected_requests_and_rows_without_time_are_kept(spark):
     assert rejected == {("r2", "sign_in_required"), ("r3", "unavailable")}
 
 
-def test_late_events_are_readable(spark):
-    """Events older than the last applied one land in the late tables."""
-    import datetime as dt
-    from marketspark.streaming import streams as M
-    from marketspark.session import scratch_path
-
-    t0 = dt.datetime(2024, 1, 1)
-    schema = "vendor_id string, seq long, ts timestamp_ntz, kind string, plan string, days int, notes string"
-    src, base = scratch_path(spark, "late-src"), scratch_path(spark, "late-base")
-    for rows in ([("v1", 1, t0, "trial", None, None, None), ("v1", 3, t0 + dt.timedelta(days=3), "pay", "monthly", None, None)],
-                 [("v1", 2, t0 + dt.timedelta(days=1), "suspend", None, None, None)]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        M.run_to_sink(M.stream_subscriptions(spark.readStream.schema(schema).parquet(src)), base, "update", M.ledger_batch)
-    assert [(r.vendor_id, r.late_seq, r.late_kind) for r in M.read_all(spark, f"{base}/late", "a int").collect()] == [("v1", 2, "suspend")]
-    assert [r.status for r in M.read_latest(spark, f"{base}/sink", ["vendor_id"], M.SUB_OUT).collect()] == ["active"]
-
-
 def test_missing_sink_is_empty_but_other_errors_surface(spark):
     from marketspark.session import scratch_path
     from marketspark.streaming import streams as M
