@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import expr as K
 from .ranking import rank_within, top_k_per_group
+from .search import SEARCH, as_searches, candidates, row_hash
 
-# ---- fixed values: per-page defaults of the price slider -----------------
-PRICE_CAP_STORE = 150000
-PRICE_CAP_KITCHEN = 100000
-PRICE_CAP_VARIETY = 50000
 FEATURED_DEFAULT = 6
 FEATURED_HOME = 8
 SHELF_SIZE = 4
@@ -104,24 +101,25 @@ def sort_products(products: DataFrame, mode: str, group: str = "vendor", page: s
 # ---- B6, B7: many browse requests at once -----------------------------------------
 
 def browse_matches(requests: DataFrame, products: DataFrame) -> DataFrame:
-    """Products matching each browse request. `page` is 'store' (search over
+    """Products matching each browse request, found through the inverted
+    index of `search` and then checked exactly. `page` is 'store' (search over
     name and category with the query trimmed, no stock filter) or a vendor
     page (name, description and category, query untrimmed, optional
     in-stock filter)."""
-    r = requests.select("request_id", F.col("vendor").alias("_rv"), "q", "categories", "max_price",
-                        "in_stock_only", "sort", "page")
+    r = as_searches(requests.select("request_id", "vendor", "q", "categories", "max_price", "in_stock_only", "sort", "page"))
     p = products.select("id", "vendor", "name", "description", "category", "price", "in_stock",
                         "review_count", "rating", "pos")
-    j = p.join(r, p["vendor"] == r["_rv"], "inner")
-    store = F.col("page") == "store"
-    raw_q = F.coalesce(F.col("q"), F.lit(""))
-    q = F.lower(F.when(store, F.trim(raw_q)).otherwise(raw_q))
+    found = candidates(r, p)
+    p = p.withColumn("_row", row_hash(p)).drop("vendor")
+    j = (r.join(found.withColumnsRenamed({"id": "_id", "row": "_row"}), SEARCH)
+          .join(p.withColumnRenamed("_row", "_prow"), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("_prow"))))
+    store, q = F.col("_store"), F.col("_q")
     has = lambda c: F.coalesce(F.contains(F.lower(c), q), F.lit(False))
     hit = has("name") | has("category") | (~store & has("description"))
     cats_ok = (F.coalesce(F.array_size("categories"), F.lit(0)) == 0) | F.array_contains("categories", F.col("category"))
     stock_ok = store | ~F.coalesce(F.col("in_stock_only"), F.lit(False)) | F.coalesce(F.col("in_stock"), F.lit(False))
     keep = ((q == "") | hit) & F.coalesce(cats_ok, F.lit(False)) & (F.col("price") <= F.col("max_price")) & stock_ok
-    return j.filter(keep).drop("_rv")
+    return j.filter(keep).drop("_id", "_row", "_prow", "_store", "_q", "_cats")
 
 
 def browse_many(requests: DataFrame, products: DataFrame) -> DataFrame:
