@@ -20,6 +20,8 @@ id and row hash); null vendors match nothing; characters are code points.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +42,11 @@ def row_hash(products: DataFrame) -> Column:
     return F.xxhash64(*[F.col(c) for c in products.columns])
 
 
-def search_index(products: DataFrame) -> DataFrame:
+def search_index(products: DataFrame, lengths: Iterable[int] = range(1, RUN + 1)) -> DataFrame:
     """(vendor, by, key, id, row, main): by 'text' or 'category'; main is
-    false where only the description holds the run."""
-    runs = lambda c: F.flatten(F.array(*[_runs(F.lower(F.col(c)), n) for n in range(1, RUN + 1)]))
+    false where only the description holds the run. lengths: of the runs
+    that will be asked for."""
+    runs = lambda c: F.flatten(F.array(F.array().cast("array<string>"), *[_runs(F.lower(F.col(c)), n) for n in lengths]))
     main = F.array_distinct(F.concat(F.array(F.lit("")), runs("name"), runs("category")))
     entry = lambda by, key, is_main: F.struct(F.lit(by).alias("by"), key.alias("key"), F.lit(is_main).alias("main"))
     p = products.select("vendor", "id", row_hash(products).alias("row"), "category", main.alias("_main"), runs("description").alias("_more"))
@@ -89,7 +92,9 @@ def candidates(searches: DataFrame, products: DataFrame) -> DataFrame:
     """(search columns, id, row) of the products that each search has to
     look at."""
     wanted = wanted_keys(searches.filter(F.col("vendor").isNotNull()).select(*SEARCH).distinct())
-    entries = (search_index(products).join(wanted.select(*ENTRY).distinct(), ENTRY, "left_semi")
+    # at most RUN numbers: lengths that no search asks for need no entries
+    asked = searches.select(F.least(F.char_length("_q"), F.lit(RUN)).alias("n")).filter("n > 0").distinct().collect()
+    entries = (search_index(products, sorted(x["n"] for x in asked)).join(wanted.select(*ENTRY).distinct(), ENTRY, "left_semi")
                .groupBy(*ENTRY, "id", "row").agg(F.max("main").alias("main")))
     ensure_checkpoint_dir(products.sparkSession)
     entries = entries.checkpoint(eager=True)  # counted, then joined
