@@ -150,16 +150,18 @@ def train(labelled: DataFrame, *, lang_col: str = "lang", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = np.array(b.column(0).to_pylist(), dtype=object)
-            ids = GramIds(max_gram)
-            words = [text_words(t) for t in b.column(1).to_pylist()]
-            code = ids.add([w for doc in words for w in doc])
-            of = np.repeat(langs, [len(doc) for doc in words])
-            for lang in sorted(set(langs)):
-                n = ids.counts(code[of == lang])
-                seen = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(seen), pa.string()), pa.array([key_gram(k) for k in ids.keys[seen].tolist()], pa.string()),
-                     pa.array(n[seen].astype(np.int64))], names=["lang", "gram", "n"])
+            texts = b.column(1).to_pylist()
+            for lo, hi in text_slices(texts, _SLICE_BYTES):     # bounded, whatever a batch of texts holds
+                ids = GramIds(max_gram)
+                words = [text_words(t) for t in texts[lo:hi]]
+                code = ids.add([w for doc in words for w in doc])
+                of = np.repeat(langs[lo:hi], [len(doc) for doc in words])
+                for lang in sorted(set(langs[lo:hi])):
+                    n = ids.counts(code[of == lang])
+                    seen = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(seen), pa.string()), pa.array([key_gram(k) for k in ids.keys[seen].tolist()], pa.string()),
+                         pa.array(n[seen].astype(np.int64))], names=["lang", "gram", "n"])
 
     counts = sample.mapInArrow(tidy(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= profile_size)
