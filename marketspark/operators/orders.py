@@ -180,7 +180,8 @@ def canonical_lines(screened: DataFrame, products: DataFrame, live: DataFrame |
 def availability_check(screened: DataFrame, products: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """D5 as a per-request table: requested ids, matched ids, ok flag."""
     n = _matched(screened, products, live).groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"))
-    asked = screened.select("request_id", F.col("n_requested").cast("bigint").alias("n_requested")).filter(F.col("n_requested") > 0)
+    # filtered behind a generator: below it, the filter would run the whole JSON check anew for each of its uses
+    asked = screened.select("request_id", F.inline_outer(F.array(F.struct(F.col("n_requested").cast("bigint").alias("n_requested"))))).filter(F.col("n_requested") > 0)
     return asked.join(n, "request_id", "left").select(
         "request_id", "n_requested", F.coalesce(F.col("_n"), F.lit(0)).alias("n_matched"),
         (F.col("n_requested") == F.coalesce(F.col("_n"), F.lit(0))).alias("available"))

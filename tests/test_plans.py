@@ -38,3 +38,9 @@ def test_catalogue_join_pushes_in_stock_filter(spark, entry):
     p = _plan(O.catalogue_for_orders(df))
     pushed = p.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThan(p_size,10)" in pushed and "IsNotNull(p_retailprice)" in pushed
+
+
+def test_availability_check_parses_each_item_list_once_a_side(spark, entry):
+    """A filter on the number of lines must not repeat the JSON check below it."""
+    p = entry.queries()["availability_check"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("from_json(") <= 2
