@@ -1,38 +1,34 @@
 """Keyed state of the cart (M2) and ledger (M3) streams, for
-transformWithStateInPandas on the RocksDB state store: state is read and
-written entry by entry and need not fit in memory."""
+transformWithState on the RocksDB state store: state is read and written
+entry by entry and need not fit in memory. A key's rows are folded one by
+one; data frames per key would cost more than most keys' rows."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import subscriptions as H
 
-NEVER = np.iinfo(np.int64).min                # pandas' value of a missing time, before all others
+NEVER = np.iinfo(np.int64).min                # stands for a missing time, before all others
 DAY_US = 86_400_000_000
+_EPOCH = dt.datetime(1970, 1, 1)
 
 
-def micros(ts: pd.Series) -> np.ndarray:
-    return ts.astype("datetime64[us]").astype("int64").to_numpy()
-
-
-def _time(us) -> pd.Timestamp | None:
-    return None if us is None or us == NEVER else pd.Timestamp(int(us), unit="us")
-
-
-def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="object") for c in columns})
+def _time(us) -> dt.datetime | None:
+    return None if us is None or us == NEVER else _EPOCH + dt.timedelta(microseconds=us)
 
 
 # ---- M2 ------------------------------------------------------------------------
 
 CART_OUT = ("user_id string, product_id string, qty int, added_at timestamp_ntz, added_seq long, "
             "name string, price decimal(18,2), original_price decimal(18,2), vendor string, row_kind string")
-CART_COLUMNS = [c.split()[0] for c in CART_OUT.replace("(18,2)", "").split(",")]
+_cart_row = Row(*[c.split()[0] for c in CART_OUT.replace("(18,2)", "").split(",")])
 CART_LINE = ("qty long, added_us long, added_seq long, name string, price decimal(18,2), "
              "original_price decimal(18,2), vendor string")
 
@@ -62,12 +58,28 @@ def compact(ev: pd.DataFrame) -> pd.DataFrame:
     return ev[keep].reset_index(drop=True)
 
 
+_EVENT = ["us", "seq", "kind", "product_id", "qty", "name", "price", "original_price", "vendor"]
+_CHUNK = 10_000            # events of a user held before they are first summed up
+
+
+def _in_order(e: tuple):
+    return e[0], e[1], e[2] is None, e[2] or "", e[3] is None, e[3] or ""
+
+
+def summed_up(events: list[tuple]) -> list[tuple]:
+    """compact() of events as tuples."""
+    kept = compact(pd.DataFrame({c: pd.Series(v, dtype="float64" if c == "qty" else "int64" if c in ("us", "seq") else "object")
+                                 for c, v in zip(_EVENT, zip(*events))}))
+    kept["qty"] = kept["qty"].astype("object").where(kept["qty"].notna(), None)
+    return list(kept.itertuples(index=False, name=None))
+
+
 class Cart(StatefulProcessor):
     """One entry per product of the user's cart, and the last event applied.
 
-    A micro-batch's events of a user are folded as C1 does: the summary of
-    the chunks read so far holds only what can still decide a line, so a
-    user with any number of events between resets costs the adds since then.
+    A micro-batch's events of a user are folded as C1 does, in order. What is
+    held of them is summed up as it grows to what can still decide a line, so
+    a user with any number of events between resets costs the adds since then.
     Only the products named in the batch are read and written.
 
     Rows out: `line` (a product's line as it is now), `gone` (its line went),
@@ -79,62 +91,69 @@ class Cart(StatefulProcessor):
         self.lines = handle.getMapState("lines", "product_id string", CART_LINE)
         self.last = handle.getValueState("last", "us long, seq long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         user = key[0]
-        last = self.last.get() if self.last.exists() else None
-        held, newest = None, None
-        for chunk in rows:
-            ev = chunk.drop(columns="user_id").assign(us=micros(chunk["ts"]))
-            if last is not None:
-                old = (ev["us"] < last[0]) | ((ev["us"] == last[0]) & (ev["seq"] <= last[1]))
-                if old.any():
-                    yield self._late(user, ev[old])
-                    ev = ev[~old]
-            if len(ev):
-                us = ev["us"].max()
-                top = (int(us), int(ev.loc[ev["us"] == us, "seq"].max()))
-                newest = top if newest is None else max(newest, top)
-                held = compact(ev if held is None else pd.concat([held, ev], ignore_index=True))
+        last = self.last.get()
+        newest = None
+        held: list[tuple] = []
+        most = _CHUNK
+        for r in rows:
+            us, seq = NEVER if r.us is None else r.us, NEVER if r.seq is None else r.seq
+            if last is not None and (us, seq) <= (last[0], last[1]):
+                yield _cart_row(user, r.product_id, None if r.qty is None else int(r.qty), _time(us), r.seq, None, None, None, None, "late")
+                continue
+            if newest is None or (us, seq) > newest:
+                newest = us, seq
+            held.append((us, seq, r.kind, r.product_id, r.qty, r.name, r.price, r.original_price, r.vendor))
+            if len(held) > most:
+                held = summed_up(held)
+                most = max(_CHUNK, 2 * len(held))
         if newest is not None:
             self.last.update(newest)
-            yield _frame(list(self._apply(user, held)), CART_COLUMNS)
-
-    def _late(self, user, ev: pd.DataFrame) -> pd.DataFrame:
-        return _frame([{"user_id": user, "product_id": r.product_id, "qty": None if pd.isna(r.qty) else int(r.qty),
-                        "added_at": _time(r.us), "added_seq": int(r.seq), "row_kind": "late"}
-                       for r in ev.itertuples(index=False)], CART_COLUMNS)
-
-    def _apply(self, user, ev: pd.DataFrame) -> Iterator[dict]:
-        cleared, reset = resets(ev)
-        if cleared >= 0:
-            self.lines.clear()
-            yield {"user_id": user, "row_kind": "clear"}
-        ev = ev.assign(at=np.arange(len(ev)), reset=reset.to_numpy())
-        for product, g in ev[ev["kind"] != "clear"].groupby("product_id"):
-            was = None
-            if cleared < 0 and self.lines.containsKey((product,)):
-                was = self.lines.getValue((product,))
-            since = int(g["reset"].iloc[0])
-            g = g[g["at"] > since]
-            adds, sets = g[g["kind"] == "add"], g[g["kind"] == "set"]
-            line = was if since < 0 else None
-            if line is None and len(adds):
-                a = adds.iloc[0]
-                line = (0, int(a["us"]), int(a["seq"]), a["name"], a["price"], a["original_price"], a["vendor"])
-                sets = sets[sets["at"] > a["at"]]
-            if line is None:
-                if was is not None:
-                    self.lines.removeKey((product,))
-                    yield {"user_id": user, "product_id": product, "row_kind": "gone"}
+            yield from self._apply(user, held, last is not None)
+
+    def _apply(self, user, events: list[tuple], known: bool) -> Iterator[Row]:
+        """The rows out of one user's events; `known`: there may be lines of
+        earlier batches."""
+        before: dict[str, tuple | None] = {}       # of the products named since the last clear
+        lines: dict[str, list | None] = {}
+        cleared, at = False, None
+        for us, seq, kind, product, qty, *snap in sorted(events, key=_in_order):
+            if (us, seq) == at:
                 continue
-            qty = int(line[0])
-            if len(sets):
-                qty = int(sets["qty"].iloc[-1])
-                adds = adds[adds["at"] > sets["at"].iloc[-1]]
-            line = (qty + int(adds["qty"].fillna(0).sum()), *line[1:])
-            self.lines.updateValue((product,), line)
-            yield {"user_id": user, "product_id": product, "qty": line[0], "added_at": _time(line[1]), "added_seq": line[2],
-                   "name": line[3], "price": line[4], "original_price": line[5], "vendor": line[6], "row_kind": "line"}
+            at = us, seq
+            if kind == "clear":
+                cleared = True
+                before.clear()
+                lines.clear()
+                continue
+            removal = kind == "remove" or (kind == "set" and qty is not None and qty <= 0)
+            if product is None or not (removal or kind == "add" or (kind == "set" and qty is not None)):
+                continue
+            if product not in lines:
+                was = self.lines.getValue((product,)) if known and not cleared else None
+                before[product] = was
+                lines[product] = None if was is None else list(was)
+            line = lines[product]
+            if removal:
+                lines[product] = None
+            elif kind == "add":
+                if line is None:
+                    line = lines[product] = [0, us, seq, *snap]
+                line[0] += int(qty or 0)
+            elif line is not None:
+                line[0] = int(qty)
+        if cleared:
+            if known:
+                self.lines.clear()
+            yield _cart_row(user, None, None, None, None, None, None, None, None, "clear")
+        for product, line in lines.items():
+            if line is not None:
+                self.lines.updateValue((product,), tuple(line))
+                yield _cart_row(user, product, line[0], _time(line[1]), *line[2:], "line")
+            elif before[product] is not None:
+                self.lines.removeKey((product,))
+                yield _cart_row(user, product, None, None, None, None, None, None, None, "gone")
 
 
 # ---- M3 ------------------------------------------------------------------------
@@ -142,7 +161,7 @@ class Cart(StatefulProcessor):
 SUB_OUT = ("vendor_id string, plan string, status string, access_started_at timestamp_ntz, "
            "current_period_start timestamp_ntz, access_ends_at timestamp_ntz, last_payment_at timestamp_ntz, "
            "updated_at timestamp_ntz, n_payments long, n_late long, row_kind string, late_seq long, late_kind string")
-SUB_COLUMNS = [c.split()[0] for c in SUB_OUT.split(",")]
+_sub_row = Row(*[c.split()[0] for c in SUB_OUT.split(",")])
 SUB_ROW = ("plan string, status string, started long, period long, ends long, paid long, updated long, "
            "launch int, n_payments long")
 SUB_EVENT = "us long, seq long, kind string, plan string, days int"
@@ -190,28 +209,32 @@ class Ledger(StatefulProcessor):
         self.waiting = handle.getListState("waiting", SUB_EVENT)
         self.n_late = handle.getValueState("n_late", "n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         if key[0] is None:
             return
         mark = timerValues.getCurrentWatermarkInMs()
-        due = None
-        for chunk in rows:
-            us = micros(chunk["ts"])
-            late = us // 1000 <= mark
-            if late.any():
-                old = chunk[late]
-                self.n_late.update(((self.n_late.get()[0] if self.n_late.exists() else 0) + len(old),))
-                yield _frame([{"vendor_id": key[0], "plan": r.plan, "updated_at": r.ts if pd.notna(r.ts) else None, "row_kind": "late",
-                               "late_seq": int(r.seq), "late_kind": r.kind} for r in old.itertuples(index=False)], SUB_COLUMNS)
-            new = chunk[~late].assign(us=us[~late])
-            if len(new):
-                self.waiting.appendList([(int(r.us), int(r.seq), r.kind, r.plan, None if pd.isna(r.days) else int(r.days))
-                                         for r in new.itertuples(index=False)])
-                due = min(x for x in (due, int(new["us"].min()) // 1000) if x is not None)
+        due, n_late = None, 0
+        new: list[tuple] = []
+        for r in rows:
+            us = NEVER if r.us is None else r.us
+            if us // 1000 <= mark:
+                n_late += 1
+                yield _sub_row(key[0], r.plan, None, None, None, None, None, _time(us), None, None, "late", r.seq, r.kind)
+                continue
+            new.append((us, r.seq, r.kind, r.plan, r.days))
+            due = us // 1000 if due is None else min(due, us // 1000)
+            if len(new) == _CHUNK:
+                self.waiting.appendList(new)
+                new = []
+        if n_late:
+            before = self.n_late.get()
+            self.n_late.update(((before[0] if before else 0) + n_late,))
+        if new:
+            self.waiting.appendList(new)
         if due is not None:                   # every waiting event has a timer at or before its time
             self.handle.registerTimer(due)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         mark = timerValues.getCurrentWatermarkInMs()
         events = sorted({tuple(e) for e in self.waiting.get()}, key=lambda e: (e[0], e[1], str(e[2:])))
         due = [e for e in events if e[0] // 1000 <= mark]
@@ -223,13 +246,13 @@ class Ledger(StatefulProcessor):
             self.waiting.put(rest)
             self.handle.registerTimer(rest[0][0] // 1000)
         names = [c.split()[0] for c in SUB_ROW.split(",")]
-        s = dict(zip(names, self.row.get())) if self.row.exists() else None
+        row = self.row.get()
+        s = None if row is None else dict(zip(names, row))
         for us, _, kind, plan, days in due:
             s = ledger_step(s, us, kind, plan, days)
         if s is None:
             return
         self.row.update(tuple(s[c] for c in names))
-        yield _frame([{"vendor_id": key[0], "plan": s["plan"], "status": s["status"], "access_started_at": _time(s["started"]),
-                       "current_period_start": _time(s["period"]), "access_ends_at": _time(s["ends"]), "last_payment_at": _time(s["paid"]),
-                       "updated_at": _time(s["updated"]), "n_payments": s["n_payments"],
-                       "n_late": self.n_late.get()[0] if self.n_late.exists() else 0, "row_kind": "row"}], SUB_COLUMNS)
+        n_late = self.n_late.get()
+        yield _sub_row(key[0], s["plan"], s["status"], _time(s["started"]), _time(s["period"]), _time(s["ends"]), _time(s["paid"]),
+                       _time(s["updated"]), s["n_payments"], n_late[0] if n_late else 0, "row", None, None)

@@ -214,3 +214,58 @@ def test_every_request_of_the_stream_ends_up_in_a_table(spark):
     again = M.intake_batch(products)(_requests(spark, batches[1]), past)
     assert sorted(r.request_id for r in again["sink"].collect()) == ["d"]
     assert sorted(r.request_id for r in again["late"].collect()) == ["old"]
+
+
+class _Kept:
+    """State of one key, held in memory: what the state classes call of it."""
+
+    def __init__(self):
+        self.value, self.map, self.reads = None, {}, 0
+
+    def getMapState(self, *_):
+        return self
+
+    getValueState = getMapState
+
+    def get(self):
+        return self.value
+
+    def update(self, v):
+        self.value = v
+
+    def getValue(self, k):
+        self.reads += 1
+        return self.map.get(k)
+
+    def updateValue(self, k, v):
+        self.map[k] = v
+
+    def removeKey(self, k):
+        self.map.pop(k, None)
+
+    def clear(self):
+        self.map.clear()
+
+
+def test_cart_rows_are_folded_one_by_one(monkeypatch):
+    """Rows, no data frame per user; summing up what is held changes nothing;
+    a new user's lines are not looked up."""
+    import random
+
+    from pyspark.sql import Row
+    from marketspark.streaming import stateful
+    rnd = random.Random(7)
+    event = Row("user_id", "us", "seq", "kind", "product_id", "qty", "name", "price", "original_price", "vendor")
+    ev = [event("u", i // 3, i, rnd.choice(["add", "add", "add", "set", "remove", "clear"] if i % 9 else ["add"]), f"p{rnd.randrange(4)}",
+                float(rnd.randint(-1, 3)), f"n{i}", Decimal(i), None, "v") for i in range(400)]
+    runs = []
+    for most in (5, 10_000):
+        monkeypatch.setattr(stateful, "_CHUNK", most)
+        cart, kept, out = stateful.Cart(), _Kept(), []
+        cart.init(kept)
+        for part in (ev[:200], ev[200:], ev[:3]):
+            out.append(sorted(map(str, cart.handleInputRows(("u",), iter(rnd.sample(part, len(part))), None))))
+            assert len(out) > 1 or kept.reads == 0
+        assert all("late" in r for r in out[2]) and len(out[2]) == 3
+        runs.append((out[:2], kept.map, kept.value))
+    assert runs[0] == runs[1] and runs[0][1]
