@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 LIVE = ("trial", "active")
 
 
@@ -87,8 +89,34 @@ def live_at(rows: DataFrame, intervals: DataFrame, vendor_col: str, at_col: str,
     keyed = rows.withColumn("_day", F.to_date(at))
     cut = cut.withColumnsRenamed({"vendor_id": "_vendor", "_day": "_on"})
     found = keyed.join(cut, (F.col(vendor_col) == F.col("_vendor")) & (F.col("_day") == F.col("_on")), "left")
-    live = F.exists("_spans", lambda s: (s["_from"] <= at) & (at < s["_to"]))
-    return found.withColumn("live", F.coalesce(live, F.lit(False))).drop("_day", "_vendor", "_on", "_spans")
+    return found.withColumn("live", live_within(F.col("_spans"), at)).drop("_day", "_vendor", "_on", "_spans")
+
+
+FEW_SPANS = 64             # spans of a vendor that travel with each of its products
+FEW_INTERVALS = 1024       # intervals of a vendor that one task may merge
+
+
+def vendor_spans(intervals: DataFrame, most: int = FEW_SPANS, merged: int = FEW_INTERVALS) -> DataFrame:
+    """(vendor_id, _spans, _busy), one row per vendor of the disjoint
+    `intervals`: its spans in order, intervals that touch being one. A vendor
+    of more than `merged` intervals or `most` spans has none listed and is
+    busy: its rows are left to `live_at`. Cut off its lineage, as it is
+    small and read more than once."""
+    n = intervals.groupBy("vendor_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("vendor_id").isNotNull())
+    few = intervals.join(n.filter(F.col("_n") <= merged).select("vendor_id"), "vendor_id")
+    own = Window.partitionBy("vendor_id").orderBy("live_from")
+    part = F.sum(F.when(F.lag("live_to").over(own) == F.col("live_from"), 0).otherwise(1)).over(own)
+    listed = (few.withColumn("_part", part).groupBy("vendor_id", "_part").agg(F.min("live_from").alias("_from"), F.max("live_to").alias("_to"))
+              .groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_spans"))
+              .filter(F.size("_spans") <= most))
+    ensure_checkpoint_dir(intervals.sparkSession)
+    return (n.select("vendor_id").join(listed, "vendor_id", "left").withColumn("_busy", F.col("_spans").isNull())
+            .checkpoint(eager=True))
+
+
+def live_within(spans: Column, at: Column) -> Column:
+    """Whether one of the spans holds the time; false for none or no time."""
+    return F.coalesce(F.exists(spans, lambda s: (s["_from"] <= at) & (at < s["_to"])), F.lit(False))
 
 
 def visible_orders(orders: DataFrame, viewer: Viewer) -> DataFrame:
