@@ -378,9 +378,9 @@ def whatsapp_outbox(vendor_orders: DataFrame, vendors: DataFrame) -> DataFrame:
               "Please reply with the delivery cost and bank account details to complete the order.\n"
               "Thank you! 🙏"))
     number = K.wa_digits(F.col("_wa"))
-    return j.select(F.col("id").alias("vendor_order_id"), "vendor_id", number.alias("number"),
-                    msg.alias("message"),
-                    F.concat(F.lit("https://wa.me/"), number, F.lit("?text="), K.uri_component(msg)).alias("url"))
+    # behind a generator: else the message would be made anew for the link, and its items be read again
+    made = j.select(F.col("id").alias("vendor_order_id"), "vendor_id", number.alias("number"), F.explode(F.array(msg)).alias("message"))
+    return made.withColumn("url", F.concat(F.lit("https://wa.me/"), F.col("number"), F.lit("?text="), K.uri_component("message")))
 
 
 def product_inquiry_link(products: DataFrame, vendors: DataFrame) -> DataFrame:

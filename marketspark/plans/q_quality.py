@@ -47,7 +47,7 @@ def q_check_not_null(t):
 @query("reconcile_orders")
 def q_reconcile_orders(t):
     """Orders reconciled with their vendor orders."""
-    it = intake(t)
+    it = intake(t).keep()
     return J.reconcile_orders(it.orders(), it.vendor_orders())
 
 
@@ -55,7 +55,7 @@ def q_reconcile_orders(t):
 def q_write_marts(t):
     """Orders, vendor orders and payments written as marts; the rows and
     amounts of each mart and day as read back."""
-    it = intake(t)
+    it = intake(t).keep()
     pays = H.renewal_periods(H.classify_events(t.subscription_events())).filter(F.col("kind") == "pay")
     paths = write_marts(scratch_path(t.spark, f"marts-{uuid.uuid4().hex}"), it.orders(), it.vendor_orders(),
                         pays.select("vendor_id", "seq", "plan", "amount", "period_start", "period_end"))

@@ -62,3 +62,8 @@ def test_vendors_of_many_spans_are_met_by_day(spark, monkeypatch):
         got = sorted(r.request_id for r in O.intake(asked, _products(spark), live).orders().collect())
         want = want or got
         assert got == want and 0 < len(got) < len(rows)
+
+
+def test_messages_are_made_once(spark, entry):
+    p = entry.queries()["whatsapp_outbox"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("from_json(") == 2           # the request's items and the vendor order's
