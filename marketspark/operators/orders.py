@@ -24,12 +24,14 @@ Shape of the plan (one request = one row until the product lookup):
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as K
+from ..session import scratch_path
 from .visibility import live_at, live_within, vendor_spans
 
 MAX_ITEMS = 50
@@ -243,6 +245,7 @@ class Intake:
     screened: DataFrame      # every request with its reason (null = passed D1-D3)
     matched: DataFrame       # lines that match a product, of accepted requests or not
     requests: DataFrame      # the raw requests
+    kept: DataFrame | None = None      # placed(), when it is stored
 
     @property
     def lines(self) -> DataFrame:
@@ -252,6 +255,8 @@ class Intake:
     def placed(self) -> DataFrame:
         """`lines` for those who need the headers: these come as one row per
         request through the exchange of the lines, not on every line."""
+        if self.kept is not None:
+            return self.kept
         header = F.struct("user_id", "requested_at", *header_columns())
         heads = self.screened.filter(header_reason(self.screened).isNull()).select("request_id", header_hash().alias("_head"), header.alias("_header"))
         rows = self.matched.select(*MATCHED_COLS).unionByName(heads, allowMissingColumns=True)
@@ -263,6 +268,16 @@ class Intake:
                 .withColumn("_header", F.last("_header", ignorenulls=True).over(request.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
                 .filter(is_line).select("request_id", "_header", *LINE_COLS))
 
+    def keep(self) -> Intake:
+        """The intake with its accepted lines stored, for jobs that build both
+        orders and vendor orders: each alone would run the intake anew, as
+        they need different columns or are written by jobs of their own."""
+        spark = self.matched.sparkSession
+        path = scratch_path(spark, f"placed-{uuid.uuid4().hex}")
+        rows = self.placed()
+        rows.write.parquet(path)
+        return replace(self, kept=spark.read.schema(rows.schema).parquet(path))
+
     def orders(self) -> DataFrame:
         """D6 + D7: one order row per accepted request."""
         # grouping by more than request_id keeps the partitioning from the

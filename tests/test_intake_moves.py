@@ -67,3 +67,13 @@ def test_vendors_of_many_spans_are_met_by_day(spark, monkeypatch):
 def test_messages_are_made_once(spark, entry):
     p = entry.queries()["whatsapp_outbox"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("from_json(") == 2           # the request's items and the vendor order's
+
+
+def test_orders_and_vendor_orders_share_one_intake(spark, entry):
+    rows = [_request("a", ["p1", "p2"]), _request("b", ["gone", "p2"]), _request("c", ["p3"], name="Bo"), _request(None, ["p4"]), _request("c", ["p3"], name="Bo")]
+    it = O.intake(spark.createDataFrame(rows, REQUEST), _products(spark))
+    kept = it.keep()
+    for of in (O.Intake.orders, O.Intake.vendor_orders):
+        assert sorted(map(str, of(kept).collect())) == sorted(map(str, of(it).collect())) and of(kept).columns == of(it).columns
+    p = entry.queries()["reconcile_orders"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in p and "l_orderkey" not in p
