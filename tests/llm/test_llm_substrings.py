@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import clashing, doc, frame, odd_docs, words
 
@@ -318,3 +319,34 @@ def test_probe_stops_only_where_the_alignment_does():
         if not chaining.goes_on(x[near], y[near], [(10, 10, 6)], 50):
             assert not list(chaining.good_passages(x, y, [(66, 66, 6)], 50, 0.8))
             assert chaining.align_chain(x, y, [(66, 66, 6)])[4:] == chaining.align_chain(x[near], y[near], [(10, 10, 6)])[4:]
+
+
+def test_first_of_equals_matches_brute_force():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 2, 7, 300):
+        for wide in (1, 4, 400):
+            key = np.sort(rng.integers(0, wide, n))
+            ord_ = np.arange(n) // 3
+            cols = [key, ord_, np.arange(n), key * 5]
+            edge = np.unique(np.concatenate([[0, n], rng.integers(0, n + 1, 9)]))
+            batches = [pa.RecordBatch.from_arrays([pa.array(c[lo:hi]) for c in cols], names=list("kopx")) for lo, hi in zip([0, *edge[:-1]], edge)]
+            got = [r for c, a, p in substring_dedup.first_of_equals(iter(batches)) for r in zip(*(x.tolist() for x in (*c, a, p)))]
+            first = {k: i for i, k in reversed(list(enumerate(key.tolist())))}
+            assert got == [(k, i // 3, i, 5 * k, first[k] // 3, first[k]) for i, k in enumerate(key.tolist()) if (key == k).sum() > 1]
+
+
+def test_seeds_that_no_other_text_has_are_not_stored(spark, monkeypatch):
+    """They are most of the seeds: stored and moved twice, they filled the disk."""
+    rng = random.Random(13)
+    own = [doc(i, " ".join(words(rng, 400, 10**6))) for i in range(30)]
+    part = words(rng, 80, 10**6)
+    rows = own + [doc(30 + i, " ".join(words(rng, 20, 10**6) + part)) for i in range(2)]
+    stored, keep = {}, substring_dedup.materialize
+    def count(df, name):
+        out = keep(df, name)
+        stored[name] = out.count()
+        return out
+    monkeypatch.setattr(substring_dedup, "materialize", count)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.passage_report(frame(spark, rows)).collect()}
+    assert got[31] >= 78 and sum(got.values()) == got[31]
+    assert 0 < max(stored.values()) <= 2 * 80
