@@ -107,12 +107,15 @@ def parse_items(df: DataFrame, items_col: str = "items") -> DataFrame:
 
 def merge_lines_col(lines: Column) -> Column:
     """D3 inside the row: one entry per product id with qty summed.
-    At most 50 lines per request, so the quadratic filter is tiny."""
+    At most 50 lines per request, so the quadratic filter is tiny; it is left
+    to lists that name a product twice."""
     ids = F.array_distinct(F.transform(lines, lambda l: l["id"]))
-    return F.transform(ids, lambda pid: F.struct(
+    merged = F.transform(ids, lambda pid: F.struct(
         pid.alias("product_id"),
         F.aggregate(F.filter(lines, lambda l: l["id"] == pid), F.lit(0).cast("int"),
                     lambda acc, l: acc + l["qty"]).alias("qty")))
+    as_they_are = F.transform(lines, lambda l: F.struct(l["id"].alias("product_id"), l["qty"].alias("qty")))
+    return F.when(F.size(F.array_compact(ids)) == F.size(lines), as_they_are).otherwise(merged)
 
 
 def screen_requests(requests: DataFrame) -> DataFrame:
@@ -260,9 +263,11 @@ class Intake:
         header = F.struct("user_id", "requested_at", *header_columns())
         heads = self.screened.filter(header_reason(self.screened).isNull()).select("request_id", header_hash().alias("_head"), header.alias("_header"))
         rows = self.matched.select(*MATCHED_COLS).unionByName(heads, allowMissingColumns=True)
-        # a header stands before its lines; only those of accepted requests are copied
-        request = Window.partitionBy("request_id").orderBy("_head", F.col("product_id").isNotNull())
-        n_ok, is_line = F.col("_n_ok"), F.col("product_id").isNotNull()
+        # a header stands before its lines; only those of accepted requests are copied. _line is a
+        # column, as an expression would be another one for each window, with a sort of its own
+        rows = rows.withColumn("_line", F.col("product_id").isNotNull())
+        request = Window.partitionBy("request_id").orderBy("_head", "_line")
+        n_ok, is_line = F.col("_n_ok"), F.col("_line")
         return (rows.withColumn("_n_ok", F.count("product_id").over(request.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
                 .filter(F.when(is_line, n_ok == F.col("n_requested")).otherwise(n_ok > 0))
                 .withColumn("_header", F.last("_header", ignorenulls=True).over(request.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -350,21 +355,23 @@ def order_response(it: Intake) -> DataFrame:
 
     Built from the vendor orders grouped by request_id - the partitioning
     they already have, so no exchange and no join back to the orders: the
-    order total is the sum of its vendor subtotals (exact in decimal)."""
+    order total is the sum of its vendor subtotals (exact in decimal). The
+    items are JSON already and are put in as they are, not read and written
+    again."""
     vo = it.vendor_orders()
     j = (vo.groupBy("request_id")
            .agg(F.first("order_id").alias("order_id"),
                 F.sum("subtotal").cast("decimal(38,2)").alias("total"),
                 F.array_sort(F.collect_list(F.struct(
                     F.col("vendor_id"), F.col("id"), F.col("items"), F.col("subtotal"), F.col("status")))).alias("_p")))
-    vendor_orders = F.transform("_p", lambda x: F.struct(
-        x["id"].alias("id"), x["vendor_id"].alias("vendorId"),
-        F.from_json(x["items"], "array<struct<id:string,vendor:string,name:string,price:decimal(18,2),"
-                                "image:string,size:string,qty:int>>").alias("items"),
-        x["subtotal"].alias("total"), x["status"].alias("status")))
-    body = F.struct(F.col("order_id").alias("orderId"), F.col("total").alias("total"),
-                    vendor_orders.alias("vendorOrders"))
-    return j.select("order_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("response"))
+
+    def opened(**cols):          # an object's text, without its last brace; no value ends in one
+        return F.rtrim(F.to_json(F.struct(*[c.alias(n) for n, c in cols.items()]), {"ignoreNullFields": "false"}), F.lit("}"))
+    vendor_orders = F.transform("_p", lambda x: F.concat(
+        opened(id=x["id"], vendorId=x["vendor_id"]), F.lit(',"items":'), x["items"],
+        F.lit(","), F.substring(opened(total=x["subtotal"], status=x["status"]), 2, 1 << 30), F.lit("}")))
+    return j.select("order_id", F.concat(opened(orderId=F.col("order_id"), total=F.col("total")), F.lit(',"vendorOrders":['),
+                                         F.array_join(vendor_orders, ","), F.lit("]}")).alias("response"))
 
 
 def whatsapp_outbox(vendor_orders: DataFrame, vendors: DataFrame) -> DataFrame:

@@ -77,3 +77,32 @@ def test_orders_and_vendor_orders_share_one_intake(spark, entry):
         assert sorted(map(str, of(kept).collect())) == sorted(map(str, of(it).collect())) and of(kept).columns == of(it).columns
     p = entry.queries()["reconcile_orders"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in p and "l_orderkey" not in p
+
+
+def test_lines_are_sorted_once_by_request(spark, entry):
+    p = entry.queries()["split_by_vendor"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[request_id#\d+ ASC NULLS FIRST, _head", p)) == 1
+
+
+def test_response_takes_the_items_as_they_are(spark):
+    products = spark.createDataFrame([("p1", "v1", 'A "b" \\ é\n', Decimal("1.50"), True, None, "5ml"), ("p2", "v2", None, Decimal(2), True, "i.jpg", None)], PRODUCT)
+    df = O.order_response(O.intake(spark.createDataFrame([_request("a", ["p1", "p2", "p1"])], REQUEST), products))
+    # the request's own list is the only text read
+    assert df._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+    (row,) = df.collect()
+    line = {"image": None, "size": None}
+    assert json.loads(row.response) == {"orderId": row.order_id, "total": 5.0, "vendorOrders": [
+        {"id": f"{row.order_id}/v1", "vendorId": "v1", "total": 3.0, "status": "pending",
+         "items": [{**line, "id": "p1", "vendor": "v1", "name": 'A "b" \\ é\n', "price": 1.5, "size": "5ml", "qty": 2}]},
+        {"id": f"{row.order_id}/v2", "vendorId": "v2", "total": 2.0, "status": "pending",
+         "items": [{**line, "id": "p2", "vendor": "v2", "name": None, "price": 2.0, "image": "i.jpg", "qty": 1}]}]}
+
+
+def test_merge_of_distinct_and_repeated_lines(spark):
+    rows = [([("a", 1), ("b", 2)],), ([("a", 1), ("b", 2), ("a", 3)],), ([],), (None,), ([(None, 4), ("b", 2)],)]
+    df = spark.createDataFrame(rows, "lines array<struct<id:string,qty:int>>")
+    got = [None if r.m is None else [tuple(x) for x in r.m] for r in df.select(O.merge_lines_col(df["lines"]).alias("m")).collect()]
+    assert got == [[("a", 1), ("b", 2)], [("a", 4), ("b", 2)], [], None, [(None, 0), ("b", 2)]]
+    # lists without repeats, nearly all, are taken over without a search per line
+    p = df.select(O.merge_lines_col(df["lines"]).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (size(" in p
