@@ -90,8 +90,8 @@ def apply_status_changes(vendor_orders: DataFrame, changes: DataFrame) -> tuple[
     verdict = changes.withColumn("reason", reason)
     latest = (verdict.filter(F.col("reason").isNull())
               .groupBy("order_key", "vendor_id")
-              .agg(F.max_by(F.struct("status", "status_note", "ts"),
-                            F.struct("ts", "seq", "status", "status_note")).alias("_c")))
+              .agg(F.max(F.struct("ts", "seq", "status", "status_note")).alias("_m"))
+              .select("order_key", "vendor_id", F.struct("_m.status", "_m.status_note", "_m.ts").alias("_c")))
     return set_latest(vendor_orders, latest), verdict
 
 
