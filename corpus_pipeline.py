@@ -53,11 +53,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     language and keep those with one: ``und`` and scores below
     MIN_LANGUAGE_SCORE are rejected. lang becomes the predicted language."""
     profiles = lang_id.train(docs)
-    keep = [c for c in docs.columns if c != "text"]
-    rows = docs.select("text", *keep, F.col("text").alias("_cp_text"))
-    out = lang_id.predict(rows, profiles, keep=[*keep, "_cp_text"])
+    out = lang_id.predict(docs, profiles, keep=docs.columns)
     kept = out.where((F.col("lang_pred") != lang_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return (kept.withColumn("lang", F.col("lang_pred")).withColumnRenamed("_cp_text", "text").select(*docs.columns))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 @_passing

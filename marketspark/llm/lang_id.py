@@ -184,11 +184,12 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], *, text_col: str =
             profile_size: int = PROFILE_SIZE, keep: list[str] | None = None) -> DataFrame:
     """docs' columns ``keep`` (default: all but the text) with lang_pred
     and score: the share of the greatest possible distance that the best
-    language stays below."""
+    language stays below. A kept text is sent to the workers once."""
     spark = docs.sparkSession
     ship(spark)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
+    sent = [text_col, *(c for c in keep if c != text_col)]
     langs = sorted(profiles)
     fixed = {lang: {gram_key(g): i for i, g in enumerate(profiles[lang])} for lang in langs}
 
@@ -217,10 +218,11 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], *, text_col: str =
                     best = int(d.argmin())
                     pred[lo + i] = langs[best]
                     score[lo + i] = 1.0 - float(d[best]) / (profile_size * len(top))
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+            cols = dict(zip(sent, b.columns))
+            yield pa.RecordBatch.from_arrays([*(cols[c] for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                                              names=[*keep, "lang_pred", "score"])
 
-    out = docs.select(F.col(text_col).alias("_li_text"), *keep)
+    out = docs.select(*sent)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return out.mapInArrow(tidy(run), (fields + ", " if fields else "") + "lang_pred string, score double")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ragged, ship, text_slices, tidy
+from .common import drop_kept, kept, materialize, ragged, ship, text_slices, tidy
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
@@ -43,7 +43,6 @@ _SLICE_BYTES = 2_000_000   # text that is tokenised at once
 #: Latin letters. The tokenizer's own pattern splits exactly between them
 #: and a full stop or comma that follows.
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_worker: dict = {}
 
 
 def default_tokenizer_path() -> str:
@@ -137,15 +136,16 @@ def encode_ids(texts: list[bytes], path: str, remember: int = REMEMBER_WORDS) ->
     """Token ids of all texts, concatenated, and their number per text.
     White space is a boundary for this tokenizer, so every distinct word is
     encoded once and remembered."""
-    if getattr(_worker.get("encoder"), "path", None) != path:
-        _worker["encoder"] = _Encoder(path)
+    worker = kept("packing")
+    if getattr(worker.get("encoder"), "path", None) != path:
+        worker["encoder"] = _Encoder(path)
     words: list[bytes] = []
     per = np.empty(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
         w = t.split()
         per[i] = len(w)
         words += w
-    out, n = _worker["encoder"].encode(words, remember)
+    out, n = worker["encoder"].encode(words, remember)
     total = np.concatenate([[0], np.cumsum(n)])
     bound = np.concatenate([[0], np.cumsum(per)])
     return out, total[bound[1:]] - total[bound[:-1]]
@@ -190,7 +190,7 @@ def pieces(docs: DataFrame, *, sequence_tokens: int = SEQUENCE_TOKENS, end_id: i
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(tidy(run), _PIECE_SCHEMA + (", ids array<int>" if with_ids else "")))
+            .mapInArrow(tidy(run, "packing"), _PIECE_SCHEMA + (", ids array<int>" if with_ids else "")))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +240,7 @@ _OUT = _PIECE_SCHEMA.replace("doc_id long,", "doc_id long, _pk_none boolean,") +
 
 def _pack_task(capacity: int, round_no: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        drop_kept()
         # longest first; the order is fixed, so a rerun of the task gives the same bins
         pdf = pdf.sort_values(["length", "_pk_none", "doc_id", "piece", "start", "ids_crc32"],
                               ascending=[False, True, True, True, True, True], kind="stable", ignore_index=True)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 from llm_helpers import clashing, doc, frame, odd_docs, words
 
-from marketspark.llm import packing
+from marketspark.llm import common, packing
 
 
 def tokenizer():
@@ -30,6 +30,23 @@ def test_ids_equal_the_tokenizer():
     assert at == len(flat)
 
 
+def test_a_reused_worker_drops_the_encoder():
+    path = packing.default_tokenizer_path()
+
+    def run(batches):
+        for b in batches:
+            yield packing.encode_ids([b], path)[1].tolist()
+
+    common.drop_kept()
+    assert list(common.tidy(run, "packing")([b"one two"])) == [[2]]
+    met = common.kept("packing")["encoder"].words.code
+    assert set(met) == {b"one", b"two"}
+    list(common.tidy(run, "packing")([b"one"]))             # the operator's next task finds it
+    assert common.kept("packing")["encoder"].words.code is met
+    list(common.tidy(iter)([]))                             # another operator's task does not
+    assert not common.kept("packing")
+
+
 def slow_rule(lengths, capacity):
     bins, out = [], []
     for s in lengths:
