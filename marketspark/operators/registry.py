@@ -12,10 +12,13 @@ after the last full write.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as K
+from ..session import scratch_path
 
 # \z, not $: a final line break is no match
 VENDOR_ID_RE = r"^[a-z0-9-]{2,50}\z"
@@ -57,18 +60,23 @@ def clean_vendor_changes(changes: DataFrame, staff: DataFrame) -> DataFrame:
     c = (_with_payload(changes).withColumn("vendor_id", F.lower(F.btrim(F.coalesce(F.col("id"), F.lit("")))))
                 .withColumn("email", F.lower(F.btrim(F.coalesce(F.col("email"), F.lit("")))))
                 .withColumn("wa", K.digits(F.coalesce(F.col("whatsapp"), F.lit("")))))
-    c = c.join(admins, "email", "left")
     op = F.col("op")
-    reason = (F.when(~F.col("vendor_id").rlike(VENDOR_ID_RE), F.lit("invalid_vendor_id"))
+    # what does not ask who the admins are is told before they are joined, so
+    # that the payload moves only for those who read it
+    before = (F.when(~F.col("vendor_id").rlike(VENDOR_ID_RE), F.lit("invalid_vendor_id"))
                .when((op == "delete") & F.col("vendor_id").isin(*K.CORE_VENDORS), F.lit("core_vendor"))
                .when(op == "delete", F.lit(None))
                .when(F.coalesce(op, F.lit("")) != "upsert", F.lit("unsupported_action"))
                .when(~F.col("email").rlike(EMAIL_RE), F.lit("invalid_email"))
                .when(~F.col("wa").rlike(WHATSAPP_RE), F.lit("invalid_whatsapp"))
-               .when(K.blank_to_null(F.coalesce(F.col("name"), F.lit(""))).isNull(), F.lit("name_required"))
+               .when(K.blank_to_null(F.coalesce(F.col("name"), F.lit(""))).isNull(), F.lit("name_required")))
+    number = F.when(_not_a("decimal(3,1)", "rating") | _not_a("int", "review_count"), F.lit("invalid_number"))
+    c = c.withColumn("_before", before).withColumn("_number", number).join(admins, "email", "left")
+    reason = (F.when(F.col("_before").isNotNull(), F.col("_before"))
+               .when(op == "delete", F.lit(None))
                .when(F.col("_admin").isNotNull(), F.lit("admin_email"))
-               .when(_not_a("decimal(3,1)", "rating") | _not_a("int", "review_count"), F.lit("invalid_number")))
-    return c.withColumn("reason", reason).drop("_admin")
+               .otherwise(F.col("_number")))
+    return c.withColumn("reason", reason).drop("_admin", "_before", "_number")
 
 
 def accepted_vendor_changes(cleaned: DataFrame, vendor_orders: DataFrame) -> DataFrame:
@@ -81,12 +89,24 @@ def accepted_vendor_changes(cleaned: DataFrame, vendor_orders: DataFrame) -> Dat
     return c
 
 
-def last_vendor_change(accepted: DataFrame) -> DataFrame:
-    """Last accepted change per vendor id."""
+CHANGE_COLS = ("op", "name", *VENDOR_TEXTS, "rating", "review_count", "categories", "page", "email", "wa", "ts", "seq")
+
+
+def last_vendor_change(accepted: DataFrame, cols: tuple[str, ...] = CHANGE_COLS) -> DataFrame:
+    """Last accepted change per vendor id, with those of its columns."""
     ok = accepted.filter(F.col("reason").isNull())
-    return ok.groupBy("vendor_id").agg(F.max_by(
-        F.struct("op", "name", *VENDOR_TEXTS, "rating", "review_count", "categories", "page", "email", "wa", "ts", "seq"),
-        F.struct("ts", "seq")).alias("_c"))
+    return ok.groupBy("vendor_id").agg(F.max_by(F.struct(*cols), F.struct("ts", "seq")).alias("_c"))
+
+
+def keep_staff_changes(accepted: DataFrame) -> DataFrame:
+    """What staff and claims read of the accepted changes, stored: they read it
+    several times, and each time the order intake that tells which deletes are
+    blocked would run anew."""
+    spark = accepted.sparkSession
+    path = scratch_path(spark, f"staff-changes-{uuid.uuid4().hex}")
+    rows = accepted.filter(F.col("reason").isNull()).select("vendor_id", "op", "email", "ts", "seq", "reason")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def merge_vendors(vendors: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -159,8 +179,8 @@ def reassign_vendor_staff(staff: DataFrame, accepted: DataFrame, users: DataFram
     vendor took e over; a deleted vendor has none; untouched vendors keep
     their rows unless their e-mail was taken over. Admin rows stay."""
     ok = accepted.filter(F.col("reason").isNull())
-    last_v = last_vendor_change(accepted).select("vendor_id", F.col("_c.op").alias("_op"),
-                                                 F.col("_c.email").alias("_email"))
+    last_v = last_vendor_change(accepted, ("op", "email")).select("vendor_id", F.col("_c.op").alias("_op"),
+                                                                  F.col("_c.email").alias("_email"))
     ups = ok.filter(F.col("op") == "upsert")
     last_e = ups.groupBy("email").agg(F.max_by("vendor_id", F.struct("ts", "seq")).alias("_owner"))
     new_rows = (last_v.filter(F.col("_op") == "upsert")

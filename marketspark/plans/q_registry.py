@@ -55,7 +55,7 @@ def q_link_staff_users(t):
 @query("user_claims")
 def q_user_claims(t):
     """User claims after the registry log."""
-    acc = _accepted(t)
+    acc = R.keep_staff_changes(_accepted(t))
     staff = R.reassign_vendor_staff(t.staff(), acc, t.users())
     return R.user_claims(t.users(), staff, staff_before=t.staff(), accepted=acc)
 
