@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed
 
 
 def _cols(xs) -> list[Column]:
@@ -54,8 +54,7 @@ def _sorted_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column | s
     s = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
     s = s.sortWithinPartitions(*cols).drop(*names).withColumn("_mid", F.monotonically_increasing_id())
     s = s.withColumn("_pid", F.shiftright("_mid", 33))
-    ensure_checkpoint_dir(df.sparkSession)
-    return s.checkpoint(eager=True)
+    return checkpointed(s)
 
 
 def _with_carry(rows: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -93,6 +92,30 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
             .drop("_mid", "_pid", "_start", "_off"))
 
 
+MANY = 100_000      # rows of a group that one task may sort
+
+
+def rank_stored(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
+                rank_col: str = "rank", many: int = MANY) -> DataFrame:
+    """rank_within for a df that is cheap to evaluate again, as a stored table
+    is. Its groups are counted first; those of up to `many` rows are sorted by
+    a task each, so their rows move once and are not kept. Only the larger
+    groups go through rank_within. They are no more than rows / many, so their
+    keys are broadcast."""
+    g = list(group)
+    df = df.drop(rank_col)
+    hot = checkpointed(df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > many).drop("_n"))
+    w = Window.partitionBy(*g).orderBy(*_cols(order))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
+    if hot.isEmpty():
+        return ranked(df)
+    keys = F.broadcast(hot.withColumnsRenamed({k: f"_f_{k}" for k in g}))
+    on = [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in g]
+    return ranked(df.join(keys, on, "left_anti")).unionByName(rank_within(df.join(keys, on, "left_semi"), g, order, rank_col))
+
+
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int,
                     rank_col: str = "rank") -> DataFrame:
     """Keep the first k rows of each group, with their 1-based rank."""

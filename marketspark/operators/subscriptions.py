@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed
 from .ranking import extend_scan, rank_within, transition_scan
 
 # ---- fixed values: plans, prices (naira), lengths (days) -------------------
@@ -102,8 +102,7 @@ def classify_events(events: DataFrame) -> DataFrame:
            .withColumn("d_days", F.when(ok, d_days))
            .withColumn("amount", F.when((kind == "pay") & ok, _by_plan(PLAN_PRICES).cast("decimal(12,2)")))
            .drop("_at"))
-    ensure_checkpoint_dir(events.sparkSession)
-    return out.checkpoint(eager=True)
+    return checkpointed(out)
 
 
 def renewal_periods(classified: DataFrame) -> DataFrame:

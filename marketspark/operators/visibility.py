@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed
 
 LIVE = ("trial", "active")
 
@@ -109,9 +109,7 @@ def vendor_spans(intervals: DataFrame, most: int = FEW_SPANS, merged: int = FEW_
     listed = (few.withColumn("_part", part).groupBy("vendor_id", "_part").agg(F.min("live_from").alias("_from"), F.max("live_to").alias("_to"))
               .groupBy("vendor_id").agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_spans"))
               .filter(F.size("_spans") <= most))
-    ensure_checkpoint_dir(intervals.sparkSession)
-    return (n.select("vendor_id").join(listed, "vendor_id", "left").withColumn("_busy", F.col("_spans").isNull())
-            .checkpoint(eager=True))
+    return checkpointed(n.select("vendor_id").join(listed, "vendor_id", "left").withColumn("_busy", F.col("_spans").isNull()))
 
 
 def live_within(spans: Column, at: Column) -> Column:

@@ -15,6 +15,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shuffles_end
+
 
 def _clustered(df: DataFrame, key: str, ts_col: str):
     out = df.withColumn("date", F.to_date(F.col(ts_col)))
@@ -25,7 +27,8 @@ def _clustered(df: DataFrame, key: str, ts_col: str):
 def write_mart(df: DataFrame, path: str, key: str, ts_col: str, mode: str = "overwrite") -> None:
     """Write `df` under `path`, partitioned by the day of `ts_col`,
     clustered by `key` and sorted by (key, ts desc) inside files."""
-    _clustered(df, key, ts_col).mode(mode).parquet(path)
+    with shuffles_end(df.sparkSession):
+        _clustered(df, key, ts_col).mode(mode).parquet(path)
 
 
 def rewrite_days(df: DataFrame, path: str, key: str, ts_col: str) -> None:
@@ -33,7 +36,8 @@ def rewrite_days(df: DataFrame, path: str, key: str, ts_col: str) -> None:
     other days as they are (dynamic partition overwrite). `df` holds those
     days whole; it may be derived from the mart itself, because the old files
     go only after the new ones are complete."""
-    _clustered(df, key, ts_col).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    with shuffles_end(df.sparkSession):
+        _clustered(df, key, ts_col).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_mart(spark: SparkSession, path: str, key: str | None = None, value: str | None = None,
