@@ -29,15 +29,23 @@ def _changed(t, vendor_orders):
     return E.apply_status_changes(vendor_orders, t.status_changes().withColumnRenamed("request_id", "order_key"))[0]
 
 
+# columns of a vendor order that its page does not show
+DETAILS = ("customer_name", "customer_email", "customer_phone", "customer_address", "n_items")
+
+
 @query("my_orders")
 def q_my_orders(t):
     """Every shopper's vendor orders, newest first, with the lines and the seller's note."""
-    return _pages(t, _updated(t), stored=False)
+    # the intake, the status changes and the ranking each end before the next begins, so what they shuffle is not on disk at once
+    placed = stored(_vo(t).drop(*DETAILS), "vendor-orders")
+    updated = stored(_changed(t, placed), "updated-orders")
+    discard(placed)
+    return _pages(t, updated)
 
 
-def _pages(t, vendor_orders, stored=True):
+def _pages(t, vendor_orders):
     line = lambda x: F.concat_ws(" ", x["name"], F.lit("x"), x["qty"].cast("string"), F.lit("="), x["total"].cast("string"))
-    return E.my_orders(vendor_orders, L.normalize_vendors(t.vendors()), stored=stored).select(
+    return E.my_orders(vendor_orders, L.normalize_vendors(t.vendors()), stored=True).select(
         "user_id", "id", "vendor_name", "status_label", "status_note", F.array_join(F.transform("lines", line), "\n").alias("lines"),
         "lines_total", "n_lines", "rank")
 

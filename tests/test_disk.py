@@ -83,6 +83,12 @@ def _runs_behind_tables(spark, entry, key):
     return df
 
 
+def test_my_orders_keeps_one_table(spark, entry):
+    tables = scratch_path(spark, "")
+    before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
+    _runs_behind_tables(spark, entry, "my_orders")
+    assert [x.split("-")[0] for x in set(os.listdir(tables)) - before] == ["updated"]
+
 
 def test_marts_keep_one_table(spark, entry):
     for key in ("mart_my_orders",):
