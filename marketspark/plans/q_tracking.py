@@ -115,7 +115,7 @@ def q_mart_visible_orders(t):
 @query("mart_vendor_queue")
 def q_mart_vendor_queue(t):
     """E2 from the vendor orders mart."""
-    return E.vendor_queue(read_mart(t.spark, _stored(t, _vo(t), "vendor_id"))).select("vendor_id", "status", "id", "rank")
+    return E.vendor_queue(read_mart(t.spark, _vo_mart(t)), stored=True).select("vendor_id", "status", "id", "rank")
 
 
 @query("mart_my_orders")

@@ -91,7 +91,7 @@ def test_my_orders_keeps_one_table(spark, entry):
 
 
 def test_marts_keep_one_table(spark, entry):
-    for key in ("mart_my_orders",):
+    for key in ("mart_vendor_queue", "mart_my_orders"):
         tables = scratch_path(spark, "")
         before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
         _runs_behind_tables(spark, entry, key)
