@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import orders as O
 from ..operators import tracking as E
+from ..session import stored
 from ..sources import loaders as L
 from ..streaming import streams as M
 from .inputs import intake, live
@@ -47,10 +48,10 @@ def q_stream_status(t):
     """M4: vendor orders with the status changes of the change stream
     (twin: apply_status_changes)."""
     ch = t.status_changes().withColumnRenamed("request_id", "order_key")
-    base = M.replay_to_sink(ch, "status", "ts", M.stream_status, "update")
+    base = M.replay_to_sink(ch, "status", "ts", M.stream_status, "update", restart=False)
     latest = M.read_latest(t.spark, f"{base}/sink", ["order_key", "vendor_id"],
-                           "order_key string, vendor_id string, status string, status_note string, ts timestamp_ntz")
-    vo = intake(t).vendor_orders()
+                           "order_key string, vendor_id string, status string, status_note string, ts timestamp_ntz", single=True)
+    vo = stored(intake(t).vendor_orders().select("id", "order_id", "vendor_id", "request_id", "status", "status_note", "updated_at"), "vendor-orders")
     return E.set_latest(vo, latest.select("order_key", "vendor_id", F.struct("status", "status_note", "ts").alias("_c"))).select("id", "order_id", "vendor_id", "status", "status_note", "updated_at")
 
 

@@ -13,6 +13,7 @@ from marketspark.operators import ranking as R
 from marketspark.operators import tracking as E
 from marketspark.session import checkpointed, discard, scratch_path, stored
 from marketspark.sources.sinks import rewrite_days, write_mart
+from marketspark.streaming import streams as M
 
 SMALL = "/root/testdata/sf0.001"
 T0 = dt.datetime(2024, 1, 1)
@@ -96,3 +97,30 @@ def test_marts_keep_one_table(spark, entry):
         before = set(os.listdir(tables)) if os.path.isdir(tables) else set()
         _runs_behind_tables(spark, entry, key)
         assert [x.split("-")[0] for x in set(os.listdir(tables)) - before] == ["mart"]
+
+
+CHANGES = "order_key string, vendor_id string, seq long, ts timestamp_ntz, status string, status_note string, actor_role string, actor_vendor_id string"
+
+
+def _changes(spark):
+    rows = [(f"r{i % 17}" if i % 29 else None, f"v{i % 3}" if i % 23 else None, i, T0 + dt.timedelta(hours=i % 100), ("paid", "shipped", "odd")[i % 3],
+             f"n{i}" if i % 4 else None, "admin", None) for i in range(400)]
+    return spark.createDataFrame(rows, CHANGES)
+
+
+def test_a_replay_keeps_its_tables_only(spark):
+    ch = _changes(spark)
+    latest = {}
+    for restart in (True, False):
+        base = M.replay_to_sink(ch, "status", "ts", M.stream_status, "update", restart=restart)
+        assert os.listdir(base) == ["sink"] and len(os.listdir(f"{base}/sink")) >= 4
+        for single in (True, False):
+            latest[restart, single] = rows_of(M.read_latest(spark, f"{base}/sink", ["order_key", "vendor_id"], "a int", single).select("order_key", "vendor_id", "status", "status_note", "ts"))
+    want = rows_of(M.stream_status(ch).dropna(subset=["order_key", "vendor_id"]))
+    assert all(x == want for x in latest.values()) and len(want) > 30
+
+
+def test_stream_status_ends_the_intake_first(spark, entry):
+    df = entry.queries()["stream_status"](spark, SMALL)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in p and p.count("FileScan parquet") == 2         # the orders and the sink, once each
