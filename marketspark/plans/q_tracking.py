@@ -126,6 +126,7 @@ def q_mart_my_orders(t):
     updated = stored(_changed(t, read_mart(t.spark, path)), "updated-orders")
     day = F.to_date("created_at").alias("_day")
     changed = updated.filter(F.col("updated_at") != F.col("created_at")).select(day).distinct()
-    rewrite_days(updated.withColumn("_day", day).join(changed, "_day", "left_semi").drop("_day"), path, "vendor_id", "created_at")
+    # a row per day: broadcast, as the orders would move for this join alone
+    rewrite_days(updated.withColumn("_day", day).join(F.broadcast(changed), "_day", "left_semi").drop("_day"), path, "vendor_id", "created_at")
     discard(updated)
     return _pages(t, read_mart(t.spark, path))
